@@ -115,11 +115,11 @@ def stable_id(*parts: Column | str) -> Column:
     return F.md5(F.concat_ws("|", *[F.coalesce(c.cast("string"), F.lit("")) for c in columns]))
 
 
-def shannon_entropy(histogram_total: Column, n_log_n: Column, population: Column) -> Column:
-    """Entropy in bits of a histogram with shares n/population.
+def entropy_bits(histogram_total: str, n_log_n: str, population: str) -> str:
+    """SQL of the Shannon entropy in bits of a histogram with shares n/population.
 
     -sum(n/N log2(n/N)) = (log2(N) * sum(n) - sum(n log2 n)) / N, so only two sums
     per group travel through the shuffle instead of the histogram.
     """
-    bits = (histogram_total * F.log2(population) - n_log_n) / population
-    return F.greatest(F.lit(0.0), bits)
+    bits = f"({histogram_total} * log2({population}) - {n_log_n}) / {population}"
+    return f"greatest(0D, {bits})"

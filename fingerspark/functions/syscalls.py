@@ -15,11 +15,15 @@ from fingerspark.functions.fixed import (
 )
 
 
-def syscall_name(number: Column) -> Column:
-    """Name of a syscall number; unmapped numbers give ``unknown_<n>``."""
-    names = F.create_map(*[F.lit(v) for pair in SYSCALL_NUMBERS.items() for v in pair])
-    unmapped = F.concat(F.lit("unknown_"), number.cast("string"))
-    return F.coalesce(F.try_element_at(names, number.cast("int")), unmapped)
+def _listed(names) -> str:
+    return ", ".join(f"'{n}'" for n in names)
+
+
+def syscall_name(number: str) -> Column:
+    """Name of the syscall numbers in column ``number``; unmapped ones give ``unknown_<n>``."""
+    names = ", ".join(f"{n}, '{name}'" for n, name in SYSCALL_NUMBERS.items())
+    known = f"try_element_at(map({names}), CAST({number} AS INT))"
+    return F.expr(f"coalesce({known}, concat('unknown_', CAST({number} AS STRING)))")
 
 
 def syscall_dimension(spark: SparkSession) -> DataFrame:
@@ -27,22 +31,20 @@ def syscall_dimension(spark: SparkSession) -> DataFrame:
     return spark.createDataFrame(list(SYSCALL_NUMBERS.items()), "syscall_id int, syscall string")
 
 
-def syscall_category(name: Column) -> Column:
-    """Category of a syscall in any letter case; unknown or null gives OTHER."""
-    lowered = F.lower(name)
-    column = None
-    for category, names in CATEGORY_SYSCALLS.items():
-        hit = lowered.isin(*names)
-        column = F.when(hit, category) if column is None else column.when(hit, category)
-    return column.otherwise(OTHER_CATEGORY)
+def syscall_category(name: str) -> Column:
+    """Category of the syscalls in column ``name``, in any letter case; else OTHER."""
+    cases = " ".join(
+        f"WHEN lower({name}) IN ({_listed(names)}) THEN '{category}'"
+        for category, names in CATEGORY_SYSCALLS.items())
+    return F.expr(f"CASE {cases} ELSE '{OTHER_CATEGORY}' END")
 
 
-def is_network_syscall(name: Column) -> Column:
-    return F.coalesce(name.isin(*NETWORK_EVENT_SYSCALLS), F.lit(False))
+def is_network_syscall(name: str) -> Column:
+    return F.expr(f"coalesce(lower({name}) IN ({_listed(NETWORK_EVENT_SYSCALLS)}), false)")
 
 
-def is_privileged_syscall(name: Column) -> Column:
-    return F.coalesce(name.isin(*PRIVILEGED_SYSCALLS), F.lit(False))
+def is_privileged_syscall(name: str) -> Column:
+    return F.expr(f"coalesce(lower({name}) IN ({_listed(PRIVILEGED_SYSCALLS)}), false)")
 
 
 def dotted_address(packed: Column) -> Column:

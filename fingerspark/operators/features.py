@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from fingerspark.functions.fixed import (
@@ -15,54 +15,46 @@ from fingerspark.functions.fixed import (
     PROCESS_CREATING_SYSCALLS,
     WINDOW_SECONDS,
 )
-from fingerspark.functions.scoring import shannon_entropy, stable_id
+from fingerspark.functions.scoring import entropy_bits, stable_id
 from fingerspark.functions.timing import compact_time
 from fingerspark.operators.ordered import ordinal
 from fingerspark.sources.schemas import FEATURE_VECTOR
 
-_SYSCALL, _PROCESS, _ADDRESS, _PORT = 0, 1, 2, 3
-_COUNTS = ("unique_process_count", "unique_syscall_count", "unique_dest_ips", "unique_dest_ports")
+# Columns whose distinct values are counted; the null syscalls count towards the total.
+_DIMENSIONS = ("syscall", "process_name", "destination_ip", "port", "image_name")
+
+
+def _sql_list(names: Sequence[str]) -> str:
+    return ", ".join(f"'{n}'" for n in names)
 
 
 def _value_counts(events: DataFrame, seconds: int, slide_seconds: int | None,
                   keys: Sequence[str]) -> DataFrame:
     """Count of every distinct (dimension, value) of a container window.
 
-    Each event is spread over the dimensions it has a value for; a null syscall keeps
-    its row, as it counts towards the window's total. Grouping by value splits a busy
-    container over as many tasks as it has values and is combined before the shuffle.
+    Each event is unpivoted over its dimensions. Grouping by value splits a busy container
+    over as many tasks as it has values, and is combined before the shuffle. Only long
+    buffers are kept, so this is a hash aggregation.
     """
     slide = f"{slide_seconds} seconds" if slide_seconds else None
     placed = "window" in events.columns
     window = F.col("window") if placed else F.window("timestamp", f"{seconds} seconds", slide)
-    image = F.col("image_name") if "image_name" in events.columns else F.lit(None).cast("string")
-
-    def dimension(kind: int, value: Column, *, carrier: bool) -> Column:
-        no = F.lit(0)
-        return F.struct(
-            F.lit(kind).alias("kind"),
-            value.cast("string").alias("value"),
-            (F.col("is_network_event").cast("int") if carrier else no).alias("network"),
-            (F.col("is_privileged").cast("int") if carrier else no).alias("privileged"),
-            ((F.col("uid") == 0).cast("int") if carrier else no).alias("root"),
-            (image if carrier else F.lit(None).cast("string")).alias("image"),
-        )
-
-    spread = events.select(
-        "window" if placed else "timestamp", "container_id", *keys,
-        F.inline(F.array(
-            dimension(_SYSCALL, F.col("syscall"), carrier=True),
-            dimension(_PROCESS, F.col("process_name"), carrier=False),
-            dimension(_ADDRESS, F.col("destination_ip"), carrier=False),
-            dimension(_PORT, F.col("port"), carrier=False),
-        )),
-    ).filter((F.col("kind") == _SYSCALL) | F.col("value").isNotNull())
-    return spread.groupBy(window, "container_id", *keys, "kind", "value").agg(
-        F.count("*").alias("n"),
-        F.sum("network").alias("network"),
-        F.sum("privileged").alias("privileged"),
-        F.sum("root").alias("root"),
-        F.max("image").alias("image"),
+    when = "window" if placed else "timestamp"
+    image = "image_name" if "image_name" in events.columns else "CAST(NULL AS STRING) AS image_name"
+    narrow = events.selectExpr(
+        when, "container_id", *keys, "syscall", "process_name", "destination_ip",
+        "CAST(port AS STRING) AS port", image,
+        "CAST(is_network_event AS INT) AS network", "CAST(is_privileged AS INT) AS privileged",
+        "CAST(uid = 0 AS INT) AS root",
+    )
+    rows = narrow.unpivot(
+        [when, "container_id", *keys, "network", "privileged", "root"], list(_DIMENSIONS), "kind", "value")
+    present = rows.filter("kind = 'syscall' OR value IS NOT NULL")
+    return present.groupBy(window, "container_id", *keys, "kind", "value").agg(
+        F.expr("count(*) AS n"),
+        F.expr("sum(network) AS network"),
+        F.expr("sum(privileged) AS privileged"),
+        F.expr("sum(root) AS root"),
     )
 
 
@@ -71,82 +63,67 @@ def window_features(events: DataFrame, seconds: int = WINDOW_SECONDS,
     """Feature vector per container and window (tumbling, or sliding by ``slide_seconds``).
 
     ``keys`` adds grouping columns, such as the chunk of a capped window. Events that carry
-    a ``window`` column already are taken to be placed in it. The same two
-    grouped aggregations run on tables and, in append mode, on watermarked streams.
-    Entropies are folded from per-value counts, so a window travels as partial sums.
+    a ``window`` column already are taken to be placed in it. The same two grouped
+    aggregations run on tables and, in append mode, on watermarked streams. Entropies are
+    folded from per-value counts, so a window travels as partial sums.
     """
-    n = F.col("n")
-    is_syscall = F.col("kind") == _SYSCALL
-    named = is_syscall & F.col("value").isNotNull()
-    is_process = F.col("kind") == _PROCESS
-
-    def total(condition: Column, value: Column = n) -> Column:
-        return F.coalesce(F.sum(F.when(condition, value)), F.lit(0))
-
-    def distinct(condition: Column) -> Column:
-        return F.count_if(condition)
-
-    n_log_n = n * F.log2(n.cast("double"))
-    sums = _value_counts(events, seconds, slide_seconds, keys).groupBy(
-        "window", "container_id", *keys
-    ).agg(
-        total(is_syscall).alias("total_events"),
-        *[total(named & (F.col("value") == name)).alias(f"_n_{feature}")
-          for feature, name in FREQUENCY_SYSCALLS.items()],
-        total(named & F.col("value").isin(*PROCESS_CREATING_SYSCALLS)).alias("_n_created"),
-        distinct(is_process).alias("_process_values"),
-        distinct(named).alias("_syscall_values"),
-        distinct(F.col("kind") == _ADDRESS).alias("_address_values"),
-        distinct(F.col("kind") == _PORT).alias("_port_values"),
-        total(is_syscall, F.col("network")).alias("_n_network"),
-        total(is_syscall, F.col("privileged")).alias("_n_privileged"),
-        total(is_syscall, F.col("root")).alias("_n_root"),
-        total(named).alias("_named_syscalls"),
-        F.coalesce(F.sum(F.when(named, n_log_n)), F.lit(0.0)).alias("_syscall_n_log_n"),
-        total(is_process).alias("_named_processes"),
-        F.coalesce(F.sum(F.when(is_process, n_log_n)), F.lit(0.0)).alias("_process_n_log_n"),
-        F.max("image").alias("image_name"),
-        F.collect_list(F.when(named, F.struct("value", "n"))).alias("_frequencies"),
-    )
-
-    population = F.col("total_events").cast("double")
-    shares = {feature: F.col(f"_n_{feature}") / population for feature in FREQUENCY_SYSCALLS}
+    every, named, process = "kind = 'syscall'", "kind = 'syscall' AND value IS NOT NULL", "kind = 'process_name'"
+
+    def total(condition: str, value: str = "n") -> str:
+        return f"coalesce(sum(CASE WHEN {condition} THEN {value} END), 0)"
+
+    n_log_n = "n * log2(CAST(n AS DOUBLE))"
+    sums = {
+        "total_events": total(every),
+        **{f"n_{feature}": total(f"kind = 'syscall' AND value = '{name}'")
+           for feature, name in FREQUENCY_SYSCALLS.items()},
+        "n_created": total(f"kind = 'syscall' AND value IN ({_sql_list(PROCESS_CREATING_SYSCALLS)})"),
+        "n_network": total(every, "network"),
+        "n_privileged": total(every, "privileged"),
+        "n_root": total(every, "root"),
+        "process_values": f"count_if({process})",
+        "syscall_values": f"count_if({named})",
+        "address_values": "count_if(kind = 'destination_ip')",
+        "port_values": "count_if(kind = 'port')",
+        "named_syscalls": total(named),
+        "syscall_n_log_n": total(named, n_log_n),
+        "named_processes": total(process),
+        "process_n_log_n": total(process, n_log_n),
+        "image_name": "max(CASE WHEN kind = 'image_name' THEN value END)",
+        "frequencies": f"collect_list(CASE WHEN {named} THEN struct(value, n) END)",
+    }
+    counted = _value_counts(events, seconds, slide_seconds, keys).groupBy("window", "container_id", *keys)
+    folded = counted.agg(*[F.expr(f"{sql} AS {name}") for name, sql in sums.items()])
     features = {
-        **shares,
-        "unique_process_count": F.col("_process_values").cast("int"),
-        "unique_syscall_count": F.col("_syscall_values").cast("int"),
-        "process_creation_rate": F.col("_n_created") / F.lit(float(seconds)),
-        "unique_dest_ips": F.col("_address_values").cast("int"),
-        "unique_dest_ports": F.col("_port_values").cast("int"),
-        "network_event_ratio": F.col("_n_network") / population,
-        "syscall_entropy": shannon_entropy(
-            F.col("_named_syscalls"), F.col("_syscall_n_log_n"), population),
-        "process_entropy": shannon_entropy(
-            F.col("_named_processes"), F.col("_process_n_log_n"), population),
-        "privileged_event_ratio": F.col("_n_privileged") / population,
-        "uid_zero_ratio": F.col("_n_root") / population,
+        **{feature: f"n_{feature} / total_events" for feature in FREQUENCY_SYSCALLS},
+        "unique_process_count": "CAST(process_values AS INT)",
+        "unique_syscall_count": "CAST(syscall_values AS INT)",
+        "process_creation_rate": f"n_created / CAST({seconds} AS DOUBLE)",
+        "unique_dest_ips": "CAST(address_values AS INT)",
+        "unique_dest_ports": "CAST(port_values AS INT)",
+        "network_event_ratio": "n_network / total_events",
+        "syscall_entropy": entropy_bits("named_syscalls", "syscall_n_log_n", "total_events"),
+        "process_entropy": entropy_bits("named_processes", "process_n_log_n", "total_events"),
+        "privileged_event_ratio": "n_privileged / total_events",
+        "uid_zero_ratio": "n_root / total_events",
     }
-    measured = sums.select(
-        "container_id",
-        "image_name",
-        F.col("window.start").alias("window_start"),
-        F.col("window.end").alias("window_end"),
-        F.lit(seconds).alias("window_duration_seconds"),
-        *keys,
-        "total_events",
-        *[features[name].alias(name) for name in FEATURE_NAMES],
-        F.map_from_entries(F.sort_array("_frequencies")).alias("syscall_frequencies"),
+    measured = folded.selectExpr(
+        "container_id", "image_name", "window.start AS window_start", "window.end AS window_end",
+        f"{seconds} AS window_duration_seconds", *keys, "total_events",
+        *[f"{features[name]} AS {name}" for name in FEATURE_NAMES],
+        "map_from_entries(sort_array(frequencies)) AS syscall_frequencies",
     )
     return _with_vector(measured, keys)
 
 
 def _with_vector(measured: DataFrame, keys: Sequence[str]) -> DataFrame:
     identity = ["container_id", compact_time(F.col("window_start")), "window_duration_seconds", *keys]
+    vector = ", ".join(f"CAST({name} AS DOUBLE)" for name in FEATURE_NAMES)
     return measured.withColumns({
         "vector_id": stable_id(*identity),
-        "features": F.array(*[F.col(name).cast("double") for name in FEATURE_NAMES]),
-        "feature_names": F.array(*[F.lit(name) for name in FEATURE_NAMES]),
-    }).select(*[c for c in FEATURE_VECTOR.names], *keys)
+        "features": F.expr(f"array({vector})"),
+        "feature_names": F.expr(f"array({_sql_list(FEATURE_NAMES)})"),
+    }).select(*FEATURE_VECTOR.names, *keys)
 
 
 def window_chunks(events: DataFrame, seconds: int = WINDOW_SECONDS,

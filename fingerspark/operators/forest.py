@@ -120,7 +120,7 @@ def _grow(key: tuple, rows: pd.DataFrame, seed: int) -> pd.DataFrame:
 
 def grow_forest(samples: DataFrame, seed: int = FOREST_SEED) -> DataFrame:
     """Node table of the forest. A group is one tree's subsample, at most its fixed size."""
-    def grow(key, rows: pd.DataFrame) -> pd.DataFrame:
+    def grow(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
         return _grow(key, rows, seed)
 
     return samples.groupBy("tree_id").applyInPandas(grow, FOREST_NODE)
@@ -211,9 +211,8 @@ def train(training: DataFrame, version: str, trees: int = TREE_COUNT,
           minimum: int = MIN_TRAINING_ROWS) -> tuple[Model, DataFrame] | None:
     """Fit a forest on the training buffer; None when it holds fewer than ``minimum`` rows.
 
-    Returns the model and its node table.
+    Give it a stored table, as it is read several times. Returns the model and its nodes.
     """
-    training = durable(training.select("vector_id", "features"))
     samples = training.count()
     if samples < minimum:
         return None

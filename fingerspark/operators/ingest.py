@@ -24,8 +24,11 @@ NO_SYSCALL = "syscall is required"
 FIRST_WRITE = ("timestamp", "process_name", "syscall", "pid", "args")
 
 
+WHITESPACE = " \t\n\r\f\v"
+
+
 def _blank(name: str) -> Column:
-    return F.coalesce(F.col(name), F.lit("")).rlike(r"^\s*$")
+    return F.coalesce(F.btrim(F.col(name), F.lit(WHITESPACE)), F.lit("")) == ""
 
 
 def reject_reason(events: DataFrame) -> Column:
@@ -66,12 +69,11 @@ def with_defaults(events: DataFrame, as_of: str | datetime | Column,
 
 def enrich(events: DataFrame, received_at: str | datetime | Column) -> DataFrame:
     """Valid runtime events to processed events: lower-case syscall, category, two flags."""
-    name = F.lower("syscall")
     enriched = events.withColumns({
-        "syscall": name,
-        "syscall_category": syscall_category(name),
-        "is_privileged": is_privileged_syscall(name),
-        "is_network_event": is_network_syscall(name),
+        "syscall": F.lower("syscall"),
+        "syscall_category": syscall_category("syscall"),
+        "is_privileged": is_privileged_syscall("syscall"),
+        "is_network_event": is_network_syscall("syscall"),
         "received_at": instant(received_at),
     })
     return conform(enriched, PROCESSED_EVENT)

@@ -19,15 +19,16 @@ def running_totals(df: DataFrame, keys: Sequence[str], order: Sequence[Column |
     A window function would hold a whole group in one task. Here the rows are range
     partitioned by (keys, order), so a big group is cut into many slices; running sums
     are taken inside the slices and each slice is lifted by what lies ahead of it. Only
-    one row per slice and group crosses between slices. The range partitioned rows are
-    checkpointed, because the slices must be the same for both uses.
+    one row per slice and group crosses between slices. The sliced rows are written out
+    once, because a slice must hold the same rows in both uses.
 
-    ``order`` has to identify a row inside its group for the result to be deterministic.
+    Keys must not be null. ``order`` has to identify a row inside its group for the
+    result to be deterministic.
     """
     order = [F.col(o) if isinstance(o, str) else o for o in order]
     own = {f"_own_{name}": value for name, value in totals.items()}
-    sliced = durable(df.withColumns(own).repartitionByRange(*keys, *order))
-    sliced = sliced.withColumn(_SLICE, F.spark_partition_id())
+    ranged = df.withColumns(own).repartitionByRange(*keys, *order)
+    sliced = durable(ranged.withColumn(_SLICE, F.spark_partition_id()))
 
     inside = (Window.partitionBy(_SLICE, *keys).orderBy(*order)
               .rowsBetween(Window.unboundedPreceding, Window.currentRow))

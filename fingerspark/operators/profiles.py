@@ -40,8 +40,8 @@ def container_profiles(results: DataFrame) -> DataFrame:
 def merge_profiles(state: DataFrame, delta: DataFrame) -> DataFrame:
     """Upsert: profiles after ``delta``. Both sides hold one row per container.
 
-    A known container keeps its first_seen and metadata; its measures move on. Those
-    without news stay as they are. A merged first_seen never moves.
+    A known container keeps its metadata and, as long as results arrive in order, its
+    first_seen; its measures move on. Those without news stay as they are.
     """
     old = state.select("container_id", *[
         F.col(c).alias(f"_{c}") for c in CONTAINER_PROFILE.names if c != "container_id"])
@@ -58,8 +58,8 @@ def merge_profiles(state: DataFrame, delta: DataFrame) -> DataFrame:
     return _finish(joined.select(
         "container_id",
         *[F.col(f"_{c}").alias(c) for c in ("container_name", "image_name", "namespace")],
-        F.coalesce("_first_seen", "first_seen").alias("first_seen"),
-        F.coalesce("last_seen", "_last_seen").alias("last_seen"),
+        F.least("_first_seen", "first_seen").alias("first_seen"),
+        F.greatest("_last_seen", "last_seen").alias("last_seen"),
         events.alias("total_events"),
         (count("_total_anomalies") + count("total_anomalies")).alias("total_anomalies"),
         (old_average + news / events).alias("avg_anomaly_score"),

@@ -5,6 +5,7 @@ from fingerspark.plans import (  # noqa: F401
     feature_queries,
     ingest_queries,
     model_queries,
+    stream_queries,
 )
 from fingerspark.plans.registered import CHECKS, QUERIES
 

@@ -126,13 +126,13 @@ SQL_PROFILE = PROFILE.replace("anomaly_rate", "round(anomaly_rate, 6) AS anomaly
     "avg_anomaly_score", "round(avg_anomaly_score, 6) AS avg_anomaly_score")
 
 
-def _profiles(df: DataFrame) -> DataFrame:
+def shown_profiles(df: DataFrame) -> DataFrame:
     return rounded(df.select(*PROFILE.split(", ")), "anomaly_rate", "avg_anomaly_score")
 
 
 @query(f"WITH {RESULTS}, {PROFILES} SELECT {SQL_PROFILE} FROM profiles")
 def container_profiles(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _profiles(profiles.container_profiles(anomaly_results(spark, sf_dir)))
+    return shown_profiles(profiles.container_profiles(anomaly_results(spark, sf_dir)))
 
 
 _SPLIT = "2024-01-20 00:00:00"
@@ -146,7 +146,7 @@ def profile_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
     early = F.col("detected_at") < F.lit(_SPLIT).cast("timestamp_ntz")
     state = profiles.container_profiles(results.filter(early & (F.col("container_id") != "c2")))
     delta = profiles.profile_delta(results.filter(~early & (F.col("container_id") != "c1")))
-    return _profiles(profiles.merge_profiles(state, delta))
+    return shown_profiles(profiles.merge_profiles(state, delta))
 
 
 @query(f"""WITH {RESULTS}
@@ -189,7 +189,7 @@ SELECT {SQL_PROFILE} FROM profiles WHERE risk_level = 'CRITICAL'
 ORDER BY last_seen DESC, container_id LIMIT 15 OFFSET 15""")
 def container_page(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = profiles.container_profiles(anomaly_results(spark, sf_dir))
-    return _profiles(profiles.container_page(found, page=1, size=15, risk_level="critical"))
+    return shown_profiles(profiles.container_page(found, page=1, size=15, risk_level="critical"))
 
 
 @query(f"""WITH {RESULTS}, {PROFILES}
@@ -203,7 +203,7 @@ def container_page_meta(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(f"WITH {RESULTS}, {PROFILES} SELECT {SQL_PROFILE} FROM profiles WHERE container_id = 'c9'")
 def container_by_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = profiles.container_profiles(anomaly_results(spark, sf_dir))
-    return _profiles(by_id(found, "container_id", "c9"))
+    return shown_profiles(by_id(found, "container_id", "c9"))
 
 
 _RATES = ["CAST(user_id % 41 AS DOUBLE) / 100e0", "CAST(regexp_extract(props, '([0-9]+)', 1) AS DOUBLE) / 100e0"]

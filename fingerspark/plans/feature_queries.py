@@ -29,14 +29,14 @@ def rounded(df: DataFrame, *columns: str, digits: int = 6) -> DataFrame:
 _DOUBLES = [n for n in FEATURE_NAMES if not n.startswith("unique_")]
 
 
-def _flat(vectors: DataFrame, *more: str) -> DataFrame:
+def flat(vectors: DataFrame, *more: str) -> DataFrame:
     return rounded(vectors.select(*IDENTITY.split(", "), *FEATURE_NAMES, *more), *_DOUBLES)
 
 
 @query(f"WITH {VECTORS} SELECT {IDENTITY}, {ROUNDED_FEATURES} FROM vectors")
 def window_features(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The flagship slice: events to 18 features per container and window."""
-    return _flat(feature_vectors(spark, sf_dir))
+    return flat(feature_vectors(spark, sf_dir))
 
 
 @query(f"WITH {VECTORS}, {LONG} SELECT vector_id, pos, feature, round(value, 6) AS value FROM long")
@@ -88,7 +88,7 @@ placed AS (
 SELECT {IDENTITY}, chunk, {ROUNDED_FEATURES} FROM vectors""")
 def window_features_capped(spark: SparkSession, sf_dir: str) -> DataFrame:
     capped = features.capped_window_features(processed_events(spark, sf_dir), WINDOW, max_events=10)
-    return _flat(capped, "chunk")
+    return flat(capped, "chunk")
 
 
 _LENGTHS = (1800, 21600, 86400)
@@ -102,7 +102,7 @@ placed AS (
 {feature_ctes(extra=', secs', seconds='secs')}
 SELECT {IDENTITY}, {ROUNDED_FEATURES} FROM vectors""")
 def window_features_multi(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _flat(features.multi_resolution_features(processed_events(spark, sf_dir), _LENGTHS))
+    return flat(features.multi_resolution_features(processed_events(spark, sf_dir), _LENGTHS))
 
 
 @query(f"""WITH {RUNTIME},
@@ -113,7 +113,7 @@ placed AS (
 {feature_ctes()}
 SELECT {IDENTITY}, {ROUNDED_FEATURES} FROM vectors""")
 def window_features_sliding(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _flat(features.window_features(processed_events(spark, sf_dir), WINDOW, slide_seconds=7200))
+    return flat(features.window_features(processed_events(spark, sf_dir), WINDOW, slide_seconds=7200))
 
 
 @query(f"""WITH {VECTORS}, {LONG}

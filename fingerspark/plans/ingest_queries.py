@@ -113,7 +113,7 @@ def defaulted_events(spark: SparkSession, sf_dir: str) -> DataFrame:
 SELECT {category('syscall')} AS syscall_category, count(*) AS n FROM runtime GROUP BY 1""")
 def syscall_category_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     events = telemetry.runtime_events(spark, sf_dir)
-    return events.groupBy(syscall_category(F.col("syscall")).alias("syscall_category")).agg(
+    return events.groupBy(syscall_category("syscall").alias("syscall_category")).agg(
         F.count("*").alias("n"))
 
 
@@ -153,8 +153,7 @@ def insert_if_absent(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(f"""SELECT event_id, {sql_syscall_name('CAST(event_id % 440 AS INT)')} AS syscall FROM events""")
 def syscall_id_names(spark: SparkSession, sf_dir: str) -> DataFrame:
-    number = (F.col("event_id") % 440).cast("int")
-    return read(spark, sf_dir, "events").select("event_id", syscall_name(number).alias("syscall"))
+    return read(spark, sf_dir, "events").select("event_id", syscall_name("event_id % 440").alias("syscall"))
 
 
 @query(f"""SELECT {sql_syscall_name('CAST(event_id % 440 AS INT)')} AS syscall, count(*) AS n

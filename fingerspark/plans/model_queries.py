@@ -25,8 +25,13 @@ from fingerspark.sources.tables import durable
 TREES, SAMPLE, MINIMUM = 50, 64, 20
 
 
-def _training(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return baseline.training_buffer(feature_vectors(spark, sf_dir))
+def _vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The vectors as a stored table; training and scoring read it several times."""
+    return durable(feature_vectors(spark, sf_dir))
+
+
+def _training(vectors: DataFrame) -> DataFrame:
+    return durable(baseline.training_buffer(vectors))
 
 
 @query(f"""WITH {VECTORS},
@@ -39,16 +44,16 @@ picks AS (SELECT tree_id, run * n // runs + CAST(concat('0x', substr(md5(concat_
                  % ((run + 1) * n // runs - run * n // runs) AS i FROM slots)
 SELECT CAST(tree_id AS INT) AS tree_id, vector_id FROM picks JOIN indexed USING (i)""")
 def tree_samples(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return forest.tree_samples(_training(spark, sf_dir), TREES, SAMPLE).select("tree_id", "vector_id")
+    return forest.tree_samples(_training(_vectors(spark, sf_dir)), TREES, SAMPLE).select("tree_id", "vector_id")
 
 
 @query()
 def forest_nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return forest.grow_forest(forest.tree_samples(_training(spark, sf_dir), TREES, SAMPLE))
+    return forest.grow_forest(forest.tree_samples(_training(_vectors(spark, sf_dir)), TREES, SAMPLE))
 
 
-def _model(spark: SparkSession, sf_dir: str) -> forest.Model:
-    trained = forest.train(_training(spark, sf_dir), "20240131000000", TREES, SAMPLE, minimum=MINIMUM)
+def _model(vectors: DataFrame) -> forest.Model:
+    trained = forest.train(_training(vectors), "20240131000000", TREES, SAMPLE, minimum=MINIMUM)
     if trained is None:
         raise ValueError("too few vectors to train on")
     return trained[0]
@@ -57,8 +62,8 @@ def _model(spark: SparkSession, sf_dir: str) -> forest.Model:
 @query()
 def forest_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Train on the newest vectors, then score all of them."""
-    model = _model(spark, sf_dir)
-    scored = results.decide(forest.raw_decision(feature_vectors(spark, sf_dir), model))
+    vectors = _vectors(spark, sf_dir)
+    scored = results.decide(forest.raw_decision(vectors, _model(vectors)))
     return scored.select("vector_id", "forest_score", "anomaly_score", "is_anomalous", "severity")
 
 
@@ -157,9 +162,9 @@ def no_model_results(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query()
 def scored_results(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Events to explained anomaly results under a model trained on the same table."""
-    vectors = feature_vectors(spark, sf_dir)
+    vectors = _vectors(spark, sf_dir)
     scored = results.score_vectors(
-        vectors, _model(spark, sf_dir), AS_OF, baseline.image_baseline(vectors), baseline.global_baseline(vectors))
+        vectors, _model(vectors), AS_OF, baseline.image_baseline(vectors), baseline.global_baseline(vectors))
     return results.stored_form(scored)
 
 

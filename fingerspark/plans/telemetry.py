@@ -6,6 +6,8 @@ events, results and probe records, row by row, so everything grows with that tab
 
 from __future__ import annotations
 
+from datetime import datetime
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -15,7 +17,8 @@ from fingerspark.operators.features import window_features
 from fingerspark.operators.ingest import process
 from fingerspark.sources.schemas import ANOMALY_RESULT, RUNTIME_EVENT, conform
 
-AS_OF = "2024-01-31 00:00:00"
+AS_OF_TIME = datetime(2024, 1, 31)
+AS_OF = AS_OF_TIME.isoformat(sep=" ")
 WINDOW = 6 * 3600
 
 # Names of normal and of suspicious activity.
@@ -30,8 +33,9 @@ def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 
-def _pick(values: tuple, index: Column) -> Column:
-    return F.element_at(F.array(*[F.lit(v) for v in values]), (index % len(values) + 1).cast("int"))
+def _pick(values: tuple, index: str) -> Column:
+    listed = ", ".join(repr(v) for v in values)
+    return F.expr(f"element_at(array({listed}), CAST(({index}) % {len(values)} + 1 AS INT))")
 
 
 def project_runtime(activity: DataFrame) -> DataFrame:
@@ -43,7 +47,7 @@ def project_runtime(activity: DataFrame) -> DataFrame:
     based = activity.select(F.col("event_id").alias("seq"), "ts", "user_id", "event_type", k.alias("k"))
     k, seq, user = F.col("k"), F.col("seq"), F.col("user_id")
     failed, bought = F.col("event_type") == "error", F.col("event_type") == "purchase"
-    normal = _pick(NORMAL_SYSCALLS, seq + k)
+    normal = _pick(NORMAL_SYSCALLS, "seq + k")
     return based.select(
         "seq", "k",
         F.concat(F.lit("evt-"), seq.cast("string")).alias("event_id"),
@@ -53,16 +57,16 @@ def project_runtime(activity: DataFrame) -> DataFrame:
         (user + 1000).alias("pid"),
         F.lit(1).cast("bigint").alias("ppid"),
         F.when(k == 1, F.lit(None).cast("string"))
-         .when(failed, _pick(SUSPICIOUS_SYSCALLS, seq + k))
+         .when(failed, _pick(SUSPICIOUS_SYSCALLS, "seq + k"))
          .when(bought, F.lit("connect"))
          .when(k % 10 == 3, F.upper(normal))
          .otherwise(normal).alias("syscall"),
-        F.when(failed, _pick(SUSPICIOUS_PROCESSES, seq + k)).otherwise(
-            _pick(NORMAL_PROCESSES, user)).alias("process_name"),
+        F.when(failed, _pick(SUSPICIOUS_PROCESSES, "seq + k")).otherwise(
+            _pick(NORMAL_PROCESSES, "user_id")).alias("process_name"),
         k.cast("bigint").alias("return_value"),
         F.when(bought, F.concat_ws(".", F.lit("10.0"), (user % 4).cast("string"), k.cast("string"))
                ).alias("destination_ip"),
-        F.when(bought, _pick(PORTS, k)).alias("port"),
+        F.when(bought, _pick(PORTS, "k")).alias("port"),
         F.when(bought, F.lit("TCP")).alias("protocol"),
         F.when(failed & (k % 2 == 0), F.lit(0)).otherwise(user + 1000).cast("bigint").alias("uid"),
         F.concat(F.lit("node-"), (user % 3).cast("string")).alias("hostname"),
@@ -94,20 +98,20 @@ def feature_vectors(spark: SparkSession, sf_dir: str, seconds: int = WINDOW) ->
 
 def anomaly_results(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Results with score k/100, which visits every tier and its edges."""
-    k = F.regexp_extract("props", "([0-9]+)", 1).cast("int")
-    score = k.cast("double") / F.lit(100.0)
-    key = F.col("event_id").cast("string")
-    names = (_pick(FEATURE_NAMES, k), _pick(FEATURE_NAMES, k + 5))
-    scored = read(spark, sf_dir, "events").select(
-        F.concat(F.lit("r-"), key).alias("result_id"),
-        F.concat(F.lit("v-"), key).alias("vector_id"),
-        F.concat(F.lit("c"), (F.col("user_id") % 40).cast("string")).alias("container_id"),
+    based = read(spark, sf_dir, "events").selectExpr(
+        "event_id", "ts", "user_id", "CAST(regexp_extract(props, '([0-9]+)', 1) AS INT) AS k",
+        "CAST(regexp_extract(props, '([0-9]+)', 1) AS DOUBLE) / 100D AS anomaly_score")
+    score = F.col("anomaly_score")
+    scored = based.select(
+        F.expr("concat('r-', event_id) AS result_id"),
+        F.expr("concat('v-', event_id) AS vector_id"),
+        F.expr("concat('c', user_id % 40) AS container_id"),
         F.col("ts").alias("detected_at"),
-        score.alias("anomaly_score"),
+        score,
         is_anomalous(score).alias("is_anomalous"),
         severity(score).alias("severity"),
         F.lit("20240101000000").alias("model_version"),
-        F.array(*names).alias("contributing_features"),
+        F.array(_pick(FEATURE_NAMES, "k"), _pick(FEATURE_NAMES, "k + 5")).alias("contributing_features"),
     )
     return conform(scored, ANOMALY_RESULT)
 

@@ -51,7 +51,7 @@ def syscall_probe_events(probes: DataFrame) -> DataFrame:
     return probes.select(
         *_CONTEXT,
         "ppid",
-        syscall_name(F.col("syscall_id")).alias("syscall"),
+        syscall_name("syscall_id").alias("syscall"),
         "syscall_id",
         F.col("comm").alias("process_name"),
         F.lit(None).cast("string").alias("args"),

@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from fingerspark.functions.fixed import FEATURE_NAMES
@@ -82,14 +81,16 @@ def conform(df: DataFrame, schema: T.StructType) -> DataFrame:
 
     Timestamps keep the flavour (with or without zone) they come in.
     """
+    types = {f.name: f.dataType for f in df.schema.fields}
     flavours = (T.TimestampType, T.TimestampNTZType)
-    columns = []
-    for field in schema.fields:
-        if field.name not in df.columns:
-            columns.append(F.lit(None).cast(field.dataType).alias(field.name))
-            continue
-        same = isinstance(field.dataType, flavours) and isinstance(
-            df.schema[field.name].dataType, flavours)
-        column = F.col(field.name)
-        columns.append(column if same else column.cast(field.dataType).alias(field.name))
-    return df.select(*columns)
+
+    def column(field: T.StructField) -> str:
+        own = types.get(field.name)
+        wanted = field.dataType
+        if own is None:
+            return f"CAST(NULL AS {wanted.simpleString()}) AS {field.name}"
+        if own == wanted or (isinstance(own, flavours) and isinstance(wanted, flavours)):
+            return field.name
+        return f"CAST({field.name} AS {wanted.simpleString()}) AS {field.name}"
+
+    return df.selectExpr(*[column(f) for f in schema.fields])
