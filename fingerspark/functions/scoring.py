@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterable
-
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -109,10 +107,10 @@ def array_of_csv(text: Column) -> Column:
     return F.split(text, ",")
 
 
-def stable_id(*parts: Column | str) -> Column:
-    """Deterministic id of a row, the same on every replay."""
-    columns: Iterable[Column] = [F.col(p) if isinstance(p, str) else p for p in parts]
-    return F.md5(F.concat_ws("|", *[F.coalesce(c.cast("string"), F.lit("")) for c in columns]))
+def stable_id(*parts: str) -> Column:
+    """Deterministic id from columns or SQL expressions, the same on every replay."""
+    texts = ", ".join(f"coalesce(CAST({part} AS STRING), '')" for part in parts)
+    return F.expr(f"md5(concat_ws('|', {texts}))")
 
 
 def entropy_bits(histogram_total: str, n_log_n: str, population: str) -> str:

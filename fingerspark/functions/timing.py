@@ -40,6 +40,6 @@ def minute_bucket(ts: Column, minutes: int) -> Column:
     return cut - F.make_dt_interval(F.lit(0), F.lit(0), back, F.lit(0))
 
 
-def compact_time(ts: Column) -> Column:
-    """``yyyyMMddHHmmss`` text, used inside deterministic ids and versions."""
-    return F.date_format(ts, "yyyyMMddHHmmss")
+def compact_time(ts: str) -> str:
+    """SQL of ``ts`` as ``yyyyMMddHHmmss`` text, used inside deterministic ids and versions."""
+    return f"date_format({ts}, 'yyyyMMddHHmmss')"

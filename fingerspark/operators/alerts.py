@@ -17,7 +17,7 @@ def raise_alerts(results: DataFrame) -> DataFrame:
     """An open alert for every anomalous result of an alerting severity."""
     grave = F.col("is_anomalous") & F.col("severity").isin(*ALERTING_SEVERITIES)
     return conform(results.filter(grave).select(
-        stable_id(F.lit("alert"), "result_id").alias("alert_id"),
+        stable_id("'alert'", "result_id").alias("alert_id"),
         "result_id",
         "container_id",
         "severity",

@@ -35,7 +35,7 @@ def training_buffer(vectors: DataFrame, size: int = TRAINING_BUFFER_SIZE) -> Dat
     cutoff = reached.agg(F.coalesce(
         F.max(F.when(F.col("seen") >= size, F.col("window_end"))), F.min("window_end")).alias("end"))
     recent = usable.filter(F.col("window_end") >= cutoff.scalar())
-    kept = recent.orderBy(F.desc("window_end"), "vector_id").limit(size)
+    kept = recent.orderBy(F.desc("window_end"), "vector_id").limit(size).repartition("vector_id")
     return kept.withColumn("features", clean_vector(F.col("features")))
 
 

@@ -117,7 +117,7 @@ def window_features(events: DataFrame, seconds: int = WINDOW_SECONDS,
 
 
 def _with_vector(measured: DataFrame, keys: Sequence[str]) -> DataFrame:
-    identity = ["container_id", compact_time(F.col("window_start")), "window_duration_seconds", *keys]
+    identity = ["container_id", compact_time("window_start"), "window_duration_seconds", *keys]
     vector = ", ".join(f"CAST({name} AS DOUBLE)" for name in FEATURE_NAMES)
     return measured.withColumns({
         "vector_id": stable_id(*identity),
@@ -173,7 +173,7 @@ def fill_empty_windows(vectors: DataFrame, seconds: int = WINDOW_SECONDS) -> Dat
         "container_id", F.explode(F.sequence("first", "last", step)).alias("window_start"))
     empty = spine.join(
         vectors.select("container_id", "window_start"), ["container_id", "window_start"], "left_anti")
-    identity = ["container_id", compact_time(F.col("window_start")), F.lit(0)]
+    identity = ["container_id", compact_time("window_start"), "0"]
     zeros = empty.select(
         "container_id",
         "window_start",

@@ -50,19 +50,21 @@ def draw(*parts: Column | str) -> Column:
 
 
 def tree_samples(training: DataFrame, trees: int = TREE_COUNT, sample_size: int = SUBSAMPLE_SIZE,
-                 seed: int = FOREST_SEED) -> DataFrame:
+                 seed: int = FOREST_SEED, rows: int | None = None) -> DataFrame:
     """(tree_id, vector_id, features): a subsample without replacement for every tree.
 
     The training rows, at most the size of the training buffer, are put in one random
     order and cut into ``sample_size`` runs of equal length; a tree draws one row of
     every run. That is trees x sample_size index draws joined to the rows, instead of
     ranking all rows for each tree. With fewer rows than ``sample_size`` a tree takes all.
+    ``rows`` is the number of training rows where it is known already.
     """
     spark = training.sparkSession
     shuffled = Window.orderBy(F.md5(F.concat_ws("|", F.lit(str(seed)), "vector_id")), "vector_id")
     indexed = training.select("vector_id", "features").withColumn(
         "index", (F.row_number().over(shuffled) - 1).cast("bigint"))
-    n = training.agg(F.count("*").alias("n")).scalar()
+    counted = F.lit(rows) if rows is not None else training.agg(F.count("*").alias("n")).scalar()
+    n = counted.cast("bigint")
     runs = F.least(n, F.lit(sample_size).cast("bigint"))
     slots = (spark.range(trees).select(F.col("id").cast("int").alias("tree_id"), n.alias("n"), runs.alias("runs"))
              .filter("n > 0")
@@ -73,7 +75,9 @@ def tree_samples(training: DataFrame, trees: int = TREE_COUNT, sample_size: int
         "tree_id",
         (F.col("low") + draw(F.lit(str(seed)), "tree_id", "run") % (F.col("high") - F.col("low"))
          ).alias("index"))
-    return picks.join(indexed, "index").select("tree_id", "vector_id", "features")
+    samples = picks.join(indexed, "index").select("tree_id", "vector_id", "features")
+    # A given number of partitions, as the sizes say nothing of the work per tree.
+    return samples.repartition(min(trees, spark.sparkContext.defaultParallelism), "tree_id")
 
 
 def _grow(key: tuple, rows: pd.DataFrame, seed: int) -> pd.DataFrame:
@@ -142,15 +146,16 @@ def path_scores(x: np.ndarray, feature: np.ndarray, threshold: np.ndarray, lengt
 
     All rows of a batch walk down a tree together, one numpy step per level.
     """
-    rows = np.arange(len(x))
+    everyone = np.arange(len(x))
     path = np.zeros(len(x))
     for split_by, cut, depth_at in zip(feature, threshold, length):
-        node = np.ones(len(x), dtype="int64")
-        for _ in range(height_limit(sample_size)):
+        row, node = everyone, np.ones(len(x), dtype="int64")
+        while len(row):
             split = split_by[node]
-            child = 2 * node + (x[rows, split] >= cut[node])
-            node = np.where(split == LEAF, node, child)
-        path += depth_at[node]
+            ended = split == LEAF
+            path[row[ended]] += depth_at[node[ended]]
+            row, node, split = row[~ended], node[~ended], split[~ended]
+            node = 2 * node + (x[row, split] >= cut[node])
     expected = max(float(average_path(sample_size)), np.finfo(float).tiny)
     return np.exp2(-path / len(feature) / expected)
 
@@ -216,9 +221,11 @@ def train(training: DataFrame, version: str, trees: int = TREE_COUNT,
     samples = training.count()
     if samples < minimum:
         return None
-    nodes = durable(grow_forest(tree_samples(training, trees, sample_size, seed), seed))
+    nodes = durable(grow_forest(tree_samples(training, trees, sample_size, seed, samples), seed))
     forest = load_forest(nodes)
-    offset = contamination_offset(forest_scores(training, forest), contamination).first()["offset"]
+    # Scoring costs far more per byte than a scan, so the few rows are spread over all cores.
+    spread = training.repartition(training.sparkSession.sparkContext.defaultParallelism)
+    offset = contamination_offset(forest_scores(spread, forest), contamination).first()["offset"]
     return Model(version, forest, offset, samples), nodes
 
 

@@ -41,7 +41,7 @@ def assemble(decided: DataFrame, version: str, detected_at: str | datetime | Col
         F.col("anomaly_score"), F.col("is_anomalous"), F.col("contributing_features"),
         F.col("total_events"))
     result = decided.withColumns({
-        "result_id": stable_id("vector_id", F.lit(version)),
+        "result_id": stable_id("vector_id", f"'{version}'"),
         "model_version": F.lit(version),
         "detected_at": instant(detected_at),
         "description": described,

@@ -168,7 +168,7 @@ sizes AS (SELECT container_id, count(*) AS total FROM processed GROUP BY 1)
 SELECT container_id, kind, value, count(*) AS n, round(count(*) / any_value(total), 6) AS share
 FROM flat JOIN sizes USING (container_id) WHERE value IS NOT NULL GROUP BY 1, 2, 3""")
 def profile_baselines(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return rounded(profiles.baseline_behaviour(telemetry.processed_events(spark, sf_dir)), "share")
+    return rounded(profiles.baseline_behaviour(telemetry.stored_events(spark, sf_dir)), "share")
 
 
 @query(f"""WITH {RUNTIME}
@@ -176,7 +176,7 @@ SELECT container_id, string_agg(DISTINCT process_name, ',' ORDER BY process_name
        string_agg(DISTINCT destination_ip, ',' ORDER BY destination_ip) AS network_destinations
 FROM processed WHERE container_id = 'c2' GROUP BY 1""")
 def profile_baseline_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
-    behaviour = profiles.baseline_behaviour(telemetry.processed_events(spark, sf_dir))
+    behaviour = profiles.baseline_behaviour(telemetry.stored_events(spark, sf_dir))
     shown = profiles.behaviour_columns(behaviour.filter(F.col("container_id") == "c2"))
     return shown.select(
         "container_id",

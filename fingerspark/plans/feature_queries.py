@@ -17,7 +17,7 @@ from fingerspark.plans.check_sql import (
     feature_ctes,
 )
 from fingerspark.plans.registered import query
-from fingerspark.plans.telemetry import WINDOW, feature_vectors, processed_events
+from fingerspark.plans.telemetry import WINDOW, feature_vectors, processed_events, stored_events, stored_vectors
 
 IDENTITY = "vector_id, container_id, image_name, window_start, window_end, window_duration_seconds, total_events"
 
@@ -70,7 +70,7 @@ SELECT coalesce(vector_id, md5(concat_ws('|', container_id, strftime(ws, '%Y%m%d
        round(coalesce(network_event_ratio, 0), 6) AS network_element
 FROM spine LEFT JOIN vectors USING (container_id, ws)""")
 def window_spine_empty(spark: SparkSession, sf_dir: str) -> DataFrame:
-    filled = features.fill_empty_windows(feature_vectors(spark, sf_dir, _HOUR), _HOUR)
+    filled = features.fill_empty_windows(stored_vectors(spark, sf_dir, _HOUR), _HOUR)
     network = F.get("features", F.lit(FEATURE_NAMES.index("network_event_ratio")))
     return rounded(filled.select(
         "vector_id", "container_id", "window_start", "window_end", "window_duration_seconds",
@@ -87,7 +87,7 @@ placed AS (
 {feature_ctes(extra=', chunk')}
 SELECT {IDENTITY}, chunk, {ROUNDED_FEATURES} FROM vectors""")
 def window_features_capped(spark: SparkSession, sf_dir: str) -> DataFrame:
-    capped = features.capped_window_features(processed_events(spark, sf_dir), WINDOW, max_events=10)
+    capped = features.capped_window_features(stored_events(spark, sf_dir), WINDOW, max_events=10)
     return flat(capped, "chunk")
 
 
@@ -102,7 +102,7 @@ placed AS (
 {feature_ctes(extra=', secs', seconds='secs')}
 SELECT {IDENTITY}, {ROUNDED_FEATURES} FROM vectors""")
 def window_features_multi(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return flat(features.multi_resolution_features(processed_events(spark, sf_dir), _LENGTHS))
+    return flat(features.multi_resolution_features(stored_events(spark, sf_dir), _LENGTHS))
 
 
 @query(f"""WITH {RUNTIME},
@@ -160,7 +160,7 @@ def image_baseline(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(f"WITH {VECTORS}, {LONG} {_IMAGE}")
 def image_baseline_merged(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The same baseline, folded from two halves of the vectors."""
-    vectors = feature_vectors(spark, sf_dir)
+    vectors = stored_vectors(spark, sf_dir)
     early = F.hour("window_start") < 12
     halves = [baseline.image_moments(vectors.filter(c)) for c in (early, ~early)]
     return _long_baseline(baseline.baseline_of_moments(baseline.merge_moments(*halves)))
@@ -179,7 +179,7 @@ FROM long
 WINDOW w AS (PARTITION BY image_name, pos ORDER BY window_end, vector_id
              ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)""")
 def online_image_baseline(spark: SparkSession, sf_dir: str) -> DataFrame:
-    online = baseline.online_image_baseline(feature_vectors(spark, sf_dir))
+    online = baseline.online_image_baseline(stored_vectors(spark, sf_dir))
     rows = baseline.baseline_rows(online).select(
         "vector_id", F.col("pos").cast("bigint").alias("pos"), "n",
         *[(F.col(c) + F.lit(_OFF_TIES)).alias(c) for c in ("mean", "std")])
@@ -195,7 +195,7 @@ old AS (SELECT pos, avg(value) AS m, greatest(stddev_pop(value), 1e-8) AS s
 new AS (SELECT pos, avg(value) AS m FROM long WHERE window_end > TIMESTAMP '{_MIDDLE}' GROUP BY pos)
 SELECT round(avg(abs(new.m - old.m) / old.s), 6) AS drift_score FROM new JOIN old USING (pos)""")
 def drift_score(spark: SparkSession, sf_dir: str) -> DataFrame:
-    vectors = feature_vectors(spark, sf_dir)
+    vectors = stored_vectors(spark, sf_dir)
     early = F.col("window_end") <= F.lit(_MIDDLE).cast("timestamp_ntz")
     drift = baseline.drift_score(
         baseline.global_baseline(vectors.filter(~early)), baseline.global_baseline(vectors.filter(early)))
@@ -218,7 +218,7 @@ deviations AS (
   FROM long l JOIN overall o USING (pos) LEFT JOIN images i ON i.image_name = l.image_name AND i.pos = l.pos),
 {_TOP}""")
 def contributing_features(spark: SparkSession, sf_dir: str) -> DataFrame:
-    vectors = feature_vectors(spark, sf_dir)
+    vectors = stored_vectors(spark, sf_dir)
     explained = baseline.contributing_features(
         vectors, baseline.image_baseline(vectors), baseline.global_baseline(vectors))
     return explained.select("vector_id", F.concat_ws(",", "contributing_features").alias("contributing_features"))
@@ -236,4 +236,4 @@ def contributing_features_raw(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(f"""WITH {VECTORS}
 SELECT vector_id, window_end FROM vectors ORDER BY window_end DESC, vector_id LIMIT 200""")
 def training_buffer(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return baseline.training_buffer(feature_vectors(spark, sf_dir), size=200).select("vector_id", "window_end")
+    return baseline.training_buffer(stored_vectors(spark, sf_dir), size=200).select("vector_id", "window_end")

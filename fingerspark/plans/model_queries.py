@@ -16,7 +16,7 @@ from fingerspark.operators import baseline, evaluation, forest, registry, result
 from fingerspark.plans.check_sql import LONG, RESULTS, VECTORS, severity as sql_severity
 from fingerspark.plans.feature_queries import rounded
 from fingerspark.plans.registered import query
-from fingerspark.plans.telemetry import AS_OF, anomaly_results, feature_vectors, read
+from fingerspark.plans.telemetry import AS_OF, anomaly_results, feature_vectors, read, stored_vectors
 from fingerspark.sources.schemas import FOREST_NODE
 from fingerspark.sources.tables import durable
 
@@ -25,11 +25,6 @@ from fingerspark.sources.tables import durable
 TREES, SAMPLE, MINIMUM = 50, 64, 20
 
 
-def _vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The vectors as a stored table; training and scoring read it several times."""
-    return durable(feature_vectors(spark, sf_dir))
-
-
 def _training(vectors: DataFrame) -> DataFrame:
     return durable(baseline.training_buffer(vectors))
 
@@ -44,12 +39,12 @@ picks AS (SELECT tree_id, run * n // runs + CAST(concat('0x', substr(md5(concat_
                  % ((run + 1) * n // runs - run * n // runs) AS i FROM slots)
 SELECT CAST(tree_id AS INT) AS tree_id, vector_id FROM picks JOIN indexed USING (i)""")
 def tree_samples(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return forest.tree_samples(_training(_vectors(spark, sf_dir)), TREES, SAMPLE).select("tree_id", "vector_id")
+    return forest.tree_samples(_training(stored_vectors(spark, sf_dir)), TREES, SAMPLE).select("tree_id", "vector_id")
 
 
 @query()
 def forest_nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return forest.grow_forest(forest.tree_samples(_training(_vectors(spark, sf_dir)), TREES, SAMPLE))
+    return forest.grow_forest(forest.tree_samples(_training(stored_vectors(spark, sf_dir)), TREES, SAMPLE))
 
 
 def _model(vectors: DataFrame) -> forest.Model:
@@ -62,7 +57,7 @@ def _model(vectors: DataFrame) -> forest.Model:
 @query()
 def forest_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Train on the newest vectors, then score all of them."""
-    vectors = _vectors(spark, sf_dir)
+    vectors = stored_vectors(spark, sf_dir)
     scored = results.decide(forest.raw_decision(vectors, _model(vectors)))
     return scored.select("vector_id", "forest_score", "anomaly_score", "is_anomalous", "severity")
 
@@ -162,7 +157,7 @@ def no_model_results(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query()
 def scored_results(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Events to explained anomaly results under a model trained on the same table."""
-    vectors = _vectors(spark, sf_dir)
+    vectors = stored_vectors(spark, sf_dir)
     scored = results.score_vectors(
         vectors, _model(vectors), AS_OF, baseline.image_baseline(vectors), baseline.global_baseline(vectors))
     return results.stored_form(scored)

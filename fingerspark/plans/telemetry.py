@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from datetime import datetime
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from fingerspark.functions.fixed import FEATURE_NAMES
@@ -16,6 +16,7 @@ from fingerspark.functions.scoring import is_anomalous, severity
 from fingerspark.operators.features import window_features
 from fingerspark.operators.ingest import process
 from fingerspark.sources.schemas import ANOMALY_RESULT, RUNTIME_EVENT, conform
+from fingerspark.sources.tables import durable
 
 AS_OF_TIME = datetime(2024, 1, 31)
 AS_OF = AS_OF_TIME.isoformat(sep=" ")
@@ -33,9 +34,9 @@ def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 
-def _pick(values: tuple, index: str) -> Column:
+def _pick(values: tuple, index: str) -> str:
     listed = ", ".join(repr(v) for v in values)
-    return F.expr(f"element_at(array({listed}), CAST(({index}) % {len(values)} + 1 AS INT))")
+    return f"element_at(array({listed}), CAST(({index}) % {len(values)} + 1 AS INT))"
 
 
 def project_runtime(activity: DataFrame) -> DataFrame:
@@ -43,35 +44,32 @@ def project_runtime(activity: DataFrame) -> DataFrame:
 
     ``k`` (0 to 99) and ``seq`` (the source's event number) are kept next to the schema.
     """
-    k = F.regexp_extract("props", "([0-9]+)", 1).cast("int")
-    based = activity.select(F.col("event_id").alias("seq"), "ts", "user_id", "event_type", k.alias("k"))
-    k, seq, user = F.col("k"), F.col("seq"), F.col("user_id")
-    failed, bought = F.col("event_type") == "error", F.col("event_type") == "purchase"
+    based = activity.selectExpr(
+        "event_id AS seq", "ts", "user_id", "CAST(regexp_extract(props, '([0-9]+)', 1) AS INT) AS k",
+        "event_type = 'error' AS failed", "event_type = 'purchase' AS bought")
     normal = _pick(NORMAL_SYSCALLS, "seq + k")
-    return based.select(
+    return based.selectExpr(
         "seq", "k",
-        F.concat(F.lit("evt-"), seq.cast("string")).alias("event_id"),
-        F.col("ts").alias("timestamp"),
-        F.when(k == 0, F.lit(" ")).otherwise(
-            F.concat(F.lit("c"), (user % 5).cast("string"))).alias("container_id"),
-        (user + 1000).alias("pid"),
-        F.lit(1).cast("bigint").alias("ppid"),
-        F.when(k == 1, F.lit(None).cast("string"))
-         .when(failed, _pick(SUSPICIOUS_SYSCALLS, "seq + k"))
-         .when(bought, F.lit("connect"))
-         .when(k % 10 == 3, F.upper(normal))
-         .otherwise(normal).alias("syscall"),
-        F.when(failed, _pick(SUSPICIOUS_PROCESSES, "seq + k")).otherwise(
-            _pick(NORMAL_PROCESSES, "user_id")).alias("process_name"),
-        k.cast("bigint").alias("return_value"),
-        F.when(bought, F.concat_ws(".", F.lit("10.0"), (user % 4).cast("string"), k.cast("string"))
-               ).alias("destination_ip"),
-        F.when(bought, _pick(PORTS, "k")).alias("port"),
-        F.when(bought, F.lit("TCP")).alias("protocol"),
-        F.when(failed & (k % 2 == 0), F.lit(0)).otherwise(user + 1000).cast("bigint").alias("uid"),
-        F.concat(F.lit("node-"), (user % 3).cast("string")).alias("hostname"),
-        F.concat(F.lit("img"), (user % 5).cast("string")).alias("image_name"),
-        F.concat(F.lit("ns"), (user % 2).cast("string")).alias("namespace"),
+        "concat('evt-', seq) AS event_id",
+        "ts AS timestamp",
+        "CASE WHEN k = 0 THEN ' ' ELSE concat('c', user_id % 5) END AS container_id",
+        "user_id + 1000 AS pid",
+        "1L AS ppid",
+        f"""CASE WHEN k = 1 THEN NULL
+                 WHEN failed THEN {_pick(SUSPICIOUS_SYSCALLS, 'seq + k')}
+                 WHEN bought THEN 'connect'
+                 WHEN k % 10 = 3 THEN upper({normal})
+                 ELSE {normal} END AS syscall""",
+        f"""CASE WHEN failed THEN {_pick(SUSPICIOUS_PROCESSES, 'seq + k')}
+                 ELSE {_pick(NORMAL_PROCESSES, 'user_id')} END AS process_name""",
+        "CAST(k AS BIGINT) AS return_value",
+        "CASE WHEN bought THEN concat('10.0.', user_id % 4, '.', k) END AS destination_ip",
+        f"CASE WHEN bought THEN {_pick(PORTS, 'k')} END AS port",
+        "CASE WHEN bought THEN 'TCP' END AS protocol",
+        "CASE WHEN failed AND k % 2 = 0 THEN 0L ELSE user_id + 1000 END AS uid",
+        "concat('node-', user_id % 3) AS hostname",
+        "concat('img', user_id % 5) AS image_name",
+        "concat('ns', user_id % 2) AS namespace",
     )
 
 
@@ -96,6 +94,16 @@ def feature_vectors(spark: SparkSession, sf_dir: str, seconds: int = WINDOW) ->
     return window_features(processed_events(spark, sf_dir), seconds)
 
 
+def stored_events(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The processed events as a stored table, for work that reads them several times."""
+    return durable(processed_events(spark, sf_dir))
+
+
+def stored_vectors(spark: SparkSession, sf_dir: str, seconds: int = WINDOW) -> DataFrame:
+    """The feature vectors as a stored table, for work that reads them several times."""
+    return durable(feature_vectors(spark, sf_dir, seconds))
+
+
 def anomaly_results(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Results with score k/100, which visits every tier and its edges."""
     based = read(spark, sf_dir, "events").selectExpr(
@@ -111,7 +119,7 @@ def anomaly_results(spark: SparkSession, sf_dir: str) -> DataFrame:
         is_anomalous(score).alias("is_anomalous"),
         severity(score).alias("severity"),
         F.lit("20240101000000").alias("model_version"),
-        F.array(_pick(FEATURE_NAMES, "k"), _pick(FEATURE_NAMES, "k + 5")).alias("contributing_features"),
+        F.expr(f"array({_pick(FEATURE_NAMES, 'k')}, {_pick(FEATURE_NAMES, 'k + 5')}) AS contributing_features"),
     )
     return conform(scored, ANOMALY_RESULT)
 
