@@ -47,7 +47,11 @@ def processed_stream(events: DataFrame, seconds: int = WINDOW_SECONDS,
     now = F.current_timestamp()
     events = enrich(with_defaults(valid_events(events), now), now)
     timed = events.withWatermark("timestamp", f"{lateness_seconds} seconds")
-    placed = timed.withColumn("window", F.window("timestamp", f"{seconds} seconds"))
+    # From here on the window carries the watermark; a stream may have one such column.
+    plain = F.col("timestamp").alias("timestamp", metadata={"comment": "event time"})
+    others = [c for c in timed.columns if c != "timestamp"]
+    placed = timed.withColumn("window", F.window("timestamp", f"{seconds} seconds")).select(
+        plain, *others, "window")
     return placed.dropDuplicates(["event_id", "window"]) if dedup else placed
 
 
