@@ -13,7 +13,7 @@ from fingerspark.operators.paging import by_id, page_rows
 from fingerspark.operators.results import stored_form
 from fingerspark.plans import telemetry
 from fingerspark.plans.check_sql import ALERTS, NOW, PROFILES, RESULTS, RUNTIME, risk
-from fingerspark.plans.feature_queries import rounded
+from fingerspark.plans.feature_queries import off_ties, rounded
 from fingerspark.plans.registered import query
 from fingerspark.plans.telemetry import AS_OF, anomaly_results, read
 
@@ -65,13 +65,14 @@ def anomaly_by_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(f"""WITH {RESULTS}
 SELECT count(*) FILTER (is_anomalous) AS total_anomalies, count(*) AS total_scored,
-       round(coalesce(avg(anomaly_score), 0), 6) AS avg_anomaly_score,
+       round(coalesce(avg(anomaly_score), 0) + 1e-9, 6) AS avg_anomaly_score,
        count(*) FILTER (severity = 'CRITICAL') AS critical_count, count(*) FILTER (severity = 'HIGH') AS high_count,
        count(DISTINCT CASE WHEN is_anomalous THEN container_id END) AS affected_containers,
        TIMESTAMP '{_MONTH}' AS since, {NOW} AS generated_at
 FROM results WHERE detected_at > TIMESTAMP '{_MONTH}'""")
 def anomaly_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return rounded(analytics.stats(anomaly_results(spark, sf_dir), _MONTH, AS_OF), "avg_anomaly_score")
+    return rounded(off_ties(analytics.stats(
+        anomaly_results(spark, sf_dir), _MONTH, AS_OF), "avg_anomaly_score"), "avg_anomaly_score")
 
 
 def _bucket(minutes: int) -> str:
@@ -81,25 +82,29 @@ def _bucket(minutes: int) -> str:
 def _trend_sql(minutes: int, low: str) -> str:
     return f"""WITH {RESULTS}
 SELECT {_bucket(minutes)} AS bucket, count(*) AS total, count(*) FILTER (is_anomalous) AS anomalies,
-       round(avg(anomaly_score), 6) AS avg_score
+       round(avg(anomaly_score) + 1e-9, 6) AS avg_score
 FROM results WHERE detected_at BETWEEN {low} AND {NOW} GROUP BY 1"""
 
 
+def shown_averages(df: DataFrame) -> DataFrame:
+    return rounded(off_ties(df, "avg_score"), "avg_score")
+
+
 @query(_trend_sql(15, f"{NOW} - INTERVAL 24 HOUR"))
 def anomaly_trend(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return rounded(analytics.anomaly_trend(anomaly_results(spark, sf_dir), AS_OF), "avg_score")
+    return shown_averages(analytics.anomaly_trend(anomaly_results(spark, sf_dir), AS_OF))
 
 
 @query(_trend_sql(7, f"TIMESTAMP '{_MONTH}'"))
 def anomaly_trend_odd_bucket(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return rounded(analytics.anomaly_trend(
-        anomaly_results(spark, sf_dir), AS_OF, bucket_minutes=7, start=_MONTH), "avg_score")
+    return shown_averages(analytics.anomaly_trend(
+        anomaly_results(spark, sf_dir), AS_OF, bucket_minutes=7, start=_MONTH))
 
 
 @query(_trend_sql(1440, f"TIMESTAMP '{_MONTH}'"))
 def anomaly_trend_clamped(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return rounded(analytics.anomaly_trend(
-        anomaly_results(spark, sf_dir), AS_OF, bucket_minutes=9999, start=_MONTH), "avg_score")
+    return shown_averages(analytics.anomaly_trend(
+        anomaly_results(spark, sf_dir), AS_OF, bucket_minutes=9999, start=_MONTH))
 
 
 @query(f"""WITH {RESULTS}
@@ -110,24 +115,25 @@ def severity_over_time(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(f"""WITH {RESULTS}
-SELECT container_id, count(*) AS anomaly_count, max(anomaly_score) AS max_score, round(avg(anomaly_score), 6) AS avg_score,
+SELECT container_id, count(*) AS anomaly_count, max(anomaly_score) AS max_score, round(avg(anomaly_score) + 1e-9, 6) AS avg_score,
        CASE max(CASE severity WHEN 'CRITICAL' THEN 4 WHEN 'HIGH' THEN 3 WHEN 'MEDIUM' THEN 2 ELSE 1 END)
             WHEN 4 THEN 'CRITICAL' WHEN 3 THEN 'HIGH' WHEN 2 THEN 'MEDIUM' ELSE 'LOW' END AS worst_severity,
        max(severity) AS max_severity_lex
 FROM results WHERE is_anomalous AND detected_at > {NOW} - INTERVAL 240 HOUR
 GROUP BY container_id ORDER BY anomaly_count DESC, max_score DESC, container_id LIMIT 10""")
 def top_risky_containers(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return rounded(analytics.top_risky_containers(
-        anomaly_results(spark, sf_dir), AS_OF, hours=240, limit=10), "avg_score")
+    return shown_averages(analytics.top_risky_containers(
+        anomaly_results(spark, sf_dir), AS_OF, hours=240, limit=10))
 
 
 PROFILE = "container_id, first_seen, last_seen, total_events, total_anomalies, anomaly_rate, avg_anomaly_score, max_anomaly_score, risk_level"
 SQL_PROFILE = PROFILE.replace("anomaly_rate", "round(anomaly_rate, 6) AS anomaly_rate").replace(
-    "avg_anomaly_score", "round(avg_anomaly_score, 6) AS avg_anomaly_score")
+    "avg_anomaly_score", "round(avg_anomaly_score + 1e-9, 6) AS avg_anomaly_score")
 
 
 def shown_profiles(df: DataFrame) -> DataFrame:
-    return rounded(df.select(*PROFILE.split(", ")), "anomaly_rate", "avg_anomaly_score")
+    shown = off_ties(df.select(*PROFILE.split(", ")), "avg_anomaly_score")
+    return rounded(shown, "anomaly_rate", "avg_anomaly_score")
 
 
 @query(f"WITH {RESULTS}, {PROFILES} SELECT {SQL_PROFILE} FROM profiles")
@@ -155,9 +161,8 @@ FROM results
 WINDOW w AS (PARTITION BY container_id ORDER BY detected_at, result_id ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)""")
 def profile_running_score(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = profiles.score_trajectory(anomaly_results(spark, sf_dir))
-    # Off exact ties of the last digit, as for the running baselines.
-    shifted = path.withColumn("running_avg", F.col("running_avg") + F.lit(1e-9))
-    return rounded(shifted.select("result_id", "container_id", "seen", "running_avg"), "running_avg")
+    shown = path.select("result_id", "container_id", "seen", "running_avg")
+    return rounded(off_ties(shown, "running_avg"), "running_avg")
 
 
 @query(f"""WITH {RUNTIME},

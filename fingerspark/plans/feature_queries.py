@@ -26,6 +26,15 @@ def rounded(df: DataFrame, *columns: str, digits: int = 6) -> DataFrame:
     return df.withColumns({c: F.round(c, digits) for c in columns})
 
 
+# Means of few ratios often end exactly on half a unit of the last digit shown. A shift far
+# below that digit makes both engines round such values the same way.
+_OFF_TIES = 1e-9
+
+
+def off_ties(df: DataFrame, *columns: str) -> DataFrame:
+    return df.withColumns({c: F.col(c) + F.lit(_OFF_TIES) for c in columns})
+
+
 _DOUBLES = [n for n in FEATURE_NAMES if not n.startswith("unique_")]
 
 
@@ -166,11 +175,6 @@ def image_baseline_merged(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _long_baseline(baseline.baseline_of_moments(baseline.merge_moments(*halves)))
 
 
-# Means of few ratios often end exactly on half a unit of the last digit shown. A shift far
-# below that digit makes both engines round such values the same way.
-_OFF_TIES = 1e-9
-
-
 @query(f"""WITH {VECTORS}, {LONG}
 SELECT vector_id, pos, count(*) OVER w AS n, round(avg(value) OVER w + {_OFF_TIES}, 6) AS mean,
        CASE WHEN count(*) OVER w > 1
@@ -181,9 +185,8 @@ WINDOW w AS (PARTITION BY image_name, pos ORDER BY window_end, vector_id
 def online_image_baseline(spark: SparkSession, sf_dir: str) -> DataFrame:
     online = baseline.online_image_baseline(stored_vectors(spark, sf_dir))
     rows = baseline.baseline_rows(online).select(
-        "vector_id", F.col("pos").cast("bigint").alias("pos"), "n",
-        *[(F.col(c) + F.lit(_OFF_TIES)).alias(c) for c in ("mean", "std")])
-    return rounded(rows, "mean", "std")
+        "vector_id", F.col("pos").cast("bigint").alias("pos"), "n", "mean", "std")
+    return rounded(off_ties(rows, "mean", "std"), "mean", "std")
 
 
 _MIDDLE = "2024-01-16 00:00:00"
