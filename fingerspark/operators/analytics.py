@@ -85,10 +85,14 @@ def top_risky_containers(results: DataFrame, as_of: Time, hours: int = 24, limit
     a plain MAX over the text gives.
     """
     recent = results.filter("is_anomalous").filter(F.col("detected_at") > before(as_of, hours=hours))
-    return recent.groupBy("container_id").agg(
-        F.count("*").alias("anomaly_count"),
-        F.max("anomaly_score").alias("max_score"),
-        F.avg("anomaly_score").alias("avg_score"),
+    # Text maxima cannot be hash aggregated; counted per severity first, they only see the
+    # few severities of a container.
+    per_severity = recent.groupBy("container_id", "severity").agg(
+        F.count("*").alias("n"), F.max("anomaly_score").alias("top"), F.sum("anomaly_score").alias("total"))
+    return per_severity.groupBy("container_id").agg(
+        F.sum("n").alias("anomaly_count"),
+        F.max("top").alias("max_score"),
+        (F.sum("total") / F.sum("n")).alias("avg_score"),
         severity_of_rank(F.max(severity_rank(F.col("severity")))).alias("worst_severity"),
         F.max("severity").alias("max_severity_lex"),
     ).orderBy(F.desc("anomaly_count"), F.desc("max_score"), "container_id").limit(

@@ -201,3 +201,13 @@ def frequency_rows(vectors: DataFrame) -> DataFrame:
     return vectors.select(
         "vector_id", "container_id", "window_start",
         F.explode("syscall_frequencies").alias("syscall", "n"))
+
+
+def stored_form(vectors: DataFrame) -> DataFrame:
+    """Vectors as the flat table keeps them: scalars at six decimals, nested columns as JSON."""
+    doubles = [n for n in FEATURE_NAMES if vectors.schema[n].dataType.typeName() == "double"]
+    return vectors.withColumns({
+        **{n: F.round(n, 6) for n in doubles},
+        "features_json": F.to_json("features"),
+        "syscall_frequencies_json": F.to_json("syscall_frequencies"),
+    }).drop("features", "feature_names", "syscall_frequencies")

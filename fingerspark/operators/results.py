@@ -4,10 +4,10 @@ from __future__ import annotations
 
 from datetime import datetime
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 
-from fingerspark.functions.fixed import NO_MODEL_VERSION
+from fingerspark.functions.fixed import NO_MODEL_VERSION, SEVERITY_TIERS
 from fingerspark.functions.scoring import (
     anomaly_description,
     csv_of,
@@ -81,6 +81,14 @@ def stored_form(results: DataFrame) -> DataFrame:
     })
 
 
+def observe_scoring(results: DataFrame, observation: Observation) -> DataFrame:
+    """Count results while they are written, without a pass of their own."""
+    tiers = [F.count_if(F.col("is_anomalous") & (F.col("severity") == s)).alias(f"anomalies_{s.lower()}")
+             for s, _ in SEVERITY_TIERS]
+    return results.observe(
+        observation, F.count("*").alias("vectors_scored"), F.count_if("is_anomalous").alias("anomalies"), *tiers)
+
+
 def scoring_metrics(results: DataFrame) -> DataFrame:
     """Vectors scored and anomalies found, per severity."""
     return results.groupBy("severity").agg(

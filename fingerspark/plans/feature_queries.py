@@ -61,6 +61,16 @@ def syscall_frequency_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     return features.frequency_rows(feature_vectors(spark, sf_dir)).select("vector_id", "syscall", "n")
 
 
+@query(f"""WITH {VECTORS},
+texts AS (SELECT container_id, ws, concat('{{', string_agg(concat('"', syscall, '":', n), ',' ORDER BY syscall), '}}') AS t
+          FROM syscall_shares WHERE syscall IS NOT NULL GROUP BY 1, 2)
+SELECT {IDENTITY}, {ROUNDED_FEATURES}, t AS syscall_frequencies_json FROM vectors JOIN texts USING (container_id, ws)""")
+def feature_vector_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Vectors in the flat form they are stored in."""
+    return features.stored_form(feature_vectors(spark, sf_dir)).select(
+        *IDENTITY.split(", "), *FEATURE_NAMES, "syscall_frequencies_json")
+
+
 _HOUR = 3600
 
 

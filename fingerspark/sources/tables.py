@@ -40,11 +40,13 @@ def durable(df: DataFrame) -> DataFrame:
     """Write ``df`` to a table in the shared folder and read it back.
 
     The rows are computed once, survive the loss of executors, and later plans start
-    from files whose size Spark knows.
+    from files whose size Spark knows. Tables of one application lie in one folder named
+    after it, to be removed when it is over.
     """
-    path = f"{shared_folder(df.sparkSession)}/table-{uuid4().hex}"
+    spark = df.sparkSession
+    path = f"{shared_folder(spark)}/{spark.sparkContext.applicationId}/table-{uuid4().hex}"
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
 
 
 def append_rows(df: DataFrame, path: str, date_of: str | None = None) -> None:

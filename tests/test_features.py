@@ -1,3 +1,4 @@
+import json
 from datetime import datetime, timedelta
 
 import pytest
@@ -155,3 +156,10 @@ def test_features_need_no_wide_shuffle(spark):
 def test_time_zone_less_input_keeps_its_flavour(spark):
     events = processed(spark, repeat(2, syscall="read")).withColumn("timestamp", F.col("timestamp").cast("timestamp_ntz"))
     assert only(features.window_features(events)).window_start == datetime(2026, 3, 20, 12)
+
+
+def test_stored_form(spark):
+    vectors = features.window_features(processed(spark, [{"syscall": s} for s in ("read", "read", "open")]))
+    row = features.stored_form(vectors).first()
+    assert row.syscall_read_freq == 0.666667 and row.syscall_frequencies_json == '{"open":1,"read":2}'
+    assert json.loads(row.features_json)[0] == pytest.approx(2 / 3) and len(json.loads(row.features_json)) == 18

@@ -2,6 +2,7 @@ from datetime import datetime
 
 import numpy as np
 import pytest
+from pyspark.sql import Observation
 from pyspark.sql import functions as F
 
 from fingerspark.operators import baseline, evaluation, forest, registry, results
@@ -130,6 +131,18 @@ def test_results(spark, trained):
     assert none.contributing_features == []
 
 
+def test_metrics_are_counted_on_the_way(spark, trained, tmp_path):
+    data, model, _ = trained
+    scored = results.score_vectors(data, model, "2026-01-02 00:00:00")
+    seen = Observation("scoring")
+    results.observe_scoring(scored, seen).write.parquet(str(tmp_path / "out"))
+    stored = spark.read.parquet(str(tmp_path / "out"))
+    assert seen.get["vectors_scored"] == 400
+    assert seen.get["anomalies"] == stored.filter("is_anomalous").count() > 0
+    tiers = results.scoring_metrics(stored).agg(F.sum("scored"), F.sum("anomalies")).first()
+    assert tuple(tiers) == (400, seen.get["anomalies"])
+
+
 def test_retrain_stores_versions(spark, tmp_path):
     root = str(tmp_path)
     assert current_model(spark, root) is None
