@@ -11,6 +11,9 @@ SETTINGS = {
     # The JVM compiles methods up to 8,000 bytes only; past that Spark's split code is
     # faster than one long interpreted method.
     "spark.sql.codegen.hugeMethodLimit": "8000",
+    # Ids of open windows are kept on disk rather than on the heap.
+    "spark.sql.streaming.stateStore.providerClass":
+        "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
 }
 
 

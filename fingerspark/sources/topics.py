@@ -7,6 +7,7 @@ from pyspark.sql import types as T
 from pyspark.sql.streaming import DataStreamWriter
 
 from fingerspark.functions.fixed import DEAD_LETTER_SUFFIX
+from fingerspark.sources.schemas import RUNTIME_EVENT
 from fingerspark.sources.wire import to_messages
 
 # Records taken per poll by each stage of the telemetry flow.
@@ -52,6 +53,15 @@ def write_topic(records: DataFrame, servers: str, topic: str, checkpoint: str) -
             .option("checkpointLocation", checkpoint))
 
 
+def read_event_files(spark: SparkSession, path: str, whole_documents: bool = False) -> DataFrame:
+    """Runtime events of JSON files: one event a line, or each file one JSON array.
+
+    A file that is one document is read by one task; keep such files small.
+    """
+    reader = spark.read.schema(RUNTIME_EVENT).option("multiLine", whole_documents)
+    return reader.json(path)
+
+
 def read_file_stream(spark: SparkSession, directory: str, schema: T.StructType, fmt: str = "parquet",
                      glob: str | None = None, max_files: int | None = None) -> DataFrame:
     """Files of a directory as a stream; ``glob`` picks file names."""

@@ -118,6 +118,16 @@ def test_shared_folder_is_the_named_one(spark):
     assert tables.shared_folder(spark) == spark.conf.get("spark.checkpoint.dir")
 
 
+def test_event_files(spark, tmp_path):
+    rows = [{"event_id": str(i), "timestamp": "2026-03-20T12:00:01.000Z", "syscall": "read", "more": i} for i in range(3)]
+    (tmp_path / "array.json").write_text(json.dumps(rows, indent=2))
+    (tmp_path / "lines.json").write_text("\n".join(map(json.dumps, rows)))
+    array = topics.read_event_files(spark, str(tmp_path / "array.json"), whole_documents=True)
+    lines = topics.read_event_files(spark, str(tmp_path / "lines.json"))
+    assert array.count() == 3 and array.orderBy("event_id").collect() == lines.orderBy("event_id").collect()
+    assert array.first().timestamp == datetime(2026, 3, 20, 12, 0, 1)
+
+
 def test_topic_options():
     read = topics.kafka_read_options("host:1", "runtime-events", topics.POLL_RECORDS["runtime-events"])
     assert read["startingOffsets"] == "earliest" and read["maxOffsetsPerTrigger"] == "500"
