@@ -205,7 +205,7 @@ def model_info(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(f"""WITH {RESULTS}
 SELECT severity, count(*) AS scored, count(*) FILTER (is_anomalous) AS anomalies FROM results GROUP BY severity""")
-def pipeline_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
+def scoring_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
     return results.scoring_metrics(anomaly_results(spark, sf_dir))
 
 
