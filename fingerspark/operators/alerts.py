@@ -46,7 +46,7 @@ def alert_page(alerts: DataFrame, page: int = 0, size: int = 20, severity: str |
                acknowledged: bool | None = None) -> DataFrame:
     """A page of alerts, newest first."""
     found = find_alerts(alerts, severity, acknowledged)
-    return page_rows(found, [F.desc("created_at"), F.col("alert_id")], page, size)
+    return page_rows(found, "created_at", "alert_id", page, size)
 
 
 def alert_envelope(alerts: DataFrame, page: int = 0, size: int = 20, severity: str | None = None,

@@ -34,7 +34,7 @@ def find_anomalies(results: DataFrame, as_of: Time, severity: str | None = None,
 def anomaly_page(results: DataFrame, as_of: Time, page: int = 0, size: int = 20, **filters) -> DataFrame:
     """A page of results, newest first."""
     found = find_anomalies(results, as_of, **filters)
-    return page_rows(found, [F.desc("detected_at"), F.col("result_id")], page, size)
+    return page_rows(found, "detected_at", "result_id", page, size)
 
 
 def anomaly_envelope(results: DataFrame, as_of: Time, page: int = 0, size: int = 20, **filters) -> DataFrame:

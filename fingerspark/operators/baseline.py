@@ -16,27 +16,42 @@ from fingerspark.functions.fixed import (
     VARIANCE_FLOOR,
 )
 from fingerspark.functions.scoring import clean_vector, has_vector_length
-from fingerspark.operators.ordered import running_totals
+from fingerspark.operators.ordered import ordinal, running_totals
 
 _DIMENSIONS = range(FEATURE_COUNT)
 
 
-def training_buffer(vectors: DataFrame, size: int = TRAINING_BUFFER_SIZE) -> DataFrame:
+# A cutoff that leaves more than this many times the buffer is ordered without a top-k, as
+# that would send a buffer's worth of rows from every task to one.
+MAX_TIES = 10
+
+
+def training_buffer(vectors: DataFrame, size: int = TRAINING_BUFFER_SIZE,
+                    max_ties: int = MAX_TIES) -> DataFrame:
     """The newest ``size`` vectors of full length, cleaned of NaN and infinities.
 
     Counting vectors per window end finds the end from which ``size`` rows are reached;
-    everything older is filtered at the scan, and only what is left is ordered.
+    everything older is filtered at the scan, and only what is left is ordered. Rows of
+    one window end go by ``vector_id``.
     """
     usable = vectors.filter(has_vector_length(F.col("features")))
+    flavour = vectors.schema["window_end"].dataType
     ends = usable.groupBy("window_end").count().orderBy(F.desc("window_end")).limit(size)
-    newest_first = Window.orderBy(F.desc("window_end"))
-    reached = ends.withColumn("seen", F.sum("count").over(newest_first))
-    # The first end at which enough rows are seen; the oldest end when there are fewer.
-    cutoff = reached.agg(F.coalesce(
-        F.max(F.when(F.col("seen") >= size, F.col("window_end"))), F.min("window_end")).alias("end"))
-    recent = usable.filter(F.col("window_end") >= cutoff.scalar())
-    kept = recent.orderBy(F.desc("window_end"), "vector_id").limit(size).repartition("vector_id")
-    return kept.withColumn("features", clean_vector(F.col("features")))
+    reached = ends.withColumn("seen", F.sum("count").over(Window.orderBy(F.desc("window_end"))))
+    cutoff = reached.filter(F.col("seen") >= size).agg(
+        F.max("window_end").cast("string").alias("end"), F.min("seen").alias("seen")).first()
+    if cutoff["end"] is None:
+        kept = usable
+    else:
+        recent = usable.filter(F.col("window_end") >= F.lit(cutoff["end"]).cast(flavour))
+        order = [F.desc("window_end"), F.col("vector_id")]
+        if cutoff["seen"] <= max_ties * size:
+            kept = recent.orderBy(*order).limit(size)
+        else:
+            kept = ordinal(recent, [], order, "_nth").filter(F.col("_nth") <= size).drop("_nth")
+    # One task holds the result of a limit; what follows costs far more than a scan.
+    spread = kept.repartition("vector_id")
+    return spread.withColumn("features", clean_vector(F.col("features")))
 
 
 def _per_dimension(function) -> Column:

@@ -2,36 +2,50 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
-
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from fingerspark.functions.fixed import MAX_PAGE_SIZE
 from fingerspark.operators.ordered import ordinal
 
-# Pages that end within this many rows come from a top-k, whose rows pass one task.
-SHALLOW_ROWS = 100_000
+# Pages that end within this many rows come from a top-k: every task sends that many to one.
+SHALLOW_ROWS = 2_000
 
 
 def page_size(size: int) -> int:
     return min(size, MAX_PAGE_SIZE)
 
 
-def page_rows(df: DataFrame, order: Sequence[Column | str], page: int, size: int,
+def page_rows(df: DataFrame, newest: str, key: str, page: int, size: int,
               shallow_rows: int = SHALLOW_ROWS) -> DataFrame:
-    """Page ``page`` (from 0) of ``df``. End ``order`` with a unique column.
+    """Page ``page`` (from 0) of ``df``, newest ``newest`` first, then by the unique ``key``.
 
-    Near pages are a top-k: every task keeps its best rows only. For pages far down,
-    where top-k would draw everything ahead of the page into one task, the rows are
-    numbered in a range partitioned pass and the page is filtered out.
+    Near pages are a top-k: every task keeps its best rows only. For pages further down,
+    rows are counted per hour first. That tells which hours the page lies in, so just
+    those are read again, as a time range the scan can prune by, and numbered in range
+    partitioned slices.
     """
     size = page_size(size)
     first, last = page * size, (page + 1) * size
+    order = [F.desc(newest), F.col(key)]
     if last <= shallow_rows:
         return df.orderBy(*order).offset(first).limit(size)
-    numbered = ordinal(df, [], order, "_nth")
-    return numbered.filter((F.col("_nth") > first) & (F.col("_nth") <= last)).drop("_nth")
+    newest_first = Window.orderBy(F.desc("hour"))
+    hours = df.groupBy(F.date_trunc("HOUR", newest).alias("hour")).count().withColumn(
+        "seen", F.sum("count").over(newest_first))
+    ahead = F.col("seen") - F.col("count")
+    flavour = df.schema[newest].dataType
+    bounds = hours.filter((F.col("seen") > first) & (ahead < last)).agg(
+        F.min("hour").cast(flavour).cast("string").alias("low"),
+        (F.max("hour") + F.make_dt_interval(hours=F.lit(1))).cast(flavour).cast("string").alias("high"),
+        F.min(ahead).alias("skipped")).first()
+    if bounds["low"] is None:
+        return df.limit(0)
+    low, high = (F.lit(bounds[b]).cast(flavour) for b in ("low", "high"))
+    within = df.filter((F.col(newest) >= low) & (F.col(newest) < high))
+    nth = F.col("_nth") + F.lit(bounds["skipped"])
+    numbered = ordinal(within, [], order, "_nth")
+    return numbered.filter((nth > first) & (nth <= last)).drop("_nth")
 
 
 def page_envelope(df: DataFrame, page: int, size: int) -> DataFrame:

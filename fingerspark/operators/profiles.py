@@ -119,7 +119,7 @@ def container_page(profiles: DataFrame, page: int = 0, size: int = 20,
                    risk_level: str | None = None) -> DataFrame:
     """A page of profiles, last seen first."""
     found = find_containers(profiles, risk_level)
-    return page_rows(found, [F.desc("last_seen"), F.col("container_id")], page, size)
+    return page_rows(found, "last_seen", "container_id", page, size)
 
 
 def container_envelope(profiles: DataFrame, page: int = 0, size: int = 20,

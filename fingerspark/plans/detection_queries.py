@@ -45,9 +45,9 @@ def anomaly_page_filtered(spark: SparkSession, sf_dir: str) -> DataFrame:
 WHERE detected_at BETWEEN TIMESTAMP '{_MONTH}' AND {NOW}
 ORDER BY detected_at DESC, result_id LIMIT 200 OFFSET 400""")
 def anomaly_page_deep(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A page fetched by numbering the rows in range order, as for pages far down."""
+    """A page fetched the way pages far down are: hours counted, then numbered."""
     found = analytics.find_anomalies(anomaly_results(spark, sf_dir), AS_OF, start=_MONTH)
-    return _shown(page_rows(found, [F.desc("detected_at"), F.col("result_id")], 2, 200, shallow_rows=0))
+    return _shown(page_rows(found, "detected_at", "result_id", 2, 200, shallow_rows=0))
 
 
 @query(f"""WITH {RESULTS}

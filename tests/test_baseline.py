@@ -56,11 +56,14 @@ def test_ordinal_without_keys(spark):
 
 
 def test_deep_page_equals_top_k(spark):
-    df = spark.range(300).withColumn("v", F.col("id") % 10)
-    order = [F.desc("v"), F.col("id")]
-    near = [r.id for r in page_rows(df, order, 3, 20).collect()]
-    deep = [r.id for r in page_rows(df, order, 3, 20, shallow_rows=0).orderBy(*order).collect()]
-    assert near == deep and len(near) == 20
+    minutes = F.make_dt_interval(mins=(F.col("id") * 7 % 50 * 20).cast("int"))
+    base = F.lit("2026-01-01 00:30:00")
+    for flavour in ("timestamp", "timestamp_ntz"):
+        df = spark.range(300).withColumn("at", base.cast(flavour) + minutes)
+        for page in (0, 3, 14, 15):
+            near = page_rows(df, "at", "id", page, 20).collect()
+            deep = page_rows(df, "at", "id", page, 20, shallow_rows=0)
+            assert near == deep.orderBy(F.desc("at"), "id").collect() and len(near) == (20 if page < 15 else 0)
 
 
 def test_envelope(spark):
@@ -79,7 +82,9 @@ def test_buffer_keeps_the_newest(spark):
 
 def test_buffer_breaks_ties_by_id(spark):
     df = vectors(spark, [("a", [1.0] * 18)] * 6).withColumn("window_end", F.lit(T0))
-    assert sorted(r.vector_id for r in baseline.training_buffer(df, size=2).collect()) == ["v0000", "v0001"]
+    for max_ties in (10, 1):
+        kept = baseline.training_buffer(df, size=2, max_ties=max_ties).collect()
+        assert sorted(r.vector_id for r in kept) == ["v0000", "v0001"]
 
 
 def test_global_baseline(spark, sample):
