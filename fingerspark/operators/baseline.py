@@ -17,6 +17,7 @@ from fingerspark.functions.fixed import (
 )
 from fingerspark.functions.scoring import clean_vector, has_vector_length
 from fingerspark.operators.ordered import ordinal, running_totals
+from fingerspark.sources.tables import durable
 
 _DIMENSIONS = range(FEATURE_COUNT)
 
@@ -127,7 +128,8 @@ def online_image_baseline(vectors: DataFrame) -> DataFrame:
     so no precision is lost to cancellation; an image of any size is cut into slices.
     """
     named = vectors.filter(F.coalesce(F.col("image_name"), F.lit("")) != "")
-    anchors = named.groupBy("image_name").agg(_per_dimension(F.avg).alias("anchor"))
+    # Stored, so that its true size decides between broadcast and partitioned join.
+    anchors = durable(named.groupBy("image_name").agg(_per_dimension(F.avg).alias("anchor")))
     shifted = (named.select("vector_id", "image_name", "window_end", "features")
                .join(anchors, "image_name")
                .select("vector_id", "image_name", "window_end", "anchor",
@@ -191,7 +193,8 @@ def contributing_features(vectors: DataFrame, images: DataFrame | None = None,
     Vectors of a wrong length get an empty list.
 
     The image join carries no hint: Spark broadcasts the per-image rows while they are
-    below its threshold, and splits the skewed image otherwise.
+    below its threshold, and splits the skewed image otherwise. Pass stored baselines, so
+    that their true size is known when the join is planned.
     """
     extended = vectors
     mean, std = F.lit(None).cast("array<double>"), F.lit(None).cast("array<double>")

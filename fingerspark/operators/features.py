@@ -19,6 +19,7 @@ from fingerspark.functions.scoring import entropy_bits, stable_id
 from fingerspark.functions.timing import compact_time
 from fingerspark.operators.ordered import ordinal
 from fingerspark.sources.schemas import FEATURE_VECTOR
+from fingerspark.sources.tables import durable
 
 # Columns whose distinct values are counted; the null syscalls count towards the total.
 _DIMENSIONS = ("syscall", "process_name", "destination_ip", "port", "image_name")
@@ -131,13 +132,17 @@ def window_chunks(events: DataFrame, seconds: int = WINDOW_SECONDS,
     """Add ``chunk``: 0 for the first ``max_events`` events of a container window, then 1, ...
 
     Windows within the limit, nearly all of them, need no ordering. Only the events of
-    the others are numbered, by a range partitioned running count.
+    the others are numbered, by a range partitioned running count. The list of the others
+    is stored first: with its true size known, Spark broadcasts it instead of shuffling
+    the events, or else joins by partitions.
     """
     window = F.window("timestamp", f"{seconds} seconds")["start"]
     placed = events.withColumn("_window", window)
     group = ["container_id", "_window"]
     sizes = placed.groupBy(*group).agg(F.count("*").alias("_size"))
-    over = sizes.filter(F.col("_size") > max_events).select(*group)
+    over = durable(sizes.filter(F.col("_size") > max_events).select(*group))
+    if over.isEmpty():
+        return events.withColumn("chunk", F.lit(0).cast("bigint"))
     within = placed.join(over, group, "left_anti").withColumn("chunk", F.lit(0).cast("bigint"))
     numbered = ordinal(placed.join(over, group, "left_semi"), group, ["timestamp", "event_id"], "_nth")
     chunk = F.floor((F.col("_nth") - 1) / F.lit(max_events))

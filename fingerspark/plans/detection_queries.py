@@ -17,7 +17,8 @@ from fingerspark.plans.feature_queries import off_ties, rounded
 from fingerspark.plans.registered import query
 from fingerspark.plans.telemetry import AS_OF, anomaly_results, read
 
-RESULT = "result_id, vector_id, container_id, detected_at, anomaly_score, is_anomalous, severity, model_version, contributing_features"
+RESULT = ("result_id, vector_id, container_id, detected_at, anomaly_score, is_anomalous, severity, "
+          "model_version, contributing_features")
 _MONTH = "2024-01-01 00:00:00"
 
 
@@ -126,7 +127,8 @@ def top_risky_containers(spark: SparkSession, sf_dir: str) -> DataFrame:
         anomaly_results(spark, sf_dir), AS_OF, hours=240, limit=10))
 
 
-PROFILE = "container_id, first_seen, last_seen, total_events, total_anomalies, anomaly_rate, avg_anomaly_score, max_anomaly_score, risk_level"
+PROFILE = ("container_id, first_seen, last_seen, total_events, total_anomalies, anomaly_rate, "
+           "avg_anomaly_score, max_anomaly_score, risk_level")
 SQL_PROFILE = PROFILE.replace("anomaly_rate", "round(anomaly_rate, 6) AS anomaly_rate").replace(
     "avg_anomaly_score", "round(avg_anomaly_score + 1e-9, 6) AS avg_anomaly_score")
 
@@ -144,7 +146,12 @@ def container_profiles(spark: SparkSession, sf_dir: str) -> DataFrame:
 _SPLIT = "2024-01-20 00:00:00"
 
 
-@query(f"""WITH {RESULTS}, {PROFILES.replace('FROM results', "FROM results WHERE NOT (container_id = 'c1' AND detected_at >= TIMESTAMP '" + _SPLIT + "') AND NOT (container_id = 'c2' AND detected_at < TIMESTAMP '" + _SPLIT + "')")}
+_SOME_RESULTS = f"""FROM results
+  WHERE NOT (container_id = 'c1' AND detected_at >= TIMESTAMP '{_SPLIT}')
+    AND NOT (container_id = 'c2' AND detected_at < TIMESTAMP '{_SPLIT}')"""
+
+
+@query(f"""WITH {RESULTS}, {PROFILES.replace('FROM results', _SOME_RESULTS)}
 SELECT {SQL_PROFILE} FROM profiles""")
 def profile_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Stored profiles plus later results; one container has no news, another is new."""

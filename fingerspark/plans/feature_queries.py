@@ -8,7 +8,6 @@ from pyspark.sql import functions as F
 from fingerspark.functions.fixed import FEATURE_NAMES
 from fingerspark.functions.scoring import clean_vector
 from fingerspark.operators import baseline, features
-from fingerspark.plans import telemetry
 from fingerspark.plans.check_sql import (
     LONG,
     ROUNDED_FEATURES,
@@ -17,7 +16,14 @@ from fingerspark.plans.check_sql import (
     feature_ctes,
 )
 from fingerspark.plans.registered import query
-from fingerspark.plans.telemetry import WINDOW, feature_vectors, processed_events, stored_events, stored_vectors
+from fingerspark.plans.telemetry import (
+    WINDOW,
+    feature_vectors,
+    processed_events,
+    stored_events,
+    stored_vectors,
+)
+from fingerspark.sources.tables import durable
 
 IDENTITY = "vector_id, container_id, image_name, window_start, window_end, window_duration_seconds, total_events"
 
@@ -233,7 +239,7 @@ deviations AS (
 def contributing_features(spark: SparkSession, sf_dir: str) -> DataFrame:
     vectors = stored_vectors(spark, sf_dir)
     explained = baseline.contributing_features(
-        vectors, baseline.image_baseline(vectors), baseline.global_baseline(vectors))
+        vectors, durable(baseline.image_baseline(vectors)), durable(baseline.global_baseline(vectors)))
     return explained.select("vector_id", F.concat_ws(",", "contributing_features").alias("contributing_features"))
 
 

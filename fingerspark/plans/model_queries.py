@@ -159,7 +159,8 @@ def scored_results(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Events to explained anomaly results under a model trained on the same table."""
     vectors = stored_vectors(spark, sf_dir)
     scored = results.score_vectors(
-        vectors, _model(vectors), AS_OF, baseline.image_baseline(vectors), baseline.global_baseline(vectors))
+        vectors, _model(vectors), AS_OF, durable(baseline.image_baseline(vectors)),
+        durable(baseline.global_baseline(vectors)))
     return results.stored_form(scored)
 
 
