@@ -157,14 +157,15 @@ def clean_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 _GLOBAL = f"""WITH {VECTORS}, {LONG}
-SELECT pos, feature, count(*) AS n, round(avg(value), 6) AS mean,
-       round(greatest(stddev_pop(value), 1e-8), 6) AS std
+SELECT pos, feature, count(*) AS n, round(avg(value) + {_OFF_TIES}, 6) AS mean,
+       round(greatest(stddev_pop(value), 1e-8) + {_OFF_TIES}, 6) AS std
 FROM long GROUP BY pos, feature"""
 
 
 def _long_baseline(df: DataFrame) -> DataFrame:
     rows = baseline.baseline_rows(df)
-    return rounded(rows.withColumn("pos", F.col("pos").cast("bigint")), "mean", "std")
+    shown = off_ties(rows.withColumn("pos", F.col("pos").cast("bigint")), "mean", "std")
+    return rounded(shown, "mean", "std")
 
 
 @query(_GLOBAL)
@@ -172,8 +173,8 @@ def global_baseline(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _long_baseline(baseline.global_baseline(feature_vectors(spark, sf_dir)))
 
 
-_IMAGE = """SELECT image_name, pos, feature, count(*) AS n, round(avg(value), 6) AS mean,
-       CASE WHEN count(*) > 1 THEN round(sqrt(greatest(var_samp(value), 1e-8)), 6) END AS std
+_IMAGE = f"""SELECT image_name, pos, feature, count(*) AS n, round(avg(value) + {_OFF_TIES}, 6) AS mean,
+       CASE WHEN count(*) > 1 THEN round(sqrt(greatest(var_samp(value), 1e-8)) + {_OFF_TIES}, 6) END AS std
 FROM long GROUP BY image_name, pos, feature"""
 
 

@@ -33,8 +33,7 @@ _ALL = 2**31 - 1
 
 def _activity_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The events table as a stream of files."""
-    schema = telemetry.read(spark, sf_dir, "events").schema
-    return read_file_stream(spark, sf_dir, schema, glob="events.parquet")
+    return read_file_stream(spark, sf_dir, telemetry.EVENTS, glob="events.parquet")
 
 
 def _runtime_stream(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -10,6 +10,7 @@ from datetime import datetime
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from fingerspark.functions.fixed import FEATURE_NAMES
 from fingerspark.functions.scoring import is_anomalous, severity
@@ -30,8 +31,17 @@ SUSPICIOUS_PROCESSES = ("nc", "nmap", "curl", "sh", "bash")
 PORTS = (80, 443, 8080, 3306, 5432, 6379, 9092, 22, 4444, 8888)
 
 
+# The given events table. Naming its schema saves a look into the file per query.
+EVENTS = T.StructType([
+    T.StructField("event_id", T.LongType()), T.StructField("ts", T.TimestampNTZType()),
+    T.StructField("user_id", T.LongType()), T.StructField("event_type", T.StringType()),
+    T.StructField("value", T.DoubleType()), T.StructField("props", T.StringType()),
+])
+
+
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{table}.parquet")
+    reader = spark.read.schema(EVENTS) if table == "events" else spark.read
+    return reader.parquet(f"{sf_dir}/{table}.parquet")
 
 
 def _pick(values: tuple, index: str) -> str:
