@@ -5,8 +5,11 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from fingerspark.llm import decontamination, rules, secrets
-from fingerspark.llm.texts import table
+from fingerspark.llm import decontamination, mixing, rules, secrets, warc
+from fingerspark.llm.texts import LOWER, TOKEN, UPPER, table
+
+#: A-Z to a-z in DuckDB.
+_LOWER = f"translate({{}}, '{UPPER}', '{LOWER}')"
 
 
 def trusted_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -14,6 +17,11 @@ def trusted_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "labels").filter("quality = 1").select("doc_id")
 
 
+def op1_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    mix = mixing.with_mix(table(spark, sf_dir, "documents"), keep=["doc_id"])
+    return mix.select("doc_id", "mix.size", "mix.source_size", "mix.target", "mix.taken")
+
+
 def op7_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     hits = decontamination.benchmark_hits(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"),
                                           keep=["doc_id"])
@@ -23,6 +31,12 @@ def op7_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
                        decontamination.contaminated().alias("contaminated"))
 
 
+def op8_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.archived(table(spark, sf_dir, "pages")).select(
+        "page_id", F.octet_length("payload").cast("long").alias("payload_bytes"),
+        F.sha1("payload").alias("payload_digest"), "record_type", "refers_to")
+
+
 def op9_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = secrets.find_secrets(table(spark, sf_dir, "documents"), keep=["doc_id"])
     return found.select("doc_id", *[f"secrets.{c}" for c in ("n_assign", "n_access", "n_hex", "base_sha256", "spans")])
@@ -33,5 +47,40 @@ def op10_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ruled.select("doc_id", "rules.*")
 
 
-QUERIES = {f.__name__: f for f in (op7_decontamination, op9_secrets, op10_rules)}
-CHECKS: dict[str, str] = {}
+QUERIES = {f.__name__: f for f in (op1_mixing, op7_decontamination, op8_warc, op9_secrets, op10_rules)}
+CHECKS: dict[str, str] = {
+    "op7_decontamination": rf"""
+        WITH doc AS (
+            SELECT row_number() OVER () AS r, doc_id,
+                   regexp_extract_all({_LOWER.format('text')}, '{TOKEN}') AS words FROM documents),
+        item AS (
+            SELECT coalesce(CAST(item_id AS VARCHAR), '') AS item,
+                   regexp_extract_all({_LOWER.format('text')}, '{TOKEN}') AS words FROM benchmark),
+        pattern AS (
+            SELECT DISTINCT item, words[i:i + least(len(words), 13) - 1] AS gram
+            FROM (SELECT item, words, unnest(range(1, greatest(len(words) - 13, 0) + 2)) AS i
+                  FROM item WHERE len(words) > 0)),
+        placed AS (
+            SELECT r, size, i, words[i:i + size - 1] AS gram
+            FROM (SELECT r, words, size, unnest(range(1, greatest(len(words) - size + 2, 1))) AS i
+                  FROM doc, (SELECT DISTINCT len(gram) AS size FROM pattern) WHERE len(words) >= size)),
+        found AS (SELECT r, size, i, item FROM placed JOIN pattern USING (gram)),
+        hit AS (SELECT r, count(DISTINCT place) AS n_hit
+                FROM (SELECT r, unnest(range(i, i + size)) AS place FROM found) GROUP BY r),
+        items AS (SELECT r, count(*) AS n_items, string_agg(item, ',' ORDER BY item) AS listed
+                  FROM (SELECT DISTINCT r, item FROM found) GROUP BY r)
+        SELECT doc_id, CAST(coalesce(len(words), 0) AS BIGINT) AS n_words, coalesce(n_hit, 0) AS n_hit,
+               coalesce(n_items, 0) AS n_items, sha256(coalesce(listed, '')) AS items_sha256,
+               coalesce(n_hit, 0) > 0 AND 20 * coalesce(n_hit, 0) >= len(words) AS contaminated
+        FROM doc LEFT JOIN hit USING (r) LEFT JOIN items USING (r)""",
+    "op8_warc": """
+        WITH p AS (SELECT page_id, encode(coalesce(html, '')) AS payload FROM pages),
+        d AS (SELECT page_id, octet_length(payload) AS payload_bytes, sha1(payload) AS payload_digest FROM p),
+        o AS (SELECT *, CASE WHEN payload_bytes >= 1000 THEN
+                  max(page_id) OVER (PARTITION BY payload_digest) END AS owner FROM d)
+        SELECT page_id, CAST(payload_bytes AS BIGINT) AS payload_bytes, payload_digest,
+               CASE WHEN page_id IS DISTINCT FROM owner AND owner IS NOT NULL THEN 'revisit'
+                    ELSE 'response' END AS record_type,
+               CASE WHEN page_id IS DISTINCT FROM owner THEN owner END AS refers_to
+        FROM o""",
+}
