@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from fingerspark.llm import decontamination, mixing, rules, secrets, warc
+from fingerspark.llm import decontamination, licences, mixing, rules, secrets, warc
 from fingerspark.llm.texts import LOWER, TOKEN, UPPER, table
 
 #: A-Z to a-z in DuckDB.
@@ -22,6 +22,11 @@ def op1_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix.select("doc_id", "mix.size", "mix.source_size", "mix.target", "mix.taken")
 
 
+def op3_licences(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = licences.find_licences(table(spark, sf_dir, "documents"), keep=["doc_id"])
+    return found.select("doc_id", "licences.*").drop("spans")
+
+
 def op7_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     hits = decontamination.benchmark_hits(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"),
                                           keep=["doc_id"])
@@ -47,7 +52,7 @@ def op10_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ruled.select("doc_id", "rules.*")
 
 
-QUERIES = {f.__name__: f for f in (op1_mixing, op7_decontamination, op8_warc, op9_secrets, op10_rules)}
+QUERIES = {f.__name__: f for f in (op1_mixing, op3_licences, op7_decontamination, op8_warc, op9_secrets, op10_rules)}
 CHECKS: dict[str, str] = {
     "op7_decontamination": rf"""
         WITH doc AS (
