@@ -5,12 +5,16 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from fingerspark.llm import decontamination, licences, mixing, rules, secrets, warc
-from fingerspark.llm.texts import LOWER, TOKEN, UPPER, table
+from fingerspark.llm import compression, decontamination, licences, mixing, rules, secrets, warc
+from fingerspark.llm.texts import LOWER, TOKEN, UPPER, held_out, table
 
 #: A-Z to a-z in DuckDB.
 _LOWER = f"translate({{}}, '{UPPER}', '{LOWER}')"
 
+# Scores from which a label is predicted.
+GOOD_FROM = 0.3
+TOXIC_FROM = 0.5
+
 
 def trusted_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Ids of the documents labelled as good."""
@@ -27,6 +31,14 @@ def op3_licences(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "licences.*").drop("spans")
 
 
+def op6_compression(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
+    model = compression.train(docs, labels.filter(~held_out()))
+    scored = compression.with_quality(docs, model, keep=["doc_id"])
+    return scored.select("doc_id", held_out().alias("held_out"), "quality.score",
+                         (F.col("quality.score") >= GOOD_FROM).cast("int").alias("predicted"))
+
+
 def op7_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     hits = decontamination.benchmark_hits(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"),
                                           keep=["doc_id"])
@@ -52,7 +64,7 @@ def op10_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ruled.select("doc_id", "rules.*")
 
 
-QUERIES = {f.__name__: f for f in (op1_mixing, op3_licences, op7_decontamination, op8_warc, op9_secrets, op10_rules)}
+QUERIES = {f.__name__: f for f in (op1_mixing, op3_licences, op6_compression, op7_decontamination, op8_warc, op9_secrets, op10_rules)}
 CHECKS: dict[str, str] = {
     "op7_decontamination": rf"""
         WITH doc AS (
