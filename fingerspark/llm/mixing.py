@@ -28,7 +28,7 @@ WEIGHTS = (3, 1, 2)
 SHARE = 1.5
 MOST_COPIES = 2
 #: Documents of a source that fly in one task. It bounds memory only: more make more blocks.
-BLOCK = 20_000
+BLOCK = 4_000
 SEED = 20240131
 TINY = 1e-9
 

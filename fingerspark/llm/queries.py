@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from fingerspark.llm import compression, decontamination, licences, mixing, rules, secrets, urls, warc
+from fingerspark.llm import compression, decontamination, licences, mixing, rules, secrets, toxicity, urls, warc
 from fingerspark.llm.texts import LOWER, TOKEN, UPPER, held_out, table
 
 #: A-Z to a-z in DuckDB.
@@ -26,6 +26,14 @@ def op1_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix.select("doc_id", "mix.size", "mix.source_size", "mix.target", "mix.taken")
 
 
+def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
+    model = toxicity.train(docs, labels.filter(~held_out()))
+    scored = toxicity.with_toxicity(docs, model, keep=["doc_id"])
+    return scored.select("doc_id", held_out().alias("held_out"), "toxicity.score",
+                         (F.col("toxicity.score") >= TOXIC_FROM).cast("int").alias("predicted"))
+
+
 def op3_licences(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = licences.find_licences(table(spark, sf_dir, "documents"), keep=["doc_id"])
     return found.select("doc_id", "licences.*").drop("spans")
@@ -69,7 +77,7 @@ def op10_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ruled.select("doc_id", "rules.*")
 
 
-QUERIES = {f.__name__: f for f in (op1_mixing, op3_licences, op5_urls, op6_compression, op7_decontamination, op8_warc, op9_secrets, op10_rules)}
+QUERIES = {f.__name__: f for f in (op1_mixing, op2_toxicity, op3_licences, op5_urls, op6_compression, op7_decontamination, op8_warc, op9_secrets, op10_rules)}
 CHECKS: dict[str, str] = {
     "op7_decontamination": rf"""
         WITH doc AS (
