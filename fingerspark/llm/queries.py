@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from fingerspark.llm import compression, decontamination, licences, mixing, rules, secrets, toxicity, urls, warc
+from fingerspark.llm import compression, decontamination, jaccard, licences, mixing, rules, secrets, toxicity, urls, warc
 from fingerspark.llm.texts import LOWER, TOKEN, UPPER, held_out, table
 
 #: A-Z to a-z in DuckDB.
@@ -39,6 +39,10 @@ def op3_licences(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "licences.*").drop("spans")
 
 
+def op4_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard.with_components(table(spark, sf_dir, "documents")).select("doc_id", "n_shingles", "component_id")
+
+
 def op5_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
     return urls.judged(table(spark, sf_dir, "pages"), keep=["page_id"]).select(
         "page_id", "host", "path", "rule", "verdict")
@@ -77,7 +81,7 @@ def op10_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ruled.select("doc_id", "rules.*")
 
 
-QUERIES = {f.__name__: f for f in (op1_mixing, op2_toxicity, op3_licences, op5_urls, op6_compression, op7_decontamination, op8_warc, op9_secrets, op10_rules)}
+QUERIES = {f.__name__: f for f in (op1_mixing, op2_toxicity, op3_licences, op4_jaccard, op5_urls, op6_compression, op7_decontamination, op8_warc, op9_secrets, op10_rules)}
 CHECKS: dict[str, str] = {
     "op7_decontamination": rf"""
         WITH doc AS (
