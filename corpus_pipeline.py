@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 sys.path.insert(0, str(Path(__file__).resolve().parent))
 
-from fingerspark.llm import decontamination, rules, secrets  # noqa: E402
+from fingerspark.llm import decontamination, jaccard, mixing, rules, secrets  # noqa: E402
 from fingerspark.llm.queries import trusted_documents  # noqa: E402
 from fingerspark.llm.texts import table  # noqa: E402
 from fingerspark.sources.tables import durable  # noqa: E402
@@ -24,6 +24,11 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
     return rules.kept_by_rules(docs, trusted_documents(spark, sf_dir))
 
 
+def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near copies, that of the smallest id."""
+    return jaccard.one_of_each(docs)
+
+
 def benchmark_decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the contamination rule does not reject."""
     return decontamination.uncontaminated(docs, table(spark, sf_dir, "benchmark"))
@@ -34,13 +39,20 @@ def secret_scans(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
     return secrets.without_secrets(docs)
 
 
+def source_mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The documents that the mix takes, with the number of copies and the words taken."""
+    return mixing.mixed(docs)
+
+
 STAGES = [
     ("quality rules", quality_rules),
+    ("n-gram Jaccard join", near_duplicates),
     ("benchmark decontamination", benchmark_decontamination),
     ("secret scans", secret_scans),
+    ("mixing sources to target weights", source_mix),
 ]
 
-#: The language model ratios, near-duplicate classes, confirmed secrets and the balanced
+#: Near-duplicate classes, confirmed secrets and the balanced
 #: draw have no equivalent in SQL; tests hold the stages against brute force.
 ORACLE_SQL = None
 
