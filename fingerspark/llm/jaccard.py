@@ -24,7 +24,7 @@ from collections.abc import Callable, Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from fingerspark.llm.texts import LOWER_BYTES, empty, free_name, named, slices
@@ -41,6 +41,10 @@ LARGEST = 1 << 40
 COUNTERS, DEVIATIONS, ABOVE = 1 << 20, 8.0, 16
 #: Bits of the filters of keys and entities that are broadcast.
 FILTER_BITS = 1 << 26
+#: Members of each key that its others are compared with before all pairs are; 64-bit words
+#: of the sketch that goes along with a key.
+HUBS = 4
+LANES = 8
 #: Bytes of text hashed at once.
 PIECE = 1 << 20
 MERGE = 32
@@ -199,6 +203,13 @@ def parity_bits(grams: np.ndarray) -> bytes:
     return np.packbits(odd.astype(bool)).tobytes()
 
 
+def lanes_of(grams: np.ndarray) -> list[int]:
+    """A sketch of fixed size, as signed 64-bit words."""
+    cells = 64 * LANES
+    odd = np.bincount((grams >> _U(20) & _U(cells - 1)).astype(np.int64), minlength=cells) & 1
+    return np.packbits(odd.astype(bool)).view(np.int64).tolist()
+
+
 def least_difference(a: bytes, b: bytes) -> int:
     """Hamming distance of two sketches; the longer one is folded to the shorter one's cells."""
     x, y = np.frombuffer(a, np.uint8), np.frombuffer(b, np.uint8)
@@ -348,13 +359,13 @@ def in_filter(bits: np.ndarray, values: np.ndarray) -> np.ndarray:
 
 
 def read_candidates(rows: DataFrame, frequent, keys_filter) -> DataFrame:
-    """(entity, n, sketch, keys) of each entity with keys that the filter holds."""
+    """(entity, n, sketch, keys, lanes) of each entity with keys that the filter holds."""
     def each():
         segmenter, seen = Segmenter(frequent.value), set()
         bits = np.frombuffer(keys_filter.value, np.uint8)
 
         def step(part, sets):
-            out = {"entity": [], "n": [], "sketch": [], "keys": []}
+            out = {c: [] for c in ("entity", "n", "sketch", "keys", "lanes")}
             for grams in sets:
                 name = entity_of(grams)
                 if name in seen or not len(grams):
@@ -365,18 +376,18 @@ def read_candidates(rows: DataFrame, frequent, keys_filter) -> DataFrame:
                 own = segmenter.keys(grams)
                 own = np.unique(own[in_filter(bits, own)])
                 if len(own):
-                    for column, value in zip(out.values(), (name, len(grams), parity_bits(grams), own)):
+                    for column, value in zip(out.values(), (name, len(grams), parity_bits(grams), own, lanes_of(grams))):
                         column.append(value)
             yield out
         return step
 
-    found = scan(rows, "entity bigint, n bigint, sketch binary, keys array<bigint>", each)
+    found = scan(rows, "entity bigint, n bigint, sketch binary, keys array<bigint>, lanes array<bigint>", each)
     # Copies in other tasks have equal rows.
-    return durable(found.groupBy("entity").agg(*[F.first(c).alias(c) for c in ("n", "sketch", "keys")]))
+    return durable(found.groupBy("entity").agg(*[F.first(c).alias(c) for c in ("n", "sketch", "keys", "lanes")]))
 
 
 def sketched(pairs: DataFrame, candidates: DataFrame) -> DataFrame:
-    """The pairs (a, b) that sizes and sketches do not rule out."""
+    """The pairs (a, b) that the sketches of their own sizes do not rule out."""
     for side in ("a", "b"):
         own = candidates.select(F.col("entity").alias(side), F.col("n").alias(f"n{side}"), F.col("sketch").alias(f"s{side}"))
         pairs = pairs.join(own, side)
@@ -388,8 +399,7 @@ def sketched(pairs: DataFrame, candidates: DataFrame) -> DataFrame:
             kept = batch.filter(pa.array(good, pa.bool_()))
             yield kept.select(["a", "b"])
 
-    return durable(pairs.filter(5 * F.least("na", "nb") >= 4 * F.greatest("na", "nb")).select(
-        "a", "b", "na", "nb", "sa", "sb").mapInArrow(run, "a bigint, b bigint"))
+    return durable(pairs.select("a", "b", "na", "nb", "sa", "sb").mapInArrow(run, "a bigint, b bigint"))
 
 
 def verified(pairs: DataFrame, rows: DataFrame) -> DataFrame:
@@ -455,31 +465,56 @@ def components(edges: DataFrame) -> DataFrame:
             return labels
 
 
+def close(one: str, other: str) -> Column:
+    """Whether sizes and fixed-size sketches of two sides leave the similarity possible."""
+    n, m = F.col(f"{one}.n"), F.col(f"{other}.n")
+    apart = sum((F.bit_count(F.col(f"{one}.s{i}").bitwiseXOR(F.col(f"{other}.s{i}"))) for i in range(LANES)), F.lit(0))
+    return ((100 * F.least(n, m) >= PERCENT * F.greatest(n, m))
+            & ((100 + PERCENT) * apart <= (100 - PERCENT) * (n + m)))
+
+
+def pairs_of(matched: DataFrame, one: str, other: str) -> DataFrame:
+    x, y = F.col(f"{one}.entity"), F.col(f"{other}.entity")
+    return matched.select(F.least(x, y).alias("a"), F.greatest(x, y).alias("b")).distinct()
+
+
 def links(rows: DataFrame, frequent) -> DataFrame:
     """Verified pairs (a, b) of entities that connect all that link.
 
-    First each entity is compared with the smallest one of each of its keys, which settles
-    groups of near copies without comparing all their pairs. Then entities of one key are
-    compared that these links have not brought together.
+    First each entity is compared with a few members of each of its keys, drawn by hash for
+    each key anew, so that one of a large group of near copies meets many different others
+    at a cost that grows with the group and not with its square. Then entities of one key
+    are compared that these links have not brought together, but for those both in the
+    component that most of the key's entities are in. All comparisons start with sketches,
+    inside the joins; pairs come out only where the similarity is still possible.
     """
     context = rows.sparkSession.sparkContext
     keys_filter = context.broadcast(bit_filter(durable(shared_keys(rows, frequent))))
     candidates = read_candidates(rows, frequent, keys_filter)
-    members = durable(candidates.select("entity", "n", F.explode("keys").alias("key")))
-    hubs = members.groupBy("key").agg(F.min("entity").alias("a"), F.max("entity").alias("last")).filter("a < last").drop("last")
-    stars = durable(members.join(hubs, "key").filter("a < entity").select("a", F.col("entity").alias("b")).distinct())
+    lanes = [F.get("lanes", F.lit(i)).alias(f"s{i}") for i in range(LANES)]
+    members = durable(candidates.select(F.explode("keys").alias("key"), "entity", "n", *lanes))
+    side = F.struct("entity", "n", *[f"s{i}" for i in range(LANES)])
+    drawn = [F.min(F.struct(F.xxhash64("entity", "key", F.lit(j)), side.alias("hub"))) for j in range(HUBS)]
+    hubs = members.groupBy("key").agg(F.min("entity").alias("least"), F.max("entity").alias("most"),
+                                      F.array(*drawn).alias("hubs")).filter("least < most").select(
+        "key", F.array_distinct(F.transform("hubs", lambda h: h["hub"])).alias("hubs"))
+    met = members.alias("m").join(hubs, "key").select("m.*", F.explode("hubs").alias("hub"))
+    met = met.select(side.alias("m"), "hub").filter((F.col("m.entity") != F.col("hub.entity")) & close("m", "hub"))
+    stars = durable(pairs_of(met, "m", "hub"))
     found = verified(sketched(stars, candidates), rows)
-    labels = components(found)
-    named_ = members.join(labels, "entity", "left").withColumn("label", F.coalesce("label", "entity"))
-    mixed = named_.groupBy("key").agg(F.min("label").alias("one"), F.max("label").alias("other")).filter("one < other").select("key")
-    open_ = durable(named_.join(mixed, "key", "left_semi"))
-    left = open_.select("key", F.col("entity").alias("a"), F.col("n").alias("na"), F.col("label").alias("la"))
-    right = open_.select("key", F.col("entity").alias("b"), F.col("n").alias("nb"), F.col("label").alias("lb"))
-    apart = left.join(right, "key").filter(
-        (F.col("a") < F.col("b")) & (F.col("la") != F.col("lb"))
-        & (5 * F.least("na", "nb") >= 4 * F.greatest("na", "nb"))).select("a", "b").distinct()
-    rest = verified(sketched(apart.join(stars, ["a", "b"], "left_anti"), candidates), rows)
-    return found.union(rest)
+
+    labels = components(found).withColumnRenamed("entity", "_entity")
+    labelled = members.join(labels, F.col("entity") == F.col("_entity"), "left").drop("_entity").withColumn(
+        "label", F.coalesce("label", "entity"))
+    sizes = labelled.groupBy("key", "label").agg(F.count("*").alias("size"))
+    main = sizes.groupBy("key").agg(F.count("*").alias("labels"), F.max(F.struct("size", "label")).alias("main"))
+    open_ = durable(labelled.join(main.filter("labels > 1").select("key", F.col("main.label").alias("main")), "key"))
+    x, y = open_.filter("label <> main").alias("x"), open_.alias("y")
+    # Of two outside the main component one order is enough.
+    once = (F.col("y.label") == F.col("x.main")) | (F.col("x.entity") < F.col("y.entity"))
+    apart = x.join(y, (F.col("x.key") == F.col("y.key")) & (F.col("x.label") != F.col("y.label")) & once & close("x", "y"))
+    rest = pairs_of(apart, "x", "y").join(stars, ["a", "b"], "left_anti")
+    return found.union(verified(sketched(durable(rest), candidates), rows))
 
 
 def with_components(df: DataFrame, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
