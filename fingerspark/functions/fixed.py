@@ -117,7 +117,6 @@ TREE_COUNT = 200
 SUBSAMPLE_SIZE = 1024
 FOREST_SEED = 42
 CONTAMINATION = 0.05
-TRAINING_BUFFER_SIZE = 50_000
 MIN_TRAINING_ROWS = 100
 STD_FLOOR = 1e-8
 VARIANCE_FLOOR = 1e-8
@@ -139,9 +138,6 @@ RETENTION_DAYS = {
 }
 
 # Query limits.
-MAX_PAGE_SIZE = 200
-MAX_TOP_CONTAINERS = 50
-MAX_BUCKET_MINUTES = 1440
 
 # Stream topics and the dead-letter suffix.
 RUNTIME_EVENTS_TOPIC = "runtime-events"

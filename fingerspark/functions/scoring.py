@@ -32,8 +32,8 @@ def has_vector_length(features: Column, length: int = FEATURE_COUNT) -> Column:
 
 
 def unit_score(raw: Column) -> Column:
-    """Raw decision value shifted by one half and clipped to [0, 1]."""
-    return F.least(F.lit(1.0), F.greatest(F.lit(0.0), raw + F.lit(0.5)))
+    """Raw decision value shifted by one half and clipped to [0, 1]; null for null."""
+    return F.when(raw.isNotNull(), F.least(F.lit(1.0), F.greatest(F.lit(0.0), raw + F.lit(0.5))))
 
 
 def is_anomalous(score: Column) -> Column:

@@ -7,8 +7,6 @@ from datetime import datetime
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from fingerspark.functions.fixed import MAX_BUCKET_MINUTES
-
 
 def instant(value: str | datetime | Column) -> Column:
     """A literal point in time. Strings and naive datetimes are wall-clock UTC."""
@@ -23,19 +21,15 @@ def before(value: str | datetime | Column, *, hours: int = 0, days: int = 0) ->
     return instant(value) - F.make_dt_interval(F.lit(days), F.lit(hours), F.lit(0), F.lit(0))
 
 
-def window_start(ts: Column, seconds: int) -> Column:
-    """Start of the fixed event-time bucket that holds ``ts``."""
-    return F.window(ts, f"{seconds} seconds")["start"]
-
-
 def minute_bucket(ts: Column, minutes: int) -> Column:
     """``ts`` cut to the minute, less its minute-of-hour modulo ``minutes``.
 
     Unlike ``window()`` the buckets restart every hour, which is what dashboards
     built on minute-of-hour arithmetic expect.
     """
-    width = max(1, min(minutes, MAX_BUCKET_MINUTES))
-    back = F.minute(ts) % F.lit(width)
+    if minutes < 1:
+        raise ValueError("a bucket has at least one minute")
+    back = F.minute(ts) % F.lit(minutes)
     cut = F.date_trunc("MINUTE", ts).cast("timestamp_ntz")
     return cut - F.make_dt_interval(F.lit(0), F.lit(0), back, F.lit(0))
 

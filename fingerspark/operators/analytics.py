@@ -7,7 +7,6 @@ from datetime import datetime
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from fingerspark.functions.fixed import MAX_TOP_CONTAINERS
 from fingerspark.functions.scoring import severity_of_rank, severity_rank
 from fingerspark.functions.timing import before, instant, minute_bucket
 from fingerspark.operators.paging import equal_if_given, page_envelope, page_rows
@@ -95,8 +94,7 @@ def top_risky_containers(results: DataFrame, as_of: Time, hours: int = 24, limit
         (F.sum("total") / F.sum("n")).alias("avg_score"),
         severity_of_rank(F.max(severity_rank(F.col("severity")))).alias("worst_severity"),
         F.max("severity").alias("max_severity_lex"),
-    ).orderBy(F.desc("anomaly_count"), F.desc("max_score"), "container_id").limit(
-        min(limit, MAX_TOP_CONTAINERS))
+    ).orderBy(F.desc("anomaly_count"), F.desc("max_score"), "container_id").limit(limit)
 
 
 def count_events(events: DataFrame, container_id: str | None = None) -> DataFrame:

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from datetime import datetime
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -12,47 +13,38 @@ from fingerspark.functions.fixed import (
     FEATURE_NAMES,
     STD_FLOOR,
     TOP_FEATURES,
-    TRAINING_BUFFER_SIZE,
     VARIANCE_FLOOR,
 )
 from fingerspark.functions.scoring import clean_vector, has_vector_length
+from fingerspark.functions.timing import instant
 from fingerspark.operators.ordered import ordinal, running_totals
 from fingerspark.sources.tables import durable
 
 _DIMENSIONS = range(FEATURE_COUNT)
 
 
-# A cutoff that leaves more than this many times the buffer is ordered without a top-k, as
-# that would send a buffer's worth of rows from every task to one.
-MAX_TIES = 10
+def training_buffer(vectors: DataFrame, size: int | None = None,
+                    since: str | datetime | Column | None = None) -> DataFrame:
+    """The vectors of full length to train on, cleaned of NaN and infinities.
 
-
-def training_buffer(vectors: DataFrame, size: int = TRAINING_BUFFER_SIZE,
-                    max_ties: int = MAX_TIES) -> DataFrame:
-    """The newest ``size`` vectors of full length, cleaned of NaN and infinities.
-
-    Counting vectors per window end finds the end from which ``size`` rows are reached;
-    everything older is filtered at the scan, and only what is left is ordered. Rows of
-    one window end go by ``vector_id``.
+    All of them by default. ``since`` leaves out windows that end before it; ``size``
+    keeps the newest so many, rows of one window end going by ``vector_id``. For that,
+    counts per window end find the end from which ``size`` rows are reached; everything
+    older is filtered at the scan, and what is left is numbered in slices.
     """
     usable = vectors.filter(has_vector_length(F.col("features")))
-    flavour = vectors.schema["window_end"].dataType
-    ends = usable.groupBy("window_end").count().orderBy(F.desc("window_end")).limit(size)
-    reached = ends.withColumn("seen", F.sum("count").over(Window.orderBy(F.desc("window_end"))))
-    cutoff = reached.filter(F.col("seen") >= size).agg(
-        F.max("window_end").cast("string").alias("end"), F.min("seen").alias("seen")).first()
-    if cutoff["end"] is None:
-        kept = usable
-    else:
-        recent = usable.filter(F.col("window_end") >= F.lit(cutoff["end"]).cast(flavour))
-        order = [F.desc("window_end"), F.col("vector_id")]
-        if cutoff["seen"] <= max_ties * size:
-            kept = recent.orderBy(*order).limit(size)
-        else:
-            kept = ordinal(recent, [], order, "_nth").filter(F.col("_nth") <= size).drop("_nth")
-    # One task holds the result of a limit; what follows costs far more than a scan.
-    spread = kept.repartition("vector_id")
-    return spread.withColumn("features", clean_vector(F.col("features")))
+    if since is not None:
+        usable = usable.filter(F.col("window_end") >= instant(since).cast(vectors.schema["window_end"].dataType))
+    if size is not None:
+        flavour = vectors.schema["window_end"].dataType
+        ends = usable.groupBy("window_end").count().orderBy(F.desc("window_end")).limit(size)
+        reached = ends.withColumn("seen", F.sum("count").over(Window.orderBy(F.desc("window_end"))))
+        cutoff = reached.filter(F.col("seen") >= size).agg(F.max("window_end").cast("string").alias("end")).first()
+        if cutoff["end"] is not None:
+            recent = usable.filter(F.col("window_end") >= F.lit(cutoff["end"]).cast(flavour))
+            order = [F.desc("window_end"), F.col("vector_id")]
+            usable = ordinal(recent, [], order, "_nth").filter(F.col("_nth") <= size).drop("_nth")
+    return usable.withColumn("features", clean_vector(F.col("features")))
 
 
 def _per_dimension(function) -> Column:

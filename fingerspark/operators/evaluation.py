@@ -32,19 +32,27 @@ def confusion_metrics(labelled: DataFrame, label: str = "is_attack",
 
 def area_under_roc(labelled: DataFrame, label: str = "is_attack",
                    score: str = "anomaly_score") -> DataFrame:
-    """One row: exact area under the ROC curve.
+    """One row: area under the ROC curve of the scores at six decimals.
 
-    Scores are kept to six decimals, so the ordered pass runs over at most a million and
-    one distinct scores, whatever the number of rows.
+    The ordered pass runs over at most a million and one distinct scores, whatever the
+    number of rows; scores that differ only further down count as equal.
     """
     positive = F.col(label)
     per_score = labelled.groupBy(F.round(score, 6).alias("s")).agg(
         F.count_if(positive).alias("pos"), F.count_if(~positive).alias("neg"))
+    return area_of_counts(per_score)
+
+
+def area_of_counts(per_score: DataFrame) -> DataFrame:
+    """The area from counts of positive and negative rows of each score (s, pos, neg).
+
+    Products of counts are taken as doubles, since whole numbers of pairs overflow.
+    """
     below = Window.orderBy("s").rowsBetween(Window.unboundedPreceding, -1)
-    ranked = per_score.withColumn("neg_below", F.coalesce(F.sum("neg").over(below), F.lit(0)))
+    counted = per_score.select("s", F.col("pos").cast("double"), F.col("neg").cast("double"))
+    ranked = counted.withColumn("neg_below", F.coalesce(F.sum("neg").over(below), F.lit(0.0)))
     wins = F.sum(F.col("pos") * (F.col("neg_below") + F.col("neg") / F.lit(2.0)))
-    pairs = F.sum("pos") * F.sum("neg")
-    return ranked.agg(_ratio(wins, pairs).alias("auc"))
+    return ranked.agg(_ratio(wins, F.sum("pos") * F.sum("neg")).alias("auc"))
 
 
 def detection_rate(labelled: DataFrame, attack: str = "attack", flagged: str = "is_anomalous") -> DataFrame:

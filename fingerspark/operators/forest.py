@@ -5,10 +5,11 @@ from __future__ import annotations
 import sys
 from dataclasses import dataclass
 from math import ceil, log2
+from weakref import WeakKeyDictionary
 
 import numpy as np
 import pandas as pd
-from pyspark import cloudpickle
+from pyspark import Broadcast, cloudpickle
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -29,6 +30,15 @@ cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
 EULER_GAMMA = 0.5772156649015329
 LEAF = -1
+# Draws are below this. A tree's limit lets in so many standard deviations of rows too many,
+# so that it practically never gets too few.
+DRAWS = 1 << 32
+SPARE_DEVIATIONS = 7
+# Decimals of the scores among which the offset is found.
+OFFSET_DECIMALS = 6
+
+
+_BROADCASTS: WeakKeyDictionary = WeakKeyDictionary()
 
 
 def average_path(n):
@@ -44,7 +54,7 @@ def height_limit(sample_size: int) -> int:
 
 
 def draw(*parts: Column | str) -> Column:
-    """A deterministic pseudo-random integer below 2^32 for a combination of values."""
+    """A deterministic pseudo-random integer below ``DRAWS`` for a combination of values."""
     text = F.concat_ws("|", *[(F.col(p) if isinstance(p, str) else p).cast("string") for p in parts])
     return F.conv(F.substring(F.md5(text), 1, 8), 16, 10).cast("bigint")
 
@@ -53,29 +63,25 @@ def tree_samples(training: DataFrame, trees: int = TREE_COUNT, sample_size: int
                  seed: int = FOREST_SEED, rows: int | None = None) -> DataFrame:
     """(tree_id, vector_id, features): a subsample without replacement for every tree.
 
-    The training rows, at most the size of the training buffer, are put in one random
-    order and cut into ``sample_size`` runs of equal length; a tree draws one row of
-    every run. That is trees x sample_size index draws joined to the rows, instead of
-    ranking all rows for each tree. With fewer rows than ``sample_size`` a tree takes all.
-    ``rows`` is the number of training rows where it is known already.
+    A row draws a number for each tree and joins those where it is below a limit that
+    lets in somewhat more than ``sample_size`` rows; of these a tree keeps the rows of the
+    smallest numbers. So one scan decides, and hardly more rows move than are used. With
+    fewer rows than ``sample_size`` a tree takes all. ``rows`` is the number of training
+    rows where it is known already.
     """
     spark = training.sparkSession
-    shuffled = Window.orderBy(F.md5(F.concat_ws("|", F.lit(str(seed)), "vector_id")), "vector_id")
-    indexed = training.select("vector_id", "features").withColumn(
-        "index", (F.row_number().over(shuffled) - 1).cast("bigint"))
     counted = F.lit(rows) if rows is not None else training.agg(F.count("*").alias("n")).scalar()
-    n = counted.cast("bigint")
-    runs = F.least(n, F.lit(sample_size).cast("bigint"))
-    slots = (spark.range(trees).select(F.col("id").cast("int").alias("tree_id"), n.alias("n"), runs.alias("runs"))
-             .filter("n > 0")
-             .withColumn("run", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("runs") - 1))))
-    low = F.expr("(run * n) div runs")
-    high = F.expr("((run + 1) * n) div runs")
-    picks = slots.withColumns({"low": low, "high": high}).select(
-        "tree_id",
-        (F.col("low") + draw(F.lit(str(seed)), "tree_id", "run") % (F.col("high") - F.col("low"))
-         ).alias("index"))
-    samples = picks.join(indexed, "index").select("tree_id", "vector_id", "features")
+    wanted = sample_size + SPARE_DEVIATIONS * sample_size ** 0.5
+    limit = F.lit(float(DRAWS)) * F.lit(wanted) / counted.cast("double")
+    tree_ids = F.sequence(F.lit(0), F.lit(trees - 1))
+    numbered = F.transform(tree_ids, lambda t: F.struct(
+        t.alias("tree_id"), draw(F.lit(str(seed)), t, F.col("vector_id")).alias("number")))
+    limited = training.select("vector_id", "features", F.coalesce(limit, F.lit(0.0)).alias("limit"))
+    drawn = limited.select("vector_id", "features", F.explode(
+        F.filter(numbered, lambda d: d["number"] < F.col("limit"))).alias("d"))
+    first = Window.partitionBy("d.tree_id").orderBy("d.number", "vector_id")
+    samples = drawn.withColumn("nth", F.row_number().over(first)).filter(F.col("nth") <= sample_size).select(
+        "d.tree_id", "vector_id", "features")
     # A given number of partitions, as the sizes say nothing of the work per tree.
     return samples.repartition(min(trees, spark.sparkContext.defaultParallelism), "tree_id")
 
@@ -130,7 +136,7 @@ def grow_forest(samples: DataFrame, seed: int = FOREST_SEED) -> DataFrame:
     return samples.groupBy("tree_id").applyInPandas(grow, FOREST_NODE)
 
 
-@dataclass(frozen=True)
+@dataclass(frozen=True, eq=False)
 class Forest:
     """A grown forest ready to score: one row of node arrays per tree, by heap number."""
 
@@ -177,10 +183,19 @@ def load_forest(nodes: DataFrame) -> Forest:
     return Forest(feature, threshold, length, sample_size)
 
 
+def _shared(spark: SparkSession, forest: Forest) -> Broadcast:
+    """The broadcast of a forest, made once and given up when the forest is."""
+    context = spark.sparkContext
+    known = _BROADCASTS.get(forest)
+    if known is None or known[0] != context.applicationId:
+        parts = (forest.feature, forest.threshold, forest.length, forest.sample_size)
+        known = _BROADCASTS[forest] = (context.applicationId, context.broadcast(parts))
+    return known[1]
+
+
 def forest_scores(vectors: DataFrame, forest: Forest) -> DataFrame:
     """Add ``forest_score``; the forest is broadcast, vectors stay where they are."""
-    parts = (forest.feature, forest.threshold, forest.length, forest.sample_size)
-    shared = vectors.sparkSession.sparkContext.broadcast(parts)
+    shared = _shared(vectors.sparkSession, forest)
 
     @F.pandas_udf("double")
     def score(features: pd.Series) -> pd.Series:
@@ -196,8 +211,14 @@ def forest_scores(vectors: DataFrame, forest: Forest) -> DataFrame:
 
 def contamination_offset(scores: DataFrame, contamination: float = CONTAMINATION,
                          score: str = "forest_score") -> DataFrame:
-    """One row: the score that the given share of the training rows exceeds."""
-    return scores.agg(F.percentile(score, F.lit(1.0 - contamination)).alias("offset"))
+    """One row: the score that the given share of the training rows exceeds.
+
+    Scores count at six decimals, which leaves at most a million different ones of which
+    the exact percentile is found from counts, whatever the number of rows.
+    """
+    counts = scores.groupBy(F.round(score, OFFSET_DECIMALS).alias("s")).agg(F.count(score).alias("n"))
+    return counts.filter("s is not null").agg(
+        F.percentile("s", F.lit(1.0 - contamination), F.col("n")).alias("offset"))
 
 
 @dataclass(frozen=True)
@@ -235,10 +256,6 @@ def raw_decision(vectors: DataFrame, model: Model) -> DataFrame:
         "raw_score", F.col("forest_score") - F.lit(model.offset))
 
 
-def model_nodes(nodes: DataFrame, version: str) -> DataFrame:
-    return nodes.select(F.lit(version).alias("version"), *FOREST_NODE.names)
-
-
 def restore(spark: SparkSession, nodes: DataFrame, registry_row) -> Model:
     """Model of a registry row from the stored node table."""
     own = nodes.filter(F.col("version") == registry_row["version"])

@@ -24,6 +24,8 @@ NO_SYSCALL = "syscall is required"
 FIRST_WRITE = ("timestamp", "process_name", "syscall", "pid", "args")
 
 
+# Where a message stands in its topic.
+COORDINATES = ("topic", "partition", "offset")
 WHITESPACE = " \t\n\r\f\v"
 
 
@@ -90,7 +92,19 @@ def new_events(table: DataFrame, incoming: DataFrame) -> DataFrame:
     return insert_if_absent(table, incoming, "event_id", order)
 
 
-def process(events: DataFrame, as_of: str | datetime | Column, dedup: bool = True) -> DataFrame:
-    """Runtime events to processed events in one plan."""
-    usable = with_defaults(valid_events(events), as_of)
-    return enrich(first_write(usable) if dedup else usable, as_of)
+def process(events: DataFrame, as_of: str | datetime | Column, dedup: bool = True,
+            identity: tuple[str, ...] | None = None) -> DataFrame:
+    """Runtime events to processed events in one plan.
+
+    Only events that came with an id are de-duplicated; those without one are events of
+    their own, however alike. Their ids are made of the columns ``identity``: by default
+    the message coordinates where the events have them, otherwise the content.
+    """
+    usable = valid_events(events)
+    if identity is None:
+        identity = COORDINATES if {*COORDINATES} <= {*events.columns} else tuple(RUNTIME_EVENT.names)
+    if not dedup:
+        return enrich(with_defaults(usable, as_of, identity), as_of)
+    named = with_defaults(first_write(usable.filter(F.col("event_id").isNotNull())), as_of, identity)
+    unnamed = with_defaults(usable.filter(F.col("event_id").isNull()), as_of, identity)
+    return enrich(named.unionByName(unnamed), as_of)

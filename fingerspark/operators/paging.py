@@ -5,32 +5,23 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from fingerspark.functions.fixed import MAX_PAGE_SIZE
-from fingerspark.operators.ordered import ordinal
 
-# Pages that end within this many rows come from a top-k: every task sends that many to one.
-SHALLOW_ROWS = 2_000
+def checked_size(size: int) -> int:
+    """A page size as given; one below 1 is refused."""
+    if size < 1:
+        raise ValueError("a page has at least one row")
+    return size
 
 
-def page_size(size: int) -> int:
-    return min(size, MAX_PAGE_SIZE)
-
-
-def page_rows(df: DataFrame, newest: str, key: str, page: int, size: int,
-              shallow_rows: int = SHALLOW_ROWS) -> DataFrame:
+def page_rows(df: DataFrame, newest: str, key: str, page: int, size: int) -> DataFrame:
     """Page ``page`` (from 0) of ``df``, newest ``newest`` first, then by the unique ``key``.
 
-    Near pages are a top-k: every task keeps its best rows only. For pages further down,
-    rows are counted per hour first. That tells which hours the page lies in, so just
-    those are read again, as a time range the scan can prune by, and numbered in range
-    partitioned slices.
+    Rows without a time come last. Rows are counted per hour first, which tells the hours
+    that the page lies in. Only these are read again, as a time range that the scan can
+    prune by, so the top-k that follows is as deep as an hour, however far down the page.
     """
-    size = page_size(size)
-    first, last = page * size, (page + 1) * size
-    order = [F.desc(newest), F.col(key)]
-    if last <= shallow_rows:
-        return df.orderBy(*order).offset(first).limit(size)
-    newest_first = Window.orderBy(F.desc("hour"))
+    first, last = page * checked_size(size), (page + 1) * size
+    newest_first = Window.orderBy(F.desc_nulls_last("hour"))
     hours = df.groupBy(F.date_trunc("HOUR", newest).alias("hour")).count().withColumn(
         "seen", F.sum("count").over(newest_first))
     ahead = F.col("seen") - F.col("count")
@@ -38,19 +29,22 @@ def page_rows(df: DataFrame, newest: str, key: str, page: int, size: int,
     bounds = hours.filter((F.col("seen") > first) & (ahead < last)).agg(
         F.min("hour").cast(flavour).cast("string").alias("low"),
         (F.max("hour") + F.make_dt_interval(hours=F.lit(1))).cast(flavour).cast("string").alias("high"),
-        F.min(ahead).alias("skipped")).first()
-    if bounds["low"] is None:
+        F.max(F.col("hour").isNull()).alias("timeless"), F.min(ahead).alias("skipped")).first()
+    if bounds["skipped"] is None:
         return df.limit(0)
-    low, high = (F.lit(bounds[b]).cast(flavour) for b in ("low", "high"))
-    within = df.filter((F.col(newest) >= low) & (F.col(newest) < high))
-    nth = F.col("_nth") + F.lit(bounds["skipped"])
-    numbered = ordinal(within, [], order, "_nth")
-    return numbered.filter((nth > first) & (nth <= last)).drop("_nth")
+    within = F.lit(False)
+    if bounds["low"] is not None:
+        low, high = (F.lit(bounds[b]).cast(flavour) for b in ("low", "high"))
+        within = (F.col(newest) >= low) & (F.col(newest) < high)
+    if bounds["timeless"]:
+        within = F.coalesce(within, F.lit(False)) | F.col(newest).isNull()
+    return df.filter(within).orderBy(F.desc_nulls_last(newest), F.col(key)).offset(
+        first - bounds["skipped"]).limit(size)
 
 
 def page_envelope(df: DataFrame, page: int, size: int) -> DataFrame:
     """One row: page, size, total_elements, total_pages, has_next."""
-    size = page_size(size)
+    size = checked_size(size)
     total = F.col("total_elements")
     pages = F.ceil(total / F.lit(size)).cast("int")
     return df.agg(F.count("*").alias("total_elements")).select(

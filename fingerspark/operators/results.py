@@ -7,10 +7,12 @@ from datetime import datetime
 from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 
-from fingerspark.functions.fixed import NO_MODEL_VERSION, SEVERITY_TIERS
+from fingerspark.functions.fixed import FEATURE_COUNT, NO_MODEL_VERSION, SEVERITY_TIERS
 from fingerspark.functions.scoring import (
     anomaly_description,
+    clean_vector,
     csv_of,
+    has_vector_length,
     is_anomalous,
     severity,
     stable_id,
@@ -21,6 +23,8 @@ from fingerspark.operators.baseline import contributing_features
 from fingerspark.operators.forest import Model, raw_decision
 from fingerspark.sources.schemas import ANOMALY_RESULT, conform
 
+WRONG_LENGTH = f"features must have {FEATURE_COUNT} values"
+
 
 def decide(scored: DataFrame, raw: str = "raw_score") -> DataFrame:
     """Score, flag and severity of a raw decision value.
@@ -49,13 +53,30 @@ def assemble(decided: DataFrame, version: str, detected_at: str | datetime | Col
     return conform(result, ANOMALY_RESULT)
 
 
+def scorable(vectors: DataFrame) -> DataFrame:
+    """Vectors of full length, with NaN and infinities as 0: for scores and moments alike."""
+    usable = vectors.filter(has_vector_length(F.col("features")))
+    return usable.withColumn("features", clean_vector(F.col("features")))
+
+
+def unscorable(vectors: DataFrame, received_at: str | datetime | Column) -> DataFrame:
+    """Dead letters of the vectors that cannot be scored: raw text, reason, time."""
+    bad = vectors.filter(~has_vector_length(F.col("features")))
+    return bad.select("vector_id", F.to_json(F.struct(*bad.columns)).alias("raw"),
+                      F.lit(WRONG_LENGTH).alias("reason"), instant(received_at).alias("received_at"))
+
+
 def score_vectors(vectors: DataFrame, model: Model | None, detected_at: str | datetime | Column,
                   images: DataFrame | None = None, overall: DataFrame | None = None,
                   image_blocks_overall: bool = False) -> DataFrame:
-    """Results of feature vectors under a model; neutral results while there is none."""
+    """Results of feature vectors under a model; neutral results while there is none.
+
+    Vectors of wrong length or without features get no result; ``unscorable`` has them.
+    """
+    usable = scorable(vectors)
     if model is None:
-        return unscored(vectors, detected_at)
-    decided = decide(raw_decision(vectors, model))
+        return unscored(usable, detected_at)
+    decided = decide(raw_decision(usable, model))
     explained = contributing_features(
         decided, images, overall, image_blocks_overall=image_blocks_overall)
     return assemble(explained, model.version, detected_at)

@@ -13,13 +13,16 @@ from fingerspark.operators.paging import by_id, page_rows
 from fingerspark.operators.results import stored_form
 from fingerspark.plans import telemetry
 from fingerspark.plans.check_sql import ALERTS, NOW, PROFILES, RESULTS, RUNTIME, risk
-from fingerspark.plans.feature_queries import off_ties, rounded
+from fingerspark.plans.feature_queries import rounded
 from fingerspark.plans.registered import query
 from fingerspark.plans.telemetry import AS_OF, anomaly_results, read
+from fingerspark.sources.tables import durable
 
 RESULT = ("result_id, vector_id, container_id, detected_at, anomaly_score, is_anomalous, severity, "
           "model_version, contributing_features")
 _MONTH = "2024-01-01 00:00:00"
+# Decimals of shown averages of scores.
+SCORE_DIGITS = 10
 
 
 def _shown(df: DataFrame) -> DataFrame:
@@ -35,7 +38,7 @@ def anomaly_page(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(f"""WITH {RESULTS} SELECT {RESULT} FROM results
 WHERE detected_at BETWEEN TIMESTAMP '{_MONTH}' AND {NOW} AND severity = 'HIGH' AND container_id = 'c7'
-ORDER BY detected_at DESC, result_id LIMIT 200""")
+ORDER BY detected_at DESC, result_id LIMIT 500""")
 def anomaly_page_filtered(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _shown(analytics.anomaly_page(
         anomaly_results(spark, sf_dir), AS_OF, page=0, size=500, severity="high",
@@ -46,9 +49,33 @@ def anomaly_page_filtered(spark: SparkSession, sf_dir: str) -> DataFrame:
 WHERE detected_at BETWEEN TIMESTAMP '{_MONTH}' AND {NOW}
 ORDER BY detected_at DESC, result_id LIMIT 200 OFFSET 400""")
 def anomaly_page_deep(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A page fetched the way pages far down are: hours counted, then numbered."""
+    """A page far down."""
     found = analytics.find_anomalies(anomaly_results(spark, sf_dir), AS_OF, start=_MONTH)
-    return _shown(page_rows(found, "detected_at", "result_id", 2, 200, shallow_rows=0))
+    return _shown(page_rows(found, "detected_at", "result_id", 2, 200))
+
+
+def _timeless(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Results of which those of container c3 have no time."""
+    none = F.lit(None).cast("timestamp_ntz")
+    return anomaly_results(spark, sf_dir).withColumn(
+        "detected_at", F.when(F.col("container_id") == "c3", none).otherwise(F.col("detected_at")))
+
+
+_TIMELESS = f"""WITH {RESULTS},
+timeless AS (SELECT * REPLACE (CASE WHEN container_id <> 'c3' THEN detected_at END AS detected_at) FROM results)
+SELECT result_id, detected_at FROM timeless ORDER BY detected_at DESC NULLS LAST, result_id"""
+
+
+@query(f"{_TIMELESS} LIMIT 900 OFFSET (SELECT count(*) // 900 * 900 FROM results)")
+def anomaly_page_last(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The last page, where rows without a time stand."""
+    found = durable(_timeless(spark, sf_dir))
+    return page_rows(found, "detected_at", "result_id", found.count() // 900, 900).select("result_id", "detected_at")
+
+
+@query(f"{_TIMELESS} LIMIT 900")
+def anomaly_page_first(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return page_rows(_timeless(spark, sf_dir), "detected_at", "result_id", 0, 900).select("result_id", "detected_at")
 
 
 @query(f"""WITH {RESULTS}
@@ -66,14 +93,14 @@ def anomaly_by_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(f"""WITH {RESULTS}
 SELECT count(*) FILTER (is_anomalous) AS total_anomalies, count(*) AS total_scored,
-       round(coalesce(avg(anomaly_score), 0) + 1e-9, 6) AS avg_anomaly_score,
+       round(coalesce(avg(anomaly_score), 0), 10) AS avg_anomaly_score,
        count(*) FILTER (severity = 'CRITICAL') AS critical_count, count(*) FILTER (severity = 'HIGH') AS high_count,
        count(DISTINCT CASE WHEN is_anomalous THEN container_id END) AS affected_containers,
        TIMESTAMP '{_MONTH}' AS since, {NOW} AS generated_at
 FROM results WHERE detected_at > TIMESTAMP '{_MONTH}'""")
 def anomaly_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return rounded(off_ties(analytics.stats(
-        anomaly_results(spark, sf_dir), _MONTH, AS_OF), "avg_anomaly_score"), "avg_anomaly_score")
+    found = analytics.stats(anomaly_results(spark, sf_dir), _MONTH, AS_OF)
+    return rounded(found, "avg_anomaly_score", digits=SCORE_DIGITS)
 
 
 def _bucket(minutes: int) -> str:
@@ -83,12 +110,12 @@ def _bucket(minutes: int) -> str:
 def _trend_sql(minutes: int, low: str) -> str:
     return f"""WITH {RESULTS}
 SELECT {_bucket(minutes)} AS bucket, count(*) AS total, count(*) FILTER (is_anomalous) AS anomalies,
-       round(avg(anomaly_score) + 1e-9, 6) AS avg_score
+       round(avg(anomaly_score), 10) AS avg_score
 FROM results WHERE detected_at BETWEEN {low} AND {NOW} GROUP BY 1"""
 
 
 def shown_averages(df: DataFrame) -> DataFrame:
-    return rounded(off_ties(df, "avg_score"), "avg_score")
+    return rounded(df, "avg_score", digits=SCORE_DIGITS)
 
 
 @query(_trend_sql(15, f"{NOW} - INTERVAL 24 HOUR"))
@@ -102,8 +129,8 @@ def anomaly_trend_odd_bucket(spark: SparkSession, sf_dir: str) -> DataFrame:
         anomaly_results(spark, sf_dir), AS_OF, bucket_minutes=7, start=_MONTH))
 
 
-@query(_trend_sql(1440, f"TIMESTAMP '{_MONTH}'"))
-def anomaly_trend_clamped(spark: SparkSession, sf_dir: str) -> DataFrame:
+@query(_trend_sql(9999, f"TIMESTAMP '{_MONTH}'"))
+def anomaly_trend_whole_hours(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shown_averages(analytics.anomaly_trend(
         anomaly_results(spark, sf_dir), AS_OF, bucket_minutes=9999, start=_MONTH))
 
@@ -116,7 +143,7 @@ def severity_over_time(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(f"""WITH {RESULTS}
-SELECT container_id, count(*) AS anomaly_count, max(anomaly_score) AS max_score, round(avg(anomaly_score) + 1e-9, 6) AS avg_score,
+SELECT container_id, count(*) AS anomaly_count, max(anomaly_score) AS max_score, round(avg(anomaly_score), 10) AS avg_score,
        CASE max(CASE severity WHEN 'CRITICAL' THEN 4 WHEN 'HIGH' THEN 3 WHEN 'MEDIUM' THEN 2 ELSE 1 END)
             WHEN 4 THEN 'CRITICAL' WHEN 3 THEN 'HIGH' WHEN 2 THEN 'MEDIUM' ELSE 'LOW' END AS worst_severity,
        max(severity) AS max_severity_lex
@@ -130,12 +157,12 @@ def top_risky_containers(spark: SparkSession, sf_dir: str) -> DataFrame:
 PROFILE = ("container_id, first_seen, last_seen, total_events, total_anomalies, anomaly_rate, "
            "avg_anomaly_score, max_anomaly_score, risk_level")
 SQL_PROFILE = PROFILE.replace("anomaly_rate", "round(anomaly_rate, 6) AS anomaly_rate").replace(
-    "avg_anomaly_score", "round(avg_anomaly_score + 1e-9, 6) AS avg_anomaly_score")
+    "avg_anomaly_score", "round(avg_anomaly_score, 10) AS avg_anomaly_score")
 
 
 def shown_profiles(df: DataFrame) -> DataFrame:
-    shown = off_ties(df.select(*PROFILE.split(", ")), "avg_anomaly_score")
-    return rounded(shown, "anomaly_rate", "avg_anomaly_score")
+    shown = rounded(df.select(*PROFILE.split(", ")), "anomaly_rate")
+    return rounded(shown, "avg_anomaly_score", digits=SCORE_DIGITS)
 
 
 @query(f"WITH {RESULTS}, {PROFILES} SELECT {SQL_PROFILE} FROM profiles")
@@ -146,30 +173,32 @@ def container_profiles(spark: SparkSession, sf_dir: str) -> DataFrame:
 _SPLIT = "2024-01-20 00:00:00"
 
 
-_SOME_RESULTS = f"""FROM results
-  WHERE NOT (container_id = 'c1' AND detected_at >= TIMESTAMP '{_SPLIT}')
-    AND NOT (container_id = 'c2' AND detected_at < TIMESTAMP '{_SPLIT}')"""
-
-
-@query(f"""WITH {RESULTS}, {PROFILES.replace('FROM results', _SOME_RESULTS)}
-SELECT {SQL_PROFILE} FROM profiles""")
+@query(f"""WITH {RESULTS}, {PROFILES} SELECT {SQL_PROFILE} FROM profiles
+UNION ALL SELECT 'early only', TIMESTAMP '{_MONTH}', TIMESTAMP '{_MONTH}', 1, 1, 1e0, 0.9e0, 0.9e0, {risk('1e0', '0.9e0')}
+UNION ALL SELECT 'late only', {NOW}, {NOW}, 1, 0, 0e0, 0.2e0, 0.2e0, {risk('0e0', '0.2e0')}""")
 def profile_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Stored profiles plus later results; one container has no news, another is new."""
+    """Stored profiles plus later results; besides, a container without news and a new one."""
     results = anomaly_results(spark, sf_dir)
     early = F.col("detected_at") < F.lit(_SPLIT).cast("timestamp_ntz")
-    state = profiles.container_profiles(results.filter(early & (F.col("container_id") != "c2")))
-    delta = profiles.profile_delta(results.filter(~early & (F.col("container_id") != "c1")))
+
+    def single(container: str, at: str, score: float, flag: bool) -> DataFrame:
+        one = results.orderBy("result_id").limit(1)
+        return one.withColumns({"container_id": F.lit(container), "detected_at": F.lit(at).cast("timestamp_ntz"),
+                                "anomaly_score": F.lit(score), "is_anomalous": F.lit(flag)})
+
+    state = profiles.container_profiles(results.filter(early).unionByName(single("early only", _MONTH, 0.9, True)))
+    delta = profiles.profile_delta(results.filter(~early).unionByName(single("late only", AS_OF, 0.2, False)))
     return shown_profiles(profiles.merge_profiles(state, delta))
 
 
 @query(f"""WITH {RESULTS}
-SELECT result_id, container_id, count(*) OVER w AS seen, round(avg(anomaly_score) OVER w + 1e-9, 6) AS running_avg
+SELECT result_id, container_id, count(*) OVER w AS seen, round(avg(anomaly_score) OVER w, 10) AS running_avg
 FROM results
 WINDOW w AS (PARTITION BY container_id ORDER BY detected_at, result_id ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)""")
 def profile_running_score(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = profiles.score_trajectory(anomaly_results(spark, sf_dir))
     shown = path.select("result_id", "container_id", "seen", "running_avg")
-    return rounded(off_ties(shown, "running_avg"), "running_avg")
+    return rounded(shown, "running_avg", digits=SCORE_DIGITS)
 
 
 @query(f"""WITH {RUNTIME},

@@ -32,13 +32,8 @@ def rounded(df: DataFrame, *columns: str, digits: int = 6) -> DataFrame:
     return df.withColumns({c: F.round(c, digits) for c in columns})
 
 
-# Means of few ratios often end exactly on half a unit of the last digit shown. A shift far
-# below that digit makes both engines round such values the same way.
-_OFF_TIES = 1e-9
-
-
-def off_ties(df: DataFrame, *columns: str) -> DataFrame:
-    return df.withColumns({c: F.col(c) + F.lit(_OFF_TIES) for c in columns})
+# Decimals of shown means and deviations.
+_DIGITS = 9
 
 
 _DOUBLES = [n for n in FEATURE_NAMES if not n.startswith("unique_")]
@@ -157,15 +152,14 @@ def clean_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 _GLOBAL = f"""WITH {VECTORS}, {LONG}
-SELECT pos, feature, count(*) AS n, round(avg(value) + {_OFF_TIES}, 6) AS mean,
-       round(greatest(stddev_pop(value), 1e-8) + {_OFF_TIES}, 6) AS std
+SELECT pos, feature, count(*) AS n, round(avg(value), {_DIGITS}) AS mean,
+       round(greatest(stddev_pop(value), 1e-8), {_DIGITS}) AS std
 FROM long GROUP BY pos, feature"""
 
 
 def _long_baseline(df: DataFrame) -> DataFrame:
     rows = baseline.baseline_rows(df)
-    shown = off_ties(rows.withColumn("pos", F.col("pos").cast("bigint")), "mean", "std")
-    return rounded(shown, "mean", "std")
+    return rounded(rows.withColumn("pos", F.col("pos").cast("bigint")), "mean", "std", digits=_DIGITS)
 
 
 @query(_GLOBAL)
@@ -173,8 +167,8 @@ def global_baseline(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _long_baseline(baseline.global_baseline(feature_vectors(spark, sf_dir)))
 
 
-_IMAGE = f"""SELECT image_name, pos, feature, count(*) AS n, round(avg(value) + {_OFF_TIES}, 6) AS mean,
-       CASE WHEN count(*) > 1 THEN round(sqrt(greatest(var_samp(value), 1e-8)) + {_OFF_TIES}, 6) END AS std
+_IMAGE = f"""SELECT image_name, pos, feature, count(*) AS n, round(avg(value), {_DIGITS}) AS mean,
+       CASE WHEN count(*) > 1 THEN round(sqrt(greatest(var_samp(value), 1e-8)), {_DIGITS}) END AS std
 FROM long GROUP BY image_name, pos, feature"""
 
 
@@ -193,9 +187,9 @@ def image_baseline_merged(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(f"""WITH {VECTORS}, {LONG}
-SELECT vector_id, pos, count(*) OVER w AS n, round(avg(value) OVER w + {_OFF_TIES}, 6) AS mean,
+SELECT vector_id, pos, count(*) OVER w AS n, round(avg(value) OVER w, {_DIGITS}) AS mean,
        CASE WHEN count(*) OVER w > 1
-            THEN round(sqrt(greatest(var_samp(value) OVER w, 1e-8)) + {_OFF_TIES}, 6) END AS std
+            THEN round(sqrt(greatest(var_samp(value) OVER w, 1e-8)), {_DIGITS}) END AS std
 FROM long
 WINDOW w AS (PARTITION BY image_name, pos ORDER BY window_end, vector_id
              ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)""")
@@ -203,7 +197,7 @@ def online_image_baseline(spark: SparkSession, sf_dir: str) -> DataFrame:
     online = baseline.online_image_baseline(stored_vectors(spark, sf_dir))
     rows = baseline.baseline_rows(online).select(
         "vector_id", F.col("pos").cast("bigint").alias("pos"), "n", "mean", "std")
-    return rounded(off_ties(rows, "mean", "std"), "mean", "std")
+    return rounded(rows, "mean", "std", digits=_DIGITS)
 
 
 _MIDDLE = "2024-01-16 00:00:00"
@@ -253,7 +247,17 @@ def contributing_features_raw(spark: SparkSession, sf_dir: str) -> DataFrame:
     return explained.select("vector_id", F.concat_ws(",", "contributing_features").alias("contributing_features"))
 
 
+@query(f"WITH {VECTORS} SELECT vector_id, window_end FROM vectors")
+def training_buffer(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return baseline.training_buffer(feature_vectors(spark, sf_dir)).select("vector_id", "window_end")
+
+
+@query(f"""WITH {VECTORS} SELECT vector_id, window_end FROM vectors WHERE window_end >= TIMESTAMP '{_MIDDLE}'""")
+def training_buffer_since(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return baseline.training_buffer(feature_vectors(spark, sf_dir), since=_MIDDLE).select("vector_id", "window_end")
+
+
 @query(f"""WITH {VECTORS}
 SELECT vector_id, window_end FROM vectors ORDER BY window_end DESC, vector_id LIMIT 200""")
-def training_buffer(spark: SparkSession, sf_dir: str) -> DataFrame:
+def training_buffer_newest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return baseline.training_buffer(stored_vectors(spark, sf_dir), size=200).select("vector_id", "window_end")

@@ -20,35 +20,40 @@ from fingerspark.plans.telemetry import AS_OF, anomaly_results, feature_vectors,
 from fingerspark.sources.schemas import FOREST_NODE
 from fingerspark.sources.tables import durable
 
-# Sizes that suit the few windows of the given tables; the operators default to the
-# full model (200 trees of 1024 rows, trained on the newest 50,000 vectors).
-TREES, SAMPLE, MINIMUM = 50, 64, 20
+# Trees, rows of a tree, and rows to train on at least.
+TREES, SAMPLE, MINIMUM = 200, 1024, 100
 
 
 def _training(vectors: DataFrame) -> DataFrame:
     return durable(baseline.training_buffer(vectors))
 
 
-@query(f"""WITH {VECTORS},
-indexed AS (SELECT vector_id, row_number() OVER (ORDER BY md5(concat_ws('|', '42', vector_id)), vector_id) - 1 AS i
-            FROM vectors),
-size AS (SELECT count(*) AS n, least(count(*), {SAMPLE}) AS runs FROM vectors),
-slots AS (SELECT tree_id, n, runs, unnest(range(runs)) AS run
-          FROM size, (SELECT unnest(range({TREES})) AS tree_id)),
-picks AS (SELECT tree_id, run * n // runs + CAST(concat('0x', substr(md5(concat_ws('|', '42', tree_id, run)), 1, 8)) AS BIGINT)
-                 % ((run + 1) * n // runs - run * n // runs) AS i FROM slots)
-SELECT CAST(tree_id AS INT) AS tree_id, vector_id FROM picks JOIN indexed USING (i)""")
+_SAMPLE_SQL = """WITH {vectors},
+drawn AS (SELECT tree_id, vector_id,
+                 CAST(concat('0x', substr(md5(concat_ws('|', '42', tree_id, vector_id)), 1, 8)) AS BIGINT) AS number
+          FROM vectors, (SELECT unnest(range({trees})) AS tree_id)),
+ranked AS (SELECT *, row_number() OVER (PARTITION BY tree_id ORDER BY number, vector_id) AS nth FROM drawn)
+SELECT CAST(tree_id AS INT) AS tree_id, vector_id FROM ranked WHERE nth <= {sample}"""
+
+
+@query(_SAMPLE_SQL.format(vectors=VECTORS, trees=TREES, sample=SAMPLE))
 def tree_samples(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return forest.tree_samples(_training(stored_vectors(spark, sf_dir)), TREES, SAMPLE).select("tree_id", "vector_id")
+    return forest.tree_samples(_training(stored_vectors(spark, sf_dir))).select("tree_id", "vector_id")
+
+
+@query(_SAMPLE_SQL.format(vectors=VECTORS, trees=20, sample=64))
+def tree_samples_of_many(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fewer rows a tree than there are vectors, so that the draw decides."""
+    return forest.tree_samples(_training(stored_vectors(spark, sf_dir)), 20, 64).select("tree_id", "vector_id")
 
 
 @query()
 def forest_nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return forest.grow_forest(forest.tree_samples(_training(stored_vectors(spark, sf_dir)), TREES, SAMPLE))
+    return forest.grow_forest(forest.tree_samples(_training(stored_vectors(spark, sf_dir))))
 
 
 def _model(vectors: DataFrame) -> forest.Model:
-    trained = forest.train(_training(vectors), "20240131000000", TREES, SAMPLE, minimum=MINIMUM)
+    trained = forest.train(_training(vectors), "20240131000000")
     if trained is None:
         raise ValueError("too few vectors to train on")
     return trained[0]
@@ -56,7 +61,7 @@ def _model(vectors: DataFrame) -> forest.Model:
 
 @query()
 def forest_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Train on the newest vectors, then score all of them."""
+    """Train on all vectors, then score them."""
     vectors = stored_vectors(spark, sf_dir)
     scored = results.decide(forest.raw_decision(vectors, _model(vectors)))
     return scored.select("vector_id", "forest_score", "anomaly_score", "is_anomalous", "severity")
@@ -146,6 +151,28 @@ def anomaly_results_from_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     return results.stored_form(assembled).drop("window_start", "window_end")
 
 
+_DAMAGE = "substr(vector_id, 1, 1)"
+
+
+@query(f"""WITH {VECTORS},
+damaged AS (SELECT vector_id, {_DAMAGE} AS d FROM vectors)
+SELECT vector_id, d NOT IN ('0', '1') AS scored, CASE WHEN d IN ('0', '1') THEN 'features must have 18 values' END AS reason,
+       CASE WHEN d NOT IN ('0', '1') THEN 'NONE' END AS severity FROM damaged""")
+def unscorable_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Vectors of which some are too short, null, or hold NaN and infinities: which get a result,
+    under a model that finds nothing unusual, and which go to the dead letters."""
+    vectors, d = feature_vectors(spark, sf_dir), F.expr(_DAMAGE)
+    nan, infinite = F.lit(float("nan")), F.lit(float("inf"))
+    damaged = vectors.withColumn("features", F.when(d == "0", F.slice("features", 1, 17)).when(
+        d == "2", F.transform("features", lambda x: x * nan)).when(
+        d == "3", F.transform("features", lambda x: x + infinite)).when(d != "1", F.col("features")))
+    model = forest.Model("20240131000000", forest.load_forest(spark.createDataFrame(FIXED_FOREST, FOREST_NODE)), 2.0, 8)
+    found = results.score_vectors(damaged, model, AS_OF).select(
+        "vector_id", F.lit(True).alias("scored"), F.lit(None).cast("string").alias("reason"), "severity")
+    return found.unionByName(results.unscorable(damaged, AS_OF).select(
+        "vector_id", F.lit(False).alias("scored"), "reason", F.lit(None).cast("string").alias("severity")))
+
+
 @query(f"""WITH {VECTORS}
 SELECT vector_id, 0e0 AS anomaly_score, FALSE AS is_anomalous, 'LOW' AS severity, 'none' AS model_version,
        'Normal behavior observed' AS description FROM vectors""")
@@ -212,10 +239,8 @@ def scoring_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _labelled(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Results labelled by the kind of the event behind them; errors and purchases are attacks."""
-    kinds = read(spark, sf_dir, "events").select(
-        F.concat(F.lit("r-"), F.col("event_id").cast("string")).alias("result_id"), "event_type")
     attack = F.when(F.col("event_type").isin("error", "purchase"), F.col("event_type"))
-    return anomaly_results(spark, sf_dir).join(kinds, "result_id").withColumns(
+    return anomaly_results(spark, sf_dir, keep=("event_type",)).withColumns(
         {"attack": attack, "is_attack": attack.isNotNull()})
 
 

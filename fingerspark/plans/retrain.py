@@ -11,14 +11,13 @@ from pyspark.sql import types as T
 from fingerspark.functions.fixed import (
     MIN_TRAINING_ROWS,
     SUBSAMPLE_SIZE,
-    TRAINING_BUFFER_SIZE,
     TREE_COUNT,
 )
 from fingerspark.operators.baseline import drift_score, global_baseline, training_buffer
 from fingerspark.operators.forest import Model, restore, train
 from fingerspark.operators.registry import latest_model, registry_entry, version_of
 from fingerspark.sources.schemas import FOREST_NODE, MODEL_REGISTRY, columns
-from fingerspark.sources.tables import durable
+from fingerspark.sources.tables import durable, empty_if_missing
 
 VERSION = T.StructField("version", T.StringType())
 BASELINE = columns("n bigint, mean array<double>, std array<double>")
@@ -31,8 +30,8 @@ def read_versions(spark: SparkSession, root: str, table: str) -> DataFrame:
     schema = T.StructType(own[table].fields + [VERSION])
     try:
         return spark.read.schema(schema).parquet(f"{root}/{table}")
-    except AnalysisException:
-        return spark.createDataFrame([], schema)
+    except AnalysisException as error:
+        return empty_if_missing(spark, error, schema)
 
 
 def _store(df: DataFrame, root: str, table: str, version: str) -> None:
@@ -44,9 +43,9 @@ def latest_baseline(spark: SparkSession, root: str) -> DataFrame:
 
 
 def retrain(vectors: DataFrame, root: str, as_of: datetime, trees: int = TREE_COUNT,
-            sample_size: int = SUBSAMPLE_SIZE, buffer_size: int = TRAINING_BUFFER_SIZE,
+            sample_size: int = SUBSAMPLE_SIZE, buffer_size: int | None = None,
             minimum: int = MIN_TRAINING_ROWS) -> Model | None:
-    """Train on the newest vectors and store nodes, baseline and registry row under ``root``.
+    """Train on all vectors, or the newest ``buffer_size``, and store nodes, baseline and registry row under ``root``.
 
     Drift is measured against the baseline of the model before. The registry row is
     written last, so a version that shows there is complete. None without enough data.

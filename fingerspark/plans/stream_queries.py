@@ -71,7 +71,7 @@ def stream_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     vectors = feature_vectors(spark, sf_dir)
     zoned = vectors.withColumns({c: F.col(c).cast("timestamp") for c in ("window_start", "window_end")})
     zoned.write.parquet(f"{root}/incoming")
-    retrain(spark.read.parquet(f"{root}/incoming"), root, telemetry.AS_OF_TIME, trees=50, sample_size=64, minimum=20)
+    retrain(spark.read.parquet(f"{root}/incoming"), root, telemetry.AS_OF_TIME)
     incoming = read_file_stream(spark, f"{root}/incoming", zoned.schema)
     sink = jobs.detection_sink(root, F.col("window_end"))
     jobs.start_batches(incoming, sink, f"{root}/checkpoint", available_now=True).awaitTermination()

@@ -114,10 +114,11 @@ def stored_vectors(spark: SparkSession, sf_dir: str, seconds: int = WINDOW) -> D
     return durable(feature_vectors(spark, sf_dir, seconds))
 
 
-def anomaly_results(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Results with score k/100, which visits every tier and its edges."""
+def anomaly_results(spark: SparkSession, sf_dir: str, keep: tuple[str, ...] = ()) -> DataFrame:
+    """Results with score k/100, which visits every tier and its edges; ``keep`` names
+    columns of the event that are kept besides."""
     based = read(spark, sf_dir, "events").selectExpr(
-        "event_id", "ts", "user_id", "CAST(regexp_extract(props, '([0-9]+)', 1) AS INT) AS k",
+        "event_id", "ts", "user_id", *keep, "CAST(regexp_extract(props, '([0-9]+)', 1) AS INT) AS k",
         "CAST(regexp_extract(props, '([0-9]+)', 1) AS DOUBLE) / 100D AS anomaly_score")
     score = F.col("anomaly_score")
     scored = based.select(
@@ -130,8 +131,11 @@ def anomaly_results(spark: SparkSession, sf_dir: str) -> DataFrame:
         severity(score).alias("severity"),
         F.lit("20240101000000").alias("model_version"),
         F.expr(f"array({_pick(FEATURE_NAMES, 'k')}, {_pick(FEATURE_NAMES, 'k + 5')}) AS contributing_features"),
+        *keep,
     )
-    return conform(scored, ANOMALY_RESULT)
+    result = conform(scored, ANOMALY_RESULT)
+    return result if not keep else scored.select(*[
+        F.col(c) if c in scored.columns else F.lit(None).alias(c) for c in result.columns], *keep)
 
 
 def cgroup_lines(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -15,6 +15,8 @@ from fingerspark.functions.fixed import RETENTION_DAYS
 from fingerspark.functions.timing import before
 
 BATCH = "batch_id"
+# Conditions of a path without a table: no folder, or a folder without files.
+NOTHING_STORED = ("PATH_NOT_FOUND", "UNABLE_TO_INFER_SCHEMA")
 
 
 def shared_folder(spark: SparkSession) -> str:
@@ -70,10 +72,16 @@ def write_batch(df: DataFrame, path: str, batch_id: int) -> None:
 def read_batches(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
     """All batches of a table, empty when none has been written."""
     try:
-        df = spark.read.option("mergeSchema", "false").parquet(path)
-    except AnalysisException:
-        return spark.createDataFrame([], schema)
-    return df
+        return spark.read.option("mergeSchema", "false").parquet(path)
+    except AnalysisException as error:
+        return empty_if_missing(spark, error, schema)
+
+
+def empty_if_missing(spark: SparkSession, error: AnalysisException, schema: T.StructType) -> DataFrame:
+    """An empty table where the error says that nothing is stored; any other error goes on."""
+    if error.getCondition() not in NOTHING_STORED:
+        raise error
+    return spark.createDataFrame([], schema)
 
 
 def snapshot_before(spark: SparkSession, path: str, batch_id: int,

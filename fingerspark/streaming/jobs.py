@@ -15,7 +15,7 @@ from fingerspark.operators.features import window_features
 from fingerspark.operators.forest import Model
 from fingerspark.operators.ingest import dead_letters, enrich, valid_events, with_defaults
 from fingerspark.operators.profiles import merge_profiles, profile_delta
-from fingerspark.operators.results import score_vectors
+from fingerspark.operators.results import scorable, score_vectors, unscorable
 from fingerspark.plans.retrain import current_model, latest_baseline
 from fingerspark.sources.schemas import ANOMALY_RESULT, CONTAINER_PROFILE, RUNTIME_EVENT, columns
 from fingerspark.sources.tables import BATCH, snapshot_before, write_batch
@@ -96,13 +96,15 @@ def detection_sink(root: str, detected_at: Column | None = None) -> Callable[[Da
     def sink(batch: DataFrame, batch_id: int) -> None:
         spark = batch.sparkSession
         write_batch(batch, f"{root}/feature_vectors", batch_id)
-        vectors = spark.read.schema(batch.schema).parquet(f"{root}/feature_vectors/{BATCH}={batch_id}")
+        stored = spark.read.schema(batch.schema).parquet(f"{root}/feature_vectors/{BATCH}={batch_id}")
+        stamp = detected_at if detected_at is not None else F.current_timestamp()
+        write_batch(unscorable(stored, stamp), f"{root}/vector_dead_letters", batch_id)
+        vectors = scorable(stored)
         moments = snapshot_before(spark, f"{root}/image_moments", batch_id, IMAGE_MOMENTS)
         write_batch(merge_moments(moments, image_moments(vectors)), f"{root}/image_moments", batch_id)
         images = baseline_of_moments(
             spark.read.schema(IMAGE_MOMENTS).parquet(f"{root}/image_moments/{BATCH}={batch_id}"))
         known["model"] = current_model(spark, root, known["model"])
-        stamp = detected_at if detected_at is not None else F.current_timestamp()
         overall = latest_baseline(spark, root) if known["model"] else None
         results = score_vectors(vectors, known["model"], stamp, images, overall)
         write_batch(results, f"{root}/anomaly_results", batch_id)
