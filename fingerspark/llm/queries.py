@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from fingerspark.llm import compression, decontamination, jaccard, licences, mixing, rules, secrets, toxicity, urls, warc
-from fingerspark.llm.texts import LOWER, TOKEN, UPPER, held_out, table
+from fingerspark.llm.texts import LOWER, TOKEN, UPPER, WORD, held_out, table
 
 #: A-Z to a-z in DuckDB.
 _LOWER = f"translate({{}}, '{UPPER}', '{LOWER}')"
@@ -83,6 +83,21 @@ def op10_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {f.__name__: f for f in (op1_mixing, op2_toxicity, op3_licences, op4_jaccard, op5_urls, op6_compression, op7_decontamination, op8_warc, op9_secrets, op10_rules)}
 CHECKS: dict[str, str] = {
+    "op4_jaccard": rf"""
+        WITH RECURSIVE doc AS (
+            SELECT row_number() OVER () AS r, doc_id,
+                   regexp_extract_all({_LOWER.format("coalesce(text, '')")}, '{WORD}') AS words FROM documents),
+        sets AS (
+            SELECT r, doc_id, CASE WHEN len(words) = 0 THEN [] WHEN len(words) < 5 THEN [words]
+                       ELSE list_distinct(list_transform(range(1, len(words) - 3), lambda i: words[i:i + 4])) END AS grams
+            FROM doc),
+        sized AS (SELECT r, doc_id, len(grams) AS n FROM sets),
+        each AS (SELECT r, unnest(grams) AS gram FROM sets),
+        shared AS (SELECT a.r AS x, b.r AS y, count(*) AS c FROM each a JOIN each b USING (gram) WHERE a.r <> b.r GROUP BY 1, 2),
+        link AS (SELECT x, y FROM shared JOIN sized p ON p.r = x JOIN sized q ON q.r = y WHERE 100 * c >= 80 * (p.n + q.n - c)),
+        reach AS (SELECT r AS x, r AS y FROM sized UNION SELECT reach.x, link.y FROM reach JOIN link ON reach.y = link.x)
+        SELECT s.doc_id, CAST(s.n AS BIGINT) AS n_shingles, min(t.doc_id) AS component_id
+        FROM sized s JOIN reach ON reach.x = s.r JOIN sized t ON t.r = reach.y GROUP BY s.r, s.doc_id, s.n""",
     "op7_decontamination": rf"""
         WITH doc AS (
             SELECT row_number() OVER () AS r, doc_id,
