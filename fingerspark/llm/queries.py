@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from fingerspark.llm import compression, decontamination, jaccard, licences, mixing, rules, secrets, toxicity, urls, warc
-from fingerspark.llm.texts import LOWER, TOKEN, UPPER, WORD, held_out, table
+from fingerspark.llm.texts import LOWER, SPACES, TOKEN, UPPER, WORD, held_out, table
 
 #: A-Z to a-z in DuckDB.
 _LOWER = f"translate({{}}, '{UPPER}', '{LOWER}')"
@@ -132,4 +132,39 @@ CHECKS: dict[str, str] = {
                     ELSE 'response' END AS record_type,
                CASE WHEN page_id IS DISTINCT FROM owner THEN owner END AS refers_to
         FROM o""",
+    "op10_rules": rf"""
+        WITH doc AS (
+            SELECT row_number() OVER () AS r, doc_id, coalesce(text, '') AS text,
+                   regexp_extract_all(coalesce(text, ''), '{WORD}') AS words,
+                   doc_id IN (SELECT doc_id FROM labels WHERE quality = 1) AS trusted FROM documents),
+        placed AS (SELECT r, trusted, unnest(words) AS word, unnest(range(1, len(words) + 1)) AS i FROM doc),
+        steps AS (SELECT list_transform(range(256), lambda i: list_reduce(list_prepend(i, range(8)), lambda c, k:
+                      CASE WHEN c & 1 = 1 THEN xor(3988292384, c >> 1) ELSE c >> 1 END)) AS crcs),
+        bytes AS (SELECT word, crcs, list_transform(range(0, length(hex(word)) // 2), lambda i:
+                      CAST(concat('0x', substr(hex(word), CAST(2 * i + 1 AS INT), 2)) AS BIGINT)) AS b
+                  FROM (SELECT DISTINCT word FROM placed), steps),
+        hashed AS (SELECT word, xor(list_reduce(list_prepend(4294967295, b), lambda c, k:
+                       xor(c >> 8, crcs[(xor(c, k) & 255) + 1])), 4294967295) AS crc FROM bytes),
+        crc AS (SELECT r, trusted, crc, lead(crc) OVER (PARTITION BY r ORDER BY i) AS after
+                FROM placed JOIN hashed USING (word)),
+        grams AS (SELECT r, trusted, crc % {rules.BUCKETS} AS bucket FROM crc
+                  UNION ALL SELECT r, trusted, (crc * {rules.PAIR_FACTOR} + after) % {rules.BUCKETS} FROM crc WHERE after IS NOT NULL),
+        counts AS (SELECT bucket, count(*) AS raw, count(*) FILTER (trusted) AS target FROM grams GROUP BY 1),
+        total AS (SELECT sum(raw) AS raws, sum(target) AS targets FROM counts),
+        ratio AS (SELECT bucket, CAST(floor(ln((target + 16e0) / (CAST(raw * targets AS DOUBLE) / CAST(raws AS DOUBLE) + 16e0))
+                      * 65536e0 + 0.5e0) AS BIGINT) AS part FROM counts, total),
+        scored AS (SELECT r, CAST(sum(part) AS DOUBLE) / (count(*) * 65536e0) AS mean FROM grams JOIN ratio USING (bucket) GROUP BY r),
+        windows AS (SELECT r, i, words[i:i + 4] AS w FROM (SELECT r, words, unnest(range(1, len(words) - 3)) AS i FROM doc)),
+        again AS (SELECT r, i FROM (SELECT r, i, count(*) OVER (PARTITION BY r, w) AS n FROM windows) WHERE n > 1),
+        repeated AS (SELECT r, count(DISTINCT p) AS n FROM (SELECT r, unnest(range(i, i + 5)) AS p FROM again) GROUP BY r),
+        counted AS (
+            SELECT r, doc_id, CAST(len(words) AS BIGINT) AS n_words, CAST(length(array_to_string(words, '')) AS BIGINT) AS word_chars,
+                   CAST(len(regexp_extract_all(text, '{rules.SYMBOLS}')) AS BIGINT) AS n_symbols,
+                   list_filter(string_split(text, chr(10)), lambda x: regexp_matches(x, '[^{SPACES}]')) AS lines,
+                   coalesce(n, 0) AS n_repeat_words, coalesce(mean, 0e0) AS log_ratio
+            FROM doc LEFT JOIN repeated USING (r) LEFT JOIN scored USING (r))
+        SELECT doc_id, n_words, word_chars, n_symbols, CAST(len(lines) - len(list_distinct(lines)) AS BIGINT) AS n_dup_lines,
+               n_repeat_words, log_ratio, n_words < 10 OR 100 * n_repeat_words > 20 * n_words AS base_failed,
+               NOT (n_words < 10 OR 100 * n_repeat_words > 20 * n_words) AND log_ratio >= -0.125e0 AS kept
+        FROM counted""",
 }
