@@ -137,8 +137,6 @@ RETENTION_DAYS = {
     "dead_letter": 30,
 }
 
-# Query limits.
-
 # Stream topics and the dead-letter suffix.
 RUNTIME_EVENTS_TOPIC = "runtime-events"
 PROCESSED_EVENTS_TOPIC = "processed-events"
@@ -148,4 +146,14 @@ DEAD_LETTER_SUFFIX = ".DLT"
 UNKNOWN_KEY = "unknown"
 HOST_CONTAINER = "host"
 NO_MODEL_VERSION = "none"
+
+# Texts of descriptions, alerts and rejections.
 NORMAL_DESCRIPTION = "Normal behavior observed"
+ANOMALOUS_DESCRIPTION = "Anomalous behavior detected (score: %.3f)"
+CONTRIBUTORS = "Top contributing features: "
+WINDOW_EVENTS = "Window contained %d events"
+ALERT_TITLE = "[%s] Anomaly detected on container %s"
+ALERT_DESCRIPTION = "score=%.4f severity=%s resultId=%s"
+UNKNOWN_SEVERITY = "UNKNOWN"
+NO_CONTAINER = "container_id is required"
+NO_SYSCALL = "syscall is required"

@@ -6,7 +6,11 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from fingerspark.functions.fixed import (
+    ALERT_DESCRIPTION,
+    ALERT_TITLE,
+    ANOMALOUS_DESCRIPTION,
     ANOMALY_THRESHOLD,
+    CONTRIBUTORS,
     FEATURE_COUNT,
     LOWEST_RISK,
     NO_SEVERITY,
@@ -14,6 +18,8 @@ from fingerspark.functions.fixed import (
     RISK_LEVELS,
     SEVERITY_RANK,
     SEVERITY_TIERS,
+    UNKNOWN_SEVERITY,
+    WINDOW_EVENTS,
 )
 
 
@@ -74,27 +80,27 @@ def anomaly_description(score: Column, anomalous: Column, features: Column,
     """Sentence shown for a result; the first three contributors are named."""
     contributors = F.when(
         F.size(features) > 0,
-        F.concat(F.lit("Top contributing features: "), F.array_join(F.slice(features, 1, 3), ", ")),
+        F.concat(F.lit(CONTRIBUTORS), F.array_join(F.slice(features, 1, 3), ", ")),
     )
     text = F.concat_ws(
         ". ",
-        F.format_string("Anomalous behavior detected (score: %.3f)", score.cast("double")),
+        F.format_string(ANOMALOUS_DESCRIPTION, score.cast("double")),
         contributors,
-        F.format_string("Window contained %d events", F.coalesce(total_events, F.lit(0)).cast("long")),
+        F.format_string(WINDOW_EVENTS, F.coalesce(total_events, F.lit(0)).cast("long")),
     )
     return F.when(anomalous, text).otherwise(NORMAL_DESCRIPTION)
 
 
 def alert_title(level: Column, container_id: Column) -> Column:
     return F.format_string(
-        "[%s] Anomaly detected on container %s", F.coalesce(level, F.lit("UNKNOWN")), container_id
+        ALERT_TITLE, F.coalesce(level, F.lit(UNKNOWN_SEVERITY)), container_id
     )
 
 
 def alert_description(score: Column, level: Column, result_id: Column) -> Column:
     return F.format_string(
-        "score=%.4f severity=%s resultId=%s",
-        F.coalesce(score.cast("double"), F.lit(0.0)), F.coalesce(level, F.lit("UNKNOWN")), result_id,
+        ALERT_DESCRIPTION,
+        F.coalesce(score.cast("double"), F.lit(0.0)), F.coalesce(level, F.lit(UNKNOWN_SEVERITY)), result_id,
     )
 
 

@@ -9,7 +9,8 @@ from fingerspark.functions.fixed import ALERTING_SEVERITIES
 from fingerspark.functions.scoring import alert_description, alert_title, stable_id
 from fingerspark.operators.keyed import first_per_key
 from fingerspark.operators.paging import equal_if_given, page_envelope, page_rows
-from fingerspark.sources.schemas import ALERT, conform
+from fingerspark.sources.schemas import ACKNOWLEDGEMENT, ALERT, conform
+from fingerspark.sources.tables import read_batches, write_batch
 from fingerspark.sources.wire import json_of
 
 
@@ -75,6 +76,17 @@ def acknowledge(alerts: DataFrame, requests: DataFrame) -> DataFrame:
     }).select(*alerts.columns, "updated")
 
 
+def store_acknowledgements(requests: DataFrame, root: str, batch_id: int) -> None:
+    """Append a batch of requests to the table of acknowledgements; a replay overwrites itself."""
+    write_batch(requests.select(*ACKNOWLEDGEMENT.names), f"{root}/acknowledgements", batch_id)
+
+
+def current_alerts(alerts: DataFrame, root: str) -> DataFrame:
+    """The stored alerts with all stored acknowledgements applied, the first of each alert."""
+    stored = read_batches(alerts.sparkSession, f"{root}/acknowledgements", ACKNOWLEDGEMENT)
+    return acknowledge(alerts, stored.select(*ACKNOWLEDGEMENT.names)).drop("updated")
+
+
 def alert_lineage(alerts: DataFrame, results: DataFrame, vectors: DataFrame) -> DataFrame:
     """Every alert with the result and the feature vector behind it."""
     scored = results.select(

@@ -7,6 +7,7 @@ from datetime import datetime
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from fingerspark.functions.fixed import NO_CONTAINER, NO_SYSCALL
 from fingerspark.functions.scoring import stable_id
 from fingerspark.functions.syscalls import (
     is_network_syscall,
@@ -17,8 +18,6 @@ from fingerspark.functions.timing import instant
 from fingerspark.operators.keyed import first_per_key, insert_if_absent
 from fingerspark.sources.schemas import PROCESSED_EVENT, RUNTIME_EVENT, conform
 
-NO_CONTAINER = "container_id is required"
-NO_SYSCALL = "syscall is required"
 # Arrival order is not part of the data; the earliest event time counts as the first
 # write and the remaining columns break ties, so every replay keeps the same row.
 FIRST_WRITE = ("timestamp", "process_name", "syscall", "pid", "args")

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from hashlib import md5
+from uuid import uuid4
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -16,7 +17,7 @@ from fingerspark.plans.check_sql import ALERTS, NOW, PROFILES, RESULTS, RUNTIME,
 from fingerspark.plans.feature_queries import rounded
 from fingerspark.plans.registered import query
 from fingerspark.plans.telemetry import AS_OF, anomaly_results, read
-from fingerspark.sources.tables import durable
+from fingerspark.sources.tables import durable, shared_folder
 
 RESULT = ("result_id, vector_id, container_id, detected_at, anomaly_score, is_anomalous, severity, "
           "model_version, contributing_features")
@@ -327,6 +328,20 @@ def alerts_acknowledged(spark: SparkSession, sf_dir: str) -> DataFrame:
         "alert_id", "acknowledged", "updated", "acknowledged_by", "acknowledged_at")
 
 
+@query(f"""WITH {RESULTS}, {ALERTS}
+SELECT alert_id, 'ann' AS acknowledged_by, created_at FROM alerts WHERE severity = 'CRITICAL'
+ORDER BY created_at DESC, alert_id LIMIT 25 OFFSET 25""")
+def alerts_acknowledged_page(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Acknowledgements stored in two batches, one of them again, then a page of the acknowledged."""
+    root = f"{shared_folder(spark)}/alerts-{uuid4().hex}"
+    raised = _alerts(spark, sf_dir)
+    wanted = _requests(raised)
+    for batch, by in ((0, "bob"), (1, "ann"), (1, "ann")):
+        alerts.store_acknowledgements(wanted.filter(F.col("acknowledged_by") == by), root, batch)
+    return alerts.alert_page(alerts.current_alerts(raised, root), page=1, size=25, acknowledged=True).select(
+        "alert_id", "acknowledged_by", "created_at")
+
+
 @query(f"""WITH {RESULTS}, {ALERTS}
 SELECT alert_id, result_id, r.vector_id, r.model_version, r.contributing_features, e.user_id AS total_events
 FROM alerts JOIN results r USING (result_id) JOIN events e ON r.vector_id = concat('v-', e.event_id)""")

@@ -66,6 +66,8 @@ ALERT = columns("""
     acknowledged_at timestamp, created_at timestamp
 """)
 
+ACKNOWLEDGEMENT = columns("alert_id string, acknowledged_by string, acknowledged_at timestamp")
+
 MODEL_REGISTRY = columns("""
     version string, samples bigint, features int, schema_version string, drift_score double,
     trained_at timestamp, contamination double, tree_count int, offset double
