@@ -43,7 +43,7 @@ COUNTERS, DEVIATIONS, ABOVE = 1 << 20, 8.0, 16
 FILTER_BITS = 1 << 26
 #: Members of each key that its others are compared with before all pairs are; 64-bit words
 #: of the sketch that goes along with a key.
-HUBS = 4
+HUBS = 1
 LANES = 8
 #: Bytes of text hashed at once.
 PIECE = 1 << 20
@@ -404,7 +404,7 @@ def sketched(pairs: DataFrame, candidates: DataFrame) -> DataFrame:
 
 def verified(pairs: DataFrame, rows: DataFrame) -> DataFrame:
     """The pairs whose sets reach the similarity. Only the sets of paired entities are read again."""
-    wanted = pairs.select(F.explode(F.array("a", "b")).alias("entity")).distinct()
+    wanted = pairs.select(F.col("a").alias("entity")).union(pairs.select("b")).distinct()
     shared = rows.sparkSession.sparkContext.broadcast(bit_filter(wanted))
 
     def each():
