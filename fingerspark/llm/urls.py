@@ -1,7 +1,8 @@
 """URL filters: host and path rules first, gradient-boosted trees for what they leave.
 
-The URLs that the rules decide are the labelled ones. Trees are grown on lexical features of
-a bounded number of them and judge every URL that no rule fits.
+The URLs that the rules decide are the labelled ones. Block rates of suffixes are counted on
+all of them; trees are grown on these and lexical features of a bounded number of them, and
+judge every URL that no rule fits.
 """
 
 from __future__ import annotations
@@ -120,22 +121,29 @@ def train(labelled: DataFrame, url: str = "url", host: str = "host", path: str =
           label: str = "blocked") -> Model | float:
     """Grow the trees on at most ``TRAINING`` different URLs of each label (1.0 for block).
 
-    Where all labelled URLs have one label, or there are none, it is the share of blocked
-    ones that is returned; then nothing can be learned.
+    The block rates of the suffixes and the overall share are counted on all different
+    labelled URLs; in the trees, those drawn stand for all of their label by weight. Where
+    all labelled URLs have one label, or there are none, it is the share of blocked ones
+    that is returned; then nothing can be learned.
     """
     unique = labelled.select(url, host, path, label).dropna(subset=[url])
-    picked = [bounded_ids(unique.filter(F.col(label) == v), TRAINING, f"url{v:.0f}") for v in (0.0, 1.0)]
-    sample = durable(with_lexical(picked[0].unionByName(picked[1]), url, host, path))
-    counts = {r[label]: r["n"] for r in sample.groupBy(label).agg(F.count("*").alias("n")).collect()}
-    blocked, total = counts.get(1.0, 0), sum(counts.values())
+    counted = durable(with_lexical(unique.distinct(), url, host, path).groupBy(*SUFFIXES.values(), label).agg(
+        F.count("*").alias("n")))
+    totals = {r[label]: r["n"] for r in counted.groupBy(label).agg(F.sum("n").alias("n")).collect()}
+    blocked, total = totals.get(1.0, 0), sum(totals.values())
     if blocked in (0, total):
         return blocked / total if total else 0.0
     share = blocked / total
-    rates = {name: durable(sample.groupBy(key).agg(
-        ((F.sum(label) + PRIOR * share) / (F.count("*") + PRIOR)).alias(name))) for name, key in SUFFIXES.items()}
+    rates = {name: durable(counted.groupBy(key).agg(
+        ((F.sum(F.col(label) * F.col("n")) + PRIOR * share) / (F.sum("n") + PRIOR)).alias(name)))
+        for name, key in SUFFIXES.items()}
+    picked = [bounded_ids(unique.filter(F.col(label) == v), TRAINING, f"url{v:.0f}").withColumn(
+        "weight", F.lit(totals[v] / min(totals[v], TRAINING))) for v in (0.0, 1.0)]
+    sample = with_lexical(durable(picked[0].unionByName(picked[1])), url, host, path)
     ready = VectorAssembler(inputCols=list(FEATURES), outputCol="features").transform(with_rates(sample, rates, share))
-    booster = GBTClassifier(featuresCol="features", labelCol=label, maxIter=TREES, maxDepth=DEPTH, stepSize=0.3, seed=SEED)
-    return Model(booster.fit(ready.select("features", label).orderBy(F.xxhash64("features"))), rates, share)
+    booster = GBTClassifier(featuresCol="features", labelCol=label, weightCol="weight", maxIter=TREES, maxDepth=DEPTH,
+                            stepSize=0.3, seed=SEED)
+    return Model(booster.fit(ready.select("features", label, "weight").orderBy(F.xxhash64("features"))), rates, share)
 
 
 def judged(df: DataFrame, url: str = "url", rules: tuple[Rule, ...] = RULES, keep: list[str] | None = None) -> DataFrame:

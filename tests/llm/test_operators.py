@@ -503,6 +503,33 @@ def test_trees_learn_from_labelled_urls(spark):
     assert right >= 76
 
 
+def test_url_rates_are_those_of_all_labelled_urls(spark, monkeypatch):
+    monkeypatch.setattr(urls, "TRAINING", 20)
+    made = [(f"http://h{i}.d{i % 7}.{'org' if i % 4 else 'com'}/s{i % 3}/{i}", float(i % 4 == 0)) for i in range(200)]
+    rows = [(u, u.split("/")[2], "/" + u.split("/", 3)[3], v) for u, v in made]
+    model = urls.train(spark.createDataFrame(rows + rows[:50], "url string, host string, path string, blocked double"))
+    assert model.share == 0.25
+    keys = {"top_rate": lambda h, p: h.split(".")[-1], "domain_rate": lambda h, p: h.split(".", 1)[1],
+            "segment_rate": lambda h, p: h.split(".")[-1] + "/" + p.split("/")[1]}
+    for name, key in keys.items():
+        each = defaultdict(list)
+        for _, h, p, v in rows:
+            each[key(h, p)].append(v)
+        got = {r[0]: r[1] for r in model.rates[name].select(urls.SUFFIXES[name], name).collect()}
+        assert got == pytest.approx({k: (sum(v) + 2.5) / (len(v) + 10) for k, v in each.items()})
+
+
+def test_url_trees_keep_the_share_of_all_labelled_urls(spark, monkeypatch):
+    monkeypatch.setattr(urls, "TRAINING", 40)
+    draw = random.Random(8)
+    word = lambda: "".join(draw.choice("abcdefgh") for _ in range(7))
+    lists = (urls.Rule("block", "com", "/b"), urls.Rule("allow", "com", "/a"))
+    rows = [(i, f"http://{word()}.com/{'b' if i % 10 == 0 else 'a'}{word()}") for i in range(600)]    # alike but for the rule
+    rows += [(1000 + i, f"http://{word()}.net/{word()}") for i in range(60)]
+    got = urls.judged(spark.createDataFrame(rows, "page_id bigint, url string"), rules=lists).filter("page_id >= 1000").collect()
+    assert all(r["verdict"] == "allow" for r in got) and np.mean([r["block_probability"] for r in got]) < 0.3
+
+
 def test_urls_without_labels(spark):
     df = spark.createDataFrame([(1, "http://x.net/a"), (2, None)], "page_id bigint, url string")
     assert {r["verdict"] for r in urls.judged(df).collect()} == {"allow"} and urls.judged(df.limit(0)).count() == 0
