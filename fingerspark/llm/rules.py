@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from fingerspark.llm.texts import SPACES, bounded_ids, free_name, named
+from fingerspark.llm.texts import SPACES, free_name, named
 from fingerspark.sources.tables import durable
 
 # Limits and characters of the base rules.
@@ -23,8 +23,6 @@ SYMBOLS = "[#*$%&|<>]"
 #: Buckets of n-grams; the table of log ratios has as many entries.
 BUCKETS = 1 << 14
 PAIR_FACTOR = 33
-#: Trusted documents that the target multinomial is counted on at most.
-TRUSTED = 20_000
 #: Occurrences that the prior adds to a bucket's expected count on both sides of the ratio.
 PRIOR = 16.0
 #: Log ratios are held in so many parts of a nat, as integers, so that sums of them are
@@ -91,14 +89,14 @@ def bucket_counts(docs: DataFrame, trusted: DataFrame, text: str = "text", doc_i
     """Occurrences of each bucket in the whole corpus and in the trusted documents.
 
     All documents are counted, in one scan. Counts are combined before the shuffle, so what
-    moves is at most one row for each bucket and task. Of the trusted ids at most
-    ``TRUSTED`` are taken, the same at every run, so that the scan can be told them.
+    moves is at most one row for each bucket and task. All trusted ids are looked up by a
+    join without a hint: where they are too many to broadcast, what moves of a document is
+    its id and two bytes a word, which is all that buckets depend on.
     """
-    ids = bounded_ids(trusted.select(F.col(doc_id).alias("_trusted")).dropna(), TRUSTED, "trusted")
-    marked = docs.select(F.col(doc_id).alias("_id"), F.col(text).alias("_text")).join(
-        F.broadcast(ids), F.col("_id") == F.col("_trusted"), "left")
-    hashed = marked.select(F.col("_trusted").isNotNull().cast("long").alias("trusted"),
-                           F.transform(words_of(F.col("_text")), lambda w: F.crc32(w.cast("binary"))).alias("crc"))
+    ids = trusted.select(F.col(doc_id).alias("_trusted")).dropna().distinct()
+    low = F.transform(words_of(F.col(text)), lambda w: F.crc32(w.cast("binary")).bitwiseAND(F.lit(BUCKETS - 1)).cast("smallint"))
+    hashed = docs.select(F.col(doc_id).alias("_id"), low.alias("crc")).join(
+        ids, F.col("_id") == F.col("_trusted"), "left").select(F.col("_trusted").isNotNull().cast("long").alias("trusted"), "crc")
     # The array is built inside explode: of a column, Spark would infer a filter on its size
     # and push that below the steps that make it, to compute them once more for each element.
     grams = hashed.select("trusted", F.explode(ngram_buckets()).alias("bucket"))

@@ -110,6 +110,19 @@ def test_log_ratio_is_that_of_the_two_multinomials(spark, docs):
         assert abs(r["log_ratio"] - exact) < 1e-4
 
 
+@pytest.mark.parametrize("threshold", ["10m", "-1"])        # broadcast, and not
+def test_all_trusted_documents_are_counted(spark, threshold):
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", threshold)
+    try:
+        df = spark.range(21_000).select(F.col("id").alias("doc_id"), F.format_string("w%d x", F.col("id") % 7).alias("text"))
+        trusted = df.filter("doc_id < 20500").select("doc_id")
+        got = rules.bucket_counts(df, trusted.unionByName(trusted.limit(9))).agg(F.sum("raw"), F.sum("target")).first()
+        assert tuple(got) == (3 * 21_000, 3 * 20_500)
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+
+
 def test_rules_reject_what_trusted_text_never_has(spark):
     draw = random.Random(5)
     good = [(i, prose(draw, 80, 60), "en", "s", 1) for i in range(120)]
