@@ -9,6 +9,9 @@ from __future__ import annotations
 
 import re
 from collections import defaultdict
+from collections.abc import Iterator
+from functools import reduce
+from itertools import chain
 
 import ahocorasick
 from pyspark.sql import DataFrame
@@ -16,6 +19,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from fingerspark.llm.texts import TOKEN, empty, free_name, map_texts, named, tokens_of
+from fingerspark.operators.ordered import running_totals
 from fingerspark.sources.tables import durable
 
 #: Words of a window.
@@ -24,13 +28,15 @@ WINDOW = 13
 ONE_IN = 20
 #: Windows in one automaton at most, about 150 MB in a task; more items take more passes.
 MOST_WINDOWS = 100_000
-#: Characters of item texts that reach the driver at once at most.
-MOST_CHARACTERS = 32 << 20
+#: Characters of item words that take the room of one more window.
+CHARACTERS = 320
 #: The same words where they stand in a text that has not been lower-cased.
 WORDS = re.compile(TOKEN.replace("\\x60", "\\x40\\x5B-\\x60"))
 #: Words become characters above the surrogates, "\0" stands for any other word.
 FIRST, LAST = 0x10000, 0x10FFFF
 
+PIECES = T.StructType([T.StructField("pieces", T.ArrayType(T.StructType([
+    T.StructField("text", T.StringType()), T.StructField("room", T.LongType())])))])
 HITS = T.StructType([
     T.StructField("n_words", T.LongType()),
     T.StructField("ranges", T.ArrayType(T.LongType())),
@@ -87,39 +93,61 @@ class Matcher:
         return len(words), [x for r in ranges for x in r], sorted(names), offsets
 
 
-def merged(left: list[int], right: list[int]) -> list[int]:
-    """Union of two lists of ranges."""
-    pairs = sorted([*zip(left[::2], left[1::2]), *zip(right[::2], right[1::2])])
+def merged(ranges: list[int], offsets: list[int]) -> tuple[list[int], list[int]]:
+    """Union of ranges, and their offsets."""
     out: list[int] = []
-    for a, b in pairs:
+    places: list[int] = []
+    for a, b, start, end in sorted(zip(ranges[::2], ranges[1::2], offsets[::2], offsets[1::2])):
         if out and a <= out[-1]:
-            out[-1] = max(out[-1], b)
+            if b > out[-1]:
+                out[-1], places[-1] = b, end
         else:
             out += [a, b]
-    return out
+            places += [start, end]
+    return out, places
 
 
-def blocks(items: DataFrame, size: int, most: int = MOST_WINDOWS) -> list[list[tuple[str, str | None]]]:
-    """Items in blocks of at most ``most`` windows; one item larger than that is a block.
+def pieces_of(text: str | None, size: int, most: int) -> list[tuple[str, int]]:
+    """An item's words in pieces that have each of its windows once, at most ``most`` a piece.
 
-    Test sets are small against a corpus; their size is summed up first, and beyond
-    ``MOST_CHARACTERS`` they must come in several calls.
+    With each piece goes the room that it takes: its windows, and more for long words. Of
+    pieces under one id the windows are those of the item.
     """
-    held = items.agg(F.sum(F.length("text"))).first()[0] or 0
-    if held > MOST_CHARACTERS:
-        raise ValueError(f"{held} characters of items; pass at most {MOST_CHARACTERS} at a time")
-    out: list[list] = [[]]
-    room = most
-    for item, text in sorted(items.select("item", "text").collect(), key=lambda r: (r[0], r[1] or "")):
-        need = len(windows_of(tokens_of(text), size))
-        if need > room and out[-1]:
-            out.append([])
-            room = most
-        room -= need
-        out[-1].append((item, text))
+    words = tokens_of(text)
+    out = []
+    for at in range(0, max(1, len(words) - size + 1) if words else 0, most):
+        piece = b" ".join(words[at:at + most + size - 1])
+        n = min(most, max(1, len(words) - size + 1) - at)
+        out.append((piece.decode("utf-8", "surrogatepass"), n + len(piece) // CHARACTERS))
     return out
 
 
+def blocks(items: DataFrame, size: int, most: int = MOST_WINDOWS) -> Iterator[list[tuple[str, str | None]]]:
+    """Items in blocks of at most ``most`` windows, each collected when it is asked for.
+
+    Items are cut into pieces of at most a tenth of a block; where a piece starts, counted in
+    room over all pieces, tells its block. Only one block is on the driver at a time.
+    """
+    longest = max(1, most // 10)
+    span = most - longest + 1
+
+    def start():
+        return lambda texts: [(pieces_of(t, size, longest),) for t in texts]
+
+    cut = map_texts(items.select("item", "text"), "text", "cut", PIECES, start, ["item"])
+    each = durable(cut.select("item", F.posexplode("cut.pieces").alias("at", "piece")).select("item", "at", "piece.*"))
+    held = each.agg(F.sum("room")).first()[0] or 0
+    if held <= most:
+        yield [tuple(r) for r in each.select("item", "text").collect()]
+        return
+    ends = running_totals(each, [], ["item", "at", "text"], {"end": F.col("room")})
+    placed = durable(ends.select("item", "text", F.floor((F.col("end") - F.col("room")) / span).alias("block")))
+    for block in range(-(-held // span)):
+        rows = placed.filter(F.col("block") == block).select("item", "text").collect()
+        if rows:                         # a piece of very long words may span several blocks
+            yield [tuple(r) for r in rows]
+
+
 def benchmark_hits(df: DataFrame, items: DataFrame, text: str = "text", item_id: str = "item_id",
                    item_text: str = "text", into: str = "hits", size: int = WINDOW,
                    most_windows: int = MOST_WINDOWS, keep: list[str] | None = None) -> DataFrame:
@@ -133,20 +161,27 @@ def benchmark_hits(df: DataFrame, items: DataFrame, text: str = "text", item_id:
     """
     listed = items.select(F.coalesce(F.col(item_id).cast("string"), F.lit("")).alias("item"),
                           F.col(item_text).alias("text"))
-    first, *more = blocks(listed, size, most_windows)
-    if not more:
+    parts = blocks(listed, size, most_windows)
+    first, second = next(parts), next(parts, None)
+    if second is None:
         return _pass(df, first, text, into, size, keep)
     kept = [c for c in (df.columns if keep is None else keep) if c.lower() != into.lower()]
-    out, new = _pass(df, first, text, into, size, [*kept, *({text} - {*kept})]), free_name(df, "new_hits")
-    join = F.udf(merged, T.ArrayType(T.LongType()))
-    for part in more:                    # stored between, so that one automaton is in memory at a time
-        found = _pass(durable(out), part, text, new, size)
-        both = F.struct(F.col(f"{into}.n_words"),
-                        join(f"{into}.ranges", f"{new}.ranges").alias("ranges"),
-                        F.array_sort(F.array_union(f"{into}.items", f"{new}.items")).alias("items"),
-                        join(f"{into}.offsets", f"{new}.offsets").alias("offsets"))
-        out = found.withColumn(into, both).drop(new)
-    return out.select(*named(out, [*kept, into]))
+    row, new = free_name(df, f"{into}_row"), free_name(df, f"new_{into}")
+    source = df.select(*named(df, [*kept, *([] if text in kept else [text])]))
+    stored = durable(source.withColumn(row, F.monotonically_increasing_id()))
+    lists, later = HITS.names[1:], []
+    for part in chain([second], parts):  # stored one by one, so that one automaton is in memory at a time
+        found = _pass(stored, part, text, new, size, [row]).filter(F.size(f"{new}.items") > 0)
+        later.append(durable(found.select(row, *[f"{new}.{c}" for c in lists])))
+    more = reduce(DataFrame.union, later).groupBy(row).agg(
+        F.struct(*[F.flatten(F.collect_list(c)).alias(c) for c in lists]).alias(new))
+    out = _pass(stored, first, text, into, size, [*kept, row]).join(more, row, "left")
+    ranges, names, offsets = [F.coalesce(F.col(f"{new}.{c}"), F.array().cast(HITS[c].dataType)) for c in lists]
+    spans = F.udf(merged, T.StructType([HITS["ranges"], HITS["offsets"]]))(
+        F.concat(f"{into}.ranges", ranges), F.concat(f"{into}.offsets", offsets))
+    both = F.struct(F.col(f"{into}.n_words"), spans["ranges"].alias("ranges"),
+                    F.array_sort(F.array_union(f"{into}.items", names)).alias("items"), spans["offsets"].alias("offsets"))
+    return out.withColumn(into, both).select(*named(out, [*kept, into]))
 
 
 def _pass(df: DataFrame, items: list, text: str, into: str, size: int,

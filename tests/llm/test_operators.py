@@ -176,6 +176,31 @@ def test_hits_are_those_of_brute_force(spark, docs, most):
             assert TOKENS.findall(lower(r["text"][s:e])) == TOKENS.findall(lower(r["text"]))[a:b]
 
 
+def test_items_of_any_size_come_block_by_block(spark):
+    draw = random.Random(21)
+    texts_ = [prose(draw, n, 5000) for n in (1, 12, 13, 14, 40, 300, 7, 90)] + [None, "", "y" * 5000, "y" * 9000]
+    items = spark.createDataFrame([(str(i), t) for i, t in enumerate(texts_)], "item string, text string")
+    for most in (1, 25, 1000):
+        got = list(decontamination.blocks(items, 13, most))
+        found, expected = defaultdict(list), defaultdict(list)
+        for block in got:
+            sizes = [len(decontamination.windows_of(decontamination.tokens_of(t), 13)) for _, t in block]
+            assert sum(sizes) <= most
+            for i, t in block:
+                found[i] += decontamination.windows_of(decontamination.tokens_of(t), 13)
+        for i, t in enumerate(texts_):
+            expected[str(i)] += decontamination.windows_of(decontamination.tokens_of(t), 13)
+        assert {i: sorted(w) for i, w in found.items()} == {i: sorted(w) for i, w in expected.items() if w}
+
+
+def test_more_items_than_once_were_allowed(spark):
+    long = " ".join(["z" * 1_000_000] * 12)                 # three of them exceed 32 Mi characters
+    items = spark.createDataFrame([(1, long + " a"), (2, long + " b"), (3, long + " c"), (4, "short item")], "item_id bigint, text string")
+    df = spark.createDataFrame([(1, "a short item"), (2, "none"), (3, None)], "doc_id bigint, text string")
+    got = {r["doc_id"]: r["hits"]["items"] for r in decontamination.benchmark_hits(df, items).collect()}
+    assert got == {1: ["4"], 2: [], 3: []}
+
+
 def test_no_items_hit_nothing(spark, docs, none):
     items = spark.createDataFrame([], "item_id bigint, text string")
     assert decontamination.uncontaminated(docs, items).count() == docs.count()
