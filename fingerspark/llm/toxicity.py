@@ -34,7 +34,6 @@ OTHER = 27
 #: Weight of the shorter context in the model, and costs of a reading and of what is skipped.
 BACKOFF = 5.0
 READING, SKIP, REPEAT = -1.0, -0.3, -0.3
-LONGEST = 32
 #: Labelled documents of each class that are learned from at most.
 DOCUMENTS = 8_000
 #: Beginnings of words that count as features; how sure and how telling a feature must be.
@@ -46,7 +45,8 @@ CACHE = 200_000
 STRONGEST = 3
 
 TRIPLE = re.compile(r"(.)\1\1")
-SPACED = re.compile(r"(?<!\S)(?:\w ){2,}\w(?!\S)")
+SIGN = rf"[\w{re.escape(''.join(READINGS))}]"
+SPACED = re.compile(rf"(?<!\S)(?:{SIGN} ){{2,}}{SIGN}(?!\S)")
 PART = re.compile(r"[^\W\d_]+")
 FOUND = T.StructType([T.StructField("features", T.ArrayType(T.StringType()))])
 EVIDENCE = T.StructType([T.StructField("strongest", T.ArrayType(T.DoubleType())), T.StructField("count", T.LongType()),
@@ -106,6 +106,15 @@ def language_model(counts: DataFrame) -> np.ndarray:
     return np.log(p3).astype(np.float32).ravel()
 
 
+def letters_of(path: tuple | None) -> list[str]:
+    """The letters of a chain, which has the last one outside."""
+    letters = []
+    while path:
+        path, letter = path
+        letters.append(letter)
+    return letters[::-1]
+
+
 class Decoder:
     """Restores words by the best path through their lattices."""
 
@@ -117,9 +126,12 @@ class Decoder:
         code = ord(letter)
         return int(self.table[code]) if code < 0x10000 else 0
 
-    def options(self, token: str) -> list[list[tuple[str, float]]]:
-        """For each character what it may stand for, an empty string for nothing, with log weights."""
-        lattice, before = [], ""
+    def options(self, token: str, ends: bool = False) -> Iterator[list[tuple[str, float]]]:
+        """For each character what it may stand for, an empty string for nothing, with log weights.
+
+        With ``ends`` a space may also end a word.
+        """
+        before = ""
         for c in token:
             if c.isalpha():
                 here = [(c, 0.0)]
@@ -131,27 +143,38 @@ class Decoder:
                     here.append(("", SKIP))
                 elif c == before:
                     here.append(("", REPEAT))
-            lattice.append(here)
+                if ends and c == " ":
+                    here.append((" ", 0.0))
+            yield here
             before = c
-        return lattice
 
-    def restore(self, token: str) -> str:
-        """The likeliest word behind a token, under the language model."""
+    def restore(self, token: str, ends: bool = False) -> str:
+        """The likeliest word behind a token, under the language model; with ``ends``, words.
+
+        A path is a chain of its letters, so that a step costs the same at any length; where
+        all paths meet in one state, what they have so far is settled.
+        """
         cost, n = self.cost, SYMBOLS
-        paths = {(0, 0): (0.0, "")}
-        for here in self.options(token):
-            following: dict[tuple[int, int], tuple[float, str]] = {}
-            for (a, b), (total, word) in paths.items():
-                for letter, weight in here:
+        settled: list[str] = []
+        paths: dict[tuple[int, int], tuple[float, tuple | None]] = {(0, 0): (0.0, None)}
+        for here in self.options(token, ends):
+            following: dict[tuple[int, int], tuple[float, tuple | None]] = {}
+            read = [(letter, weight, self.symbol(letter) if letter else 0) for letter, weight in here]
+            for (a, b), (total, path) in paths.items():
+                for letter, weight, s in read:
                     if letter:
-                        s = self.symbol(letter)
-                        key, value = (b, s), (total + weight + cost[(a * n + b) * n + s], word + letter)
+                        key, sum_, longer = (b, s), total + weight + cost[(a * n + b) * n + s], (path, letter)
                     else:
-                        key, value = (a, b), (total + weight, word)
-                    if key not in following or value > following[key]:
-                        following[key] = value
+                        key, sum_, longer = (a, b), total + weight, path
+                    if key not in following or sum_ > following[key][0]:
+                        following[key] = sum_, longer
             paths = following
-        return max((total + cost[(a * n + b) * n], word) for (a, b), (total, word) in paths.items())[1]
+            if len(paths) == 1:
+                [(key, (total, path))] = paths.items()
+                settled += letters_of(path)
+                paths = {key: (total, None)}
+        best = max(((total + cost[(a * n + b) * n], path) for (a, b), (total, path) in paths.items()), key=lambda p: p[0])
+        return "".join(settled + letters_of(best[1]))
 
     def words(self, token: str) -> list[str]:
         """The words a lower-cased token may hold: itself, or its parts and what is restored of it."""
@@ -161,9 +184,12 @@ class Decoder:
         if bare.isalpha() and not TRIPLE.search(bare):
             return [bare]
         parts = PART.findall(bare)
-        if not parts or len(bare) > LONGEST:
-            return parts
-        return [*parts, self.restore(bare)]
+        return [*parts, self.restore(bare)] if parts else parts
+
+    def apart(self, token: str) -> list[str]:
+        """The words that a token of letters set apart by spaces may hold, if its spaces also end words."""
+        bare = token.rstrip(EDGES).lstrip(EDGES.replace("$", "").replace("*", ""))
+        return self.restore(bare, ends=True).split() if " " in bare and PART.search(bare) else []
 
 
 def tokens_of(text: str | None) -> list[str]:
@@ -193,15 +219,20 @@ class Scorer:
     def __init__(self, characters: np.ndarray, lexicon: dict[str, float]):
         self.decoder, self.lexicon = Decoder(characters), lexicon
         self.starts = {f.rstrip("~")[:min(PREFIXES)] for f in lexicon}
-        self.cache: dict[str, tuple[float, str]] = {}
+        self.cache: dict[str, list[tuple[float, str]]] = {}
 
-    def weigh(self, token: str) -> tuple[float, str]:
-        """The largest weight of a feature of the words a token may hold, and that word."""
+    def strongest(self, words: list[str]) -> list[tuple[float, str]]:
+        """The largest weight of a feature of the words, and that word; nothing if none has one."""
         best = (0.0, "")
-        for word in self.decoder.words(token):
+        for word in words:
             if word[:min(PREFIXES)] in self.starts:
                 best = max([best, *[(self.lexicon.get(f, 0.0), word) for f in features_of(word)]])
-        return best
+        return [best] if best[0] > 0 else []
+
+    def weigh(self, token: str) -> list[tuple[float, str]]:
+        """The telling words of a token with their weights: one at most, but for letters set apart."""
+        several = [found for word in sorted(set(self.decoder.apart(token))) for found in self.strongest([word])]
+        return several or self.strongest(self.decoder.words(token))
 
     def evidence(self, text: str | None) -> tuple[list[tuple[float, str]], int, int]:
         """The strongest different words, the number of telling tokens, and of all tokens."""
@@ -213,9 +244,8 @@ class Scorer:
             seen = cache.get(token)
             if seen is None:
                 seen = cache[token] = self.weigh(token)
-            if seen[0] > 0:
-                count += 1
-                found[seen[1]] = seen[0]
+            count += len(seen)
+            found.update((word, weight) for weight, word in seen)
         return sorted(((w, word) for word, w in found.items()), reverse=True)[:STRONGEST], count, len(tokens)
 
 
@@ -236,7 +266,7 @@ def learn_lexicon(known: DataFrame, characters: np.ndarray, text: str, label: st
         decoder = Decoder(shared.value)
 
         def features(t: str | None) -> tuple[list[str]]:
-            words = {w for token in set(tokens_of(t)) for w in decoder.words(token)}
+            words = {w for token in set(tokens_of(t)) for w in (*decoder.words(token), *decoder.apart(token))}
             return (sorted({f for w in words for f in features_of(w)}),)
         return lambda texts: [features(t) for t in texts]
 

@@ -633,6 +633,29 @@ def test_disguised_words_are_restored_and_scored(spark, docs, none):
     assert toxicity.train(none, known) is None
 
 
+@pytest.fixture(scope="module")
+def scorer(spark):
+    draw = random.Random(14)
+    lines = ["such a moron", "you are a stupid idiot", "a river and a garden", "he is a fine man", "you are late"]
+    rows = [(i, " ".join(draw.choices(lines, k=6)), "en", "s", 1) for i in range(200)]
+    characters = toxicity.language_model(toxicity.count_characters(spark.createDataFrame(rows, DOCS)))
+    return toxicity.Scorer(characters, {"moron": 5.0, "stupid": 4.0, "idiot": 3.0})
+
+
+@pytest.mark.parametrize("text, words", [
+    ("such a m o r o n", ["moron"]), ("s t u p i d m o r o n", ["moron", "stupid"]), ("an i d ! o t here", ["idiot"]),
+    ("$ t u p i d", ["stupid"]), ("y o u a r e a s t u p i d i d i o t", ["stupid", "idiot"]), ("m o r o n", ["moron"]),
+    ("stu" + "u" * 60 + "pid", ["stupid"]), ("a | b | c", []), ("* * * *", [])])
+def test_spaced_and_long_disguises_are_restored(scorer, text, words):
+    strongest, count, _ = scorer.evidence(text)
+    assert [w for _, w in strongest] == words and count == len(words)
+
+
+def test_long_tokens_take_linear_time(scorer):
+    assert scorer.decoder.restore("m0r0n" * 20_000).startswith("moronmoron")
+    assert len(scorer.decoder.restore("1" * 20_000)) <= 20_000
+
+
 def test_character_counts_cover_all_texts(spark, docs):
     table = toxicity.symbol_table()
     counts = Counter()
