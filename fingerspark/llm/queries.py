@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from fingerspark.llm import compression, decontamination, jaccard, licences, mixing, rules, secrets, toxicity, urls, warc
+from fingerspark.llm import compression, decontamination, jaccard, licences, mixing, rules, secrets, tokens, toxicity, urls, warc
 from fingerspark.llm.texts import LOWER, SPACES, TOKEN, UPPER, WORD, held_out, table
 
 #: A-Z to a-z in DuckDB.
@@ -14,6 +14,9 @@ _LOWER = f"translate({{}}, '{UPPER}', '{LOWER}')"
 # Scores from which a label is predicted.
 GOOD_FROM = 0.3
 TOXIC_FROM = 0.5
+#: The tokenizer of the token counts, and tokens above which a text is too long.
+TOKENIZER = "byte_bpe_50k.json"
+MOST_TOKENS = 512
 
 
 def trusted_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -81,7 +84,17 @@ def op10_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ruled.select("doc_id", "rules.*")
 
 
-QUERIES = {f.__name__: f for f in (op1_mixing, op2_toxicity, op3_licences, op4_jaccard, op5_urls, op6_compression, op7_decontamination, op8_warc, op9_secrets, op10_rules)}
+def op11_tokens(spark: SparkSession, sf_dir: str, tokenizer: str | None = None) -> DataFrame:
+    import public_tokenizers
+
+    path = tokenizer or public_tokenizers.path(TOKENIZER)
+    counted = tokens.with_token_counts(table(spark, sf_dir, "documents"), path, keep=["doc_id"])
+    return counted.select("doc_id", "tokens.*", (F.col("tokens.n_tokens") > MOST_TOKENS).alias("over_limit"))
+
+
+QUERIES = {f.__name__: f for f in (
+    op1_mixing, op2_toxicity, op3_licences, op4_jaccard, op5_urls, op6_compression, op7_decontamination, op8_warc,
+    op9_secrets, op10_rules, op11_tokens)}
 CHECKS: dict[str, str] = {
     "op4_jaccard": rf"""
         WITH RECURSIVE doc AS (
