@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from fingerspark.llm import compression, decontamination, jaccard, licences, mixing, rules, secrets, tokens, toxicity, urls, warc
+from fingerspark.llm import compression, decontamination, jaccard, licences, mixing, repair, rules, secrets, tokens, toxicity, trie, urls, warc
 from fingerspark.llm.texts import LOWER, SPACES, TOKEN, UPPER, WORD, held_out, table
 
 #: A-Z to a-z in DuckDB.
@@ -92,9 +92,23 @@ def op11_tokens(spark: SparkSession, sf_dir: str, tokenizer: str | None = None)
     return counted.select("doc_id", "tokens.*", (F.col("tokens.n_tokens") > MOST_TOKENS).alias("over_limit"))
 
 
+def op12_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return trie.shared_beginnings(table(spark, sf_dir, "conversations"))
+
+
+def op13_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repair.repaired_conversations(table(spark, sf_dir, "conversations"))
+
+
 QUERIES = {f.__name__: f for f in (
     op1_mixing, op2_toxicity, op3_licences, op4_jaccard, op5_urls, op6_compression, op7_decontamination, op8_warc,
-    op9_secrets, op10_rules, op11_tokens)}
+    op9_secrets, op10_rules, op11_tokens, op12_trie, op13_repair)}
+#: The table of CRC-32 in DuckDB, as a row of a table called steps, and the checksum of an ASCII text by it.
+_STEPS = """steps AS (SELECT list_transform(range(256), lambda i: list_reduce(list_prepend(i, range(8)), lambda c, k:
+                      CASE WHEN c & 1 = 1 THEN xor(3988292384, c >> 1) ELSE c >> 1 END)) AS crcs)"""
+_CRC = """xor(list_reduce(list_prepend(4294967295, list_transform(string_split({}, ''), lambda x: CAST(ascii(x) AS BIGINT))),
+                      lambda c, k: xor(c >> 8, crcs[(xor(c, k) & 255) + 1])), 4294967295)"""
+
 CHECKS: dict[str, str] = {
     "op4_jaccard": rf"""
         WITH RECURSIVE doc AS (
@@ -180,4 +194,80 @@ CHECKS: dict[str, str] = {
                n_repeat_words, log_ratio, n_words < 10 OR 100 * n_repeat_words > 20 * n_words AS base_failed,
                NOT (n_words < 10 OR 100 * n_repeat_words > 20 * n_words) AND log_ratio >= -0.125e0 AS kept
         FROM counted""",
+    "op12_trie": f"""
+        WITH {_STEPS},
+        turns AS (SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+                  WHERE conv_id IS NOT NULL),
+        own AS (SELECT conv_id, list({{'role': role, 'text': text}} ORDER BY turn NULLS FIRST, role, text) AS said
+                FROM turns GROUP BY conv_id),
+        shared AS (SELECT conv_id, said, {_CRC.format("CAST(conv_id AS VARCHAR)")} % {trie.SHARED} AS h FROM own, steps),
+        again AS (SELECT a.conv_id, list_concat(coalesce(b.said, [])[1:h], a.said[h + 1:]) AS said
+                  FROM shared a LEFT JOIN own b ON b.conv_id = a.conv_id - a.conv_id % {trie.HUNDRED}),
+        prefix AS (SELECT conv_id, depth, said[1:depth] AS path, len(said) = depth AS ends
+                   FROM (SELECT *, unnest(range(len(said) + 1)) AS depth FROM again)),
+        node AS (SELECT path, depth, min(conv_id) AS conv_id, count(*) AS n_convs,
+                        coalesce(string_agg(CAST(conv_id AS VARCHAR), ',' ORDER BY conv_id) FILTER (ends), '') AS listed
+                 FROM prefix GROUP BY path, depth),
+        child AS (SELECT path[1:depth - 1] AS path, count(*) AS n_children FROM node WHERE depth > 0 GROUP BY 1),
+        tree AS (SELECT node.*, coalesce(n_children, 0) AS n_children FROM node LEFT JOIN child USING (path)),
+        part AS (SELECT path[1:k] AS path, leaf, saved
+                 FROM (SELECT path, CAST(n_children = 0 AS INT) AS leaf, (n_convs - 1) * coalesce(length(path[-1].text), 0) AS saved,
+                              unnest(range(depth + 1)) AS k FROM tree)),
+        total AS (SELECT path, sum(leaf) AS n_leaves, sum(saved) AS saved_tokens FROM part GROUP BY path)
+        SELECT tree.conv_id, tree.depth, up.conv_id AS parent_conv_id, tree.n_convs, tree.n_children,
+               CAST(n_leaves AS BIGINT) AS n_leaves, CAST(saved_tokens AS BIGINT) AS saved_tokens, sha256(tree.listed) AS ends_sha256
+        FROM tree JOIN total USING (path)
+        LEFT JOIN node up ON tree.depth > 0 AND up.path = tree.path[1:tree.depth - 1]""",
+    "op13_repair": rf"""
+        WITH RECURSIVE {_STEPS},
+        raw AS (SELECT conv_id, coalesce(CAST(conv_id AS VARCHAR), ' ') AS conv, turn, coalesce(CAST(turn AS VARCHAR), ' ') AS said,
+                       coalesce(role, ' ') AS role, coalesce(text, ' ') AS text FROM conversations),
+        kinds AS (SELECT *, {_CRC.format("concat(conv, ':', said)")} % {repair.KINDS} AS kind FROM raw, steps),
+        damaged AS (SELECT conv, turn, role AS was, text AS wrote, unnest(CASE kind WHEN 3 THEN [0, 1] ELSE [0] END) AS copy,
+                           CASE kind WHEN 4 THEN 'user' ELSE role END AS role,
+                           CASE kind WHEN 1 THEN '' WHEN 2 THEN regexp_replace(text, '[.!?]', '', 'g') ELSE text END AS text
+                    FROM kinds WHERE kind <> 0),
+        placed AS (SELECT conv, turn, role, text, left(role, 1) AS initial,
+                          row_number() OVER (PARTITION BY conv ORDER BY turn NULLS FIRST, was, wrote, copy) AS i FROM damaged),
+        faults AS (SELECT *, CASE WHEN NOT regexp_matches(text, '[^{SPACES}]') THEN 'blank'
+                                  WHEN row_number() OVER (PARTITION BY conv, role, text ORDER BY i) > 1 THEN 'duplicate'
+                                  WHEN NOT regexp_matches(text, '[.!?][{SPACES}]*$') THEN 'truncated' END AS fault,
+                          lag(initial) OVER (PARTITION BY conv ORDER BY i) AS before FROM placed),
+        step(state, initial, after, called) AS (VALUES (0, 's', 1, ''), (0, 'u', 2, 'user'), (1, 'u', 2, 'user'),
+                                                       (2, 'a', 3, 'assistant'), (3, 'u', 2, 'user')),
+        gain(state, letters, more, after, lines) AS (
+            SELECT state, '', 0, state, CAST([] AS VARCHAR[]) FROM (VALUES (0), (1), (2), (3)) t(state)
+            UNION ALL SELECT state, 'I', 5, after, [called || ':'] FROM step WHERE called <> ''
+            UNION ALL SELECT x.state, 'II', 10, y.after, [x.called || ':', y.called || ':']
+                      FROM step x JOIN step y ON x.after = y.state WHERE x.called <> '' AND y.called <> ''),
+        edit AS (
+            SELECT conv, i, state, state AS after, 'D' AS letter, 2 AS cost, CAST([] AS VARCHAR[]) AS lines
+            FROM faults, (SELECT DISTINCT state FROM gain)
+            UNION ALL SELECT conv, i, state, after, 'K', CASE WHEN fault IS NULL THEN 0 ELSE 5 END, [role || ':' || text]
+            FROM faults JOIN step USING (initial) WHERE fault IS NULL OR fault = 'truncated'
+            UNION ALL SELECT conv, i, state, after, 'R', CASE WHEN fault IS NULL THEN 1 ELSE 6 END, [called || ':' || text]
+            FROM faults, step WHERE called <> '' AND (fault IS NULL OR fault = 'truncated')),
+        way AS (
+            SELECT DISTINCT conv, CAST(0 AS BIGINT) AS i, 0 AS state,
+                   {{'cost': 0, 'audit': '', 'lines': CAST([] AS VARCHAR[])}} AS best FROM faults
+            UNION ALL
+            SELECT w.conv, e.i, e.after, min({{'cost': w.best.cost + g.more + e.cost, 'audit': w.best.audit || g.letters || e.letter,
+                                              'lines': list_concat(w.best.lines, g.lines, e.lines)}})
+            FROM way w JOIN gain g USING (state) JOIN edit e ON e.conv = w.conv AND e.i = w.i + 1 AND e.state = g.after
+            GROUP BY w.conv, e.i, e.after),
+        found AS (
+            SELECT conv, min({{'cost': w.best.cost + g.more, 'audit': w.best.audit || g.letters,
+                              'lines': list_concat(w.best.lines, g.lines)}}) AS best
+            FROM way w JOIN gain g USING (state) JOIN (SELECT conv, max(i) AS i FROM faults GROUP BY conv) USING (conv, i)
+            WHERE g.after IN (0, 3) GROUP BY conv),
+        counted AS (
+            SELECT conv, coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0) AS gaps,
+                   count(*) FILTER (fault = 'blank') AS blank, count(*) FILTER (fault = 'duplicate') AS duplicate,
+                   count(*) FILTER (fault = 'truncated') AS truncated,
+                   count(*) FILTER (before IS NOT NULL AND before || initial NOT IN ('su', 'ua', 'au')) AS illegal
+            FROM faults GROUP BY conv)
+        SELECT conv_id, coalesce(gaps, 0) AS gaps, coalesce(blank, 0) AS blank, coalesce(duplicate, 0) AS duplicate,
+               coalesce(truncated, 0) AS truncated, coalesce(illegal, 0) AS illegal, CAST(coalesce(best.cost, 0) AS BIGINT) AS cost,
+               coalesce(best.audit, '') AS audit, sha256(coalesce(array_to_string(best.lines, chr(10)), '')) AS repaired_sha256
+        FROM (SELECT DISTINCT conv_id, conv FROM raw) LEFT JOIN counted USING (conv) LEFT JOIN found USING (conv)""",
 }
