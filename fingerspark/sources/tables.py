@@ -38,7 +38,7 @@ def shared_folder(spark: SparkSession) -> str:
     return folder
 
 
-def durable(df: DataFrame) -> DataFrame:
+def durable(df: DataFrame, compression: str = "snappy") -> DataFrame:
     """Write ``df`` to a table in the shared folder and read it back.
 
     The rows are computed once, survive the loss of executors, and later plans start
@@ -47,7 +47,7 @@ def durable(df: DataFrame) -> DataFrame:
     """
     spark = df.sparkSession
     path = f"{shared_folder(spark)}/{spark.sparkContext.applicationId}/table-{uuid4().hex}"
-    df.write.parquet(path)
+    df.write.option("compression", compression).parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
