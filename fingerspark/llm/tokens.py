@@ -22,6 +22,7 @@ from uuid import uuid4
 import numpy as np
 import pyarrow as pa
 import regex
+import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -146,37 +147,47 @@ def tokenizer(path: str) -> tuple[Cut, Shape, Count]:
 
 
 def chunk_row(texts: list[str], cut: Cut, shape: Shape) -> tuple[list[str], bytes]:
-    """A chunk's distinct pre-tokens, and the packed frequencies of its documents."""
+    """A chunk's distinct pre-tokens, the commonest first, and the packed frequencies of its documents."""
     cuts = [pa.array(cut(t), pa.string()) for t in texts]
     lengths = np.fromiter(map(len, cuts), np.int64, len(cuts))
-    found = pa.chunked_array(cuts, pa.string()).combine_chunks()
-    found = found.combine_chunks() if isinstance(found, pa.ChunkedArray) else found
-    coded = found.dictionary_encode()
-    raw = coded.dictionary.to_pylist()
+    coded = pa.concat_arrays(cuts).dictionary_encode()
+    del cuts
     # Both ways of cutting may give one pre-token; it must have one number.
-    shaped = pa.array(shape(raw), pa.string()).dictionary_encode()
-    numbers = shaped.indices.to_numpy()[coded.indices.to_numpy()] if raw else np.zeros(0, np.int64)
-    at = np.repeat(np.arange(len(cuts)), lengths)
-    order = max(1, len(shaped.dictionary))
-    each, times = np.unique(at * order + numbers, return_counts=True)
-    return shaped.dictionary.to_pylist(), packed(each // order, each % order, times)
-
-
-def packed(at: np.ndarray, numbers: np.ndarray, times: np.ndarray) -> bytes:
-    """Three columns of numbers, compressed. ``at`` is sorted and kept as steps."""
-    columns = [np.diff(at, prepend=0), numbers, times]
-    kinds = [pa.array(c.astype(np.int32)) for c in columns]
-    table = pa.record_batch(kinds, names=["at", "number", "times"])
-    sink = pa.BufferOutputStream()
-    with pa.ipc.new_stream(sink, table.schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as out:
-        out.write_batch(table)
-    return sink.getvalue().to_pybytes()
+    shaped = pa.array(shape(coded.dictionary.to_pylist()), pa.string()).dictionary_encode()
+    pretokens = shaped.dictionary
+    numbers = shaped.indices.to_numpy()[coded.indices.to_numpy()] if len(pretokens) else np.zeros(0, np.int64)
+    order = np.argsort(-np.bincount(numbers, minlength=len(pretokens)), kind="stable")
+    rank = np.empty(len(order), np.uint32)
+    rank[order] = np.arange(len(order), dtype=np.uint32)
+    numbers = rank[numbers]
+    each, steps, times = [0], [np.zeros(0, np.uint32)], [np.zeros(0, np.uint32)]
+    for part in np.split(numbers, np.cumsum(lengths)[:-1]):
+        found, often = np.unique(part, return_counts=True)
+        each.append(len(found))
+        steps.append(np.diff(found, prepend=np.uint32(0)))
+        times.append(often.astype(np.uint32))
+    return pretokens.take(pa.array(order)).to_pylist(), packed(each[1:], np.concatenate(steps), np.concatenate(times))
+
+
+def packed(each: list[int], steps: np.ndarray, times: np.ndarray) -> bytes:
+    """How many distinct pre-tokens each document has; steps between their numbers; how often each occurs.
+
+    Compressed with equal bytes of the numbers side by side, because most high bytes are zero.
+    """
+    numbers = np.concatenate([np.array([len(each), *each], np.uint32), steps, times])
+    return zstandard.compress(numbers.view(np.uint8).reshape(-1, 4).T.tobytes())
 
 
 def unpacked(data: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    table = pa.ipc.open_stream(data).read_all()
-    at, numbers, times = (table[c].to_numpy() for c in ("at", "number", "times"))
-    return np.cumsum(at, dtype=np.int64), numbers, times
+    """The documents, numbers and frequencies of a chunk, as columns."""
+    planes = np.frombuffer(zstandard.decompress(data), np.uint8).reshape(4, -1)
+    numbers = np.ascontiguousarray(planes.T).view(np.uint32).ravel()
+    each, rest = numbers[1:1 + numbers[0]].astype(np.int64), numbers[1 + numbers[0]:].astype(np.int64)
+    steps, times = rest[:len(rest) // 2], rest[len(rest) // 2:]
+    starts = np.repeat(np.cumsum(each) - each, each)
+    total = np.cumsum(steps)
+    before = np.concatenate([[0], total])[starts]  # each document counts its steps from zero
+    return np.repeat(np.arange(len(each)), each), total - before, times
 
 
 def with_token_counts(docs: DataFrame, path: str, text: str = "text", into: str = "tokens",
@@ -214,9 +225,9 @@ def with_token_counts(docs: DataFrame, path: str, text: str = "text", into: str
                 yield pa.RecordBatch.from_arrays(
                     [pa.array(columns[n], kinds[n]) if n in columns else part.column(n) for n in schema.names], schema.names)
 
-    chunks = durable(source.mapInArrow(cut_chunks, schema))
+    chunks = durable(source.mapInArrow(cut_chunks, schema), "zstd")
 
-    # A chunk's number of a pre-token, and the chunk, in the order that the codec likes best.
+    # The numbers of a chunk are the places in its list.
     listed = (chunks.filter("pretokens IS NOT NULL").select("chunk", F.posexplode("pretokens").alias("number", "pretoken"))
               .repartition("pretoken"))
 
