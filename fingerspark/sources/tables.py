@@ -5,6 +5,7 @@ from __future__ import annotations
 import tempfile
 from datetime import datetime
 from uuid import uuid4
+from weakref import WeakKeyDictionary
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -17,6 +18,8 @@ from fingerspark.functions.timing import before
 BATCH = "batch_id"
 # Conditions of a path without a table: no folder, or a folder without files.
 NOTHING_STORED = ("PATH_NOT_FOUND", "UNABLE_TO_INFER_SCHEMA")
+# Where the durable tables lie that are still in use.
+_STORED: WeakKeyDictionary[DataFrame, str] = WeakKeyDictionary()
 
 
 def shared_folder(spark: SparkSession) -> str:
@@ -43,12 +46,28 @@ def durable(df: DataFrame, compression: str = "snappy") -> DataFrame:
 
     The rows are computed once, survive the loss of executors, and later plans start
     from files whose size Spark knows. Tables of one application lie in one folder named
-    after it, to be removed when it is over.
+    after it, to be removed when it is over; :func:`release` removes one that is done with.
     """
     spark = df.sparkSession
     path = f"{shared_folder(spark)}/{spark.sparkContext.applicationId}/table-{uuid4().hex}"
     df.write.option("compression", compression).parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    stored = spark.read.schema(df.schema).parquet(path)
+    _STORED[stored] = path
+    return stored
+
+
+def release(*tables: DataFrame) -> None:
+    """Remove durable tables that no plan yet to be run reads."""
+    for table in tables:
+        path = _STORED.pop(table, None)
+        if path:
+            remove(table.sparkSession, path)
+
+
+def remove(spark: SparkSession, path: str) -> None:
+    """Remove a folder, wherever it is stored."""
+    folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+    folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
 
 
 def append_rows(df: DataFrame, path: str, date_of: str | None = None) -> None:
