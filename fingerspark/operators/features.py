@@ -95,6 +95,15 @@ def window_features(events: DataFrame, seconds: int = WINDOW_SECONDS,
     }
     counted = _value_counts(events, seconds, slide_seconds, keys).groupBy("window", "container_id", *keys)
     folded = counted.agg(*[F.expr(f"{sql} AS {name}") for name, sql in sums.items()])
+    return measured_windows(folded, seconds, keys)
+
+
+def measured_windows(folded: DataFrame, seconds: int, keys: Sequence[str] = ()) -> DataFrame:
+    """Feature vectors from the sums of container windows: one row of ``folded`` is one vector.
+
+    ``folded`` has ``container_id``, ``window``, ``image_name``, ``keys``, ``total_events`` and the counts
+    that the features are made of; ``frequencies`` lists the syscalls with their counts.
+    """
     features = {
         **{feature: f"n_{feature} / total_events" for feature in FREQUENCY_SYSCALLS},
         "unique_process_count": "CAST(process_values AS INT)",

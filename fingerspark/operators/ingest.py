@@ -68,6 +68,11 @@ def with_defaults(events: DataFrame, as_of: str | datetime | Column,
         "event_id": F.coalesce(F.col("event_id"), generated), "timestamp": stamped})
 
 
+def identity_of(events: DataFrame) -> tuple[str, ...]:
+    """What the id of an event without one is made of: the message coordinates, else the content."""
+    return COORDINATES if {*COORDINATES} <= {*events.columns} else tuple(RUNTIME_EVENT.names)
+
+
 def enrich(events: DataFrame, received_at: str | datetime | Column) -> DataFrame:
     """Valid runtime events to processed events: lower-case syscall, category, two flags."""
     enriched = events.withColumns({
@@ -101,7 +106,7 @@ def process(events: DataFrame, as_of: str | datetime | Column, dedup: bool = Tru
     """
     usable = valid_events(events)
     if identity is None:
-        identity = COORDINATES if {*COORDINATES} <= {*events.columns} else tuple(RUNTIME_EVENT.names)
+        identity = identity_of(events)
     if not dedup:
         return enrich(with_defaults(usable, as_of, identity), as_of)
     named = with_defaults(first_write(usable.filter(F.col("event_id").isNotNull())), as_of, identity)

@@ -2,18 +2,23 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from uuid import uuid4
 
+from pyspark.errors import StreamingQueryException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+from pyspark.sql.streaming import StreamingQuery
 
-from fingerspark.functions.fixed import LATENESS_SECONDS
-from fingerspark.plans import telemetry
-from fingerspark.plans.check_sql import ALERTS, PROFILES, RESULTS, ROUNDED_FEATURES, VECTORS
+from fingerspark.functions.fixed import MAX_WINDOW_EVENTS
+from fingerspark.operators import ingest
+from fingerspark.plans import ingest_queries, telemetry  # noqa: F401 (its checks are used below)
+from fingerspark.plans.check_sql import ALERTS, PROFILES, RESULTS, ROUNDED_FEATURES, RUNTIME, VECTORS, feature_ctes
 from fingerspark.plans.detection_queries import ALERT as SHOWN_ALERT
 from fingerspark.plans.detection_queries import SQL_PROFILE, shown_profiles
 from fingerspark.plans.feature_queries import IDENTITY, flat
-from fingerspark.plans.registered import query
+from fingerspark.plans.registered import CHECKS, query
 from fingerspark.plans.retrain import retrain
 from fingerspark.plans.telemetry import WINDOW, feature_vectors
 from fingerspark.sources.schemas import (
@@ -21,25 +26,23 @@ from fingerspark.sources.schemas import (
     ANOMALY_RESULT,
     CONTAINER_PROFILE,
     FEATURE_VECTOR,
+    PROCESSED_EVENT,
     RUNTIME_EVENT,
     conform,
 )
-from fingerspark.sources.tables import read_batches, shared_folder, snapshot_before
+from fingerspark.sources.tables import durable, read_batches, shared_folder, snapshot_before
 from fingerspark.sources.topics import read_file_stream
-from fingerspark.streaming import jobs
+from fingerspark.streaming import jobs, windows
 
 _ALL = 2**31 - 1
 
 
-def _activity_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The events table as a stream of files."""
-    return read_file_stream(spark, sf_dir, telemetry.EVENTS, glob="events.parquet")
-
-
-def _runtime_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
-    projected = telemetry.project_runtime(_activity_stream(spark, sf_dir))
+def _runtime(activity: DataFrame, *keep: str) -> DataFrame:
+    """Runtime events with zoned times, as streams need them, next to columns of the source."""
+    projected = telemetry.project_runtime(activity)
     timed = projected.withColumn("timestamp", F.col("timestamp").cast("timestamp"))
-    return conform(timed, RUNTIME_EVENT)
+    known = [c for c in RUNTIME_EVENT.names if c in timed.columns]
+    return timed.select(*known, *keep)
 
 
 def _folder(spark: SparkSession, name: str) -> str:
@@ -52,16 +55,121 @@ def _wall_clock(df: DataFrame) -> DataFrame:
     return df.withColumns({c: F.col(c).cast("timestamp_ntz") for c in zoned}) if zoned else df
 
 
-@query(f"""WITH {VECTORS}
-SELECT {IDENTITY}, {ROUNDED_FEATURES} FROM vectors
-WHERE window_end <= (SELECT max(ts) - INTERVAL {LATENESS_SECONDS} SECOND FROM events)""")
-def stream_window_features(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Feature vectors of the windows that the stream closes: all but those still open at its end."""
+SLICES = 4
+# Events are remembered longer than the given ones span.
+HORIZON = 400 * 24 * 3600
+
+
+def _arriving(events: DataFrame, number: str) -> list[DataFrame]:
+    """Events in the slices in which they arrive; ``number`` is the SQL of the slice."""
+    stored = durable(events.withColumn("slice", F.expr(number)))
+    return [stored.filter(F.col("slice") == i).drop("slice") for i in range(stored.agg(F.max("slice")).first()[0] + 1)]
+
+
+def _in_time_order(spark: SparkSession, sf_dir: str, copies: bool = False) -> list[DataFrame]:
+    """The events in slices by time; copies of some, changed, come one slice after the first."""
+    events = _runtime(telemetry.read(spark, sf_dir, "events"), "k", "seq")
+    first, last = events.agg(F.min("timestamp"), F.max("timestamp")).first()
+    length = (last - first).total_seconds() / SLICES + 1
+    placed = events.withColumn("n", F.floor(
+        (F.unix_micros("timestamp") / 1e6 - F.lit(first.timestamp())) / F.lit(length)).cast("int"))
+    if copies:
+        again = placed.filter("k = 5").withColumns({
+            "timestamp": F.expr("timestamp + INTERVAL 1 SECOND"), "process_name": F.lit("copy"), "n": F.expr("n + 1")})
+        placed = placed.unionByName(again)
+    return [part.drop("n", "k", "seq") for part in _arriving(placed, "n")]
+
+
+def _closing(events: DataFrame) -> DataFrame:
+    """One event a day after all others, in a container of its own: all their windows close."""
+    last = events.agg(F.max("timestamp").alias("timestamp")).select(
+        F.lit("closing").alias("event_id"), F.expr("timestamp + INTERVAL 1 DAY").alias("timestamp"),
+        F.lit("closing").alias("container_id"), F.lit("read").alias("syscall"))
+    return conform(last, RUNTIME_EVENT)
+
+
+def _run(spark: SparkSession, root: str, arriving: list[DataFrame],
+         start: Callable[[DataFrame], StreamingQuery]) -> None:
+    """Let the slices arrive one after the other; each is taken up by a run from the checkpoint before."""
+    for part in arriving:
+        conform(part, RUNTIME_EVENT).write.mode("append").parquet(f"{root}/incoming")
+        start(read_file_stream(spark, f"{root}/incoming", RUNTIME_EVENT)).awaitTermination()
+
+
+def _vectors(spark: SparkSession, arriving: list[DataFrame], max_events: int = MAX_WINDOW_EVENTS) -> DataFrame:
+    """What the window stream has written when all slices have arrived."""
     root = _folder(spark, "stream-features")
-    vectors = jobs.feature_stream(jobs.processed_stream(_runtime_stream(spark, sf_dir), WINDOW), WINDOW)
-    jobs.start_table_sink(vectors, f"{root}/vectors", f"{root}/checkpoint", available_now=True).awaitTermination()
-    stored = spark.read.schema(FEATURE_VECTOR).parquet(f"{root}/vectors")
-    return flat(_wall_clock(stored))
+
+    def start(events: DataFrame) -> StreamingQuery:
+        processed = ingest.enrich(jobs.new_event_stream(events, HORIZON), telemetry.AS_OF)
+        vectors = windows.window_stream(processed, WINDOW, horizon_seconds=HORIZON, max_events=max_events)
+        return jobs.start_table_sink(vectors, f"{root}/vectors", f"{root}/checkpoint", available_now=True)
+
+    _run(spark, root, arriving, start)
+    schema = T.StructType([*FEATURE_VECTOR.fields, T.StructField("generation", T.IntegerType())])
+    return _wall_clock(spark.read.schema(schema).parquet(f"{root}/vectors"))
+
+
+@query(f"WITH {VECTORS} SELECT {IDENTITY}, {ROUNDED_FEATURES} FROM vectors")
+def stream_window_features(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Feature vectors of events that arrive as a stream, some of them twice: those of the whole table."""
+    arriving = _in_time_order(spark, sf_dir, copies=True)
+    return flat(_vectors(spark, [*arriving, _closing(arriving[-1])]))
+
+
+def _numbered_vectors(chunk: str) -> str:
+    """SQL of vectors by generation; the first of a window has the id that it has without one."""
+    plain = f"md5(concat_ws('|', container_id, strftime(ws, '%Y%m%d%H%M%S'), '{WINDOW}'))"
+    return f"""WITH {RUNTIME},
+placed AS (SELECT *, {chunk} AS chunk
+           FROM (SELECT *, time_bucket(INTERVAL {WINDOW} SECOND, "timestamp") AS ws,
+                        time_bucket(INTERVAL {WINDOW} SECOND, "timestamp") + INTERVAL {WINDOW} SECOND AS we FROM processed)),
+{feature_ctes(extra=', chunk')}
+SELECT CASE WHEN chunk = 0 THEN {plain} ELSE vector_id END AS vector_id, {IDENTITY.split(", ", 1)[1]},
+       CAST(chunk AS INT) AS generation, {ROUNDED_FEATURES} FROM vectors"""
+
+
+@query(_numbered_vectors('(row_number() OVER (PARTITION BY container_id, ws ORDER BY "timestamp", event_id) - 1) // 10'))
+def stream_window_features_capped(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Windows that give a vector whenever they reach ten events, on a stream."""
+    arriving = _in_time_order(spark, sf_dir)
+    return flat(_vectors(spark, [*arriving, _closing(arriving[-1])], max_events=10), "generation")
+
+
+@query(_numbered_vectors("CASE WHEN k % 10 = 7 AND bool_or(k % 10 <> 7) OVER (PARTITION BY container_id, ws) THEN 1 ELSE 0 END"))
+def stream_late_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A tenth of the events comes after all windows have closed: their vectors are supplementary ones."""
+    events = _runtime(telemetry.read(spark, sf_dir, "events"), "k")
+    punctual, late = _arriving(events, "CASE WHEN k % 10 = 7 THEN 1 ELSE 0 END")
+    return flat(_vectors(spark, [punctual, _closing(events), late]), "generation")
+
+
+@query(CHECKS["dedup_processed"])
+def stream_processed_events(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The event tables that a stream with copies fills, one of whose batches fails and is run again."""
+    root = _folder(spark, "stream-events")
+    sink = jobs.event_sink(root, F.lit(telemetry.AS_OF).cast("timestamp"))
+    failed = []
+
+    def failing(batch: DataFrame, batch_id: int) -> None:
+        sink(batch, batch_id)
+        if batch_id == 1 and not failed:
+            failed.append(batch_id)
+            raise RuntimeError("the batch is written but not committed")
+
+    def start(events: DataFrame) -> StreamingQuery:
+        running = jobs.start_batches(jobs.new_event_stream(events, HORIZON), failing, f"{root}/checkpoint", available_now=True)
+        try:
+            running.awaitTermination()
+        except StreamingQueryException:
+            if not failed:
+                raise
+            return start(events)
+        return running
+
+    _run(spark, root, _in_time_order(spark, sf_dir, copies=True), start)
+    stored = read_batches(spark, f"{root}/processed_events", PROCESSED_EVENT)
+    return _wall_clock(stored.select("event_id", "timestamp", "container_id", "syscall", "process_name"))
 
 
 @query()

@@ -83,9 +83,9 @@ def append_rows(df: DataFrame, path: str, date_of: str | None = None) -> None:
     dated.write.mode("append").partitionBy("date").parquet(path)
 
 
-def write_batch(df: DataFrame, path: str, batch_id: int) -> None:
+def write_batch(df: DataFrame, path: str, batch_id: int, *partitions: str) -> None:
     """Write one micro-batch of a table. A replayed batch overwrites itself."""
-    df.write.mode("overwrite").parquet(f"{path}/{BATCH}={batch_id}")
+    df.write.mode("overwrite").partitionBy(*partitions).parquet(f"{path}/{BATCH}={batch_id}")
 
 
 def read_batches(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:

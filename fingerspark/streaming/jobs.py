@@ -13,17 +13,17 @@ from fingerspark.operators.alerts import raise_alerts, webhook_payloads
 from fingerspark.operators.baseline import baseline_of_moments, image_moments, merge_moments
 from fingerspark.operators.features import window_features
 from fingerspark.operators.forest import Model
-from fingerspark.operators.ingest import dead_letters, enrich, valid_events, with_defaults
+from fingerspark.operators.ingest import dead_letters, enrich, identity_of, valid_events, with_defaults
 from fingerspark.operators.profiles import merge_profiles, profile_delta
 from fingerspark.operators.results import scorable, score_vectors, unscorable
 from fingerspark.plans.retrain import current_model, latest_baseline
 from fingerspark.sources.schemas import ANOMALY_RESULT, CONTAINER_PROFILE, RUNTIME_EVENT, columns
 from fingerspark.sources.tables import BATCH, snapshot_before, write_batch
 from fingerspark.sources.wire import decode_json
+from fingerspark.streaming.windows import HORIZON_SECONDS
 
 IMAGE_MOMENTS = columns(
     "image_name string, n bigint, mean array<double>, m2 array<double>")
-CLOCK = columns("max_time timestamp")
 
 
 def decoded_events(messages: DataFrame) -> DataFrame:
@@ -35,50 +35,55 @@ def dead_letter_stream(events: DataFrame) -> DataFrame:
     return dead_letters(events, F.current_timestamp())
 
 
+def new_event_stream(events: DataFrame, horizon_seconds: int = HORIZON_SECONDS, dedup: bool = True) -> DataFrame:
+    """Valid runtime events of a stream, the first of each event_id, with a watermark on ``timestamp``.
+
+    Ids are remembered for the horizon, on the executors' disks; what is older than that is dropped. Events
+    without an id are events of their own, however alike: they are given one made of their message
+    coordinates or content and take no part in the de-duplication.
+    """
+    usable = valid_events(events).withColumn("_copy", F.coalesce("event_id", F.expr("uuid()")))
+    known = with_defaults(usable, F.current_timestamp(), identity_of(events))
+    timed = known.withWatermark("timestamp", f"{horizon_seconds} seconds")
+    fresh = timed.dropDuplicatesWithinWatermark(["_copy"]) if dedup else timed
+    return fresh.select(*RUNTIME_EVENT.names)
+
+
 def processed_stream(events: DataFrame, seconds: int = WINDOW_SECONDS,
                      lateness_seconds: int = LATENESS_SECONDS, dedup: bool = True) -> DataFrame:
-    """Validated, enriched events placed in their ``window``, one per event_id and window.
+    """Validated, enriched events placed in their ``window``, one per event_id.
 
-    Copies of an event share its event time and hence its window, so what is remembered
-    for de-duplication is dropped when the window closes, and a row is late only when its
-    window has closed, not when it is merely out of order.
+    The watermark lies the allowed lateness behind, which suits :func:`feature_stream`: what comes
+    later is dropped, and ids are forgotten as soon.
     """
-    now = F.current_timestamp()
-    events = enrich(with_defaults(valid_events(events), now), now)
-    timed = events.withWatermark("timestamp", f"{lateness_seconds} seconds")
+    placed = enrich(new_event_stream(events, lateness_seconds, dedup), F.current_timestamp()).withColumn(
+        "window", F.window("timestamp", f"{seconds} seconds"))
     # From here on the window carries the watermark; a stream may have one such column.
     plain = F.col("timestamp").alias("timestamp", metadata={"comment": "event time"})
-    others = [c for c in timed.columns if c != "timestamp"]
-    placed = timed.withColumn("window", F.window("timestamp", f"{seconds} seconds")).select(
-        plain, *others, "window")
-    return placed.dropDuplicates(["event_id", "window"]) if dedup else placed
+    return placed.select(plain, *[c for c in placed.columns if c != "timestamp"])
 
 
 def feature_stream(processed: DataFrame, seconds: int = WINDOW_SECONDS) -> DataFrame:
-    """Feature vectors of closed windows (append mode)."""
+    """Feature vectors of closed windows (append mode), without late events and without a cap.
+
+    Two aggregations on the JVM. :func:`~fingerspark.streaming.windows.window_stream` has both.
+    """
     return window_features(processed, seconds)
 
 
-def late_event_sink(root: str, seconds: int = WINDOW_SECONDS,
-                    lateness_seconds: int = LATENESS_SECONDS) -> Callable[[DataFrame, int], None]:
-    """foreachBatch function keeping events whose window had closed before their batch.
+def event_sink(root: str, received_at: Column | None = None) -> Callable[[DataFrame, int], None]:
+    """foreachBatch function that appends new events to ``runtime_events`` and ``processed_events``.
 
-    They are what the feature stream leaves out. Featured again as a table, they give the
-    supplementary vectors of their windows. The stream clock, one row per batch, is stored
-    next to them, so a replayed batch splits the same way.
+    Takes :func:`new_event_stream`, whose state knows the ids that are stored already, so nothing of
+    the tables is read. Each batch is a folder with its dates below it; a batch that is run again
+    after a failure takes the place of what it left.
     """
     def sink(batch: DataFrame, batch_id: int) -> None:
-        spark = batch.sparkSession
-        clock = snapshot_before(spark, f"{root}/stream_clock", batch_id, CLOCK)
-        reached = clock.agg(F.max("max_time").alias("max_time"))
-        closes = F.window("timestamp", f"{seconds} seconds")["end"]
-        lateness = F.make_dt_interval(F.lit(0), F.lit(0), F.lit(0), F.lit(lateness_seconds))
-        late = batch.filter(closes <= reached.scalar() - lateness)
-        write_batch(late, f"{root}/late_events", batch_id)
-        # greatest() skips the null of the first batch.
-        newest = batch.agg(F.max("timestamp").alias("t")).select(
-            F.greatest("t", reached.scalar()).alias("max_time"))
-        write_batch(newest, f"{root}/stream_clock", batch_id)
+        stamp = received_at if received_at is not None else F.current_timestamp()
+        write_batch(batch.withColumn("date", F.to_date("timestamp")), f"{root}/runtime_events", batch_id, "date")
+        stored = batch.sparkSession.read.schema(RUNTIME_EVENT).parquet(f"{root}/runtime_events/{BATCH}={batch_id}")
+        processed = enrich(stored, stamp)
+        write_batch(processed.withColumn("date", F.to_date("timestamp")), f"{root}/processed_events", batch_id, "date")
 
     return sink
 

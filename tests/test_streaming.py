@@ -1,14 +1,24 @@
 import json
 from datetime import datetime, timedelta
 
+import pytest
+from pyspark.errors import StreamingQueryException
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from fingerspark.operators import features, ingest, profiles
 from fingerspark.plans.retrain import retrain
-from fingerspark.sources.schemas import ALERT, ANOMALY_RESULT, CONTAINER_PROFILE, FEATURE_VECTOR, RUNTIME_EVENT
+from fingerspark.sources.schemas import (
+    ALERT,
+    ANOMALY_RESULT,
+    CONTAINER_PROFILE,
+    FEATURE_VECTOR,
+    PROCESSED_EVENT,
+    RUNTIME_EVENT,
+)
 from fingerspark.sources.tables import read_batches, snapshot_before
 from fingerspark.sources.topics import read_file_stream
-from fingerspark.streaming import jobs
+from fingerspark.streaming import jobs, windows
 from tests.support import START, runtime
 from tests.test_forest import cloud
 
@@ -52,15 +62,76 @@ def test_stream_equals_batch_with_duplicates_and_disorder(spark, tmp_path):
     assert key(got.collect()) == key(features.window_features(events).select(*COLUMNS).collect())
 
 
-def test_late_events_go_to_a_side_table(spark, tmp_path):
-    root = str(tmp_path / "late")
-    batches = [[event(i, i) for i in range(30)], [event(50, 75)], [event(60, 5), event(61, 61), event(62, 76)]]
-    stream = slices(spark, str(tmp_path / "in"), *batches)
-    run(jobs.start_batches(stream, jobs.late_event_sink(root), str(tmp_path / "cp"), available_now=True))
-    late = read_batches(spark, f"{root}/late_events", RUNTIME_EVENT)
-    assert [r.event_id for r in late.collect()] == ["e60"]
-    supplementary = features.window_features(ingest.process(late, "2026-03-20 13:00:00")).collect()
-    assert [(r.window_start, r.total_events) for r in supplementary] == [(START, 1)]
+HORIZON = 24 * 3600
+
+
+def vectors_of(spark, tmp_path, batches, **options):
+    """Generations of the windows that the batches make, by container, start and number."""
+    stream = jobs.new_event_stream(slices(spark, str(tmp_path / "in"), *batches), HORIZON)
+    vectors = windows.window_stream(ingest.enrich(stream, "2026-03-20 13:00:00"), horizon_seconds=HORIZON, **options)
+    run(jobs.start_table_sink(vectors, str(tmp_path / "out"), str(tmp_path / "cp"), available_now=True))
+    schema = T.StructType([*FEATURE_VECTOR.fields, T.StructField("generation", T.IntegerType())])
+    rows = spark.read.schema(schema).parquet(str(tmp_path / "out")).collect()
+    assert len({r.vector_id for r in rows}) == len(rows)
+    return {(r.container_id, int((r.window_start - START).total_seconds()), r.generation): r for r in rows}
+
+
+def test_late_events_give_supplementary_vectors(spark, tmp_path):
+    batches = [[event(i, i) for i in range(30)], [event(50, 75)], [event(60, 5), event(61, 61), event(62, 76)],
+               [event(64, 6), event(66, 7), event(60, 5)], [event(998, 5_000)]]
+    got = vectors_of(spark, tmp_path, batches)
+    # The second and third vector of the first window are those of the batches with late events.
+    assert {k: r.total_events for k, r in got.items()} == {
+        ("c0", 0, 0): 15, ("c1", 0, 0): 15, ("c0", 60, 0): 2, ("c1", 60, 0): 1, ("c0", 0, 1): 1, ("c0", 0, 2): 2}
+    table = features.window_features(ingest.process(runtime(spark, batches[0]), "2026-03-20 13:00:00")).collect()
+    assert {r.vector_id for r in table} == {got["c0", 0, 0].vector_id, got["c1", 0, 0].vector_id}
+    assert got["c0", 0, 1].features[0] == 1.0 and got["c0", 0, 1].syscall_frequencies == {"read": 1}
+
+
+def test_a_window_that_is_full_starts_anew(spark, tmp_path):
+    rows = [event(2 * i, i / 10) for i in range(50)]
+    got = vectors_of(spark, tmp_path, [rows[:7], rows[7:8], rows[8:], [event(999, 900)]], max_events=8)
+    assert [got["c0", 0, g].total_events for g in range(7)] == [8, 8, 8, 8, 8, 8, 2]
+    chunks = features.capped_window_features(ingest.process(runtime(spark, rows), "2026-03-20 13:00:00"), max_events=8)
+    for row in chunks.collect():
+        same = got["c0", 0, row.chunk]
+        assert key([row]) == key([same]) and row.image_name == same.image_name
+
+
+def test_equal_events_without_id_all_count(spark, tmp_path):
+    rows = [event(0, 3, event_id=None)] * 3 + [event(0, 4, event_id="x")] * 2
+    got = vectors_of(spark, tmp_path, [rows, [event(0, 5, event_id="x"), event(0, 6, event_id=None)], [event(999, 900)]])
+    assert got["c0", 0, 0].total_events == 5
+    stream = slices(spark, str(tmp_path / "in2"), rows, [event(999, 900)])
+    table = jobs.feature_stream(jobs.processed_stream(stream))
+    run(jobs.start_table_sink(table, str(tmp_path / "out2"), str(tmp_path / "cp2"), available_now=True))
+    assert [r.total_events for r in spark.read.schema(FEATURE_VECTOR).parquet(str(tmp_path / "out2")).collect()] == [4]
+
+
+def test_copies_across_a_window_edge_count_once(spark, tmp_path):
+    got = vectors_of(spark, tmp_path, [[event(0, 29)], [event(0, 30), event(2, 31)], [event(999, 900)]])
+    assert {k: r.total_events for k, r in got.items()} == {("c0", 0, 0): 1, ("c0", 30, 0): 1}
+
+
+def test_a_batch_of_events_that_failed_is_stored_once(spark, tmp_path):
+    root, failed = str(tmp_path / "tables"), []
+    sink = jobs.event_sink(root)
+
+    def failing(batch, batch_id):
+        sink(batch, batch_id)
+        if batch_id == 1 and not failed:
+            failed.append(batch_id)
+            raise RuntimeError("written but not committed")
+
+    batches = [[event(i, i) for i in range(5)], [event(1, 1), event(7, 100_000)], [event(7, 7), event(8, 8)]]
+    stream = jobs.new_event_stream(slices(spark, str(tmp_path / "in"), *batches))
+    with pytest.raises(StreamingQueryException):
+        jobs.start_batches(stream, failing, str(tmp_path / "cp"), available_now=True).awaitTermination()
+    run(jobs.start_batches(stream, failing, str(tmp_path / "cp"), available_now=True))
+    for table, schema in (("runtime_events", RUNTIME_EVENT), ("processed_events", PROCESSED_EVENT)):
+        rows = read_batches(spark, f"{root}/{table}", schema).collect()
+        assert sorted(r.event_id for r in rows) == ["e0", "e1", "e2", "e3", "e4", "e7", "e8"]
+        assert {r.event_id for r in rows if r.date > START.date()} == {"e7"}
 
 
 def test_messages_are_decoded_and_split(spark, tmp_path):
