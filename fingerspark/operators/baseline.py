@@ -92,6 +92,29 @@ def merge_moments(state: DataFrame, delta: DataFrame) -> DataFrame:
     return merged.withColumnsRenamed({"all_n": "n", "all_mean": "mean", "all_m2": "m2"})
 
 
+def fold_moments(moments: DataFrame) -> DataFrame:
+    """Moments of the union of disjoint sets of vectors, per image, from a few rows of moments of each.
+
+    The rows of an image are merged one by one in a fixed order. They are as many as sets were
+    stored, not as vectors.
+    """
+    parts = F.sort_array(F.collect_list(F.struct("n", "mean", "m2")))
+
+    def merge(a: Column, b: Column) -> Column:
+        n = a["n"] + b["n"]
+        share = b["n"] / n
+        gap = F.zip_with(a["mean"], b["mean"], lambda x, y: y - x)
+        within = F.zip_with(a["m2"], b["m2"], lambda x, y: x + y)
+        return F.struct(
+            n.alias("n"), F.zip_with(a["mean"], gap, lambda x, d: x + d * share).alias("mean"),
+            F.zip_with(within, gap, lambda w, d: w + d * d * a["n"] * share).alias("m2"))
+
+    listed = moments.groupBy("image_name").agg(parts.alias("parts"))
+    rest = F.slice("parts", F.lit(2), F.size("parts"))
+    return listed.select("image_name", F.aggregate(rest, F.get("parts", F.lit(0)), merge).alias("all")).select(
+        "image_name", "all.n", "all.mean", "all.m2")
+
+
 def baseline_of_moments(moments: DataFrame) -> DataFrame:
     """Per image: count, mean and sample std arrays; ``std`` is null below two vectors."""
     n = F.col("n")

@@ -23,6 +23,19 @@ def profile_delta(results: DataFrame) -> DataFrame:
     )
 
 
+def fold_deltas(deltas: DataFrame) -> DataFrame:
+    """The sum of any number of deltas, which is a delta again."""
+    return deltas.groupBy("container_id").agg(
+        F.sum("total_events").alias("total_events"), F.sum("total_anomalies").alias("total_anomalies"),
+        F.sum("score_sum").alias("score_sum"), F.max("max_anomaly_score").alias("max_anomaly_score"),
+        F.min("first_seen").alias("first_seen"), F.max("last_seen").alias("last_seen"))
+
+
+def profiles_of(delta: DataFrame) -> DataFrame:
+    """Profiles of everything that a delta, one row per container, sums up."""
+    return _finish(delta.withColumn("avg_anomaly_score", F.col("score_sum") / F.col("total_events")))
+
+
 def _finish(totals: DataFrame) -> DataFrame:
     rate = F.col("total_anomalies") / F.col("total_events")
     return conform(totals.withColumns({
@@ -33,8 +46,7 @@ def _finish(totals: DataFrame) -> DataFrame:
 
 def container_profiles(results: DataFrame) -> DataFrame:
     """Profiles of everything in ``results``, from scratch."""
-    average = F.col("score_sum") / F.col("total_events")
-    return _finish(profile_delta(results).withColumn("avg_anomaly_score", average))
+    return profiles_of(profile_delta(results))
 
 
 def merge_profiles(state: DataFrame, delta: DataFrame) -> DataFrame:

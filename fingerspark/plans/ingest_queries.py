@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from uuid import uuid4
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -20,7 +22,7 @@ from fingerspark.plans.registered import query
 from fingerspark.plans.telemetry import AS_OF, read
 from fingerspark.sources.probes import container_of_process, runtime_events, with_environment
 from fingerspark.sources.schemas import RUNTIME_EVENT
-from fingerspark.sources.tables import keep_recent
+from fingerspark.sources.tables import drop_expired, keep_recent, read_batches, shared_folder, write_batch
 from fingerspark.sources.wire import decode_json, json_of, to_messages
 
 EVENT = "event_id, timestamp, container_id, syscall, process_name, uid, destination_ip, port, image_name"
@@ -256,3 +258,16 @@ SELECT event_id, "timestamp" FROM runtime WHERE "timestamp" >= {NOW} - INTERVAL
 def retention_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     events = telemetry.runtime_events(spark, sf_dir)
     return keep_recent(events, "runtime_events", "timestamp", AS_OF).select("event_id", "timestamp")
+
+
+@query(f"""WITH {RUNTIME}
+SELECT event_id, "timestamp" FROM processed
+WHERE CAST("timestamp" AS DATE) >= CAST({NOW} - INTERVAL 7 DAY AS DATE)""")
+def retention_applied(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A stored event table after its expired dates have been removed."""
+    path = f"{shared_folder(spark)}/retention-{uuid4().hex}/processed_events"
+    events = telemetry.stored_events(spark, sf_dir).withColumn("date", F.to_date("timestamp"))
+    for batch_id, part in enumerate((F.col("pid") % 2 == 0, F.col("pid") % 2 != 0)):
+        write_batch(events.filter(part), path, batch_id, "date")
+    drop_expired(spark, path, "processed_events", telemetry.AS_OF_TIME)
+    return read_batches(spark, path, events.schema).select("event_id", "timestamp")

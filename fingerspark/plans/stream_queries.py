@@ -24,19 +24,15 @@ from fingerspark.plans.telemetry import WINDOW, feature_vectors
 from fingerspark.sources.schemas import (
     ALERT,
     ANOMALY_RESULT,
-    CONTAINER_PROFILE,
     FEATURE_VECTOR,
     PROCESSED_EVENT,
     RUNTIME_EVENT,
     conform,
 )
-from fingerspark.sources.tables import durable, read_batches, shared_folder, snapshot_before
+from fingerspark.sources.tables import durable, read_batches, shared_folder
 from fingerspark.sources.topics import read_file_stream
 from fingerspark.streaming import jobs, windows
 
-_ALL = 2**31 - 1
-
-
 def _runtime(activity: DataFrame, *keep: str) -> DataFrame:
     """Runtime events with zoned times, as streams need them, next to columns of the source."""
     projected = telemetry.project_runtime(activity)
@@ -209,7 +205,7 @@ def _maintained(spark: SparkSession, sf_dir: str) -> str:
 def stream_profiles(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Profiles carried forward batch by batch."""
     root = _maintained(spark, sf_dir)
-    return shown_profiles(_wall_clock(snapshot_before(spark, f"{root}/container_profiles", _ALL, CONTAINER_PROFILE)))
+    return shown_profiles(_wall_clock(jobs.stored_profiles(spark, root)))
 
 
 @query(f"WITH {RESULTS}, {ALERTS} SELECT {SHOWN_ALERT} FROM alerts")

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import tempfile
-from datetime import datetime
+from datetime import datetime, timedelta
 from uuid import uuid4
 from weakref import WeakKeyDictionary
 
@@ -103,17 +103,22 @@ def empty_if_missing(spark: SparkSession, error: AnalysisException, schema: T.St
     return spark.createDataFrame([], schema)
 
 
-def snapshot_before(spark: SparkSession, path: str, batch_id: int,
-                    schema: T.StructType) -> DataFrame:
-    """The newest snapshot older than ``batch_id``; what batch ``batch_id`` builds upon."""
-    batches = read_batches(spark, path, schema)
-    if BATCH not in batches.columns:
-        return batches
-    older = batches.filter(F.col(BATCH) < batch_id)
-    newest = older.agg(F.max(BATCH).alias(BATCH)).scalar()
-    return older.filter(F.col(BATCH) == newest).drop(BATCH)
-
-
 def keep_recent(df: DataFrame, table: str, ts: str, as_of: str | datetime | Column) -> DataFrame:
     """Rows of ``table`` still within its retention at ``as_of``."""
     return df.filter(F.col(ts) >= before(as_of, days=RETENTION_DAYS[table]))
+
+
+def drop_expired(spark: SparkSession, path: str, table: str, as_of: datetime) -> list[str]:
+    """Remove the dates of a table, stored by batch and date, that have left its retention wholly.
+
+    A date goes when its last moment is older than the retention; the rows of the date in which it
+    ends go with that date. Gives the dates removed.
+    """
+    first = (as_of - timedelta(days=RETENTION_DAYS[table])).date().isoformat()
+    folder = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/{BATCH}=*/date=*")
+    found = folder.getFileSystem(spark._jsc.hadoopConfiguration()).globStatus(folder) or []
+    dates = {entry.getPath().toString(): entry.getPath().getName().partition("=")[2] for entry in found}
+    expired = {p: d for p, d in dates.items() if d < first}
+    for old in expired:
+        remove(spark, old)
+    return sorted(set(expired.values()))

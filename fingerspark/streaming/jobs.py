@@ -4,26 +4,31 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from fingerspark.functions.fixed import LATENESS_SECONDS, WINDOW_SECONDS
 from fingerspark.operators.alerts import raise_alerts, webhook_payloads
-from fingerspark.operators.baseline import baseline_of_moments, image_moments, merge_moments
+from fingerspark.operators.baseline import baseline_of_moments, fold_moments, image_moments
 from fingerspark.operators.features import window_features
 from fingerspark.operators.forest import Model
 from fingerspark.operators.ingest import dead_letters, enrich, identity_of, valid_events, with_defaults
-from fingerspark.operators.profiles import merge_profiles, profile_delta
+from fingerspark.operators.profiles import fold_deltas, profile_delta, profiles_of
 from fingerspark.operators.results import scorable, score_vectors, unscorable
 from fingerspark.plans.retrain import current_model, latest_baseline
-from fingerspark.sources.schemas import ANOMALY_RESULT, CONTAINER_PROFILE, RUNTIME_EVENT, columns
-from fingerspark.sources.tables import BATCH, snapshot_before, write_batch
+from fingerspark.sources import states
+from fingerspark.sources.schemas import ANOMALY_RESULT, RUNTIME_EVENT, columns
+from fingerspark.sources.tables import BATCH, write_batch
 from fingerspark.sources.wire import decode_json
 from fingerspark.streaming.windows import HORIZON_SECONDS
 
 IMAGE_MOMENTS = columns(
     "image_name string, n bigint, mean array<double>, m2 array<double>")
+PROFILE_DELTA = columns("""
+    container_id string, total_events bigint, total_anomalies bigint, score_sum double, max_anomaly_score double,
+    first_seen timestamp, last_seen timestamp
+""")
 
 
 def decoded_events(messages: DataFrame) -> DataFrame:
@@ -91,8 +96,8 @@ def event_sink(root: str, received_at: Column | None = None) -> Callable[[DataFr
 def detection_sink(root: str, detected_at: Column | None = None) -> Callable[[DataFrame, int], None]:
     """foreachBatch function from vectors to results, profiles and alerts under ``root``.
 
-    Every batch is stored under its id and built on the snapshot before it, so a batch
-    that is replayed after a failure replaces its own output and nothing is counted twice.
+    Every batch is stored under its id and built on what the batches before it have added, so a
+    batch that is replayed after a failure replaces its own output and nothing is counted twice.
     The newest stored model is picked up at the start of a batch. Image baselines include
     the vectors of the batch they explain.
     """
@@ -105,10 +110,10 @@ def detection_sink(root: str, detected_at: Column | None = None) -> Callable[[Da
         stamp = detected_at if detected_at is not None else F.current_timestamp()
         write_batch(unscorable(stored, stamp), f"{root}/vector_dead_letters", batch_id)
         vectors = scorable(stored)
-        moments = snapshot_before(spark, f"{root}/image_moments", batch_id, IMAGE_MOMENTS)
-        write_batch(merge_moments(moments, image_moments(vectors)), f"{root}/image_moments", batch_id)
-        images = baseline_of_moments(
-            spark.read.schema(IMAGE_MOMENTS).parquet(f"{root}/image_moments/{BATCH}={batch_id}"))
+        own = states.add(image_moments(vectors), f"{root}/image_moments", batch_id, fold_moments)
+        known_images = states.added_before(spark, f"{root}/image_moments", batch_id, IMAGE_MOMENTS).join(
+            own.select("image_name"), "image_name", "left_semi")
+        images = baseline_of_moments(fold_moments(known_images.unionByName(own)))
         known["model"] = current_model(spark, root, known["model"])
         overall = latest_baseline(spark, root) if known["model"] else None
         results = score_vectors(vectors, known["model"], stamp, images, overall)
@@ -120,15 +125,18 @@ def detection_sink(root: str, detected_at: Column | None = None) -> Callable[[Da
 
 
 def maintain(results: DataFrame, root: str, batch_id: int) -> None:
-    """Carry the profiles forward by a batch of results and raise its alerts."""
-    spark = results.sparkSession
-    state = snapshot_before(spark, f"{root}/container_profiles", batch_id, CONTAINER_PROFILE)
-    write_batch(merge_profiles(state, profile_delta(results)), f"{root}/container_profiles", batch_id)
+    """Add a batch of results to the profiles and raise its alerts."""
+    states.add(profile_delta(results), f"{root}/container_profiles", batch_id, fold_deltas)
     alerts = raise_alerts(results)
     write_batch(alerts, f"{root}/alert_history", batch_id)
     write_batch(webhook_payloads(alerts), f"{root}/webhook_outbox", batch_id)
 
 
+def stored_profiles(spark: SparkSession, root: str, before: int = 2**31 - 1) -> DataFrame:
+    """The profiles that the batches before ``before`` add up to."""
+    return profiles_of(fold_deltas(states.added_before(spark, f"{root}/container_profiles", before, PROFILE_DELTA)))
+
+
 def start_table_sink(df: DataFrame, path: str, checkpoint: str, available_now: bool = False,
                      every: str = "5 seconds") -> StreamingQuery:
     """Start appending a stream to a Parquet table."""

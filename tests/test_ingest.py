@@ -106,12 +106,9 @@ def test_batches_replace_themselves(spark, tmp_path):
     path = str(tmp_path / "t")
     schema = spark.range(1).schema
     assert tables.read_batches(spark, path, schema).count() == 0
-    assert tables.snapshot_before(spark, path, 5, schema).count() == 0
     for batch, rows in ((0, 3), (1, 5), (1, 4)):
         tables.write_batch(spark.range(rows), path, batch)
     assert tables.read_batches(spark, path, schema).count() == 7
-    assert tables.snapshot_before(spark, path, 1, schema).count() == 3
-    assert tables.snapshot_before(spark, path, 9, schema).count() == 4
 
 
 def test_shared_folder_is_the_named_one(spark):

@@ -6,17 +6,17 @@ from pyspark.errors import StreamingQueryException
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from fingerspark.operators import features, ingest, profiles
+from fingerspark.operators import baseline, features, ingest, profiles
 from fingerspark.plans.retrain import retrain
 from fingerspark.sources.schemas import (
     ALERT,
     ANOMALY_RESULT,
-    CONTAINER_PROFILE,
     FEATURE_VECTOR,
     PROCESSED_EVENT,
     RUNTIME_EVENT,
 )
-from fingerspark.sources.tables import read_batches, snapshot_before
+from fingerspark.sources import states
+from fingerspark.sources.tables import drop_expired, read_batches, write_batch
 from fingerspark.sources.topics import read_file_stream
 from fingerspark.streaming import jobs, windows
 from tests.support import START, runtime
@@ -166,7 +166,7 @@ def test_detection_before_and_after_a_model(spark, tmp_path):
                            str(tmp_path / "cp"), available_now=True))
     results = read_batches(spark, f"{root}/anomaly_results", ANOMALY_RESULT)
     assert results.filter("model_version = '20260102000000'").count() == 400
-    state = snapshot_before(spark, f"{root}/container_profiles", 99, CONTAINER_PROFILE)
+    state = jobs.stored_profiles(spark, root)
     assert state.agg(F.sum("total_events")).first()[0] == 500
     raised = read_batches(spark, f"{root}/alert_history", ALERT).count()
     assert raised == results.filter("is_anomalous AND severity IN ('HIGH', 'CRITICAL')").count()
@@ -179,9 +179,59 @@ def test_a_replayed_batch_counts_once(spark, tmp_path):
     batch = spark.createDataFrame(rows, ANOMALY_RESULT)
     for batch_id in (0, 1, 1, 2):
         jobs.maintain(batch, root, batch_id)
-    state = snapshot_before(spark, f"{root}/container_profiles", 3, CONTAINER_PROFILE).first()
+    state = jobs.stored_profiles(spark, root, 3).first()
     assert state.total_events == 15 and state.avg_anomaly_score == 0.8
     assert read_batches(spark, f"{root}/alert_history", ALERT).count() == 15
     assert read_batches(spark, f"{root}/webhook_outbox", ALERT).count() == 15
-    assert profiles.find_containers(snapshot_before(
-        spark, f"{root}/container_profiles", 3, CONTAINER_PROFILE), "critical").count() == 1
+    assert profiles.find_containers(jobs.stored_profiles(spark, root), "critical").count() == 1
+    assert jobs.stored_profiles(spark, root, 1).first().total_events == 5
+
+
+def test_many_batches_leave_few_folders(spark, tmp_path):
+    path = str(tmp_path / "state")
+    schema = jobs.PROFILE_DELTA
+
+    def row(container, n, at):
+        return (container, n, 1, n / 2, n / 10, datetime(2026, 1, at), datetime(2026, 1, at))
+
+    def folders():
+        return {kind: states.complete_batches(spark, f"{path}/{kind}") for kind in (states.BASE, states.ADDED)}
+
+    for batch_id in range(50):
+        for _ in range(2 if batch_id % 7 == 0 else 1):         # some are run again
+            rows = [row("a", 1, 1 + batch_id % 28), row(f"c{batch_id}", 2, 3)]
+            states.add(spark.createDataFrame(rows, schema).coalesce(1), path, batch_id, profiles.fold_deltas, most=4)
+        held = folders()
+        assert len(held[states.BASE]) <= 2 and len(held[states.ADDED]) <= 9
+    before = added_profiles(spark, path, 47)
+    assert before["a"].total_events == 47 and len(before) == 48 and "c47" not in before
+    assert added_profiles(spark, path, 99)["a"].total_anomalies == 50
+    # A base whose writing was cut short does not count.
+    (tmp_path / "state" / "base" / "batch_id=49").mkdir()
+    assert added_profiles(spark, path, 99)["a"].total_events == 50
+
+
+def added_profiles(spark, path, before):
+    folded = profiles.fold_deltas(states.added_before(spark, path, before, jobs.PROFILE_DELTA))
+    return {r.container_id: r for r in profiles.profiles_of(folded).collect()}
+
+
+def test_folded_moments_are_those_of_all_vectors(spark):
+    data = cloud(spark).withColumn("image_name", F.lit("img"))
+    parts = [baseline.image_moments(data.filter(F.crc32("vector_id") % 4 == i)) for i in range(4)]
+    folded = baseline.fold_moments(parts[0].union(parts[1]).union(parts[2]).union(parts[3])).first()
+    whole = baseline.image_moments(data).first()
+    assert folded.n == whole.n
+    for got, want in ((folded.mean, whole.mean), (folded.m2, whole.m2)):
+        assert all(abs(x - y) <= 1e-9 * max(1, abs(y)) for x, y in zip(got, want))
+
+
+def test_dates_leave_with_their_retention(spark, tmp_path):
+    path = str(tmp_path / "processed_events")
+    for batch_id, days in enumerate(([1, 2], [2, 9], [10])):
+        rows = [event(d, d * 86_400) for d in days]
+        write_batch(runtime(spark, rows).withColumn("date", F.to_date("timestamp")), path, batch_id, "date")
+    as_of = START + timedelta(days=10)
+    assert drop_expired(spark, path, "processed_events", as_of) == ["2026-03-21", "2026-03-22"]
+    assert {r.event_id for r in read_batches(spark, path, RUNTIME_EVENT).collect()} == {"e9", "e10"}
+    assert drop_expired(spark, path, "processed_events", as_of) == []
