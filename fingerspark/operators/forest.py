@@ -53,37 +53,62 @@ def height_limit(sample_size: int) -> int:
     return ceil(log2(max(sample_size, 2)))
 
 
-def draw(*parts: Column | str) -> Column:
-    """A deterministic pseudo-random integer below ``DRAWS`` for a combination of values."""
-    text = F.concat_ws("|", *[(F.col(p) if isinstance(p, str) else p).cast("string") for p in parts])
-    return F.conv(F.substring(F.md5(text), 1, 8), 16, 10).cast("bigint")
+def with_draws(vectors: DataFrame, seed: int) -> DataFrame:
+    """Add ``_a`` and ``_b``, from which a row's number for tree t is ``(_a + t * _b) % DRAWS``.
+
+    One hash serves all trees: a row's numbers are uniform, and those of two trees independent.
+    """
+    digest = F.md5(F.concat_ws("|", F.lit(str(seed)), F.col("vector_id").cast("string")))
+
+    def bits(at: int) -> Column:
+        return F.conv(F.substring(digest, at, 8), 16, 10).cast("bigint")
+
+    return vectors.withColumns({"_a": bits(1), "_b": bits(9).bitwiseOR(F.lit(1))})
 
 
 def tree_samples(training: DataFrame, trees: int = TREE_COUNT, sample_size: int = SUBSAMPLE_SIZE,
-                 seed: int = FOREST_SEED, rows: int | None = None) -> DataFrame:
-    """(tree_id, vector_id, features): a subsample without replacement for every tree.
+                 seed: int = FOREST_SEED, rows: int | None = None, below: DataFrame | None = None) -> DataFrame:
+    """(tree_id, vector_id, features, number): a subsample without replacement for every tree.
 
     A row draws a number for each tree and joins those where it is below a limit that
     lets in somewhat more than ``sample_size`` rows; of these a tree keeps the rows of the
     smallest numbers. So one scan decides, and hardly more rows move than are used. With
     fewer rows than ``sample_size`` a tree takes all. ``rows`` is the number of training
     rows where it is known already.
+
+    Samples of disjoint sets merge (:func:`merged_samples`). ``below`` (tree_id, number) names numbers from
+    which on no row would be kept in such a merger.
     """
     spark = training.sparkSession
     counted = F.lit(rows) if rows is not None else training.agg(F.count("*").alias("n")).scalar()
     wanted = sample_size + SPARE_DEVIATIONS * sample_size ** 0.5
     limit = F.lit(float(DRAWS)) * F.lit(wanted) / counted.cast("double")
-    tree_ids = F.sequence(F.lit(0), F.lit(trees - 1))
-    numbered = F.transform(tree_ids, lambda t: F.struct(
-        t.alias("tree_id"), draw(F.lit(str(seed)), t, F.col("vector_id")).alias("number")))
-    limited = training.select("vector_id", "features", F.coalesce(limit, F.lit(0.0)).alias("limit"))
+    numbered = F.transform(F.sequence(F.lit(0), F.lit(trees - 1)), lambda t: F.struct(
+        t.alias("tree_id"), ((F.col("_a") + t * F.col("_b")) % DRAWS).alias("number")))
+    limited = with_draws(training.select("vector_id", "features"), seed).withColumn("_limit", F.coalesce(limit, F.lit(0.0)))
     drawn = limited.select("vector_id", "features", F.explode(
-        F.filter(numbered, lambda d: d["number"] < F.col("limit"))).alias("d"))
-    first = Window.partitionBy("d.tree_id").orderBy("d.number", "vector_id")
-    samples = drawn.withColumn("nth", F.row_number().over(first)).filter(F.col("nth") <= sample_size).select(
-        "d.tree_id", "vector_id", "features")
-    # A given number of partitions, as the sizes say nothing of the work per tree.
-    return samples.repartition(min(trees, spark.sparkContext.defaultParallelism), "tree_id")
+        F.filter(numbered, lambda d: d["number"] < F.col("_limit"))).alias("d")).select(
+        "d.tree_id", "vector_id", "features", "d.number")
+    if below is not None:
+        limits = below.select("tree_id", F.col("number").alias("_from"))
+        drawn = drawn.join(F.broadcast(limits), "tree_id", "left").filter("_from IS NULL OR number < _from").drop("_from")
+    return merged_samples(drawn, trees, sample_size)
+
+
+def merged_samples(samples: DataFrame, trees: int = TREE_COUNT, sample_size: int = SUBSAMPLE_SIZE) -> DataFrame:
+    """For each tree, the rows of the smallest numbers of all that are given."""
+    # A given number of partitions, as the sizes say nothing of the work per tree. The ranks and
+    # the growing of the trees use them as they are.
+    parts = min(trees, 4 * samples.sparkSession.sparkContext.defaultParallelism)
+    first = Window.partitionBy("tree_id").orderBy("number", "vector_id")
+    return (samples.repartition(parts, "tree_id").withColumn("nth", F.row_number().over(first))
+            .filter(F.col("nth") <= sample_size).select("tree_id", "vector_id", "features", "number"))
+
+
+def full_trees(samples: DataFrame, sample_size: int = SUBSAMPLE_SIZE) -> DataFrame:
+    """(tree_id, number) of the trees that have all their rows: what is not below enters no more."""
+    held = samples.groupBy("tree_id").agg(F.count("*").alias("rows"), F.max("number").alias("number"))
+    return held.filter(F.col("rows") >= sample_size).select("tree_id", "number")
 
 
 def _grow(key: tuple, rows: pd.DataFrame, seed: int) -> pd.DataFrame:
@@ -133,7 +158,7 @@ def grow_forest(samples: DataFrame, seed: int = FOREST_SEED) -> DataFrame:
     def grow(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
         return _grow(key, rows, seed)
 
-    return samples.groupBy("tree_id").applyInPandas(grow, FOREST_NODE)
+    return samples.select("tree_id", "vector_id", "features").groupBy("tree_id").applyInPandas(grow, FOREST_NODE)
 
 
 @dataclass(frozen=True, eq=False)
@@ -242,12 +267,31 @@ def train(training: DataFrame, version: str, trees: int = TREE_COUNT,
     samples = training.count()
     if samples < minimum:
         return None
-    nodes = durable(grow_forest(tree_samples(training, trees, sample_size, seed, samples), seed))
+    return fitted(tree_samples(training, trees, sample_size, seed, samples), training, samples, version, seed, contamination)
+
+
+def train_on_samples(samples: DataFrame, rows: int, version: str, seed: int = FOREST_SEED,
+                     contamination: float = CONTAMINATION,
+                     minimum: int = MIN_TRAINING_ROWS) -> tuple[Model, DataFrame] | None:
+    """Fit a forest on samples that were kept batch by batch of ``rows`` vectors.
+
+    Its trees are those that all the vectors would give. The offset is that of the vectors in the
+    samples: at most trees times sample size of them.
+    """
+    if rows < minimum:
+        return None
+    held = durable(samples)
+    return fitted(held, held.dropDuplicates(["vector_id"]), rows, version, seed, contamination)
+
+
+def fitted(samples: DataFrame, training: DataFrame, rows: int, version: str, seed: int,
+           contamination: float) -> tuple[Model, DataFrame]:
+    nodes = durable(grow_forest(samples, seed))
     forest = load_forest(nodes)
     # Scoring costs far more per byte than a scan, so the few rows are spread over all cores.
     spread = training.repartition(training.sparkSession.sparkContext.defaultParallelism)
     offset = contamination_offset(forest_scores(spread, forest), contamination).first()["offset"]
-    return Model(version, forest, offset, samples), nodes
+    return Model(version, forest, offset, rows), nodes
 
 
 def raw_decision(vectors: DataFrame, model: Model) -> DataFrame:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from uuid import uuid4
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -16,9 +18,10 @@ from fingerspark.operators import baseline, evaluation, forest, registry, result
 from fingerspark.plans.check_sql import LONG, RESULTS, VECTORS, severity as sql_severity
 from fingerspark.plans.feature_queries import rounded
 from fingerspark.plans.registered import query
+from fingerspark.plans.retrain import keep_samples, stored_samples
 from fingerspark.plans.telemetry import AS_OF, anomaly_results, feature_vectors, read, stored_vectors
 from fingerspark.sources.schemas import FOREST_NODE
-from fingerspark.sources.tables import durable
+from fingerspark.sources.tables import durable, shared_folder
 
 # Trees, rows of a tree, and rows to train on at least.
 TREES, SAMPLE, MINIMUM = 200, 1024, 100
@@ -29,9 +32,11 @@ def _training(vectors: DataFrame) -> DataFrame:
 
 
 _SAMPLE_SQL = """WITH {vectors},
-drawn AS (SELECT tree_id, vector_id,
-                 CAST(concat('0x', substr(md5(concat_ws('|', '42', tree_id, vector_id)), 1, 8)) AS BIGINT) AS number
-          FROM vectors, (SELECT unnest(range({trees})) AS tree_id)),
+hashed AS (SELECT vector_id, md5(concat_ws('|', '42', vector_id)) AS h FROM vectors),
+halves AS (SELECT vector_id, CAST(concat('0x', substr(h, 1, 8)) AS BIGINT) AS a,
+                  CAST(concat('0x', substr(h, 9, 8)) AS BIGINT) | 1 AS b FROM hashed),
+drawn AS (SELECT tree_id, vector_id, (a + tree_id * b) % 4294967296 AS number
+          FROM halves, (SELECT unnest(range({trees})) AS tree_id)),
 ranked AS (SELECT *, row_number() OVER (PARTITION BY tree_id ORDER BY number, vector_id) AS nth FROM drawn)
 SELECT CAST(tree_id AS INT) AS tree_id, vector_id FROM ranked WHERE nth <= {sample}"""
 
@@ -47,6 +52,17 @@ def tree_samples_of_many(spark: SparkSession, sf_dir: str) -> DataFrame:
     return forest.tree_samples(_training(stored_vectors(spark, sf_dir)), 20, 64).select("tree_id", "vector_id")
 
 
+@query(_SAMPLE_SQL.format(vectors=VECTORS, trees=20, sample=64))
+def tree_samples_incremental(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same samples, kept in three batches of vectors without looking at earlier ones again."""
+    root = f"{shared_folder(spark)}/samples-{uuid4().hex}"
+    vectors = stored_vectors(spark, sf_dir)
+    for batch_id in range(3):
+        batch = vectors.filter(F.crc32(F.col("vector_id").cast("binary")) % 3 == batch_id)
+        keep_samples(batch, root, batch_id, 20, 64)
+    return stored_samples(spark, root, 20, 64).select("tree_id", "vector_id")
+
+
 @query()
 def forest_nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return forest.grow_forest(forest.tree_samples(_training(stored_vectors(spark, sf_dir))))

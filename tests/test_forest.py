@@ -7,7 +7,17 @@ from pyspark.sql import functions as F
 
 from fingerspark.operators import baseline, evaluation, forest, registry, results
 from fingerspark.plans.model_queries import FIXED_FOREST
-from fingerspark.plans.retrain import REGISTRY, current_model, read_versions, retrain
+from fingerspark.plans.retrain import (
+    BASELINES,
+    NODES,
+    REGISTRY,
+    current_model,
+    keep_samples,
+    read_versions,
+    retrain,
+    retrain_on_samples,
+    stored_samples,
+)
 from fingerspark.sources.schemas import FOREST_NODE
 from fingerspark.sources.tables import durable
 
@@ -160,6 +170,24 @@ def test_retrain_stores_versions(spark, tmp_path):
     assert registry.model_info(read_versions(spark, root, REGISTRY)).first().threshold_high == 0.75
 
 
+def test_a_model_of_kept_samples_is_that_of_all_vectors(spark, tmp_path):
+    data, kept, whole = durable(cloud(spark, 900)), str(tmp_path / "kept"), str(tmp_path / "whole")
+    for batch_id in range(5):
+        for _ in range(2 if batch_id == 3 else 1):             # one batch is run again
+            keep_samples(data.filter(F.crc32("vector_id") % 5 == batch_id), kept, batch_id, 10, 64)
+    before = stored_samples(spark, kept, 10, 64, 2)
+    assert before.count() == 640 and before.filter(F.crc32("vector_id") % 5 > 1).count() == 0
+    one = retrain_on_samples(spark, kept, datetime(2026, 1, 1), 10, 64)
+    other = retrain(data, whole, datetime(2026, 1, 1), trees=10, sample_size=64)
+    nodes = [sorted(map(tuple, read_versions(spark, r, NODES).collect())) for r in (kept, whole)]
+    assert nodes[0] == nodes[1] and one.samples == other.samples == 900
+    for name in ("mean", "std"):
+        a, b = (read_versions(spark, r, BASELINES).first()[name] for r in (kept, whole))
+        assert a == pytest.approx(b)
+    assert one.offset == pytest.approx(other.offset, abs=0.02)
+    assert retrain_on_samples(spark, str(tmp_path / "none"), datetime(2026, 1, 1)) is None
+
+
 def test_evaluation(spark):
     rng = np.random.default_rng(5)
     rows = [(bool(rng.random() < 0.3), round(float(rng.random()), 2)) for _ in range(500)]
