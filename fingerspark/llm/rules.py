@@ -23,6 +23,9 @@ SYMBOLS = "[#*$%&|<>]"
 #: Buckets of n-grams; the table of log ratios has as many entries.
 BUCKETS = 1 << 14
 PAIR_FACTOR = 33
+#: Bits of the filter of trusted ids, for each of them and in all (32 MB).
+FILTER_BITS = 8
+MOST_BITS = 1 << 28
 #: Occurrences that the prior adds to a bucket's expected count on both sides of the ratio.
 PRIOR = 16.0
 #: Log ratios are held in so many parts of a nat, as integers, so that sums of them are
@@ -85,22 +88,46 @@ def ngram_buckets(crc: str = "crc") -> Column:
     return F.concat(singles, F.slice(pairs, F.lit(1), F.greatest(F.size(c) - 1, F.lit(0))))
 
 
+def perhaps_among(df: DataFrame, column: str, ids: DataFrame, id_: str) -> DataFrame:
+    """Rows of ``df`` whose ``column`` may be among the ids. None that is there is missed.
+
+    The filter has about ``FILTER_BITS`` bits for each id and at most ``MOST_BITS`` in all, which bounds
+    what is broadcast: with more ids it lets more rows through.
+    """
+    bits = min(MOST_BITS, max(1 << 15, FILTER_BITS * ids.count()))
+
+    def placed(name: str) -> Column:
+        return F.pmod(F.xxhash64(name), F.lit(bits))
+
+    bitmaps = ids.groupBy(F.bitmap_bucket_number(placed(id_)).alias("_number")).agg(
+        F.bitmap_construct_agg(F.bitmap_bit_position(placed(id_))).alias("_bitmap"))
+    found = df.withColumns({"_of": F.bitmap_bucket_number(placed(column)), "_bit": F.bitmap_bit_position(placed(column))}).join(
+        F.broadcast(bitmaps), F.col("_of") == F.col("_number"))
+    byte = F.conv(F.hex(F.substring("_bitmap", F.floor(F.col("_bit") / 8).cast("int") + 1, F.lit(1))), 16, 10).cast("int")
+    return found.filter(F.expr("shiftleft(1, int(_bit % 8))").bitwiseAND(byte) > 0).select(*named(df))
+
+
 def bucket_counts(docs: DataFrame, trusted: DataFrame, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
     """Occurrences of each bucket in the whole corpus and in the trusted documents.
 
-    All documents are counted, in one scan. Counts are combined before the shuffle, so what
-    moves is at most one row for each bucket and task. All trusted ids are looked up by a
-    join without a hint: where they are too many to broadcast, what moves of a document is
-    its id and two bytes a word, which is all that buckets depend on.
+    All documents are counted in one scan without a join. Counts are combined before the shuffle, so
+    what moves is at most one row for each bucket and task. For the trusted documents, a filter of their
+    ids drops most others in the scan; what passes is joined with the ids, and moves its id
+    and two bytes a word, which is all that buckets depend on.
     """
-    ids = trusted.select(F.col(doc_id).alias("_trusted")).dropna().distinct()
-    low = F.transform(words_of(F.col(text)), lambda w: F.crc32(w.cast("binary")).bitwiseAND(F.lit(BUCKETS - 1)).cast("smallint"))
-    hashed = docs.select(F.col(doc_id).alias("_id"), low.alias("crc")).join(
-        ids, F.col("_id") == F.col("_trusted"), "left").select(F.col("_trusted").isNotNull().cast("long").alias("trusted"), "crc")
+    kind = docs.select(F.col(doc_id)).schema[0].dataType  # hashes of equal ids differ between types
+    ids = durable(trusted.select(F.col(doc_id).cast(kind).alias("_trusted")).dropna().distinct())
+
+    def low(words: str) -> Column:
+        return F.transform(words_of(F.col(words)), lambda w: F.crc32(w.cast("binary")).bitwiseAND(F.lit(BUCKETS - 1)).cast("smallint"))
+
+    perhaps = perhaps_among(docs.select(F.col(doc_id).alias("_id"), F.col(text).alias("_text")), "_id", ids, "_trusted")
+    known = perhaps.select("_id", low("_text").alias("crc")).join(ids, F.col("_id") == F.col("_trusted"), "left_semi")
     # The array is built inside explode: of a column, Spark would infer a filter on its size
     # and push that below the steps that make it, to compute them once more for each element.
-    grams = hashed.select("trusted", F.explode(ngram_buckets()).alias("bucket"))
-    return grams.groupBy("bucket").agg(F.count("*").alias("raw"), F.sum("trusted").alias("target"))
+    raw, target = (rows.select(F.explode(ngram_buckets()).alias("bucket")).groupBy("bucket").agg(F.count("*").alias("n"))
+                   for rows in (docs.select(low(text).alias("crc")), known))
+    return raw.withColumnRenamed("n", "raw").join(target.withColumnRenamed("n", "target"), "bucket", "left").fillna(0, ["target"])
 
 
 def log_ratios(counts: DataFrame) -> DataFrame:
