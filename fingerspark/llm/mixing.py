@@ -35,7 +35,7 @@ TINY = 1e-9
 
 def word_count(text: Column) -> Column:
     """Words of a text; 0 for null."""
-    trimmed = F.regexp_replace(F.coalesce(text, F.lit("")), f"^[{SPACES}]+|[{SPACES}]+$", "")
+    trimmed = F.regexp_replace(F.coalesce(text, F.lit("")), rf"^[{SPACES}]+|[{SPACES}]+\z", "")
     return F.when(trimmed == "", 0).otherwise(F.size(F.split(trimmed, f"[{SPACES}]+"))).cast("long")
 
 
