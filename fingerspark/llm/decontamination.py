@@ -28,6 +28,8 @@ WINDOW = 13
 ONE_IN = 20
 #: Windows in one automaton at most, about 150 MB in a task; more items take more passes.
 MOST_WINDOWS = 100_000
+#: Words of an item that take the room of one window at least.
+WORDS_A_WINDOW = 10
 #: Characters of item words that take the room of one more window.
 CHARACTERS = 320
 #: The same words where they stand in a text that has not been lower-cased.
@@ -110,14 +112,16 @@ def merged(ranges: list[int], offsets: list[int]) -> tuple[list[int], list[int]]
 def pieces_of(text: str | None, size: int, most: int) -> list[tuple[str, int]]:
     """An item's words in pieces that have each of its windows once, at most ``most`` a piece.
 
-    With each piece goes the room that it takes: its windows, and more for long words. Of
-    pieces under one id the windows are those of the item.
+    With each piece goes the room that it takes: its windows, more if its words are many for
+    them (so that a block's words are never more than an automaton has letters for), and more for
+    long words. Of pieces under one id the windows are those of the item.
     """
     words = tokens_of(text)
     out = []
     for at in range(0, max(1, len(words) - size + 1) if words else 0, most):
-        piece = b" ".join(words[at:at + most + size - 1])
-        n = min(most, max(1, len(words) - size + 1) - at)
+        held = words[at:at + most + size - 1]
+        piece = b" ".join(held)
+        n = max(min(most, max(1, len(words) - size + 1) - at), -(-len(held) // WORDS_A_WINDOW))
         out.append((piece.decode("utf-8", "surrogatepass"), n + len(piece) // CHARACTERS))
     return out
 
