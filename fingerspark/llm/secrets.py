@@ -15,6 +15,7 @@ import hashlib
 import json
 import re
 import struct
+from bisect import bisect_right
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -33,7 +34,8 @@ HEX = re.compile(r"[0-9a-f]{16,}")
 KEYWORDS = ("passw", "secret", "token", "apikey", "api_key")
 
 # Formats of the public key and token encodings that are confirmed.
-PEM = re.compile(r"-----BEGIN ([A-Z0-9 ]{0,40}PRIVATE KEY)-----([A-Za-z0-9+/=\s:,.-]*?)-----END \1-----")
+PEM_MARK = re.compile(r"-----(BEGIN|END) ([A-Z0-9 ]{0,40}PRIVATE KEY)-----")
+PEM_BODY = re.compile(r"[A-Za-z0-9+/=\s:,.-]*")
 OPENSSH_MAGIC = b"openssh-key-v1\0"
 DER_BASE64 = re.compile(r"(?<![A-Za-z0-9+/_-])M[A-Za-z0-9+/_-]{30,}={0,2}")
 DER_HEX = re.compile(r"(?<![0-9A-Fa-f])30[0-9A-Fa-f]{60,}(?![0-9A-Fa-f])")
@@ -191,23 +193,40 @@ def base_spans(text: str) -> list[Span]:
     return spans
 
 
+def labelled_blocks(text: str) -> list[tuple[int, int, str]]:
+    """Start, end and body of what stands between a mark BEGIN and the next mark, if that is its END.
+
+    Marks are found first and paired, so a text full of marks takes no more time than another.
+    """
+    out, begun = [], None
+    for mark in PEM_MARK.finditer(text):
+        if mark.group(1) == "BEGIN":
+            begun = mark
+        elif begun is not None:
+            if begun.group(2) == mark.group(2) and PEM_BODY.fullmatch(text, begun.end(), mark.start()):
+                out.append((begun.start(), mark.end(), text[begun.end():mark.start()]))
+            begun = None
+    return out
+
+
 def confirmed_spans(text: str) -> list[Span]:
     """Spans of decoded and confirmed keys and tokens; none of them inside a labelled block."""
     spans = []
-    blocks = []
+    starts, ends = [], []
     if "-----BEGIN " in text:
-        for m in PEM.finditer(text):
-            body = m.group(2)
+        for start, end, body in labelled_blocks(text):
             encrypted = "DEK-Info:" in body
             if encrypted:                                    # headers end at an empty line
                 body = re.split(r"\r?\n\r?\n", body, maxsplit=1)[-1]
             data = decoded("".join(body.split()))
             if is_key(data) or encrypted and data and len(data) % 8 == 0:
-                blocks.append((m.start(), m.end()))
-                spans.append((m.start(), 3, m.end()))
+                starts.append(start)
+                ends.append(end)
+                spans.append((start, 3, end))
 
     def free(m: re.Match) -> bool:
-        return not any(a <= m.start() < b for a, b in blocks)
+        before = bisect_right(starts, m.start())
+        return before == 0 or ends[before - 1] <= m.start()
 
     spans += [(m.start(), 4, m.end()) for m in DER_BASE64.finditer(text)
               if free(m) and (data := decoded(m.group())) and is_der_key(data)]
