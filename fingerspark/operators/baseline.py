@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 from datetime import datetime
 
+import numpy as np
+import pandas as pd
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -17,7 +20,7 @@ from fingerspark.functions.fixed import (
 )
 from fingerspark.functions.scoring import clean_vector, has_vector_length
 from fingerspark.functions.timing import instant
-from fingerspark.operators.ordered import ordinal, running_totals
+from fingerspark.operators.ordered import ordinal
 from fingerspark.sources.tables import durable
 
 _DIMENSIONS = range(FEATURE_COUNT)
@@ -92,6 +95,23 @@ def merge_moments(state: DataFrame, delta: DataFrame) -> DataFrame:
     return merged.withColumnsRenamed({"all_n": "n", "all_mean": "mean", "all_m2": "m2"})
 
 
+def merged_moments(a: Column, b: Column) -> Column:
+    """The moments (struct of n, mean and m2) of the union of two disjoint sets."""
+    n = a["n"] + b["n"]
+    share = b["n"] / n
+    gap = F.zip_with(a["mean"], b["mean"], lambda x, y: y - x)
+    within = F.zip_with(a["m2"], b["m2"], lambda x, y: x + y)
+    return F.struct(
+        n.alias("n"), F.zip_with(a["mean"], gap, lambda x, d: x + d * share).alias("mean"),
+        F.zip_with(within, gap, lambda w, d: w + d * d * a["n"] * share).alias("m2"))
+
+
+def all_merged(parts: Column) -> Column:
+    """The moments of all sets of an array; null where it is empty."""
+    rest = F.slice(parts, F.lit(2), F.greatest(F.size(parts), F.lit(1)))
+    return F.when(F.size(parts) > 0, F.aggregate(rest, F.get(parts, F.lit(0)), merged_moments))
+
+
 def fold_moments(moments: DataFrame) -> DataFrame:
     """Moments of the union of disjoint sets of vectors, per image, from a few rows of moments of each.
 
@@ -99,19 +119,7 @@ def fold_moments(moments: DataFrame) -> DataFrame:
     stored, not as vectors.
     """
     parts = F.sort_array(F.collect_list(F.struct("n", "mean", "m2")))
-
-    def merge(a: Column, b: Column) -> Column:
-        n = a["n"] + b["n"]
-        share = b["n"] / n
-        gap = F.zip_with(a["mean"], b["mean"], lambda x, y: y - x)
-        within = F.zip_with(a["m2"], b["m2"], lambda x, y: x + y)
-        return F.struct(
-            n.alias("n"), F.zip_with(a["mean"], gap, lambda x, d: x + d * share).alias("mean"),
-            F.zip_with(within, gap, lambda w, d: w + d * d * a["n"] * share).alias("m2"))
-
-    listed = moments.groupBy("image_name").agg(parts.alias("parts"))
-    rest = F.slice("parts", F.lit(2), F.size("parts"))
-    return listed.select("image_name", F.aggregate(rest, F.get("parts", F.lit(0)), merge).alias("all")).select(
+    return moments.groupBy("image_name").agg(all_merged(parts).alias("all")).select(
         "image_name", "all.n", "all.mean", "all.m2")
 
 
@@ -136,35 +144,61 @@ def baseline_rows(baseline: DataFrame) -> DataFrame:
         F.get("std", F.col("pos")).alias("std"))
 
 
+def running_moments(vectors: DataFrame) -> DataFrame:
+    """Per vector, count, mean and summed squared deviations of its image's vectors of one slice so far.
+
+    The vectors are cut into slices by image and time, so an image of any size is many of them; a slice is
+    read once in order, a batch at a time, and ``slice`` tells the order of the slices.
+    """
+    ordered = vectors.repartitionByRange("image_name", "window_end", "vector_id").sortWithinPartitions(
+        "image_name", "window_end", "vector_id")
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        number = TaskContext.get().partitionId()
+        image, held = None, (0, 0.0, 0.0)
+        for batch in batches:
+            for name, rows in batch.groupby("image_name", sort=True):
+                if name != image:
+                    image, held = name, (0, 0.0, 0.0)
+                x = np.stack(rows["features"].to_numpy()).astype("float64")
+                count = np.arange(1, len(x) + 1)[:, None]
+                centre = x.mean(axis=0)
+                sums, squares = np.cumsum(x - centre, axis=0), np.cumsum((x - centre) ** 2, axis=0)
+                mean, m2 = centre + sums / count, np.maximum(squares - sums * sums / count, 0.0)
+                n = held[0] + count
+                gap = mean - held[1]
+                m2 = held[2] + m2 + gap * gap * held[0] * count / n
+                mean = held[1] + gap * count / n
+                held = (int(n[-1, 0]), mean[-1], m2[-1])
+                yield pd.DataFrame({
+                    "vector_id": rows["vector_id"], "image_name": name, "window_end": rows["window_end"], "slice": number,
+                    "n": n[:, 0], "mean": list(mean), "m2": list(m2)})
+
+    kinds = {f.name: f.dataType.simpleString() for f in vectors.schema.fields}
+    return ordered.mapInPandas(run, f"""vector_id {kinds["vector_id"]}, image_name string, window_end {kinds["window_end"]},
+        slice int, n bigint, mean array<double>, m2 array<double>""")
+
+
 def online_image_baseline(vectors: DataFrame) -> DataFrame:
     """Per vector, the baseline of its image after all vectors up to and including it.
 
-    Sums of deviations from the image's overall mean are carried instead of raw sums,
-    so no precision is lost to cancellation; an image of any size is cut into slices.
+    A prefix scan of moments: running ones inside slices, and for each slice and image the merged
+    ones of the slices before. Only one row per slice and image crosses between slices. Moments
+    are merged and not subtracted, so no precision is lost to cancellation. Vectors of wrong length
+    have no part.
     """
-    named = vectors.filter(F.coalesce(F.col("image_name"), F.lit("")) != "")
-    # Stored, so that its true size decides between broadcast and partitioned join.
-    anchors = durable(named.groupBy("image_name").agg(_per_dimension(F.avg).alias("anchor")))
-    shifted = (named.select("vector_id", "image_name", "window_end", "features")
-               .join(anchors, "image_name")
-               .select("vector_id", "image_name", "window_end", "anchor",
-                       *[(F.get("features", F.lit(i)) - F.get("anchor", F.lit(i))).alias(f"_d{i}")
-                         for i in _DIMENSIONS]))
-    totals = {"n": F.lit(1).cast("bigint")}
-    for i in _DIMENSIONS:
-        totals[f"_s{i}"] = F.col(f"_d{i}")
-        totals[f"_q{i}"] = F.col(f"_d{i}") * F.col(f"_d{i}")
-    summed = running_totals(shifted, ["image_name"], ["window_end", "vector_id"], totals)
-    n = F.col("n").cast("double")
-    means = [F.get("anchor", F.lit(i)) + F.col(f"_s{i}") / n for i in _DIMENSIONS]
-    variances = [(F.col(f"_q{i}") - F.col(f"_s{i}") * F.col(f"_s{i}") / n) / (n - 1)
-                 for i in _DIMENSIONS]
-    floored = [F.sqrt(F.greatest(v, F.lit(VARIANCE_FLOOR))) for v in variances]
-    return summed.select(
-        "vector_id", "image_name", "window_end", "n",
-        F.array(*means).alias("mean"),
-        F.when(F.col("n") > 1, F.array(*floored)).alias("std"),
-    )
+    usable = vectors.filter((F.coalesce(F.col("image_name"), F.lit("")) != "") & has_vector_length(F.col("features")))
+    local = durable(running_moments(usable.select("vector_id", "image_name", "window_end", "features")))
+    whole = local.groupBy("image_name", "slice").agg(F.max(F.struct("n", "mean", "m2")).alias("whole"))
+    earlier = Window.partitionBy("image_name").orderBy("slice").rowsBetween(Window.unboundedPreceding, -1)
+    before = whole.select("image_name", "slice", all_merged(F.collect_list("whole").over(earlier)).alias("before"))
+    own = F.struct("n", "mean", "m2")
+    joined = local.join(before, ["image_name", "slice"]).select(
+        "vector_id", "image_name", "window_end",
+        F.when(F.col("before").isNull(), own).otherwise(merged_moments(F.col("before"), own)).alias("all"))
+    flat = joined.select("vector_id", "image_name", "window_end", "all.*")
+    std = F.transform("m2", lambda m2: F.sqrt(F.greatest(m2 / (F.col("n") - 1), F.lit(VARIANCE_FLOOR))))
+    return flat.select("vector_id", "image_name", "window_end", "n", "mean", F.when(F.col("n") > 1, std).alias("std"))
 
 
 def drift_score(current: DataFrame, previous: DataFrame) -> DataFrame:
