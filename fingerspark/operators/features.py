@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from math import gcd
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -68,6 +69,12 @@ def window_features(events: DataFrame, seconds: int = WINDOW_SECONDS,
     aggregations run on tables and, in append mode, on watermarked streams. Entropies are
     folded from per-value counts, so a window travels as partial sums.
     """
+    counts = _value_counts(events, seconds, slide_seconds, keys)
+    return measured_windows(_folded(counts, keys), seconds, keys)
+
+
+def _folded(counts: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
+    """The sums of each container window from its counts of values."""
     every, named, process = "kind = 'syscall'", "kind = 'syscall' AND value IS NOT NULL", "kind = 'process_name'"
 
     def total(condition: str, value: str = "n") -> str:
@@ -93,9 +100,7 @@ def window_features(events: DataFrame, seconds: int = WINDOW_SECONDS,
         "image_name": "max(CASE WHEN kind = 'image_name' THEN value END)",
         "frequencies": f"collect_list(CASE WHEN {named} THEN struct(value, n) END)",
     }
-    counted = _value_counts(events, seconds, slide_seconds, keys).groupBy("window", "container_id", *keys)
-    folded = counted.agg(*[F.expr(f"{sql} AS {name}") for name, sql in sums.items()])
-    return measured_windows(folded, seconds, keys)
+    return counts.groupBy("window", "container_id", *keys).agg(*[F.expr(f"{sql} AS {name}") for name, sql in sums.items()])
 
 
 def measured_windows(folded: DataFrame, seconds: int, keys: Sequence[str] = ()) -> DataFrame:
@@ -167,10 +172,19 @@ def capped_window_features(events: DataFrame, seconds: int = WINDOW_SECONDS,
 
 def multi_resolution_features(events: DataFrame,
                               resolutions: Sequence[int] = MULTI_RESOLUTION_SECONDS) -> DataFrame:
-    """The same events at several window lengths, told apart by window_duration_seconds."""
-    result = window_features(events, resolutions[0])
-    for seconds in resolutions[1:]:
-        result = result.unionByName(window_features(events, seconds))
+    """The same events at several window lengths, told apart by window_duration_seconds.
+
+    The events are read once, into counts of values at the greatest length that divides all others.
+    Counts of longer windows are sums of these, and a distinct value is a row of them.
+    """
+    shortest = durable(_value_counts(events, gcd(*resolutions), None, ()))
+    placed = shortest.withColumn("start", F.col("window.start")).drop("window")
+    result = None
+    for seconds in resolutions:
+        counts = placed.groupBy(F.window("start", f"{seconds} seconds").alias("window"), "container_id", "kind", "value").agg(
+            *[F.sum(c).alias(c) for c in ("n", "network", "privileged", "root")])
+        vectors = measured_windows(_folded(counts), seconds)
+        result = vectors if result is None else result.unionByName(vectors)
     return result
 
 

@@ -2,13 +2,18 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from fingerspark.functions.scoring import risk_level
 from fingerspark.operators.ordered import running_totals
 from fingerspark.operators.paging import equal_if_given, page_envelope, page_rows
 from fingerspark.sources.schemas import CONTAINER_PROFILE, conform
+from fingerspark.sources.tables import durable
+
+#: Values of a kind that a profile row lists.
+MOST_LISTED = 10_000
+
 
 def profile_delta(results: DataFrame) -> DataFrame:
     """What a set of results adds to the profiles: counts, score sum and maximum, first/last seen."""
@@ -101,22 +106,26 @@ def baseline_behaviour(events: DataFrame) -> DataFrame:
         F.struct(F.lit("process").alias("kind"), F.col("process_name").alias("value")),
         F.struct(F.lit("destination").alias("kind"), F.col("destination_ip").alias("value")),
     )).alias("v")).select("container_id", "v.kind", "v.value")
-    counted = values.filter(F.col("value").isNotNull()).groupBy("container_id", "kind", "value").agg(
-        F.count("*").alias("n"))
-    totals = events.groupBy("container_id").agg(F.count("*").alias("total"))
-    return counted.join(totals, "container_id").withColumn(
+    present = values.filter("kind = 'syscall' OR value IS NOT NULL")
+    counted = durable(present.groupBy("container_id", "kind", "value").agg(F.count("*").alias("n")))
+    # Every event counts once among the syscalls, also those without one.
+    totals = counted.filter("kind = 'syscall'").groupBy("container_id").agg(F.sum("n").alias("total"))
+    return counted.filter("value IS NOT NULL").join(totals, "container_id").withColumn(
         "share", F.col("n") / F.col("total")).drop("total")
 
 
-def behaviour_columns(behaviour: DataFrame) -> DataFrame:
-    """The behaviour of chosen containers as profile columns: one map and two sorted arrays.
+def behaviour_columns(behaviour: DataFrame, most: int = MOST_LISTED) -> DataFrame:
+    """The behaviour of containers as profile columns: one map and two sorted arrays.
 
-    Meant for looking up profiles: filter ``behaviour`` to the containers shown first.
+    Of each kind a row lists the ``most`` frequent values, equally frequent ones in order, so no
+    container makes a row without bound; all of them stay in ``behaviour``.
     """
     def of(kind: str, value: Column) -> Column:
         return F.sort_array(F.collect_list(F.when(F.col("kind") == kind, value)))
 
-    return behaviour.groupBy("container_id").agg(
+    frequent = Window.partitionBy("container_id", "kind").orderBy(F.desc("n"), "value")
+    listed = behaviour.withColumn("_nth", F.row_number().over(frequent)).filter(F.col("_nth") <= most)
+    return listed.groupBy("container_id").agg(
         F.map_from_entries(of("syscall", F.struct("value", "share"))).alias("baseline_syscall_distribution"),
         of("process", F.col("value")).alias("baseline_process_list"),
         of("destination", F.col("value")).alias("baseline_network_destinations"),

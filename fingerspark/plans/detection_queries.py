@@ -213,15 +213,20 @@ def profile_baselines(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(profiles.baseline_behaviour(telemetry.stored_events(spark, sf_dir)), "share")
 
 
-@query(f"""WITH {RUNTIME}
-SELECT container_id, string_agg(DISTINCT process_name, ',' ORDER BY process_name) AS process_list,
+@query(f"""WITH {RUNTIME},
+shares AS (SELECT container_id, syscall, count(*) / sum(count(*)) OVER (PARTITION BY container_id) AS share
+           FROM processed GROUP BY 1, 2),
+texts AS (SELECT container_id, string_agg(printf('%s:%.6f', syscall, share), ',' ORDER BY syscall) AS syscall_distribution
+          FROM shares WHERE syscall IS NOT NULL GROUP BY 1)
+SELECT container_id, syscall_distribution, string_agg(DISTINCT process_name, ',' ORDER BY process_name) AS process_list,
        string_agg(DISTINCT destination_ip, ',' ORDER BY destination_ip) AS network_destinations
-FROM processed WHERE container_id = 'c2' GROUP BY 1""")
+FROM processed JOIN texts USING (container_id) GROUP BY 1, 2""")
 def profile_baseline_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
-    behaviour = profiles.baseline_behaviour(telemetry.stored_events(spark, sf_dir))
-    shown = profiles.behaviour_columns(behaviour.filter(F.col("container_id") == "c2"))
+    shown = profiles.behaviour_columns(profiles.baseline_behaviour(telemetry.stored_events(spark, sf_dir)))
+    shares = F.transform(F.array_sort(F.map_entries("baseline_syscall_distribution")),
+                         lambda e: F.format_string("%s:%.6f", e["key"], e["value"]))
     return shown.select(
-        "container_id",
+        "container_id", F.array_join(shares, ",").alias("syscall_distribution"),
         F.concat_ws(",", "baseline_process_list").alias("process_list"),
         F.concat_ws(",", "baseline_network_destinations").alias("network_destinations"))
 
