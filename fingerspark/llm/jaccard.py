@@ -26,9 +26,11 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_type
 
 from fingerspark.llm.texts import LOWER_BYTES, empty, free_name, named, slices
-from fingerspark.sources.tables import durable
+from fingerspark.sources.tables import durable, release
 
 #: Words of an n-gram.
 WORDS = 5
@@ -39,11 +41,12 @@ BAND, SLACK, MORE = 1.5, 0.08, 5
 LARGEST = 1 << 40
 #: Counters of n-grams, by hash, that tell which are frequent; deviations above the median.
 COUNTERS, DEVIATIONS, ABOVE = 1 << 20, 8.0, 16
-#: Bits of the filters of keys and entities that are broadcast.
-FILTER_BITS = 1 << 26
-#: Members of each key that its others are compared with before all pairs are; 64-bit words
-#: of the sketch that goes along with a key.
-HUBS = 1
+#: Bits of the filters of keys and entities that are broadcast: for each of them, and in all (64 MB).
+FILTER_BITS = 16
+MOST_BITS = 1 << 29
+#: Rounds in which entities are compared with one member of each of their keys before all pairs are;
+#: 64-bit words of the sketch by which all pairs are compared first.
+ROUNDS = 2
 LANES = 8
 #: Bytes of text hashed at once.
 PIECE = 1 << 20
@@ -229,17 +232,18 @@ def may_link(n: int, m: int, difference: int) -> bool:
 Batches = Iterator[pa.RecordBatch]
 
 
-def scan(df: DataFrame, schema: str, each: Callable[[], Callable[[pa.RecordBatch, list], Iterator[dict]]]) -> DataFrame:
+def scan(df: DataFrame, schema: str | T.StructType, each: Callable[[], Callable[[pa.RecordBatch, list], Iterator[dict]]]) -> DataFrame:
     """Map pieces of ``df``, whose last column is text, with their n-gram sets to new rows."""
-    names = [f.split()[0] for f in schema.split(", ")]
-    kinds = {"bigint": pa.int64(), "binary": pa.binary(), "array<bigint>": pa.list_(pa.int64()), "int": pa.int32()}
-    types = [kinds[f.split()[1]] for f in schema.split(", ")]
+    fields = T.StructType.fromDDL(schema) if isinstance(schema, str) else schema
+    names, types = fields.names, [to_arrow_type(f.dataType) for f in fields]
 
     def run(batches: Batches) -> Batches:
         shingler, step = Shingler(), each()
 
         def made(columns: dict) -> pa.RecordBatch:
-            return pa.RecordBatch.from_arrays([pa.array(columns[n], t) for n, t in zip(names, types)], names)
+            return pa.RecordBatch.from_arrays([
+                columns[n].cast(t) if isinstance(columns[n], pa.Array) else pa.array(columns[n], t)
+                for n, t in zip(names, types)], names)
 
         for batch in batches:
             for part in slices(batch, PIECE):
@@ -249,19 +253,18 @@ def scan(df: DataFrame, schema: str, each: Callable[[], Callable[[pa.RecordBatch
         for columns in step(None, []):
             yield made(columns)
 
-    return df.mapInArrow(run, schema)
+    return df.mapInArrow(run, fields)
 
 
-def merged_arrays(parts: DataFrame, combine: str, dtype: str) -> np.ndarray:
-    """Arrays that tasks gave in (place, part, data) chunks, combined over the tasks.
+def merged_counts(parts: DataFrame) -> np.ndarray:
+    """Arrays of counts that tasks gave in (place, part, data) chunks, summed over the tasks.
 
     Few are combined at a time, level by level; the result has a fixed size.
     """
     width = parts.agg(F.max("part")).first()[0]
 
     def run(pdf):
-        arrays = [np.frombuffer(d, dtype) for d in pdf["data"]]
-        total = np.bitwise_or.reduce(arrays) if combine == "or" else np.sum(arrays, axis=0, dtype=dtype)
+        total = np.sum([np.frombuffer(d, np.int32) for d in pdf["data"]], axis=0, dtype=np.int32)
         return pdf.iloc[:1][["place", "part"]].assign(data=total.tobytes())
 
     while width:
@@ -269,7 +272,9 @@ def merged_arrays(parts: DataFrame, combine: str, dtype: str) -> np.ndarray:
         grouped = parts.withColumn("part", F.floor(F.col("part") / MERGE).cast("bigint")).groupBy("place", "part")
         parts = durable(grouped.applyInPandas(run, "place bigint, part bigint, data binary"))
     rows = parts.groupBy("place").applyInPandas(run, "place bigint, part bigint, data binary").collect()
-    return np.concatenate([np.frombuffer(r["data"], dtype) for r in sorted(rows, key=lambda r: r["place"])]) if rows else np.zeros(0, dtype)
+    if not rows:
+        return np.zeros(0, np.int32)
+    return np.concatenate([np.frombuffer(r["data"], np.int32) for r in sorted(rows, key=lambda r: r["place"])])
 
 
 def chunks_of(array: np.ndarray) -> tuple[list[int], list[bytes]]:
@@ -300,7 +305,9 @@ def read_entities(rows: DataFrame) -> DataFrame:
                    "entity": [entity_of(s) if len(s) else None for s in sets], "place": none, "part": none, "data": none}
         return step
 
-    return durable(scan(rows, "id bigint, mark bigint, n bigint, entity bigint, place bigint, part bigint, data binary", each))
+    schema = T.StructType([rows.schema["id"], *T.StructType.fromDDL(
+        "mark bigint, n bigint, entity bigint, place bigint, part bigint, data binary")])
+    return durable(scan(rows, schema, each))
 
 
 def frequent_buckets(counts: np.ndarray) -> bytes | None:
@@ -338,24 +345,25 @@ def shared_keys(rows: DataFrame, frequent) -> DataFrame:
 
 
 def bit_filter(values: DataFrame) -> bytes:
-    """A filter of 64-bit numbers, of fixed size, in which none of them is missed."""
-    def run(batches: Batches) -> Batches:
-        bits = np.zeros(FILTER_BITS, bool)
-        for batch in batches:
-            bits[batch.column(0).to_numpy() & (FILTER_BITS - 1)] = True
-        if bits.any():
-            places, data = chunks_of(np.packbits(bits))
-            yield pa.RecordBatch.from_arrays([pa.array(places, pa.int64()), pa.array([part_number()] * CHUNKS, pa.int64()),
-                                              pa.array(data, pa.binary())], ["place", "part", "data"])
+    """A filter of 64-bit numbers (one column) that misses none of them.
 
-    parts = durable(values.mapInArrow(run, "place bigint, part bigint, data binary"))
-    merged = merged_arrays(parts, "or", "uint8")
-    return (merged if len(merged) else np.zeros(FILTER_BITS // 8, np.uint8)).tobytes()
+    Its size goes by their number, up to ``MOST_BITS``, which bounds what is broadcast: of still more numbers
+    it lets others through more often, which costs rows in the joins but no link.
+    """
+    bits = min(MOST_BITS, max(1 << 15, 1 << (FILTER_BITS * values.count()).bit_length()))
+    place = F.col(values.columns[0]).bitwiseAND(F.lit(bits - 1)) + 1  # Spark numbers bits and stretches from 1
+    # Numbers meet at their stretch of the filter before it is made, so that no task holds all of it.
+    placed = values.select(F.bitmap_bucket_number(place).alias("at"), F.bitmap_bit_position(place).alias("bit")).repartition("at")
+    out = bytearray(bits // 8)
+    for row in placed.groupBy("at").agg(F.bitmap_construct_agg("bit").alias("bitmap")).collect():
+        end = row["at"] * len(row["bitmap"])
+        out[end - len(row["bitmap"]):end] = row["bitmap"]
+    return bytes(out)
 
 
 def in_filter(bits: np.ndarray, values: np.ndarray) -> np.ndarray:
-    at = values & (FILTER_BITS - 1)
-    return (bits[at >> 3] >> (7 - (at & 7)).astype(np.uint8)) & 1 == 1
+    at = values & (8 * len(bits) - 1)
+    return (bits[at >> 3] >> (at & 7).astype(np.uint8)) & 1 == 1
 
 
 def read_candidates(rows: DataFrame, frequent, keys_filter) -> DataFrame:
@@ -403,8 +411,11 @@ def sketched(pairs: DataFrame, candidates: DataFrame) -> DataFrame:
 
 
 def verified(pairs: DataFrame, rows: DataFrame) -> DataFrame:
-    """The pairs whose sets reach the similarity. Only the sets of paired entities are read again."""
-    wanted = pairs.select(F.col("a").alias("entity")).union(pairs.select("b")).distinct()
+    """The pairs whose sets reach the similarity. Only the sets of paired entities are read again.
+
+    ``pairs`` is a durable table, which goes.
+    """
+    wanted = durable(pairs.select(F.col("a").alias("entity")).union(pairs.select("b")).distinct())
     shared = rows.sparkSession.sparkContext.broadcast(bit_filter(wanted))
 
     def each():
@@ -441,7 +452,9 @@ def verified(pairs: DataFrame, rows: DataFrame) -> DataFrame:
                     good.append(100 * common >= PERCENT * (len(x) + len(y) - common))
                 yield part.filter(pa.array(good, pa.bool_())).select(["a", "b"])
 
-    return durable(both.select("a", "b", "x", "y").mapInArrow(run, "a bigint, b bigint"))
+    good = durable(both.select("a", "b", "x", "y").mapInArrow(run, "a bigint, b bigint"))
+    release(sets, wanted, pairs)
+    return good
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -453,16 +466,17 @@ def components(edges: DataFrame) -> DataFrame:
     labels = durable(both.groupBy(F.col("a").alias("entity")).agg(F.least(F.min("b"), F.col("entity")).alias("label")))
     while True:
         near = both.join(labels, F.col("b") == F.col("entity")).groupBy("a").agg(F.min("label").alias("near"))
-        passed = labels.join(near, F.col("entity") == F.col("a"), "left").select(
-            "entity", "label", F.least("label", "near").alias("new"))
-        passed = durable(passed)
+        passed = durable(labels.join(near, F.col("entity") == F.col("a"), "left").select(
+            "entity", "label", F.least("label", "near").alias("new")))
         far = passed.select(F.col("entity").alias("at"), F.col("new").alias("far"))
-        jumped = passed.join(far, F.col("new") == F.col("at"), "left").select(
-            "entity", F.least("new", "far").alias("new"), "label")
-        jumped = durable(jumped)
-        labels = jumped.select("entity", F.col("new").alias("label"))
+        jumped = durable(passed.join(far, F.col("new") == F.col("at"), "left").select(
+            "entity", F.least("new", "far").alias("new"), "label"))
+        release(labels, passed)
         if not jumped.filter("new < label").limit(1).count():
-            return labels
+            release(both)
+            return jumped.select("entity", F.col("new").alias("label"))
+        labels = durable(jumped.select("entity", F.col("new").alias("label")))
+        release(jumped)
 
 
 def close(one: str, other: str) -> Column:
@@ -478,43 +492,69 @@ def pairs_of(matched: DataFrame, one: str, other: str) -> DataFrame:
     return matched.select(F.least(x, y).alias("a"), F.greatest(x, y).alias("b")).distinct()
 
 
+def open_members(members: DataFrame, labels: DataFrame | None) -> DataFrame:
+    """(key, entity, label) of the keys whose entities are not all in one component yet."""
+    if labels is None:
+        labelled = members.withColumn("label", F.col("entity"))
+    else:
+        labelled = members.join(labels.withColumnRenamed("entity", "_entity"), F.col("entity") == F.col("_entity"), "left").select(
+            "key", "entity", F.coalesce("label", "entity").alias("label"))
+    several = labelled.groupBy("key").agg(F.min("label").alias("x"), F.max("label").alias("y")).filter("x < y").select("key")
+    return durable(labelled.join(several, "key"))
+
+
+def star_pairs(members: DataFrame, seed: int) -> DataFrame:
+    """Pairs (a, b) of entities with a hub of their keys, one pair for an entity and component.
+
+    Hubs are the first of their keys in one order over all entities. So the keys of a group
+    of near copies mostly have the same hub, and the pairs grow with the group's size.
+    """
+    order = F.struct(F.xxhash64("entity", F.lit(seed)).alias("order"), F.col("entity").alias("hub"), F.col("label").alias("of"))
+    hubs = members.groupBy("key").agg(F.min(order).alias("first")).select("key", "first.hub", "first.of")
+    met = members.join(hubs, "key").filter("label <> of").groupBy("entity", "of").agg(F.min("hub").alias("hub"))
+    return met.select(F.least("entity", "hub").alias("a"), F.greatest("entity", "hub").alias("b")).distinct()
+
+
 def links(rows: DataFrame, frequent) -> DataFrame:
     """Verified pairs (a, b) of entities that connect all that link.
 
-    First each entity is compared with a few members of each of its keys, drawn by hash for
-    each key anew, so that one of a large group of near copies meets many different others
-    at a cost that grows with the group and not with its square. Then entities of one key
-    are compared that these links have not brought together, but for those both in the
-    component that most of the key's entities are in. All comparisons start with sketches,
-    inside the joins; pairs come out only where the similarity is still possible.
+    First, in a few rounds, each entity is compared with one member of each of its keys that it
+    is not connected with yet. Members are drawn in one order over all entities, another
+    in each round, so that the cost grows with a group's size and not with its square.
+    Then the entities of one key are compared that these links have not brought together, but for
+    those both in the component that most of the key's entities are in. All comparisons start
+    with sketches, the last ones inside the join; pairs come out only where the similarity is still
+    possible.
     """
     context = rows.sparkSession.sparkContext
-    keys_filter = context.broadcast(bit_filter(durable(shared_keys(rows, frequent))))
+    keys = durable(shared_keys(rows, frequent))
+    keys_filter = context.broadcast(bit_filter(keys))
+    release(keys)
     candidates = read_candidates(rows, frequent, keys_filter)
-    lanes = [F.get("lanes", F.lit(i)).alias(f"s{i}") for i in range(LANES)]
-    members = durable(candidates.select(F.explode("keys").alias("key"), "entity", "n", *lanes))
-    side = F.struct("entity", "n", *[f"s{i}" for i in range(LANES)])
-    drawn = [F.min(F.struct(F.xxhash64("entity", "key", F.lit(j)), side.alias("hub"))) for j in range(HUBS)]
-    hubs = members.groupBy("key").agg(F.min("entity").alias("least"), F.max("entity").alias("most"),
-                                      F.array(*drawn).alias("hubs")).filter("least < most").select(
-        "key", F.array_distinct(F.transform("hubs", lambda h: h["hub"])).alias("hubs"))
-    met = members.alias("m").join(hubs, "key").select("m.*", F.explode("hubs").alias("hub"))
-    met = met.select(side.alias("m"), "hub").filter((F.col("m.entity") != F.col("hub.entity")) & close("m", "hub"))
-    stars = durable(pairs_of(met, "m", "hub"))
-    found = verified(sketched(stars, candidates), rows)
-
-    labels = components(found).withColumnRenamed("entity", "_entity")
-    labelled = members.join(labels, F.col("entity") == F.col("_entity"), "left").drop("_entity").withColumn(
-        "label", F.coalesce("label", "entity"))
-    sizes = labelled.groupBy("key", "label").agg(F.count("*").alias("size"))
-    main = sizes.groupBy("key").agg(F.count("*").alias("labels"), F.max(F.struct("size", "label")).alias("main"))
-    open_ = durable(labelled.join(main.filter("labels > 1").select("key", F.col("main.label").alias("main")), "key"))
-    x, y = open_.filter("label <> main").alias("x"), open_.alias("y")
+    members = durable(candidates.select(F.explode("keys").alias("key"), "entity"))
+    found = tested = labels = None
+    for seed in range(ROUNDS):
+        unconnected = open_members(members, labels)
+        release(members)  # keys that are closed now stay closed
+        members = unconnected.drop("label")
+        pairs = durable(star_pairs(unconnected, seed))
+        new = verified(sketched(pairs, candidates), rows)
+        found, tested = (new, pairs) if found is None else (found.union(new), tested.union(pairs))
+        labels = components(found)
+
+    unconnected = open_members(members, labels)
+    sizes = unconnected.groupBy("key", "label").agg(F.count("*").alias("size"))
+    main = sizes.groupBy("key").agg(F.max(F.struct("size", "label")).alias("main")).select("key", F.col("main.label").alias("main"))
+    lanes = candidates.select(F.col("entity").alias("_entity"), "n", *[F.get("lanes", F.lit(i)).alias(f"s{i}") for i in range(LANES)])
+    sides = durable(unconnected.join(main, "key").join(lanes, F.col("entity") == F.col("_entity")).drop("_entity"))
+    x, y = sides.filter("label <> main").alias("x"), sides.alias("y")
     # Of two outside the main component one order is enough.
     once = (F.col("y.label") == F.col("x.main")) | (F.col("x.entity") < F.col("y.entity"))
     apart = x.join(y, (F.col("x.key") == F.col("y.key")) & (F.col("x.label") != F.col("y.label")) & once & close("x", "y"))
-    rest = pairs_of(apart, "x", "y").join(stars, ["a", "b"], "left_anti")
-    return found.union(verified(sketched(durable(rest), candidates), rows))
+    rest = durable(pairs_of(apart, "x", "y").join(tested, ["a", "b"], "left_anti"))
+    last = verified(sketched(rest, candidates), rows)
+    release(candidates, members, unconnected, sides, rest)
+    return found.union(last)
 
 
 def with_components(df: DataFrame, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
@@ -522,18 +562,23 @@ def with_components(df: DataFrame, text: str = "text", doc_id: str = "doc_id") -
 
     ``mark`` is the hash of the text. A null text, or one without words, has an empty set and
     is its own component. Equal sets, repeated rows among them, are one entity and always
-    linked. The component's id is the smallest id in it; ids may be null, and then count
-    only where there is no other. An empty table stays empty. Other columns are left out.
+    linked. The component's id is the smallest id in it; ids may be of any type that has an order,
+    and may be null, and then count only where there is no other. Very long texts are read whole. An
+    empty table stays empty. Other columns are left out, whatever they are called.
+
+    Sets and n-grams are known by hashes of 64 bits, so among some billions of different texts
+    two that have nothing in common may be taken for equal.
     """
     rows = df.select(F.col(doc_id).alias("id"), F.xxhash64(text).alias("mark"), F.col(text).alias("text"))
     entities = read_entities(rows)
     counters = entities.filter("place is not null").select("place", "part", "data")
-    frequent = df.sparkSession.sparkContext.broadcast(frequent_buckets(merged_arrays(durable(counters), "sum", "int32")))
+    frequent = df.sparkSession.sparkContext.broadcast(frequent_buckets(merged_counts(durable(counters))))
     labels = components(links(rows.select("text"), frequent)).select(F.col("entity").alias("_entity"), "label")
     docs = entities.filter("place is null").select("id", "mark", "n", "entity")
     grouped = durable(docs.join(labels, F.col("entity") == F.col("_entity"), "left").select(
         "id", "mark", "n", F.coalesce("label", "entity").alias("component")))
-    least = grouped.filter("component is not null").groupBy("component").agg(F.min("id").alias("least"))
+    # Stored, so that adaptive execution may split the rows of a large component in the join.
+    least = durable(grouped.filter("component is not null").groupBy("component").agg(F.min("id").alias("least")))
     return grouped.join(least, "component", "left").select(
         F.col("id").alias(doc_id), "mark", F.col("n").alias("n_shingles"),
         F.when(F.col("component").isNull(), F.col("id")).otherwise(F.col("least")).alias("component_id"))
