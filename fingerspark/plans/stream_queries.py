@@ -14,7 +14,7 @@ from pyspark.sql.streaming import StreamingQuery
 from fingerspark.functions.fixed import MAX_WINDOW_EVENTS
 from fingerspark.operators import ingest
 from fingerspark.plans import ingest_queries, telemetry  # noqa: F401 (its checks are used below)
-from fingerspark.plans.check_sql import ALERTS, PROFILES, RESULTS, ROUNDED_FEATURES, RUNTIME, VECTORS, feature_ctes
+from fingerspark.plans.check_sql import ALERTS, NOW, PROFILES, RESULTS, ROUNDED_FEATURES, RUNTIME, VECTORS, feature_ctes
 from fingerspark.plans.detection_queries import ALERT as SHOWN_ALERT
 from fingerspark.plans.detection_queries import SQL_PROFILE, shown_profiles
 from fingerspark.plans.feature_queries import IDENTITY, flat
@@ -168,23 +168,43 @@ def stream_processed_events(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _wall_clock(stored.select("event_id", "timestamp", "container_id", "syscall", "process_name"))
 
 
-@query()
-def stream_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Vectors arriving as a stream, scored under a model trained before it starts."""
+def _scored(spark: SparkSession, sf_dir: str) -> str:
+    """Train on the vectors, then let them arrive as a stream in two batches to be scored."""
     root = _folder(spark, "stream-scores")
     vectors = feature_vectors(spark, sf_dir)
-    zoned = vectors.withColumns({c: F.col(c).cast("timestamp") for c in ("window_start", "window_end")})
-    zoned.write.parquet(f"{root}/incoming")
-    retrain(spark.read.parquet(f"{root}/incoming"), root, telemetry.AS_OF_TIME)
-    incoming = read_file_stream(spark, f"{root}/incoming", zoned.schema)
+    zoned = durable(vectors.withColumns({c: F.col(c).cast("timestamp") for c in ("window_start", "window_end")}))
+    retrain(zoned, root, telemetry.AS_OF_TIME)
     sink = jobs.detection_sink(root, F.col("window_end"))
-    jobs.start_batches(incoming, sink, f"{root}/checkpoint", available_now=True).awaitTermination()
-    results = read_batches(spark, f"{root}/anomaly_results", ANOMALY_RESULT)
+    for half in (0, 1):
+        zoned.filter(F.crc32("vector_id") % 2 == half).write.mode("append").parquet(f"{root}/incoming")
+        incoming = read_file_stream(spark, f"{root}/incoming", zoned.schema)
+        jobs.start_batches(incoming, sink, f"{root}/checkpoint", available_now=True).awaitTermination()
+    return root
+
+
+@query()
+def stream_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Vectors arriving as a stream, scored under a model trained before it starts."""
+    results = read_batches(spark, f"{_scored(spark, sf_dir)}/anomaly_results", ANOMALY_RESULT)
     return _wall_clock(results.select(
         "result_id", "vector_id", "container_id", "detected_at", "anomaly_score", "is_anomalous", "severity",
         "model_version", "description"))
 
 
+@query(f"""WITH {VECTORS}
+SELECT CAST(2 AS BIGINT) AS batches, count(*) AS vectors_scored, count(*) AS training_samples, count(*) AS training_buffer,
+       CAST(1 AS BIGINT) AS registry_size, strftime({NOW}, '%Y%m%d%H%M%S') AS model_version, CAST(0 AS DOUBLE) AS drift_score,
+       TRUE AS tiers_add_up, TRUE AS as_stored FROM vectors""")
+def stream_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Counters and gauges of a scoring stream. Anomalies are held against the stored results."""
+    root = _scored(spark, sf_dir)
+    stored = read_batches(spark, f"{root}/anomaly_results", ANOMALY_RESULT).agg(F.count_if("is_anomalous").alias("found"))
+    tiers = sum((F.col(c) for c in jobs.SCORING_METRICS.names if c.startswith("anomalies_")), F.lit(0))
+    return jobs.metrics_so_far(spark, root).join(stored, F.lit(True)).select(
+        "batches", "vectors_scored", "training_samples", "training_buffer", "registry_size", "model_version", "drift_score",
+        (tiers == F.col("anomalies")).alias("tiers_add_up"), (F.col("anomalies") == F.col("found")).alias("as_stored"))
+
+
 def _maintained(spark: SparkSession, sf_dir: str) -> str:
     """Feed the results, as a stream of files, to the profile and alert tables."""
     root = _folder(spark, "stream-profiles")

@@ -4,27 +4,31 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from fingerspark.functions.fixed import LATENESS_SECONDS, WINDOW_SECONDS
+from fingerspark.functions.fixed import LATENESS_SECONDS, SEVERITY_TIERS, WINDOW_SECONDS
 from fingerspark.operators.alerts import raise_alerts, webhook_payloads
 from fingerspark.operators.baseline import baseline_of_moments, fold_moments, image_moments
 from fingerspark.operators.features import window_features
 from fingerspark.operators.forest import Model
 from fingerspark.operators.ingest import dead_letters, enrich, identity_of, valid_events, with_defaults
 from fingerspark.operators.profiles import fold_deltas, profile_delta, profiles_of
-from fingerspark.operators.results import scorable, score_vectors, unscorable
-from fingerspark.plans.retrain import current_model, latest_baseline
+from fingerspark.operators.registry import latest_model
+from fingerspark.operators.results import observe_scoring, scorable, score_vectors, unscorable
+from fingerspark.plans.retrain import REGISTRY, current_model, latest_baseline, read_versions
 from fingerspark.sources import states
 from fingerspark.sources.schemas import ANOMALY_RESULT, RUNTIME_EVENT, columns
-from fingerspark.sources.tables import BATCH, write_batch
+from fingerspark.sources.tables import BATCH, read_batches, write_batch
 from fingerspark.sources.wire import decode_json
 from fingerspark.streaming.windows import HORIZON_SECONDS
 
 IMAGE_MOMENTS = columns(
     "image_name string, n bigint, mean array<double>, m2 array<double>")
+SCORING_METRICS = columns("registry_size bigint, model_version string, training_samples bigint, drift_score double, "
+                          "vectors_scored bigint, anomalies bigint, "
+                          + ", ".join(f"anomalies_{name.lower()} bigint" for name, _ in SEVERITY_TIERS))
 PROFILE_DELTA = columns("""
     container_id string, total_events bigint, total_anomalies bigint, score_sum double, max_anomaly_score double,
     first_seen timestamp, last_seen timestamp
@@ -117,13 +121,39 @@ def detection_sink(root: str, detected_at: Column | None = None) -> Callable[[Da
         known["model"] = current_model(spark, root, known["model"])
         overall = latest_baseline(spark, root) if known["model"] else None
         results = score_vectors(vectors, known["model"], stamp, images, overall)
-        write_batch(results, f"{root}/anomaly_results", batch_id)
+        seen = Observation(f"scoring-{batch_id}")
+        write_batch(observe_scoring(results, seen), f"{root}/anomaly_results", batch_id)
+        write_batch(batch_metrics(spark, root, batch_id, seen.get), f"{root}/scoring_metrics", batch_id)
         maintain(spark.read.schema(ANOMALY_RESULT)
                  .parquet(f"{root}/anomaly_results/{BATCH}={batch_id}"), root, batch_id)
 
     return sink
 
 
+def batch_metrics(spark: SparkSession, root: str, batch_id: int, counted: dict[str, int]) -> DataFrame:
+    """One row: what a batch scored and found, and the state of the model it was scored with.
+
+    The counters were taken while the results were written. Gauges of a model are null before the first.
+    """
+    current = latest_model(read_versions(spark, root, REGISTRY)).select(
+        F.col("version").alias("model_version"), F.col("samples").alias("training_samples"), "drift_score")
+    size = read_versions(spark, root, REGISTRY).agg(F.count("*").alias("registry_size"))
+    row = size.join(current, F.lit(True), "left")
+    return row.withColumns({name: F.lit(value) for name, value in counted.items()})
+
+
+def metrics_so_far(spark: SparkSession, root: str) -> DataFrame:
+    """One row: counters summed over all batches, gauges as the last batch found them.
+
+    ``training_buffer`` counts the vectors stored so far, which the next model may train on.
+    """
+    rows = read_batches(spark, f"{root}/scoring_metrics", SCORING_METRICS)
+    counters = [c for c in SCORING_METRICS.names if c.startswith(("vectors", "anomalies"))]
+    gauges = [c for c in SCORING_METRICS.names if c not in counters]
+    return rows.agg(F.count("*").alias("batches"), *[F.sum(c).alias(c) for c in counters],
+                    *[F.max_by(c, BATCH).alias(c) for c in gauges]).withColumn("training_buffer", F.col("vectors_scored"))
+
+
 def maintain(results: DataFrame, root: str, batch_id: int) -> None:
     """Add a batch of results to the profiles and raise its alerts."""
     states.add(profile_delta(results), f"{root}/container_profiles", batch_id, fold_deltas)
