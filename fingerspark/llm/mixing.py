@@ -7,7 +7,8 @@ time move along the direction that changes neither total until one of them is 0
 
 The flight runs in blocks of a source's documents. A block leaves at most two documents
 undecided; those of all blocks of a source fly on together, level by level, until at most
-two a source remain, which land where the words come nearest to the target.
+two a source remain, which land where the words come nearest to the target. What their landing
+is off by a few shorter documents make up for.
 """
 
 from __future__ import annotations
@@ -29,6 +30,8 @@ SHARE = 1.5
 MOST_COPIES = 2
 #: Documents of a source that fly in one task. It bounds memory only: more make more blocks.
 BLOCK = 4_000
+#: Documents of a source that are decided anew after landing, at most.
+MOST_SETTLED = 16
 SEED = 20240131
 TINY = 1e-9
 
@@ -120,14 +123,29 @@ def land(chances: list[float], columns: list[tuple[float, float]]) -> list[float
     return chances
 
 
+def settle(before: list[float], chances: list[float], columns: list[tuple[float, float]]) -> list[float]:
+    """Decide a few documents anew, long ones first, while that brings the words nearer to their total.
+
+    Landing may leave the words off by half a long document; at most ``MOST_SETTLED`` others make up for it.
+    """
+    chances, settled = list(chances), 0
+    short = sum((b - c) * size for b, c, (size, _) in zip(before, chances, columns))
+    for k in sorted(range(len(columns)), key=lambda k: (-columns[k][0], k)):
+        change = columns[k][0] if chances[k] == 0 else -columns[k][0]
+        if 0 < before[k] < 1 and settled < MOST_SETTLED and abs(short - change) < abs(short) - TINY:
+            chances[k], short, settled = 1 - chances[k], short - change, settled + 1
+    return chances
+
+
 def _flight(last: bool):
     def run(block: pd.DataFrame) -> pd.DataFrame:
         # Long documents fly first, so what is left to land is short.
         block = block.sort_values(["size", "unit"], ascending=[False, True]).reset_index(drop=True)
         columns = list(zip(block["size"].astype(float), block["rows"].astype(float)))
         draw = random.Random(f"{SEED}:{block['unit'].iloc[0]}:{len(block)}")
-        chances = fly(block["chance"].tolist(), columns, draw)
-        block["chance"] = land(chances, columns) if last else chances
+        before = block["chance"].tolist()
+        chances = fly(before, columns, draw)
+        block["chance"] = settle(before, land(chances, columns), columns) if last else chances
         return block
     return run
 
