@@ -288,18 +288,65 @@ def test_secrets_are_found_and_replaced(spark, docs, none):
 
 # --- licences
 
+def longest_runs(text, sequence, least):
+    """(end, length, places) of the runs that a text shares with a sequence and that go on neither way."""
+    best = [max(n for n in range(e + 1) if text[e - n:e] in sequence) for e in range(len(text) + 1)]
+    out = []
+    for e in range(1, len(text) + 1):
+        if best[e] >= least and (e == len(text) or best[e + 1] != best[e] + 1):
+            run = text[e - best[e]:e]
+            out.append((e, best[e], {i + best[e] for i in range(len(sequence)) if sequence.startswith(run, i)}))
+    return out
+
+
 def test_matches_are_the_longest_runs():
     draw = random.Random(2)
-    sequences = ["abcab", "bcbca", "aabb", "cab"]
-    runs = {x[i:j] for x in sequences for i in range(len(x)) for j in range(i + 1, len(x) + 1)}
+    sequences = ["abcab", "bcbca", "aabb", "cab", "abcabcab"]
     automaton = licences.SuffixAutomaton(sequences)
     for _ in range(2000):
         text = "".join(draw.choice("abc") for _ in range(draw.randrange(12)))
-        best = [max(n for n in range(e + 1) if n == 0 or text[e - n:e] in runs) for e in range(len(text) + 1)]
-        expected = [(e, best[e]) for e in range(1, len(text) + 1) if best[e] >= 2 and (e == len(text) or best[e + 1] <= best[e])]
-        assert [(e, n) for e, n, _ in automaton.matches(text, 2)] == expected
-        for e, n, state in automaton.matches(text, 2):
-            assert set(automaton.ends[state]) == {k for k, x in enumerate(sequences) if text[e - n:e] in x}
+        found = [(k, e, n, automaton.ends[state][k]) for k, e, n, state in automaton.matches(text, 2)]
+        for k, sequence in enumerate(sequences):
+            assert sorted((e, n, ends) for j, e, n, ends in found if j == k) == longest_runs(text, sequence, 2), (text, sequence)
+
+
+def test_chains_are_the_heaviest(monkeypatch):
+    """Against all ways to chain, over texts that repeat, drop and insert words of a template that repeats itself."""
+    monkeypatch.setattr(licences, "MOST_GAP", 3)
+    draw = random.Random(3)
+
+    def heaviest(matches):
+        best = {}
+        for m in sorted(matches):
+            best[m] = max([m[1], *[best[o] + min(m[1], m[0] - o[0], m[2] - o[2]) for o in best
+                                   if o[0] < m[0] and o[2] < m[2] and m[0] - m[1] - o[0] <= 3]])
+        return max(best.values())
+
+    for _ in range(400):
+        template = "".join(draw.choice("abcd") for _ in range(draw.randrange(3, 14)))
+        text = "".join(draw.choice([template[i:i + 4], "x", "zz"]) for i in [draw.randrange(len(template)) for _ in range(8)])
+        matches = [(e, n, p) for e, n, ends in longest_runs(text, template, 2) for p in ends]
+        if not matches:
+            continue
+        chains = [c for group in licences.apart(matches) for c in licences.best_chains(group)]
+        assert max(c[2] for c in chains) == heaviest(matches), (text, template)
+        assert all(a[1] <= b[0] for a, b in zip(sorted(chains), sorted(chains)[1:]))
+        assert all(c[2] <= min(len(template), c[1] - c[0]) for c in chains)
+
+
+def test_each_notice_gives_its_own_label():
+    scan = licences.Scanner().scan
+    for label, notice in licences.TEMPLATES:
+        if len(notice.split()) < licences.LEAST_MATCH:          # a base phrase says as much
+            continue
+        *_, labels, score, spans = scan(f"Some words before it. {notice} And some words after that.")
+        others = {"gpl", "cc-by", "reserved"}                  # labels of base phrases
+        assert label in labels.split(",") and score == 1.0 and set(labels.split(",")) - others <= {label}, (label, labels)
+        assert {s["label"] for s in spans} == {label}
+    assert scan("This work is licensed under a Creative Commons Attribution 4.0 International License")[5] == "cc-by"
+    notice = licences.TEMPLATES[1][1]
+    many = scan(" ".join([notice] * 2_000))
+    assert len(many[7]) == 2_000 and {s["cover"] for s in many[7]} == {1.0}
 
 
 def test_licences(spark, docs, none):
