@@ -239,3 +239,12 @@ def stored_form(vectors: DataFrame) -> DataFrame:
         "features_json": F.to_json("features"),
         "syscall_frequencies_json": F.to_json("syscall_frequencies"),
     }).drop("features", "feature_names", "syscall_frequencies")
+
+
+def of_stored_form(stored: DataFrame) -> DataFrame:
+    """Vectors from the rows of the flat table, with their arrays and map."""
+    return stored.withColumns({
+        "features": F.from_json("features_json", "array<double>"),
+        "feature_names": F.array(*[F.lit(n) for n in FEATURE_NAMES]),
+        "syscall_frequencies": F.from_json("syscall_frequencies_json", "map<string,bigint>"),
+    }).drop("features_json", "syscall_frequencies_json")

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from fingerspark.functions.fixed import (
     CONTAMINATION,
     FEATURE_COUNT,
+    FEATURE_NAMES,
     FEATURE_SCHEMA_VERSION,
     MIN_TRAINING_ROWS,
     SEVERITY_TIERS,
@@ -19,6 +20,9 @@ from fingerspark.functions.timing import instant
 from fingerspark.operators.forest import Model
 from fingerspark.sources.schemas import MODEL_REGISTRY, conform
 
+# Fixed value: how the kind of model is called where it is described.
+MODEL_TYPE = "IsolationForest"
+
 
 def version_of(as_of: datetime) -> str:
     return as_of.strftime("%Y%m%d%H%M%S")
@@ -56,11 +60,19 @@ def registry_listing(registry: DataFrame) -> DataFrame:
         "is_current": F.col("version") == current, "registry_size": total}).orderBy(F.desc("version"))
 
 
-def model_info(registry: DataFrame) -> DataFrame:
-    """The current model with registry size and the thresholds in force."""
+def model_info(registry: DataFrame, buffer: DataFrame | None = None, images: DataFrame | None = None) -> DataFrame:
+    """The current model with registry size and the thresholds in force.
+
+    Of a stored registry, also what the model is; of the vectors to train on and of the image baselines,
+    where they are given, how many there are.
+    """
     tiers = {f"threshold_{name.lower()}": F.lit(floor) for name, floor in SEVERITY_TIERS}
+    sizes = {"training_buffer_size": buffer, "image_baselines_tracked": images}
+    stored = {"model_type": F.lit(MODEL_TYPE), "feature_names": F.lit(",".join(FEATURE_NAMES)),
+              "n_estimators": F.col("tree_count")} if "tree_count" in registry.columns else {}
     return latest_model(registry).withColumns({
-        **tiers,
+        **tiers, **stored,
         "min_training_samples": F.lit(MIN_TRAINING_ROWS),
         "registry_size": registry.agg(F.count("*")).scalar(),
+        **{name: rows.agg(F.count("*")).scalar() for name, rows in sizes.items() if rows is not None},
     })

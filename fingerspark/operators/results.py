@@ -11,6 +11,8 @@ from fingerspark.functions.fixed import FEATURE_COUNT, NO_MODEL_VERSION, SEVERIT
 from fingerspark.functions.scoring import (
     anomaly_description,
     clean_vector,
+    array_of_csv,
+    array_of_csv,
     csv_of,
     has_vector_length,
     is_anomalous,
@@ -102,6 +104,12 @@ def stored_form(results: DataFrame) -> DataFrame:
     })
 
 
+def of_stored_form(stored: DataFrame) -> DataFrame:
+    """Results from the rows of the flat table: contributors as an array, empty where there were none."""
+    listed = F.coalesce(array_of_csv(F.col("contributing_features")), F.array().cast("array<string>"))
+    return stored.withColumn("contributing_features", listed)
+
+
 def observe_scoring(results: DataFrame, observation: Observation) -> DataFrame:
     """Count results while they are written, without a pass of their own."""
     tiers = [F.count_if(F.col("is_anomalous") & (F.col("severity") == s)).alias(f"anomalies_{s.lower()}")

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from datetime import datetime
 from uuid import uuid4
 
 from pyspark.sql import DataFrame, SparkSession
@@ -13,15 +14,15 @@ from fingerspark.functions.fixed import (
     FEATURE_SCHEMA_VERSION,
 )
 
-from fingerspark.operators import baseline, evaluation, forest, registry, results
-
+from fingerspark.operators import alerts, baseline, evaluation, features, forest, registry, results
+from fingerspark.operators.paging import by_id
 from fingerspark.plans.check_sql import LONG, RESULTS, VECTORS, severity as sql_severity
 from fingerspark.plans.feature_queries import rounded
 from fingerspark.plans.registered import query
-from fingerspark.plans.retrain import keep_samples, stored_samples
+from fingerspark.plans.retrain import REGISTRY, keep_samples, read_versions, retrain, stored_samples
 from fingerspark.plans.telemetry import AS_OF, anomaly_results, feature_vectors, read, stored_vectors
 from fingerspark.sources.schemas import FOREST_NODE
-from fingerspark.sources.tables import durable, shared_folder
+from fingerspark.sources.tables import durable, shared_folder, write_clustered
 
 # Trees, rows of a tree, and rows to train on at least.
 TREES, SAMPLE, MINIMUM = 200, 1024, 100
@@ -292,3 +293,88 @@ SELECT attack, count(*) AS n, round(avg(CAST(is_anomalous AS INT)), 6) AS detect
 FROM labelled WHERE attack IS NOT NULL GROUP BY attack""")
 def evaluation_by_attack(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(evaluation.detection_rate(_labelled(spark, sf_dir)), "detection_rate")
+
+
+_DECIDED = f"""decided AS (SELECT *, CAST(total_events % 10 AS DOUBLE) / 10e0 AS s FROM vectors)"""
+
+
+def _decided(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """The vectors, and results of them whose score is given by their event counts."""
+    vectors = stored_vectors(spark, sf_dir)
+    raw = (F.col("total_events") % 10).cast("double") / F.lit(10.0) - F.lit(0.5)
+    contributors = F.when(F.col("total_events") % 3 == 0, F.array().cast("array<string>")).otherwise(
+        F.array(*[F.lit(n) for n in FEATURE_NAMES[:5]]))
+    scored = vectors.withColumns({"raw_score": raw, "contributing_features": contributors})
+    return vectors, results.assemble(results.decide(scored), "20240131000000", AS_OF)
+
+
+@query(f"""WITH {VECTORS}, {LONG}, {_DECIDED},
+ids AS (SELECT *, md5(concat_ws('|', vector_id, '20240131000000')) AS result_id FROM decided WHERE s >= 0.75e0)
+SELECT md5(concat_ws('|', 'alert', result_id)) AS alert_id, result_id, vector_id, ids.container_id, {sql_severity('s')} AS severity,
+       ids.total_events, pos, feature, round(value, 6) AS value
+FROM ids JOIN long USING (vector_id)""")
+def alert_lineage_of_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """From alerts to the features of the vectors behind them."""
+    vectors, found = _decided(spark, sf_dir)
+    lineage = alerts.alert_lineage(alerts.raise_alerts(found), found, vectors)
+    rows = lineage.select("alert_id", "result_id", "vector_id", "container_id", "severity", "total_events",
+                          F.posexplode("features").alias("pos", "value"))
+    names = F.array(*[F.lit(n) for n in FEATURE_NAMES])
+    return rounded(rows.withColumns({"feature": F.get(names, F.col("pos")), "pos": F.col("pos").cast("bigint")}), "value")
+
+
+@query(f"""WITH {VECTORS}, {_DECIDED}
+SELECT md5(concat_ws('|', vector_id, '20240131000000')) AS result_id, {sql_severity('s')} AS severity, s > 0.5e0 AS is_anomalous,
+       CAST(CASE WHEN total_events % 3 = 0 THEN 0 ELSE 5 END AS INT) AS contributors,
+       CASE WHEN total_events % 3 = 0 THEN '' ELSE '{_FIRST_FIVE}' END AS names FROM decided""")
+def result_rows_read_back(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Results written in their flat form and read again."""
+    stored = durable(results.stored_form(_decided(spark, sf_dir)[1]))
+    return results.of_stored_form(stored).select(
+        "result_id", "severity", "is_anomalous", F.size("contributing_features").alias("contributors"),
+        F.array_join("contributing_features", ",").alias("names"))
+
+
+@query(f"WITH {VECTORS}, {LONG} SELECT vector_id, pos, feature, round(value, 6) AS value FROM long")
+def vector_rows_read_back(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Vectors written in their flat form and read again."""
+    stored = durable(features.stored_form(feature_vectors(spark, sf_dir)))
+    rows = features.feature_rows(features.of_stored_form(stored))
+    return rounded(rows.select("vector_id", F.col("pos").cast("bigint").alias("pos"), "feature", "value"), "value")
+
+
+_FIRST_HALF = "2024-01-16 00:00:00"
+
+
+@query(f"""WITH {VECTORS}, {LONG},
+old AS (SELECT pos, avg(value) AS m, greatest(stddev_pop(value), 1e-8) AS s
+        FROM long WHERE window_end <= TIMESTAMP '{_FIRST_HALF}' GROUP BY pos),
+new AS (SELECT pos, avg(value) AS m FROM long GROUP BY pos)
+SELECT '20240131000000' AS version, count(*) AS samples, {FEATURE_COUNT} AS features, '{FEATURE_SCHEMA_VERSION}' AS schema_version,
+       (SELECT round(avg(abs(new.m - old.m) / old.s), 6) FROM new JOIN old USING (pos)) AS drift_score,
+       0.05e0 AS contamination, 10 AS n_estimators, 'IsolationForest' AS model_type, '{",".join(FEATURE_NAMES)}' AS feature_names,
+       0.9e0 AS threshold_critical, 0.75e0 AS threshold_high, 0.6e0 AS threshold_medium, 0.5e0 AS threshold_low,
+       100 AS min_training_samples, CAST(2 AS BIGINT) AS registry_size, count(*) AS training_buffer_size,
+       count(DISTINCT image_name) AS image_baselines_tracked FROM vectors""")
+def model_info_written(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What is said of the current model after two have been trained and stored."""
+    root = f"{shared_folder(spark)}/registry-{uuid4().hex}"
+    vectors = stored_vectors(spark, sf_dir)
+    early = F.col("window_end") <= F.lit(_FIRST_HALF).cast("timestamp_ntz")
+    retrain(vectors.filter(early), root, datetime(2024, 1, 16), trees=10, sample_size=64)
+    retrain(vectors, root, datetime(2024, 1, 31), trees=10, sample_size=64)
+    stored = read_versions(spark, root, REGISTRY)
+    return registry.model_info(stored, baseline.training_buffer(vectors), baseline.image_moments(vectors)).drop(
+        "offset", "trained_at", "tree_count")
+
+
+@query(f"""WITH {VECTORS} SELECT vector_id, container_id, total_events FROM vectors
+WHERE vector_id = (SELECT max(vector_id) FROM vectors WHERE total_events = (SELECT max(total_events) FROM vectors))""")
+def vector_by_id_stored(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The vector of one id, from a table that is laid out for lookups."""
+    path = f"{shared_folder(spark)}/clustered-{uuid4().hex}"
+    vectors = stored_vectors(spark, sf_dir)
+    write_clustered(vectors, path, "vector_id")
+    wanted = vectors.agg(F.max(F.struct("total_events", "vector_id"))["vector_id"].alias("id")).first()["id"]
+    return by_id(spark.read.schema(vectors.schema).parquet(path), "vector_id", wanted).select(
+        "vector_id", "container_id", "total_events")

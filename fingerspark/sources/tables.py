@@ -88,6 +88,16 @@ def write_batch(df: DataFrame, path: str, batch_id: int, *partitions: str) -> No
     df.write.mode("overwrite").partitionBy(*partitions).parquet(f"{path}/{BATCH}={batch_id}")
 
 
+def write_clustered(df: DataFrame, path: str, key: str) -> None:
+    """Write a table for lookups by ``key``: ranges of it in files, ordered inside, with a filter of its values.
+
+    A lookup reads the footers of the files and then only the row groups whose least and greatest value
+    and whose filter allow the key.
+    """
+    ordered = df.repartitionByRange(key).sortWithinPartitions(key)
+    ordered.write.mode("overwrite").option(f"parquet.bloom.filter.enabled#{key}", "true").parquet(path)
+
+
 def read_batches(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
     """All batches of a table, empty when none has been written."""
     try:

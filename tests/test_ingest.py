@@ -1,10 +1,12 @@
 import json
 from datetime import datetime, timedelta
 
+import pytest
 from pyspark.sql import functions as F
 
-from fingerspark.operators import ingest
+from fingerspark.operators import ingest, results
 from fingerspark.operators.keyed import first_per_key, insert_if_absent
+from fingerspark.operators.paging import by_id
 from fingerspark.sources import tables, topics
 from fingerspark.sources.schemas import RUNTIME_EVENT
 from fingerspark.sources.wire import decode_json, json_of, to_messages
@@ -111,6 +113,32 @@ def test_batches_replace_themselves(spark, tmp_path):
     assert tables.read_batches(spark, path, schema).count() == 7
 
 
+def test_a_lookup_reads_only_where_its_key_may_be(spark, tmp_path):
+    path = str(tmp_path / "t")
+    rows = spark.range(40_000).select(F.md5(F.col("id").cast("string")).alias("k"), "id")
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    tables.write_clustered(rows, path, "k")
+    spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    files = sorted(tmp_path.glob("t/*.parquet"))
+    assert len(files) > 1
+    wanted = rows.agg(F.min("k").alias("k")).first()["k"]
+    held = [f for f in files if wanted in spark.read.parquet(str(f)).agg(F.collect_list("k")).first()[0]]
+    for file in files:                                         # the others' values become unreadable, not their footers
+        if file not in held:
+            data = bytearray(file.read_bytes())
+            data[4:len(data) // 2] = bytes(len(data) // 2 - 4)
+            file.write_bytes(data)
+            file.with_name(f".{file.name}.crc").unlink(missing_ok=True)
+    assert len(held) == 1 and by_id(spark.read.parquet(path), "k", wanted).count() == 1
+    with pytest.raises(Exception):
+        spark.read.parquet(path).agg(F.max("k")).collect()
+
+
+def test_flat_forms_are_read_back(spark):
+    stored = spark.createDataFrame([("a,b", "LOW", True), (None, "LOW", False)], "contributing_features string, severity string, is_anomalous boolean")
+    assert [r[0] for r in results.of_stored_form(stored).collect()] == [["a", "b"], []]
+
+
 def test_shared_folder_is_the_named_one(spark):
     assert tables.shared_folder(spark) == spark.conf.get("spark.checkpoint.dir")
 
