@@ -42,11 +42,13 @@ def blocks_of(text: str | None) -> list[bytes]:
 
 
 def dictionary(samples: list[bytes]) -> bytes:
-    """A trained dictionary, or the samples themselves where they are too few to train one."""
-    try:
-        return zstandard.train_dictionary(DICTIONARY, samples, k=256, d=8).as_bytes()
-    except zstandard.ZstdError:
-        return b"".join(samples)[-DICTIONARY:]
+    """A dictionary trained on all samples. Where they are too few to train one they count several times."""
+    for times in (1, 4, 16, 64, 256):
+        try:
+            return zstandard.train_dictionary(DICTIONARY, samples * times, k=256, d=8).as_bytes()
+        except zstandard.ZstdError:
+            continue
+    return b""
 
 
 class Compressors:

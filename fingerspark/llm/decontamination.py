@@ -160,7 +160,8 @@ def benchmark_hits(df: DataFrame, items: DataFrame, text: str = "text", item_id:
     A word is hit if any occurrence of a window of ``size`` item words holds it; an item of
     fewer words is one window, one of none has none. Rows of ``items`` with one id are one
     item; a null id reads as an empty one. Null texts have no words. An empty table of
-    items hits nothing. ``keep`` names the columns to pass on, all by default; a column
+    items hits nothing, and an empty table of documents stays empty. Repeated rows of documents are
+    scanned each. Very long texts are scanned whole, very long items come in pieces that share no window. ``keep`` names the columns to pass on, all by default; a column
     called ``into`` is replaced.
     """
     listed = items.select(F.coalesce(F.col(item_id).cast("string"), F.lit("")).alias("item"),
@@ -219,6 +220,10 @@ def contaminated(hits: str = "hits", one_in: int = ONE_IN):
 
 
 def uncontaminated(df: DataFrame, items: DataFrame, text: str = "text", **options) -> DataFrame:
-    """The rows of ``df`` that the rule does not reject, with their columns."""
+    """The rows of ``df`` that the rule does not reject, with their columns, whatever these are called.
+
+    Null and empty texts have no words and stay; repeated rows stay or go together; very long texts are
+    scanned whole. Empty tables of documents or items leave all there is.
+    """
     into = free_name(df, "hits")
     return benchmark_hits(df, items, text, into=into, **options).filter(~contaminated(into)).select(*named(df))

@@ -182,7 +182,8 @@ def with_mix(df: DataFrame, text: str = "text", source: str = "source", doc_id:
 
     A null text has size 0; null is a source of its own, the last in order. Rows equal in
     id, source and text are one unit: all of them are taken equally often. Sources without
-    words have target 0. An empty table stays empty. ``keep`` names the columns to pass on,
+    words have target 0. Very long texts count all their words; one that is most of its source decides how
+    near that comes to its target. An empty table stays empty. ``keep`` names the columns to pass on,
     all by default; one called ``into`` is replaced.
     """
     kept = [c for c in (df.columns if keep is None else keep) if c.lower() != into.lower()]
@@ -210,7 +211,10 @@ def with_mix(df: DataFrame, text: str = "text", source: str = "source", doc_id:
 
 
 def mixed(df: DataFrame, text: str = "text", source: str = "source", doc_id: str = "doc_id") -> DataFrame:
-    """The documents that the mix takes, with ``copies`` and ``taken``; replaced if present."""
+    """The documents that the mix takes, with ``copies`` and ``taken``; replaced if present.
+
+    Nulls, repeated rows, ties and long texts as in :func:`with_mix`. Documents that are taken no time go.
+    """
     into = free_name(df, "mix")
     kept = [c for c in df.columns if c.lower() not in ("copies", "taken")]
     return with_mix(df, text, source, doc_id, into).filter(F.col(f"{into}.copies") > 0).select(

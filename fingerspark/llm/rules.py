@@ -156,8 +156,10 @@ def with_rules(df: DataFrame, trusted: DataFrame, corpus: DataFrame | None = Non
     ``trusted`` has the ids of the trusted documents; ``corpus`` (``df`` by default) is what
     the raw multinomial is counted on. A null or empty text has no words and fails the base
     rules. Without trusted documents all log ratios are 0 and the base rules decide alone.
-    Repeated rows are counted and judged each. ``keep`` names the columns to pass on, all by
-    default; one called ``into`` is replaced.
+    Repeated rows are counted and judged each; a trusted id stands for all rows that have it, a null
+    id for none. Very long texts are read whole, as arrays of their words. A ratio at the threshold
+    keeps. An empty table stays empty. ``keep`` names the columns to pass on, all by default; one
+    called ``into`` is replaced.
     """
     ratios = log_ratios(bucket_counts(df if corpus is None else corpus, trusted, text, doc_id)).scalar()
     kept = [c for c in (df.columns if keep is None else keep) if c.lower() != into.lower()]
@@ -176,7 +178,11 @@ def with_rules(df: DataFrame, trusted: DataFrame, corpus: DataFrame | None = Non
 
 
 def kept_by_rules(df: DataFrame, trusted: DataFrame, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
-    """The rows that the rules keep, with their columns."""
+    """The rows that the rules keep, with their columns, whatever these are called.
+
+    Null and empty texts have no words and go; repeated rows stay or go together; very long texts are
+    judged whole; an empty table stays empty. Rows without an id are judged like others.
+    """
     into = free_name(df, "rules")
     ruled = with_rules(df, trusted, None, text, doc_id, into)
     # A filter on a computed column is pushed below the steps that compute it and repeats

@@ -282,7 +282,12 @@ def find_secrets(df: DataFrame, text: str = "text", into: str = "secrets",
 
 
 def without_secrets(df: DataFrame, text: str = "text", length: str | None = "n_chars") -> DataFrame:
-    """The same rows and columns, secrets replaced by a mark and the length column renewed."""
+    """The same rows and columns, secrets replaced by a mark and the length column renewed.
+
+    Null and empty texts stay as they are, and so do lengths of texts without secrets, null ones among
+    them. Spans that overlap give one mark. Repeated rows are treated alike; very long texts are scanned
+    whole; an empty table stays empty. Columns may be called anything.
+    """
     into = free_name(df, "secrets")
     redacted = F.col(f"{into}.redacted")
     changed = {text: F.coalesce(redacted, F.col(text))}

@@ -150,7 +150,8 @@ def judged(df: DataFrame, url: str = "url", rules: tuple[Rule, ...] = RULES, kee
     """Host, path, rule, verdict and block probability of every URL, besides its columns.
 
     A null URL, or one without ``://``, has an empty host and path; no rule fits it, and the
-    trees judge it by its other features. Where the rules decide no URL, or all alike, the
+    trees judge it by its other features. Of equally long rules that fit, the one last in order of text
+    decides; URLs of any length are read whole. Where the rules decide no URL, or all alike, the
     rest gets what they mostly said, allow by default. Repeated rows are judged alike; an
     empty table stays empty. Input columns called like the new ones are replaced; ``keep``
     names the columns to pass on, all by default.
