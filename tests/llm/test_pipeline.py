@@ -88,6 +88,8 @@ def test_an_empty_corpus_stays_empty(spark, corpus, tmp_path):
     folder, _ = corpus
     for name in ("documents", "benchmark", "labels"):
         spark.read.parquet(f"{folder}/{name}.parquet").limit(0).write.parquet(f"{tmp_path}/{name}.parquet")
+    turns = "conv_id bigint, turn bigint, role string, text string"
+    spark.createDataFrame([], turns).write.parquet(f"{tmp_path}/conversations.parquet")
     assert corpus_pipeline.run(spark, str(tmp_path)).count() == 0
     for name, query in QUERIES.items():
         if name not in ("op5_urls", "op8_warc"):
