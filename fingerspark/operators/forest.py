@@ -83,12 +83,11 @@ def tree_samples(training: DataFrame, trees: int = TREE_COUNT, sample_size: int
     counted = F.lit(rows) if rows is not None else training.agg(F.count("*").alias("n")).scalar()
     wanted = sample_size + SPARE_DEVIATIONS * sample_size ** 0.5
     limit = F.lit(float(DRAWS)) * F.lit(wanted) / counted.cast("double")
-    numbered = F.transform(F.sequence(F.lit(0), F.lit(trees - 1)), lambda t: F.struct(
-        t.alias("tree_id"), ((F.col("_a") + t * F.col("_b")) % DRAWS).alias("number")))
     limited = with_draws(training.select("vector_id", "features"), seed).withColumn("_limit", F.coalesce(limit, F.lit(0.0)))
-    drawn = limited.select("vector_id", "features", F.explode(
-        F.filter(numbered, lambda d: d["number"] < F.col("_limit"))).alias("d")).select(
-        "d.tree_id", "vector_id", "features", "d.number")
+    # Generated and filtered in one compiled loop; rows that join no tree are never made.
+    numbered = limited.select("*", F.explode(F.array(*[F.lit(t) for t in range(trees)])).alias("tree_id")).withColumn(
+        "number", (F.col("_a") + F.col("tree_id") * F.col("_b")) % DRAWS)
+    drawn = numbered.filter(F.col("number") < F.col("_limit")).select("tree_id", "vector_id", "features", "number")
     if below is not None:
         limits = below.select("tree_id", F.col("number").alias("_from"))
         drawn = drawn.join(F.broadcast(limits), "tree_id", "left").filter("_from IS NULL OR number < _from").drop("_from")
