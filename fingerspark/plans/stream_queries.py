@@ -11,7 +11,6 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.streaming import StreamingQuery
 
-from fingerspark.functions.fixed import MAX_WINDOW_EVENTS
 from fingerspark.operators import ingest
 from fingerspark.plans import ingest_queries, telemetry  # noqa: F401 (its checks are used below)
 from fingerspark.plans.check_sql import ALERTS, NOW, PROFILES, RESULTS, ROUNDED_FEATURES, RUNTIME, VECTORS, feature_ctes
@@ -92,8 +91,8 @@ def _run(spark: SparkSession, root: str, arriving: list[DataFrame],
         start(read_file_stream(spark, f"{root}/incoming", RUNTIME_EVENT)).awaitTermination()
 
 
-def _vectors(spark: SparkSession, arriving: list[DataFrame], max_events: int = MAX_WINDOW_EVENTS) -> DataFrame:
-    """What the window stream has written when all slices have arrived."""
+def _vectors(spark: SparkSession, arriving: list[DataFrame], max_events: int | None = None) -> DataFrame:
+    """What the window stream has written when all slices have arrived; without a count cap unless one is given."""
     root = _folder(spark, "stream-features")
 
     def start(events: DataFrame) -> StreamingQuery:

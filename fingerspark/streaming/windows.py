@@ -14,6 +14,7 @@ from __future__ import annotations
 
 import json
 import sys
+from collections import Counter
 from collections.abc import Callable, Iterator
 from math import log2
 
@@ -58,14 +59,20 @@ def fresh() -> dict:
     return {**{c: {} for c in COUNTED}, **{f: 0 for f in FLAGS}}
 
 
-def add(sums: dict, rows: pd.DataFrame) -> None:
-    """Count the values and flags of some events of a window."""
+def add(sums: dict, listed: dict[str, list], part: slice) -> None:
+    """Count the values and flags of some events of a window, which come as lists by column."""
     for column in COUNTED:
         counts = sums[column]
-        for value, n in rows[column].dropna().value_counts().items():
-            counts[str(value)] = counts.get(str(value), 0) + int(n)
+        for value, n in Counter(listed[column][part]).items():
+            if value is not None:
+                counts[value] = counts.get(value, 0) + n
     for flag in FLAGS:
-        sums[flag] += int(rows[flag].sum())
+        sums[flag] += sum(listed[flag][part])
+
+
+def in_lists(rows: pd.DataFrame) -> dict[str, list]:
+    texts = rows[[*COUNTED, "image_name"]].astype(object)
+    return {**texts.where(texts.notna(), None).to_dict("list"), **rows[list(FLAGS)].to_dict("list")}
 
 
 def fold(total: int, sums: dict, image: str | None) -> dict:
@@ -84,12 +91,12 @@ def fold(total: int, sums: dict, image: str | None) -> dict:
     }
 
 
-def greater(one: str | None, other: str | None) -> str | None:
-    return max((x for x in (one, other) if x is not None), default=None)
+def greater(*values: str | None) -> str | None:
+    return max((x for x in values if x is not None), default=None)
 
 
 def window_keeper(seconds: int, lateness_seconds: int, horizon_seconds: int,
-                  max_events: int) -> Callable[[tuple, Iterator[pd.DataFrame], GroupState], Iterator[pd.DataFrame]]:
+                  max_events: int | None) -> Callable[[tuple, Iterator[pd.DataFrame], GroupState], Iterator[pd.DataFrame]]:
     """The function that carries one container window forward and gives its vectors' sums.
 
     State is a histogram of the current generation: at most ``max_events`` events' values.
@@ -115,12 +122,13 @@ def window_keeper(seconds: int, lateness_seconds: int, horizon_seconds: int,
             flush()  # what was open when the window closed; the events of this batch are late
         if not state.hasTimedOut:
             for rows in batches:
-                rows = rows.sort_values(["timestamp", "event_id"])
-                while len(rows):
-                    taken, rows = rows.iloc[:max_events - total], rows.iloc[max_events - total:]
-                    add(sums, taken)
-                    total += len(taken)
-                    image = greater(image, taken["image_name"].dropna().max() if taken["image_name"].notna().any() else None)
+                rows = rows if max_events is None else rows.sort_values(["timestamp", "event_id"])
+                listed, at = in_lists(rows), 0
+                while at < len(rows):
+                    end = len(rows) if max_events is None else min(len(rows), at + max_events - total)
+                    add(sums, listed, slice(at, end))
+                    total, image = total + end - at, greater(image, *listed["image_name"][at:end])
+                    at = end
                     if total == max_events:
                         flush()
             if closed:
@@ -138,11 +146,12 @@ def window_keeper(seconds: int, lateness_seconds: int, horizon_seconds: int,
 
 
 def window_stream(processed: DataFrame, seconds: int = WINDOW_SECONDS, lateness_seconds: int = LATENESS_SECONDS,
-                  horizon_seconds: int = HORIZON_SECONDS, max_events: int = MAX_WINDOW_EVENTS) -> DataFrame:
+                  horizon_seconds: int = HORIZON_SECONDS, max_events: int | None = MAX_WINDOW_EVENTS) -> DataFrame:
     """Vectors of container windows from a stream of processed events, with their ``generation``.
 
     The stream must carry a watermark on ``timestamp`` of ``horizon_seconds``, as
     :func:`~fingerspark.streaming.jobs.processed_stream` sets it. Events of one batch go by time and id.
+    Without ``max_events`` there is no count cap, and a window gives one vector when it closes.
     """
     narrow = processed.select(
         "container_id", F.window("timestamp", f"{seconds} seconds")["start"].alias("start"), "timestamp", "event_id",

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from fingerspark.operators import baseline, features, ingest, profiles
+from fingerspark.plans import stream_queries
 from fingerspark.plans.retrain import retrain
 from fingerspark.sources.schemas import (
     ALERT,
@@ -98,6 +99,16 @@ def test_a_window_that_is_full_starts_anew(spark, tmp_path):
         assert key([row]) == key([same]) and row.image_name == same.image_name
 
 
+def test_a_window_stream_without_a_cap_gives_one_vector_a_window(spark, tmp_path):
+    many = 10_100
+    rows = spark.range(many).selectExpr(
+        "id AS event_id", "TIMESTAMP_NTZ '2024-01-01 00:00:01' + make_dt_interval(0, 0, 0, id / 10) AS ts", "7L AS user_id",
+        "'view' AS event_type", "1.0D AS value", """'{"k": 42}' AS props""")
+    rows.write.parquet(str(tmp_path / "events.parquet"))
+    got = stream_queries.stream_window_features(spark, str(tmp_path)).collect()
+    assert [(r.container_id, r.total_events) for r in got if r.container_id == "c2"] == [("c2", many)]
+
+
 def test_equal_events_without_id_all_count(spark, tmp_path):
     rows = [event(0, 3, event_id=None)] * 3 + [event(0, 4, event_id="x")] * 2
     got = vectors_of(spark, tmp_path, [rows, [event(0, 5, event_id="x"), event(0, 6, event_id=None)], [event(999, 900)]])
