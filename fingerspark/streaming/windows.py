@@ -75,6 +75,13 @@ def in_lists(rows: pd.DataFrame) -> dict[str, list]:
     return {**texts.where(texts.notna(), None).to_dict("list"), **rows[list(FLAGS)].to_dict("list")}
 
 
+def in_order(pieces: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """The events of a window in one batch by time and id. Spark hands them over in pieces of any order."""
+    held = list(pieces)
+    if held:
+        yield pd.concat(held).sort_values(["timestamp", "event_id"])
+
+
 def fold(total: int, sums: dict, image: str | None) -> dict:
     """The sums that the features are made of."""
     syscalls, processes = sums["syscall"], sums["process_name"]
@@ -99,7 +106,9 @@ def window_keeper(seconds: int, lateness_seconds: int, horizon_seconds: int,
                   max_events: int | None) -> Callable[[tuple, Iterator[pd.DataFrame], GroupState], Iterator[pd.DataFrame]]:
     """The function that carries one container window forward and gives its vectors' sums.
 
-    State is a histogram of the current generation: at most ``max_events`` events' values.
+    State is a histogram of the current generation: at most ``max_events`` events' values. With a cap the
+    order of events tells which generation they are in, so those of a window in one batch are held together;
+    without one they are counted piece by piece.
     """
     ahead = (horizon_seconds - lateness_seconds) * 1000  # from the watermark to the clock, in milliseconds
 
@@ -121,8 +130,7 @@ def window_keeper(seconds: int, lateness_seconds: int, horizon_seconds: int,
         if closed:
             flush()  # what was open when the window closed; the events of this batch are late
         if not state.hasTimedOut:
-            for rows in batches:
-                rows = rows if max_events is None else rows.sort_values(["timestamp", "event_id"])
+            for rows in batches if max_events is None else in_order(batches):
                 listed, at = in_lists(rows), 0
                 while at < len(rows):
                     end = len(rows) if max_events is None else min(len(rows), at + max_events - total)

@@ -109,6 +109,20 @@ def test_a_window_stream_without_a_cap_gives_one_vector_a_window(spark, tmp_path
     assert [(r.container_id, r.total_events) for r in got if r.container_id == "c2"] == [("c2", many)]
 
 
+def test_a_capped_window_goes_by_time_across_the_pieces_of_a_batch(spark, tmp_path):
+    rows = [event(2 * i, (7 * i % 50) / 10) for i in range(50)]
+    pieces = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", 3)
+    try:
+        got = vectors_of(spark, tmp_path, [rows, [event(999, 900)]], max_events=8)
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", pieces)
+    chunks = features.capped_window_features(ingest.process(runtime(spark, rows), "2026-03-20 13:00:00"), max_events=8).collect()
+    assert len(chunks) == 7
+    for row in chunks:
+        assert key([row]) == key([got["c0", 0, row.chunk]])
+
+
 def test_equal_events_without_id_all_count(spark, tmp_path):
     rows = [event(0, 3, event_id=None)] * 3 + [event(0, 4, event_id="x")] * 2
     got = vectors_of(spark, tmp_path, [rows, [event(0, 5, event_id="x"), event(0, 6, event_id=None)], [event(999, 900)]])
