@@ -24,6 +24,7 @@ from collections.abc import Callable, Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
+from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -150,7 +151,7 @@ class Segmenter:
     """Keys of a set's segment sketches in each of its bands."""
 
     def __init__(self, frequent: bytes | None):
-        self.uppers = upper_sizes()
+        self.uppers, self.tags = upper_sizes(), {}
         self.frequent = None if frequent is None else np.unpackbits(np.frombuffer(frequent, np.uint8)).astype(bool)
 
     def bands(self, n: int) -> list[tuple[int, int, int]]:
@@ -164,14 +165,23 @@ class Segmenter:
                 out.append((k, widest + 1 + int(SLACK * widest) + MORE, most))
         return out
 
-    def segments(self, grams: np.ndarray, space: int, band: int, count: int, empty_too: bool) -> np.ndarray:
-        tag = _U(space * 1000 + band)
+    def tag(self, space: int, band: int) -> tuple[np.uint64, np.uint64]:
+        """A number for the segments of a band, and its hash."""
+        if (space, band) not in self.tags:
+            own = _U(space * 1000 + band)
+            self.tags[space, band] = own, mix(np.array([own]))[0]
+        return self.tags[space, band]
+
+    def segments(self, grams: np.ndarray, hashes: np.ndarray, space: int, band: int, count: int, empty_too: bool) -> np.ndarray:
+        """Keys of the segments of n-grams, of which the hashes that a sketch is made of are given."""
+        tag, mixed = self.tag(space, band)
         if len(grams):
-            at = mix(grams + mix(np.array([tag], _U))) % _U(count)
-            order = np.argsort(at)
+            at = mix(grams + mixed) % _U(count)
+            # Short numbers are ordered by radix.
+            order = np.argsort(at.astype(np.uint16) if count <= 1 << 16 else at, kind="stable")
             at = at[order]
             first = np.flatnonzero(np.concatenate([[True], at[1:] != at[:-1]]))
-            sketch = np.bitwise_xor.reduceat(mix(grams[order] ^ _PLACES[1]), first)
+            sketch = np.bitwise_xor.reduceat(hashes[order], first)
             at = at[first]
         else:
             at = sketch = grams
@@ -183,15 +193,17 @@ class Segmenter:
     def keys(self, grams: np.ndarray) -> np.ndarray:
         with np.errstate(over="ignore"):
             out = [np.zeros(0, _U)]
-            rare = grams
+            hashes = mix(grams ^ _PLACES[1])
+            rare, rare_hashes = grams, hashes
             if self.frequent is not None and len(grams):
-                rare = grams[~self.frequent[bucket_of(grams)]]
+                seldom = ~self.frequent[bucket_of(grams)]
+                rare, rare_hashes = grams[seldom], hashes[seldom]
             for band, count, most in self.bands(len(grams)):
-                some = self.segments(rare, 0, band, count, False)
+                some = self.segments(rare, rare_hashes, 0, band, count, False)
                 out.append(some)
                 if len(some) <= most:
-                    every = self.segments(grams, 1, band, count, False)
-                    out.append(every if len(every) > most else self.segments(grams, 1, band, count, True))
+                    every = self.segments(grams, hashes, 1, band, count, False)
+                    out.append(every if len(every) > most else self.segments(grams, hashes, 1, band, count, True))
             return np.concatenate(out).view(np.int64)
 
 
@@ -232,13 +244,18 @@ def may_link(n: int, m: int, difference: int) -> bool:
 Batches = Iterator[pa.RecordBatch]
 
 
-def scan(df: DataFrame, schema: str | T.StructType, each: Callable[[], Callable[[pa.RecordBatch, list], Iterator[dict]]]) -> DataFrame:
-    """Map pieces of ``df``, whose last column is text, with their n-gram sets to new rows."""
+def scan(df: DataFrame, schema: str | T.StructType, each: Callable[[], Callable[[pa.RecordBatch, list], Iterator[dict]]],
+         wanted: Broadcast | None = None) -> DataFrame:
+    """Map pieces of ``df``, whose last column is text, with their n-gram sets to new rows.
+
+    With ``wanted``, a filter of numbers, rows whose first column it does not hold are left out unread.
+    """
     fields = T.StructType.fromDDL(schema) if isinstance(schema, str) else schema
     names, types = fields.names, [to_arrow_type(f.dataType) for f in fields]
 
     def run(batches: Batches) -> Batches:
         shingler, step = Shingler(), each()
+        bits = None if wanted is None else np.frombuffer(wanted.value, np.uint8)
 
         def made(columns: dict) -> pa.RecordBatch:
             return pa.RecordBatch.from_arrays([
@@ -246,6 +263,8 @@ def scan(df: DataFrame, schema: str | T.StructType, each: Callable[[], Callable[
                 for n, t in zip(names, types)], names)
 
         for batch in batches:
+            if bits is not None:
+                batch = batch.filter(pa.array(in_filter(bits, batch.column(0).to_numpy())))
             for part in slices(batch, PIECE):
                 texts = part.column(part.num_columns - 1).to_pylist()
                 for columns in step(part, shingler.sets(texts)):
@@ -410,16 +429,17 @@ def sketched(pairs: DataFrame, candidates: DataFrame) -> DataFrame:
     return durable(pairs.select("a", "b", "na", "nb", "sa", "sb").mapInArrow(run, "a bigint, b bigint"))
 
 
-def verified(pairs: DataFrame, rows: DataFrame) -> DataFrame:
-    """The pairs whose sets reach the similarity. Only the sets of paired entities are read again.
+def verified(pairs: DataFrame, rows: DataFrame, docs: DataFrame) -> DataFrame:
+    """The pairs whose sets reach the similarity. Only one text of each paired entity is read again.
 
-    ``pairs`` is a durable table, which goes.
+    ``docs`` names the ``mark`` of each text with its ``entity``. ``pairs`` is a durable table, which goes.
     """
     wanted = durable(pairs.select(F.col("a").alias("entity")).union(pairs.select("b")).distinct())
-    shared = rows.sparkSession.sparkContext.broadcast(bit_filter(wanted))
+    marks = durable(docs.join(wanted, "entity", "left_semi").groupBy("entity").agg(F.min("mark").alias("mark")).select("mark"))
+    shared = rows.sparkSession.sparkContext.broadcast(bit_filter(marks))
 
     def each():
-        bits, seen = np.frombuffer(shared.value, np.uint8), set()
+        seen = set()
 
         def step(part, sets):
             out = {"entity": [], "grams": []}
@@ -427,7 +447,7 @@ def verified(pairs: DataFrame, rows: DataFrame) -> DataFrame:
                 if not len(grams):
                     continue
                 name = entity_of(grams)
-                if name not in seen and in_filter(bits, np.array([name]))[0]:
+                if name not in seen:
                     if len(seen) > 500_000:
                         seen.clear()
                     seen.add(name)
@@ -436,7 +456,7 @@ def verified(pairs: DataFrame, rows: DataFrame) -> DataFrame:
             yield out
         return step
 
-    sets = scan(rows, "entity bigint, grams binary", each).join(wanted, "entity", "left_semi")
+    sets = scan(rows.select("mark", "text"), "entity bigint, grams binary", each, shared).join(wanted, "entity", "left_semi")
     sets = durable(sets.groupBy("entity").agg(F.first("grams").alias("grams")))
     both = pairs.join(sets.select(F.col("entity").alias("a"), F.col("grams").alias("x")), "a")
     both = both.join(sets.select(F.col("entity").alias("b"), F.col("grams").alias("y")), "b")
@@ -453,7 +473,7 @@ def verified(pairs: DataFrame, rows: DataFrame) -> DataFrame:
                 yield part.filter(pa.array(good, pa.bool_())).select(["a", "b"])
 
     good = durable(both.select("a", "b", "x", "y").mapInArrow(run, "a bigint, b bigint"))
-    release(sets, wanted, pairs)
+    release(sets, wanted, marks, pairs)
     return good
 
 
@@ -515,7 +535,7 @@ def star_pairs(members: DataFrame, seed: int) -> DataFrame:
     return met.select(F.least("entity", "hub").alias("a"), F.greatest("entity", "hub").alias("b")).distinct()
 
 
-def links(rows: DataFrame, frequent) -> DataFrame:
+def links(rows: DataFrame, frequent, docs: DataFrame) -> DataFrame:
     """Verified pairs (a, b) of entities that connect all that link.
 
     First, in a few rounds, each entity is compared with one member of each of its keys that it
@@ -527,10 +547,10 @@ def links(rows: DataFrame, frequent) -> DataFrame:
     possible.
     """
     context = rows.sparkSession.sparkContext
-    keys = durable(shared_keys(rows, frequent))
+    keys = durable(shared_keys(rows.select("text"), frequent))
     keys_filter = context.broadcast(bit_filter(keys))
     release(keys)
-    candidates = read_candidates(rows, frequent, keys_filter)
+    candidates = read_candidates(rows.select("text"), frequent, keys_filter)
     members = durable(candidates.select(F.explode("keys").alias("key"), "entity"))
     found = tested = labels = None
     for seed in range(ROUNDS):
@@ -538,7 +558,7 @@ def links(rows: DataFrame, frequent) -> DataFrame:
         release(members)  # keys that are closed now stay closed
         members = unconnected.drop("label")
         pairs = durable(star_pairs(unconnected, seed))
-        new = verified(sketched(pairs, candidates), rows)
+        new = verified(sketched(pairs, candidates), rows, docs)
         found, tested = (new, pairs) if found is None else (found.union(new), tested.union(pairs))
         labels = components(found)
 
@@ -552,7 +572,7 @@ def links(rows: DataFrame, frequent) -> DataFrame:
     once = (F.col("y.label") == F.col("x.main")) | (F.col("x.entity") < F.col("y.entity"))
     apart = x.join(y, (F.col("x.key") == F.col("y.key")) & (F.col("x.label") != F.col("y.label")) & once & close("x", "y"))
     rest = durable(pairs_of(apart, "x", "y").join(tested, ["a", "b"], "left_anti"))
-    last = verified(sketched(rest, candidates), rows)
+    last = verified(sketched(rest, candidates), rows, docs)
     release(candidates, members, unconnected, sides, rest)
     return found.union(last)
 
@@ -573,8 +593,9 @@ def with_components(df: DataFrame, text: str = "text", doc_id: str = "doc_id") -
     entities = read_entities(rows)
     counters = entities.filter("place is not null").select("place", "part", "data")
     frequent = df.sparkSession.sparkContext.broadcast(frequent_buckets(merged_counts(durable(counters))))
-    labels = components(links(rows.select("text"), frequent)).select(F.col("entity").alias("_entity"), "label")
     docs = entities.filter("place is null").select("id", "mark", "n", "entity")
+    found = links(rows.select("mark", "text"), frequent, docs.select("mark", "entity"))
+    labels = components(found).select(F.col("entity").alias("_entity"), "label")
     grouped = durable(docs.join(labels, F.col("entity") == F.col("_entity"), "left").select(
         "id", "mark", "n", F.coalesce("label", "entity").alias("component")))
     # Stored, so that adaptive execution may split the rows of a large component in the join.

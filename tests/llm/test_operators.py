@@ -417,6 +417,20 @@ def test_components_are_those_of_all_pairs(spark, rows):
     assert found_components(spark.createDataFrame(every, DOCS).repartition(4)) == brute_components(every)
 
 
+def test_only_wanted_texts_are_read_again(spark):
+    texts = spark.createDataFrame([(n, f"{n} b c d e f") for n in range(2_000)], "mark bigint, text string")
+    wanted = spark.sparkContext.broadcast(jaccard.bit_filter(texts.filter("mark < 3").select("mark")))
+
+    def each():
+        def step(part, sets):
+            if part is not None:
+                yield {"mark": part.column(0), "n": [len(s) for s in sets]}
+        return step
+
+    read = {r["mark"]: r["n"] for r in jaccard.scan(texts, "mark bigint, n bigint", each, wanted).collect()}
+    assert all(read[n] == 2 for n in range(3)) and len(read) < 100
+
+
 def test_frequent_ngrams_lose_no_link(spark, monkeypatch):
     every = near_copies(random.Random(8), 40)
     monkeypatch.setattr(jaccard, "ABOVE", -1)                # nearly all n-grams count as frequent
