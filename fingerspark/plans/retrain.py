@@ -69,7 +69,7 @@ def retrain(vectors: DataFrame, root: str, as_of: datetime, trees: int = TREE_CO
 
 
 def keep_samples(vectors: DataFrame, root: str, batch_id: int, trees: int = TREE_COUNT,
-                 sample_size: int = SUBSAMPLE_SIZE) -> None:
+                 sample_size: int = SUBSAMPLE_SIZE, one_hash: bool = False) -> None:
     """Add a batch of vectors to the samples and moments that the next model is trained on.
 
     Of the samples held so far only the largest number of each tree is looked at; of the batch
@@ -78,7 +78,7 @@ def keep_samples(vectors: DataFrame, root: str, batch_id: int, trees: int = TREE
     spark = vectors.sparkSession
     buffer = durable(training_buffer(vectors))
     full = full_trees(stored_samples(spark, root, trees, sample_size, batch_id), sample_size)
-    drawn = tree_samples(buffer, trees, sample_size, below=full)
+    drawn = tree_samples(buffer, trees, sample_size, below=full, one_hash=one_hash)
     states.add(drawn, f"{root}/{SAMPLES}", batch_id, lambda s: merged_samples(s, trees, sample_size))
     overall = image_moments(buffer.withColumn("image_name", F.lit(OVERALL)))
     states.add(overall, f"{root}/{MOMENTS}", batch_id, fold_moments)

@@ -170,6 +170,15 @@ def test_retrain_stores_versions(spark, tmp_path):
     assert registry.model_info(read_versions(spark, root, REGISTRY)).first().threshold_high == 0.75
 
 
+def test_trees_draw_independently(spark):
+    taken = {}
+    for r in forest.tree_samples(cloud(spark), 12, 64).collect():
+        taken.setdefault(r.tree_id, set()).add(r.vector_id)
+    both = [(t, v) for t in range(10) for v in taken[t] & taken[t + 1]]
+    # Of the rows that two neighbouring trees take, the next one takes about as few as of all.
+    assert both and sum(v in taken[t + 2] for t, v in both) < 0.3 * len(both)
+
+
 def test_a_model_of_kept_samples_is_that_of_all_vectors(spark, tmp_path):
     data, kept, whole = durable(cloud(spark, 900)), str(tmp_path / "kept"), str(tmp_path / "whole")
     for batch_id in range(5):
